@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from .packing import op10_packing
 from .token_frames import op1_token_frames
+from .toxicity import op3_toxicity
+from .transport_stream import op5_transport_stream
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
+    "op3_toxicity": op3_toxicity,
+    "op5_transport_stream": op5_transport_stream,
     "op10_packing": op10_packing,
 }
 
