@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op2_html_text
 from .packing import op10_packing
 from .token_frames import op1_token_frames
 from .toxicity import op3_toxicity
@@ -9,6 +10,7 @@ from .transport_stream import op5_transport_stream
 
 QUERIES = {
     "op1_token_frames": op1_token_frames,
+    "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
     "op5_transport_stream": op5_transport_stream,
     "op10_packing": op10_packing,
