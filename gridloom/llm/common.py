@@ -135,9 +135,11 @@ class WordwiseTokenizer:
     with the one blank before it. Texts with other white space are encoded by the library whole.
     """
 
-    LIMIT = 500_000
+    LIMIT = 800_000
     ODD = re.compile(r"[^\S \n]")
-    PIECES = {"words": re.compile(r"[^ \n]+"), "bytes": re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")}
+    CONTROLS = "\x1c\x1d\x1e\x1f"
+    RUNS = ("  ", "\n\n", " \n", "\n ")
+    BYTE_PIECES = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
     #: What stands between new pieces that are encoded in one call; pieces that hold it go alone.
     BETWEEN = {"words": (" | ", "|"), "bytes": ("\n", "\n")}
 
@@ -148,11 +150,24 @@ class WordwiseTokenizer:
         self.lib.encode_special_tokens = True
         self.lib.no_padding()
         self.lib.no_truncation()
-        self.find = self.PIECES[kind].findall
+        self.find = self._words if kind == "words" else self._pieces
         self.glue, self.mark = self.BETWEEN[kind]
         (self.mark_id,) = self.lib.encode(self.glue, add_special_tokens=False).ids
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _words(self, text: str) -> list[str] | None:
+        """Words; those of ASCII texts lowered already, as the vocabulary does."""
+        if text.isascii():
+            return None if any(c in text for c in self.CONTROLS) else text.lower().split()
+        return None if self.ODD.search(text) else text.split()
+
+    def _pieces(self, text: str) -> list[str] | None:
+        if any(c in text for c in "\t\r\v\f" + self.CONTROLS) if text.isascii() else self.ODD.search(text):
+            return None
+        if any(run in text for run in self.RUNS) or "\0" in text:
+            return self.BYTE_PIECES.findall(text)
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, self.dtype).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -166,9 +181,8 @@ class WordwiseTokenizer:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:
-            self.known = {}
-        known, odd = self.known, self.ODD.search
-        pieces = [None if odd(t) else self.find(t) for t in texts]
+            self.known = {"": b""}
+        known, pieces = self.known, [self.find(t) for t in texts]
         new = set().union(*(ps for ps in pieces if ps)) - known.keys()
         single = [p for p in new if self.mark in p]
         known.update(zip(single, self._whole(single)))
