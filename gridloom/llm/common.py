@@ -42,9 +42,18 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Stands for a null id inside operators, as pandas has no null in a column of integers; it sorts first.
+NULL_ID = -(1 << 63)
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns, whatever their names, don't pass."""
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+
+
+def restored(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """Null ids again."""
+    return df.withColumn(column, F.nullif(F.col(column), F.lit(NULL_ID)))
 
 
 # --- hashing ------------------------------------------------------------------------------------

@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import NULL_ID, restored
+
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("head script style noscript template textarea select option button iframe svg math object canvas video audio datalist title".split())
@@ -369,10 +371,10 @@ def extract(pages: DataFrame, forest: Forest | None, id_col: str = "page_id", ht
                     xs = [features(f) for f in found]
                     ps = np.split(model.probability(np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1])
                 texts = [text_of(f, p) for f, p in zip(found, ps, strict=True)]
-                yield pd.DataFrame({"page_id": part["page_id"].astype("Int64").to_numpy(), "text": [t for t, _ in texts], "n_blocks": [n for _, n in texts]}).astype({"page_id": "Int64"})
+                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "text": [t for t, _ in texts], "n_blocks": [n for _, n in texts]})
 
-    plain = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-    return plain.mapInPandas(run, "page_id long, text string, n_blocks int")
+    plain = pages.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("page_id"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
+    return restored(plain.mapInPandas(run, "page_id long, text string, n_blocks int"), "page_id")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

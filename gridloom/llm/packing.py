@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, stage, texts_of, tokenizer
+from .common import batches, restored, stage, texts_of, tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -50,8 +50,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity
                         crc = zlib.crc32(part.tobytes())
                         salt = zlib.crc32(f"{key} {k}".encode()) % 64
                         rows.append((key, k, max(at, 0), len(part), crc, salt, *([part.astype(np.int64)] if with_ids else [])))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", *(["ids"] if with_ids else [])])
-                yield out.astype({"doc_id": "Int64"})
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", *(["ids"] if with_ids else [])])
 
     return texts_of(docs, id_col, text_col).mapInPandas(cut, PIECES + (", ids array<long>" if with_ids else ""))
 
@@ -224,7 +223,7 @@ def place(pieces: DataFrame, capacity: int, **how) -> DataFrame:
 
 def pack_documents(docs: DataFrame, vocabulary: str, kind: str = "bytes", end_id: int = 2, capacity: int = 1024, with_ids: bool = False, **how) -> DataFrame:
     """Pieces of all documents with their sequence and place; with_ids adds the pieces' token ids."""
-    return place(stage(pieces_of(docs, vocabulary, kind, end_id, capacity, with_ids=with_ids), "pieces"), capacity, **how)
+    return restored(place(stage(pieces_of(docs, vocabulary, kind, end_id, capacity, with_ids=with_ids), "pieces"), capacity, **how))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

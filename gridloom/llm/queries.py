@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .html_text import op2_html_text
 from .line_dedup import op6_line_dedup
+from .ngram_join import op7_ngram_join
 from .packing import op10_packing
 from .token_frames import op1_token_frames
 from .toxicity import op3_toxicity
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_transport_stream": op5_transport_stream,
     "op6_line_dedup": op6_line_dedup,
+    "op7_ngram_join": op7_ngram_join,
     "op10_packing": op10_packing,
 }
 

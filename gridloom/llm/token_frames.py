@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, scratch, texts_of, tokenizer
+from .common import NULL_ID, batches, restored, scratch, texts_of, tokenizer
 
 HEADER, DOCS, SEEK, SEEKABLE = 0x184D2A50, 0x184D2A51, 0x184D2A5E, 0x8F92EAB1
 SHARDS = "file string, first_id long, first_hash long, n_docs long, n_ids long, bytes long"
@@ -70,8 +70,8 @@ class ShardWriter:
     def _skippable(self, magic: int, body: bytes) -> None:
         self._put(struct.pack("<II", magic, len(body)) + body, b"")
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc_id or 0, doc_id is None, len(self.table), len(ids)))
+    def add(self, doc_id: int, ids: np.ndarray) -> None:
+        self.docs.append((doc_id, doc_id == NULL_ID, len(self.table), len(ids)))
         for i in range(0, max(len(ids), 1), self.frame_ids):
             plain = ids[i : i + self.frame_ids].astype(self.dtype).tobytes()
             self._put(self.squeeze(plain), plain)
@@ -146,19 +146,18 @@ def write(docs: DataFrame, path: str, vocabulary: str, kind: str = "words", end_
             texts, keys, hashes = pdf["text"].tolist(), pdf["doc_id"].tolist(), pdf["h"].tolist()
             for a, b in batches(texts):
                 for key, ids in zip(keys[a:b], t.encode(texts[a:b]), strict=True):
-                    key = None if pd.isna(key) else int(key)
                     if out is None:
                         out, first = ShardWriter(name, t.dtype, end_id, level, frame_ids), (key, int(hashes[a]))
                     out.add(key, np.append(ids, np.array(end_id, t.dtype)))
                     n_ids += len(ids) + 1
         if out is not None:
             out.close()
-            yield pd.DataFrame({"file": [name], "first_id": pd.array([first[0]], "Int64"), "first_hash": [first[1]], "n_docs": [len(out.docs)], "n_ids": [n_ids], "bytes": [out.bytes]})
+            yield pd.DataFrame({"file": [name], "first_id": [first[0]], "first_hash": [first[1]], "n_docs": [len(out.docs)], "n_ids": [n_ids], "bytes": [out.bytes]})
 
     keyed = texts_of(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     ranged = keyed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
     found = [r.asDict() for r in ranged.mapInPandas(shard, SHARDS).collect()]
-    found.sort(key=lambda r: (r["first_id"] is not None, r["first_id"] or 0, r["first_hash"]))
+    found.sort(key=lambda r: (r["first_id"], r["first_hash"]))
     start = 0
     for r in found:
         r["start"], start = start, start + r["n_ids"]
@@ -182,12 +181,11 @@ def read(spark: SparkSession, manifest: list[dict], doc_ids: set[int] | None = N
                 rows = []
                 for k in wanted:
                     ids = r.tokens(k)
-                    rows.append((None if r.null[k] else int(r.ids[k]), int(starts[k]), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.astype(np.int64)] if with_ids else [])))
-                out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
-                yield out.astype({"doc_id": "Int64"})
+                    rows.append((int(r.ids[k]), int(starts[k]), len(ids), zlib.crc32(ids.astype("<u4").tobytes()), *([ids.astype(np.int64)] if with_ids else [])))
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else [])])
 
     files = spark.createDataFrame([(r["file"], r["start"]) for r in manifest], "file string, start long")
-    return files.repartition(max(1, len(manifest))).mapInPandas(load, schema)
+    return restored(files.repartition(max(1, len(manifest))).mapInPandas(load, schema))
 
 
 def op1_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered, prefix_hash, texts_of, window_hash, word_spans
+from .common import lowered, prefix_hash, restored, texts_of, window_hash, word_spans
 
 STEMS = (4, 5, 6)
 COUNTS = "unit long, n0a long, n1a long, n0b long, n1b long"
@@ -253,11 +253,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 s = token_scores(text, m)
                 x, found = evidence(s, m)
                 rows.append((key, x, len(s), [{"first": a, "last": b, "score": c, "e_value": e} for a, b, c, e in found]))
-            yield pd.DataFrame(rows, columns=["doc_id", "evidence", "n_tokens", "segments"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "evidence", "n_tokens", "segments"])
 
     rated = texts_of(docs, id_col, text_col).mapInPandas(rate, SCORES)
     logit = F.least(F.col("evidence"), F.lit(60.0)) * model.slope + model.offset
-    return rated.withColumn("score", 1 / (1 + F.exp(-logit)))
+    return restored(rated).withColumn("score", 1 / (1 + F.exp(-logit)))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, stage, texts_of
+from .common import batches, restored, stage, texts_of
 
 PACKET, BODY, SYNC = 188, 184, 0x47
 PMT_PID, ES_PID, PRIVATE_DATA, PRIVATE_STREAM = 0x1000, 0x0100, 0x06, 0xBD
@@ -212,7 +212,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for a, b in batches(texts, 4_000_000):
                 raw = [t.encode("utf-8", "surrogatepass") for t in texts[a:b]]
                 media = [mux(r + b" " * (max(BLOCK, -(-len(r) // BLOCK) * BLOCK) - len(r))) for r in raw]
-                yield pd.DataFrame({"doc_id": keys.iloc[a:b].astype("Int64").to_numpy(), "n_bytes": [len(r) for r in raw], "media": media}).astype({"doc_id": "Int64"})
+                yield pd.DataFrame({"doc_id": keys.iloc[a:b].to_numpy(), "n_bytes": [len(r) for r in raw], "media": media})
 
     return texts_of(docs, id_col, text_col).mapInPandas(encode, MEDIA)
 
@@ -226,10 +226,10 @@ def parse_media(media: DataFrame) -> DataFrame:
                 part = pdf.iloc[at : at + 256]
                 s = [demux(m) for m in part["media"]]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64").to_numpy(), "n_bytes": part["n_bytes"].to_numpy(), "payload": [x.payload for x in s], "media_bytes": [len(m) for m in part["media"]],
+                    "doc_id": part["doc_id"].to_numpy(), "n_bytes": part["n_bytes"].to_numpy(), "payload": [x.payload for x in s], "media_bytes": [len(m) for m in part["media"]],
                     "media_sha256": [hashlib.sha256(m).hexdigest() for m in part["media"]], "programs": [x.programs for x in s], "streams": [x.streams for x in s], "packets": [x.packets for x in s],
                     "continuity_errors": [x.continuity_errors for x in s], "pts": [x.pts for x in s], "random_access": [[{"packet": a, "pts": b} for a, b in x.random_access] for x in s],
-                }).astype({"doc_id": "Int64"})
+                })
 
     return media.mapInPandas(decode, PARSED)
 
@@ -251,7 +251,7 @@ def describe(parsed: DataFrame) -> DataFrame:
         "ts;programs=%d;streams=%d;packets=%d;units=%d;entries=%d;pts=%d..%d;continuity_errors=%d;entropy=%.4f",
         "programs", "streams", "packets", F.size("pts"), F.size("random_access"), F.array_min("pts"), F.array_max("pts"), "continuity_errors", bits("payload"),
     )
-    return parsed.select(
+    return restored(parsed).select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), tail("payload").alias("tail_crc32"),
         "media_bytes", "media_sha256", feature.alias("feature"), "pts", "random_access",
     )
