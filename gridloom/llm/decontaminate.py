@@ -146,9 +146,9 @@ def edit_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int
     return (int(cost[end]), int(origin[end]), end) if cost[end] <= most else None
 
 
-def _search_documents(parts: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.DataFrame]:
-    for pdf in parts:
-        texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
+def matches(texts: list[str], plan: Plan) -> Iterator[tuple[int, int, int, int, int]]:
+    """(number of the text, item_id, first_word, n_words, distance) of each match."""
+    if plan.items:
         for a, b in batches(texts, 1_500_000):
             raw = [_bytes(t) for t in texts[a:b]]
             data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -158,11 +158,8 @@ def _search_documents(parts: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.
             shift = np.repeat(np.arange(len(raw)), np.diff(ends, prepend=0))
             stream = np.zeros(len(words) + len(raw) + STEPS + 1, np.uint64)  # a 0 after each document
             stream[np.arange(len(words)) + shift] = words
-            if len(plan.vocabulary):
-                at = np.minimum(np.searchsorted(plan.vocabulary, stream), len(plan.vocabulary) - 1)
-                codes = np.where(plan.vocabulary[at] == stream, at + 1, 0)
-            else:
-                codes = np.zeros(len(stream), np.int64)
+            at = np.minimum(np.searchsorted(plan.vocabulary, stream), len(plan.vocabulary) - 1)
+            codes = np.where(plan.vocabulary[at] == stream, at + 1, 0)
             begin = np.concatenate([[0], ends[:-1] + np.arange(1, len(raw))]) if len(raw) else np.empty(0, int)
             size = np.diff(ends, prepend=0)
             best: dict[tuple[int, int, int], tuple[int, int]] = {}
@@ -185,29 +182,57 @@ def _search_documents(parts: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.
                     key = (d, k, low + x - int(begin[d]))
                     if key not in best or best[key][0] > distance:
                         best[key] = (distance, y - x)
-            rows = [(ids[a + d], plan.items[k][0], first, n, distance) for (d, k, first), (distance, n) in best.items()]
-            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "n_words", "distance"])
+            for (d, k, first), (distance, n) in best.items():
+                yield a + d, plan.items[k][0], first, n, distance
 
 
-def contaminations(docs: DataFrame, items: DataFrame, rate: float = 0.2, repetitions: int = 12, samples: int = 4, min_words: int = 8, block: int = 2000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, first_word, n_words, distance): each matched window, words counted from 0."""
-    spark = docs.sparkSession
-    rows = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
-    out, held, texts = None, [], texts_of(docs, id_col, text_col)
+def _search_documents(parts: Iterator[pd.DataFrame], plan: Plan) -> Iterator[pd.DataFrame]:
+    for pdf in parts:
+        ids = pdf["doc_id"].tolist()
+        rows = [(ids[d], *found) for d, *found in matches(pdf["text"].tolist(), plan)]
+        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "n_words", "distance"])
 
-    def run(part: list[tuple[int, str]]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(Plan(part, rate, repetitions, samples, min_words))  # at most block items
-        return texts.mapInPandas(lambda parts: _search_documents(parts, shared.value), FOUND)
 
+def plans(items: DataFrame, rate: float, repetitions: int, samples: int, min_words: int, block: int, item_col: str, item_text: str) -> Iterator[Plan]:
+    """Search plans of the items, block rows at a time."""
+    rows = items.select(F.col(f"`{item_col}`").cast("long").alias("item_id"), F.col(f"`{item_text}`").cast("string").alias("text")).where("text is not null and item_id is not null").distinct()
+    held: list[tuple[int, str]] = []
     for row in rows.orderBy("item_id", "text").toLocalIterator():
         held.append((row["item_id"], row["text"]))
         if len(held) == block:
-            out, held = run(held) if out is None else out.union(run(held)), []
-    if held or out is None:
-        out = run(held) if out is None else out.union(run(held))
+            yield Plan(held, rate, repetitions, samples, min_words)
+            held = []
+    yield Plan(held, rate, repetitions, samples, min_words)
+
+
+
+
+def contaminations(docs: DataFrame, items: DataFrame, rate: float = 0.2, repetitions: int = 12, samples: int = 4, min_words: int = 8, block: int = 2000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """(doc_id, item_id, first_word, n_words, distance): each matched window, words counted from 0."""
+    spark, texts, out = docs.sparkSession, texts_of(docs, id_col, text_col), None
+    for plan in plans(items, rate, repetitions, samples, min_words, block, item_col, item_text):
+        shared = spark.sparkContext.broadcast(plan)  # at most block items
+        found = texts.mapInPandas(lambda parts, shared=shared: _search_documents(parts, shared.value), FOUND)
+        out = found if out is None else out.union(found)
     return restored(out)
 
 
+def _hit(shared):
+    def hit(texts: pd.Series) -> pd.Series:
+        out = np.zeros(len(texts), bool)
+        out[[d for d, *_ in matches(texts.fillna("").tolist(), shared.value)]] = True
+        return pd.Series(out)
+
+    return F.pandas_udf(hit, "boolean")
+
+
+def clean(docs: DataFrame, items: DataFrame, rate: float = 0.2, repetitions: int = 12, samples: int = 4, min_words: int = 8, block: int = 2000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that no item contaminates."""
+    for plan in plans(items, rate, repetitions, samples, min_words, block, item_col, item_text):
+        docs = docs.where(~_hit(docs.sparkSession.sparkContext.broadcast(plan))(F.col(f"`{text_col}`").cast("string")))
+    return docs
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document window that matches a benchmark item."""
     return contaminations(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -241,6 +241,13 @@ def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z:
     return model
 
 
+def probability(model: Model, spark: SparkSession, text_col: str = "text") -> Column:
+    """The score as a column, for filters over tables with columns of their own."""
+    shared = spark.sparkContext.broadcast(model)
+    total = F.pandas_udf(lambda texts: texts.map(lambda t: evidence(token_scores(t or "", shared.value), shared.value)[0]).astype(float), "double")
+    return 1 / (1 + F.exp(-(F.least(total(F.col(f"`{text_col}`").cast("string")), F.lit(60.0)) * model.slope + model.offset)))
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score, evidence, n_tokens, segments) of every row; segments count tokens from 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
