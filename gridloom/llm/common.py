@@ -164,6 +164,7 @@ class WordwiseTokenizer:
         (self.mark_id,) = self.lib.encode(self.glue, add_special_tokens=False).ids
         self.dtype = np.dtype("<u2") if self.lib.get_vocab_size() <= 65_536 else np.dtype("<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.again: set[str] = set()
 
     def _words(self, text: str) -> list[str] | None:
         """Words; those of ASCII texts lowered already, as the vocabulary does."""
@@ -189,10 +190,14 @@ class WordwiseTokenizer:
         return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > self.LIMIT:
-            self.known = {"": b""}
+        if len(self.known) > self.LIMIT:  # what was met in one batch only goes
+            self.known, self.again = {"": b""} | {p: self.known[p] for p in self.again}, set()
+            if len(self.known) > self.LIMIT // 2:
+                self.known = {"": b""}
         known, pieces = self.known, [self.find(t) for t in texts]
-        new = set().union(*(ps for ps in pieces if ps)) - known.keys()
+        here = set().union(*(ps for ps in pieces if ps))
+        new = here - known.keys()
+        self.again |= here - new
         single = [p for p in new if self.mark in p]
         known.update(zip(single, self._whole(single)))
         plain = list(new.difference(single))

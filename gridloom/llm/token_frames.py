@@ -90,8 +90,10 @@ class ShardReader:
     """Documents of one shard; only the frames asked for are read and decompressed."""
 
     def __init__(self, uri: str) -> None:
+        import zstandard
+
         system, path = _open(uri)
-        self.file = system.open_input_file(path)
+        self.file, self.unpack = system.open_input_file(path), zstandard.ZstdDecompressor().decompress
         size = self.file.size()
         n, _, magic = struct.unpack("<IBI", self._at(size - 9, 9))
         if magic != SEEKABLE:
@@ -119,12 +121,11 @@ class ShardReader:
     def tokens(self, k: int) -> np.ndarray:
         """The ids of the shard's k-th document, checked against the seek table."""
         import xxhash
-        import zstandard
 
         a, b = int(self.first[k]), int(self.stop[k])
         raw, at, parts = self._at(int(self.offset[a]), int(self.offset[b] - self.offset[a])), 0, []
         for i in range(a, b):
-            plain = zstandard.ZstdDecompressor().decompress(raw[at : at + int(self.table[i, 0])], max_output_size=max(1, int(self.table[i, 1])))
+            plain = self.unpack(raw[at : at + int(self.table[i, 0])], max_output_size=max(1, int(self.table[i, 1])))
             if xxhash.xxh64_intdigest(plain) & 0xFFFFFFFF != self.table[i, 2]:
                 raise ValueError(f"frame {i}: its checksum doesn't match")
             at += int(self.table[i, 0])
@@ -132,7 +133,7 @@ class ShardReader:
         return np.frombuffer(b"".join(parts), self.dtype)
 
 
-def write(docs: DataFrame, path: str, vocabulary: str, kind: str = "words", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 3, frame_ids: int = 1 << 20) -> list[dict]:
+def write(docs: DataFrame, path: str, vocabulary: str, kind: str = "words", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", level: int = 1, frame_ids: int = 1 << 20) -> list[dict]:
     """Encodes every text, writes shards below path, and returns the manifest in ascending order.
 
     The manifest has one entry a shard (a task's output), never one a document; it is also written
