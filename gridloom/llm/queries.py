@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
 from .html_text import op2_html_text
+from .katz import op8_katz
 from .line_dedup import op6_line_dedup
 from .ngram_join import op7_ngram_join
 from .packing import op10_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_transport_stream": op5_transport_stream,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
+    "op8_katz": op8_katz,
     "op9_decontaminate": op9_decontaminate,
     "op10_packing": op10_packing,
 }
