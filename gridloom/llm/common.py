@@ -56,6 +56,15 @@ def restored(df: DataFrame, column: str = "doc_id") -> DataFrame:
     return df.withColumn(column, F.nullif(F.col(column), F.lit(NULL_ID)))
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a staged table that no later plan reads."""
+    files = df.inputFiles()
+    if files:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(files[0].rpartition("/")[0])
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 # --- hashing ------------------------------------------------------------------------------------
 
 

@@ -13,10 +13,11 @@ for each order by itself, so candidates must share a prefix shingle under all of
 * candidates meet the other orders' prefixes and the size filter before their sets are intersected.
 
 Only components are asked for, so not all pairs of a large group are made: each shared shingle's
-classes are first compared with its least class, the links are joined into components, and from then
-on only classes of different components that share a prefix shingle are candidates. Rounds with other
-pivots go on while very many such pairs are left; the last round compares all that remain, so no
-link between components is lost.
+classes are first compared with its least class, the links are joined into components, and then
+only classes of different components that share a prefix shingle are candidates: a shingle's classes
+outside its largest component meet all its classes, in blocks of bounded size. So no link between
+components is lost, and a group that is one component costs a row a class. Sketches (counts of
+shingles by leading bits) rule out nearly all pairs that only share a passage before any text moves.
 
 Defined results: null, empty and word-free texts have no shingles and stand alone; repeated rows
 have equal sets and so one component; a null id never names a component with other members; extra
@@ -32,13 +33,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, lowered, mix, restored, shingle_hashes, stage, texts_of, word_hashes
+from .common import NULL_ID, discard, lowered, mix, restored, shingle_hashes, stage, texts_of, word_hashes
 from .components import components
 
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 BUCKETS = 512
+#: Bins of a set's sketch: how many of its shingles begin with each 7 bits. Sums of minima bound an intersection from above.
+BINS = 128
+BLOCK = 512
 #: kind 0: a document's (doc_id, sig, n); kind 1: a bucket's packed (shingle, sig, n); kind 2: a frequent prefix shingle.
-PACKED = "kind int, doc_id long, sig long, n int, bucket int, token long, blob binary"
+PACKED = "kind int, doc_id long, sig long, n int, bucket int, token long, blob binary, sketch binary"
+COLUMNS = ["kind", "doc_id", "sig", "n", "bucket", "token", "blob", "sketch"]
 SHARED = "token long, sig long, n int, pivot long, pivot_n int"
 ENTRY = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4")])
 
@@ -111,7 +116,7 @@ def packed(texts: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Data
             for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 s = shingles(text, k)
                 sig = xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                docs.append((key, sig, len(s)))
+                docs.append((key, sig, len(s), np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4").tobytes()))
                 if len(s):
                     p = prefix(s, often, ORDERS[0], percent)
                     is_hot = np.isin(p, often, assume_unique=True) if len(often) else np.zeros(len(p), bool)
@@ -119,13 +124,13 @@ def packed(texts: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Data
                     held.append((p[~is_hot], sig, len(s)))
                     size += len(p)
                     if size > 1_500_000:
-                        yield flush(held).reindex(columns=["kind", "doc_id", "sig", "n", "bucket", "token", "blob"])
+                        yield flush(held).reindex(columns=COLUMNS)
                         held, size = [], 0
-            yield pd.DataFrame({"kind": 0, "doc_id": pd.array([d[0] for d in docs], "Int64"), "sig": [d[1] for d in docs], "n": [d[2] for d in docs]}).reindex(columns=["kind", "doc_id", "sig", "n", "bucket", "token", "blob"])
+            yield pd.DataFrame({"kind": 0, "doc_id": pd.array([d[0] for d in docs], "Int64"), "sig": [d[1] for d in docs], "n": [d[2] for d in docs], "sketch": [d[3] for d in docs]}).reindex(columns=COLUMNS)
             if hot:
-                yield pd.DataFrame({"kind": 2, "sig": [h[0] for h in hot], "n": [h[1] for h in hot], "token": [h[2] for h in hot]}).reindex(columns=["kind", "doc_id", "sig", "n", "bucket", "token", "blob"])
+                yield pd.DataFrame({"kind": 2, "sig": [h[0] for h in hot], "n": [h[1] for h in hot], "token": [h[2] for h in hot]}).reindex(columns=COLUMNS)
         if size:
-            yield flush(held).reindex(columns=["kind", "doc_id", "sig", "n", "bucket", "token", "blob"])
+            yield flush(held).reindex(columns=COLUMNS)
 
     def typed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in run(parts):
@@ -207,43 +212,95 @@ def verified(pairs: DataFrame, sets: DataFrame, frequent: np.ndarray, k: int, pe
     return rows.select("u", "v", "head", "text").mapInPandas(check, "u long, v long")
 
 
-def join_components(docs: DataFrame, percent: int = 80, k: int = 5, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text", pairs_at_once: int = 4) -> DataFrame:
+def _possible(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches a and b (rows) allow the similarity: sizes alike and the bound large enough."""
+    bound = np.minimum(a, b).sum(axis=-1)
+    return (np.minimum(an, bn) * 100 >= np.maximum(an, bn) * percent) & (bound * (100 + percent) >= percent * (an + bn))
+
+
+def _counts(blobs) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), "<u4").reshape(-1, BINS).astype(np.int64)
+
+
+def star_pairs(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of each shared shingle's least class with its others, as far as sketches allow."""
+
+    def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            if len(pdf):
+                ok = _possible(_counts(pdf["us"]), pdf["un"].to_numpy(), _counts(pdf["vs"]), pdf["vn"].to_numpy(), percent)
+                yield pdf.loc[ok, ["u", "v"]]
+
+    pairs = prefixes.where(F.col("sig") != F.col("pivot")).where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent).select(F.col("pivot").alias("u"), F.col("sig").alias("v")).distinct()
+    side = lambda x: sketches.select(F.col("sig").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "un", "vn", "us", "vs").mapInPandas(keep, "u long, v long")
+
+
+def cross_pairs(prefixes: DataFrame, sketches: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a prefix shingle, as far as sketches allow."""
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, now = [], None
+
+        def pairs() -> pd.DataFrame:
+            g = pd.concat(held) if len(held) > 1 else held[0]
+            one, other = g[g["role"] == 1], g[g["role"] == 0]
+            a, b = _counts(one["sketch"]), _counts(other["sketch"])
+            sa, sb, la, lb, na, nb = (x[c].to_numpy() for c in ("sig", "label", "n") for x in (one, other))
+            out = []
+            for i in range(len(one)):
+                ok = (lb != la[i]) & _possible(a[i], na[i], b, nb, percent)
+                out.append(np.column_stack([np.full(ok.sum(), sa[i]), sb[ok]]))
+            p = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            return pd.DataFrame({"u": p.min(axis=1), "v": p.max(axis=1)}) if len(p) else pd.DataFrame({"u": [], "v": []}, dtype="int64")
+
+        for pdf in parts:
+            keys = pdf["token"].to_numpy(), pdf["block"].to_numpy()
+            cut = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
+            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(pdf)]):
+                if hi > lo:
+                    key = (keys[0][lo], keys[1][lo])
+                    if held and key != now:
+                        yield pairs()
+                        held = []
+                    now = key
+                    held.append(pdf.iloc[lo:hi])
+        if held:
+            yield pairs()
+
+    now = prefixes.select("token", "sig", "n").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    sizes = now.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
+    open_ = now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").join(sketches.select("sig", "sketch"), "sig")
+    all_ = open_.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))).withColumn("role", F.lit(0))
+    few = open_.where("label <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    rows = all_.select("token", "block", "role", "sig", "n", "label", "sketch").unionByName(few.select("token", "block", "role", "sig", "n", "label", "sketch"))
+    return rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInPandas(meet, "u long, v long").distinct()
+
+
+def join_components(docs: DataFrame, percent: int = 80, k: int = 5, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the least id of its component."""
     texts = texts_of(docs, id_col, text_col)
     frequent = frequent_shingles(texts, sample, 8, 100_000, k)
     table = stage(packed(texts, frequent, k, percent), "ngram-prefixes")
-    classes = stage(table.where("kind = 0").select("doc_id", "sig", "n"), "ngram-classes")
     prefixes = stage(shared_tokens(table), "ngram-shared")
-    reps = classes.join(prefixes.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id"))
-    # Rows that repeat an id may differ; the signature that was computed with the text decides.
-    sets = stage(_texts_by_sig(texts.join(reps, "doc_id"), k), "ngram-sets")
-
-    alike = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    pairs = stage(prefixes.where(F.col("sig") != F.col("pivot")).where(alike("n", "pivot_n")).select(F.col("pivot").alias("u"), F.col("sig").alias("v")).distinct(), "ngram-pairs")
-    tested, links = pairs, stage(verified(pairs, sets, frequent, k, percent), "ngram-links")
+    classes = stage(table.where("kind = 0").select("doc_id", "sig", "n"), "ngram-classes")
+    shared = prefixes.select("sig").distinct()
+    sketches = stage(table.where("kind = 0").select("doc_id", "sig", "n", "sketch").join(shared, "sig", "left_semi").groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "sketch"), "doc_id").alias("r")).select("sig", "r.*"), "ngram-sketches")
+    discard(table)
+
+    def links_of(pairs: DataFrame) -> DataFrame:
+        pairs = stage(pairs, "ngram-pairs")
+        needed = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct().join(sketches.select("sig", "doc_id"), "sig")
+        # Rows that repeat an id may differ; the signature that was computed with the text decides.
+        sets = stage(_texts_by_sig(texts.join(stage(needed, "ngram-needed"), "doc_id"), k), "ngram-sets")
+        return stage(verified(pairs, sets, frequent, k, percent), "ngram-links")
+
+    links = links_of(star_pairs(prefixes, sketches, percent))
     label = components(links)
-    for turn in range(8):
-        now = prefixes.select("token", "sig", "n").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        mixed = now.groupBy("token", "label").agg(F.count("*").alias("c")).groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc")).where("labels > 1")
-        open_ = stage(now.join(mixed.select("token", ((F.col("c") * F.col("c") - F.col("cc")) / 2).alias("cross")), "token"), "ngram-open")
-        total = open_.groupBy("token").agg(F.first("cross").alias("cross"), F.count("*").alias("c")).agg(F.sum("cross").alias("cross"), F.sum("c").alias("rows")).first()
-        if not total["rows"]:
-            break
-        last = turn == 7 or total["cross"] <= pairs_at_once * total["rows"] + 200_000
-        if last:
-            a, b = open_.select("token", F.col("sig").alias("u"), F.col("n").alias("un"), F.col("label").alias("ul")), open_.select("token", F.col("sig").alias("v"), F.col("n").alias("vn"), F.col("label").alias("vl"))
-            more = a.join(b, "token").where("u < v and ul <> vl").where(alike("un", "vn")).select("u", "v")
-        else:  # another pivot in each shingle's classes
-            pick = open_.groupBy("token").agg(F.min_by(F.struct("sig", "n", "label"), F.xxhash64("sig", F.lit(turn))).alias("p"))
-            more = open_.join(pick, "token").where("sig <> p.sig and label <> p.label").where(alike("n", "p.n")).select(F.least("sig", "p.sig").alias("u"), F.greatest("sig", "p.sig").alias("v"))
-        fresh = stage(more.distinct().join(tested, ["u", "v"], "left_anti"), "ngram-pairs")
-        new = stage(verified(fresh, sets, frequent, k, percent), "ngram-links")
-        if new.head(1):
-            links = links.union(new)
-            label = components(links)
-        if last:
-            break
-        tested = stage(tested.union(fresh), "ngram-tested")
+    more = links_of(cross_pairs(prefixes, sketches, label, percent))
+    if more.head(1):
+        label = components(links.union(more))
     of = classes.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = of.where("n > 0").groupBy("label").agg(F.min(F.nullif("doc_id", F.lit(NULL_ID))).alias("least"))
     return restored(of.join(least, "label", "left")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
