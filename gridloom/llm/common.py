@@ -42,12 +42,24 @@ def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of long texts that go to a Python worker at once, whatever the session's batch size for narrow rows.
+ROWS_AT_ONCE = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches of whole texts small, so that workers' memory stays bounded."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ROWS_AT_ONCE:
+        spark.conf.set(key, str(ROWS_AT_ONCE))
+
+
 #: Stands for a null id inside operators, as pandas has no null in a column of integers; it sorts first.
 NULL_ID = -(1 << 63)
 
 
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; other columns, whatever their names, don't pass."""
+    small_batches(docs.sparkSession)
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 

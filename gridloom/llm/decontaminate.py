@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, mix, prefix_hash, restored, texts_of, window_hash, word_hashes, word_spans
+from .common import batches, mix, prefix_hash, restored, small_batches, texts_of, window_hash, word_hashes, word_spans
 
 FOUND = "doc_id long, item_id long, first_word long, n_words long, distance long"
 PLACES = (0.0, 0.25, 0.5, 0.7)
@@ -228,6 +228,7 @@ def _hit(shared):
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.2, repetitions: int = 12, samples: int = 4, min_words: int = 8, block: int = 2000, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that no item contaminates."""
+    small_batches(docs.sparkSession)
     for plan in plans(items, rate, repetitions, samples, min_words, block, item_col, item_text):
         docs = docs.where(~_hit(docs.sparkSession.sparkContext.broadcast(plan))(F.col(f"`{text_col}`").cast("string")))
     return docs

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, restored
+from .common import NULL_ID, restored, small_batches
 
 # Element names of the HTML standard by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -373,6 +373,7 @@ def extract(pages: DataFrame, forest: Forest | None, id_col: str = "page_id", ht
                 texts = [text_of(f, p) for f, p in zip(found, ps, strict=True)]
                 yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "text": [t for t, _ in texts], "n_blocks": [n for _, n in texts]})
 
+    small_batches(pages.sparkSession)
     plain = pages.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("page_id"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
     return restored(plain.mapInPandas(run, "page_id long, text string, n_blocks int"), "page_id")
 

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered, prefix_hash, restored, texts_of, window_hash, word_spans
+from .common import lowered, prefix_hash, restored, small_batches, texts_of, window_hash, word_spans
 
 STEMS = (4, 5, 6)
 COUNTS = "unit long, n0a long, n1a long, n0b long, n1b long"
@@ -243,6 +243,7 @@ def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z:
 
 def probability(model: Model, spark: SparkSession, text_col: str = "text") -> Column:
     """The score as a column, for filters over tables with columns of their own."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
     total = F.pandas_udf(lambda texts: texts.map(lambda t: evidence(token_scores(t or "", shared.value), shared.value)[0]).astype(float), "double")
     return 1 / (1 + F.exp(-(F.least(total(F.col(f"`{text_col}`").cast("string")), F.lit(60.0)) * model.slope + model.offset)))
