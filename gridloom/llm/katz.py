@@ -38,7 +38,8 @@ from .token_frames import _open
 
 K = 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-BUCKETS = 256
+#: Questions that a bucket takes, about; their number grows with the corpus.
+QUESTIONS = 2_000_000
 KINDS = ["<u8", "<i8", "<f8", "<u4"]
 ASK = "kind int, chunk long, file string, bucket int, ask binary, stats array<double>"
 ANSWER = "kind int, chunk long, bucket int, answer binary, history long, stats array<double>"
@@ -106,8 +107,8 @@ class Unigrams:
 class Chunk:
     """Texts of one chunk file as token streams."""
 
-    def __init__(self, ids: np.ndarray, train: np.ndarray, texts: list[bytes]) -> None:
-        self.ids, self.train = ids, train
+    def __init__(self, ids: np.ndarray, train: np.ndarray, texts: list[bytes], buckets: int) -> None:
+        self.ids, self.train, self.buckets = ids, train, buckets
         parts = []
         for t in texts:
             parts += [word_hashes(t), np.array([END])]
@@ -140,7 +141,7 @@ class Chunk:
             out.write(zstandard.ZstdCompressor(level=3).compress(np.array([len(texts)], "<i8").tobytes() + self.ids.astype("<i8").tobytes() + self.train.astype("<i8").tobytes() + sizes.tobytes() + b"".join(texts)))
 
     @staticmethod
-    def load(uri: str) -> Chunk:
+    def load(uri: str, buckets: int) -> Chunk:
         import zstandard
 
         system, path = _open(uri)
@@ -149,24 +150,24 @@ class Chunk:
         n = int(np.frombuffer(raw, "<i8", 1)[0])
         ids, train, sizes = (np.frombuffer(raw, "<i8", n, 8 + 8 * n * k) for k in range(3))
         at, ends = 8 + 24 * n, np.cumsum(sizes)
-        return Chunk(ids, train, [raw[at + e - s : at + e] for s, e in zip(sizes.tolist(), ends.tolist())])
+        return Chunk(ids, train, [raw[at + e - s : at + e] for s, e in zip(sizes.tolist(), ends.tolist())], buckets)
 
     def ask_words(self) -> Iterator[tuple[int, bytes]]:
-        bucket = (mix(self.words ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(BUCKETS)).astype(np.int64)
+        bucket = (mix(self.words ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         count = self.word_counts()
-        for b in range(BUCKETS):
+        for b in range(self.buckets):
             k = order[ends[b] : ends[b + 1]]
             if len(k):
                 yield b, pack(gaps(self.words[k]), count[k].astype("<u4"))
 
     def word_answers(self, answers: dict[int, bytes]) -> np.ndarray:
         """Corpus counts of self.words."""
-        bucket = (mix(self.words ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(BUCKETS)).astype(np.int64)
+        bucket = (mix(self.words ^ np.uint64(0xC2B2AE3D27D4EB4F)) % np.uint64(self.buckets)).astype(np.int64)
         out = np.zeros(len(self.words), np.int64)
         order = np.argsort(bucket, kind="stable")
-        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
         for b, blob in answers.items():
             out[order[ends[b] : ends[b + 1]]] = unpack(blob)[0]
         return out
@@ -176,20 +177,21 @@ class Chunk:
         h, w, c, at = self.bigrams()
         names = np.append(self.words, START)
         often = np.append(count, starts)[h]
-        pieces = np.maximum(1, -(-often * BUCKETS // max(1, int(total)))).astype(np.uint64)
+        pieces = np.maximum(1, -(-often * self.buckets // max(1, int(total)))).astype(np.uint64)
         piece = mix(names[w] ^ np.uint64(0x165667B19E3779F9)) % pieces
-        bucket = (mix(names[h] + piece * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(BUCKETS)).astype(np.int64)
+        bucket = (mix(names[h] + piece * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(self.buckets)).astype(np.int64)
         return h, w, c, at, bucket, pieces > 1, names
 
     def ask_bigrams(self, count: np.ndarray, starts: int, total: float) -> Iterator[tuple[int, bytes]]:
         h, w, c, _, bucket, salted, names = self.bigram_buckets(count, starts, total)
         order = np.lexsort((w, h, bucket))
-        ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
-        for b in range(BUCKETS):
+        ends = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
+        for b in range(self.buckets):
             k = order[ends[b] : ends[b + 1]]
             if len(k):
                 head, size = np.unique(h[k], return_counts=True)
-                yield b, pack(names[head], size.astype("<u4"), salted[k][np.cumsum(size) - 1].astype("<u4"), names[w[k]], c[k].astype("<u4"), count[np.minimum(w[k], len(count) - 1)].astype("<u4"))
+                used, place = np.unique(w[k], return_inverse=True)  # names ascend with their numbers
+                yield b, pack(names[head], size.astype("<u4"), salted[k][np.cumsum(size) - 1].astype("<u4"), gaps(self.words[used]), count[used].astype("<u4"), place.astype("<u4"), c[k].astype("<u4"))
 
 
 def _grouped(parts: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[int, list]]:
@@ -225,7 +227,10 @@ def _add_words(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _add_bigrams(parts: Iterator[pd.DataFrame], unigrams: Unigrams) -> Iterator[pd.DataFrame]:
     for b, rows in _grouped(parts, "bucket"):
-        asked = [unpack(r.ask) for r in rows]
+        asked = []
+        for row in rows:
+            head, size, hot, used, of, place, c = unpack(row.ask)
+            asked.append((head, size, hot, np.cumsum(used, dtype=np.uint64)[place], c, of[place]))
         heads, at_h = np.unique(np.concatenate([a[0] for a in asked]), return_inverse=True)
         sizes, words = np.concatenate([a[1] for a in asked]), np.concatenate([a[3] for a in asked])
         count, of_word = np.concatenate([a[4] for a in asked]).astype(np.int64), np.concatenate([a[5] for a in asked]).astype(np.int64)
@@ -259,7 +264,7 @@ def _scores(chunk: Chunk, word_answers: dict[int, bytes], bigram_answers: dict[i
     count = chunk.word_answers(word_answers)
     h, w, _, at, bucket, salted, names = chunk.bigram_buckets(count, starts, unigrams.total)
     order = np.lexsort((w, h, bucket))
-    ends = np.searchsorted(bucket[order], np.arange(BUCKETS + 1))
+    ends = np.searchsorted(bucket[order], np.arange(chunk.buckets + 1))
     seen, table = np.zeros(len(h), np.int64), np.zeros((len(names), K + 2))
     for b, blob in bigram_answers.items():
         k = order[ends[b] : ends[b + 1]]
@@ -286,30 +291,32 @@ def _scores(chunk: Chunk, word_answers: dict[int, bytes], bigram_answers: dict[i
     })
 
 
-def score(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), tokens: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), tokens: int = 2_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Log10 probabilities of all texts under a model of those whose crc32(id as text) modulo hold_out[0] isn't hold_out[1]."""
     spark = docs.sparkSession
     folder = scratch(spark, "katz-chunks")
     remainder = F.crc32(F.nullif("doc_id", F.lit(NULL_ID)).cast("string").cast("binary")) % hold_out[0]
+    size = texts_of(docs, id_col, text_col).agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
+    buckets = max(16, int(size / 9 / QUESTIONS) + 1)
     rows = texts_of(docs, id_col, text_col).withColumn("train", F.coalesce(remainder != hold_out[1], F.lit(True)).cast("long"))
 
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out() -> pd.DataFrame:
             name, number = f"{folder}/{uuid.uuid4().hex}", uuid.uuid4().int >> 65
-            chunk = Chunk(np.array(ids, np.int64), np.array(train, np.int64), texts)
+            chunk = Chunk(np.array(ids, np.int64), np.array(train, np.int64), texts, buckets)
             chunk.save(name, texts)
             return _frame([(0, number, name, 0, None, [float(chunk.train.sum())])] + [(1, number, None, b, blob, None) for b, blob in chunk.ask_words()], COLUMNS)
 
-        ids, train, texts, size = [], [], [], 0
+        ids, train, texts, held = [], [], [], 0
         for pdf in parts:
             for i, t, text in zip(pdf["doc_id"], pdf["train"], pdf["text"], strict=True):
                 ids.append(i)
                 train.append(t)
                 texts.append(lowered(text))
-                size += len(texts[-1])
-                if size > 6 * tokens:
+                held += len(texts[-1])
+                if held > 6 * tokens:
                     yield out()
-                    ids, train, texts, size = [], [], [], 0
+                    ids, train, texts, held = [], [], [], 0
         if ids:
             yield out()
 
@@ -330,7 +337,7 @@ def score(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), tokens: int = 1_0
 
     def ask(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, got in _grouped(parts, "chunk"):
-            chunk = Chunk.load(got[0].file)
+            chunk = Chunk.load(got[0].file, buckets)
             count = chunk.word_answers({r.bucket: r.answer for r in got[1:]})
             yield _frame([(1, number, None, b, blob, None) for b, blob in chunk.ask_bigrams(count, starts, total)], COLUMNS)
 
@@ -338,12 +345,12 @@ def score(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), tokens: int = 1_0
     pairs = stage(by_bucket(questions).mapInPandas(lambda parts: _add_bigrams(parts, unigrams), ANSWER), "katz-bigrams")
     sums = pairs.where("kind = 2").select(*[F.sum(F.element_at("stats", i + 1)) for i in range(K + 1)]).first()
     d = discounts(np.array([float(s or 0) for s in sums]))
-    hot_rows = pairs.where("kind = 3").groupBy("history").agg(*[F.sum(F.element_at("stats", i + 1)).alias(f"s{i}") for i in range(K + 2)]).collect()  # histories above a bucket's share: at most BUCKETS of them
+    hot_rows = pairs.where("kind = 3").groupBy("history").agg(*[F.sum(F.element_at("stats", i + 1)).alias(f"s{i}") for i in range(K + 2)]).collect()  # histories above a bucket's share: at most one a bucket
     shared = spark.sparkContext.broadcast({r["history"]: [r[f"s{i}"] for i in range(K + 2)] for r in hot_rows})
 
     def rate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for _, got in _grouped(parts, "chunk"):
-            yield _scores(Chunk.load(got[0].file), {r.bucket: r.answer for r in got if r.kind == 1}, {r.bucket: r.answer for r in got if r.kind == 4}, unigrams, d, starts, shared.value)
+            yield _scores(Chunk.load(got[0].file, buckets), {r.bucket: r.answer for r in got if r.kind == 1}, {r.bucket: r.answer for r in got if r.kind == 4}, unigrams, d, starts, shared.value)
 
     answers = words.where("kind = 1").select("chunk", "kind", "bucket", "answer").unionByName(pairs.where("kind = 1").select("chunk", F.lit(4).alias("kind"), "bucket", "answer"))
     return restored(together(answers).mapInPandas(rate, SCORES))
