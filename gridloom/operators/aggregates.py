@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -21,8 +22,9 @@ def close(a: Column, b: Column, relative: float = D.RELATIVE) -> Column:
 
 
 def group_key(name: str) -> str:
-    """What a column name shares with others of its header group."""
-    return name.split("[")[0].strip().split("_")[0]
+    """What a column name shares with others of its header group; "" for a name of one part."""
+    bare = re.sub(r"\s*\[[^\]]*\]\s*$", "", name).strip()
+    return bare.split("_")[0] if "_" in bare else ""
 
 
 def dependent_columns(df: DataFrame, names: list[str]) -> dict[str, set[str]]:
