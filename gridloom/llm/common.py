@@ -210,6 +210,12 @@ class WordwiseTokenizer:
         starts, ends = [0, *((cuts + 1) * w).tolist()], [*(cuts * w).tolist(), len(raw)]
         return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
+    def rest(self) -> None:
+        """Between tasks only pieces that were met again stay, as the worker may have other work next."""
+        if len(self.known) > 100_000:
+            self.known = {"": b""} | {p: self.known[p] for p in self.again if p in self.known}
+            self.again = set()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > self.LIMIT:  # what was met in one batch only goes
             self.known, self.again = {"": b""} | {p: self.known[p] for p in self.again}, set()

@@ -236,45 +236,65 @@ def star_pairs(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFr
     return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "un", "vn", "us", "vs").mapInPandas(keep, "u long, v long")
 
 
+def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 400_000) -> Iterator[pd.DataFrame]:
+    """Pairs within whole groups (token, block): rows of role 1 with rows of role 0 of other labels."""
+    token, block, role, sig, n, label, top = (pdf[c].to_numpy() for c in ("token", "block", "role", "sig", "n", "label", "is_top"))
+    table = np.frombuffer(b"".join(pdf["sketch"]), "<u4").reshape(-1, BINS)
+    group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))])
+    zero, one = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    size = np.bincount(group[zero], minlength=group[-1] + 1)
+    first = np.cumsum(size) - size
+    for lo, hi in _runs(size[group[one]], at_once):
+        mine = one[lo:hi]
+        times = size[group[mine]]
+        a = np.repeat(mine, times)
+        b = zero[np.repeat(first[group[mine]] - (np.cumsum(times) - times), times) + np.arange(len(a))]
+        ok = (label[a] != label[b]) & (top[b] | (sig[a] < sig[b])) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+        a, b = a[ok], b[ok]
+        good = np.zeros(len(a), bool)
+        for k in range(0, len(a), 20_000):
+            x, y = a[k : k + 20_000], b[k : k + 20_000]
+            bound = np.minimum(table[x], table[y]).sum(axis=1, dtype=np.int64)
+            good[k : k + 20_000] = bound * (100 + percent) >= percent * (n[x].astype(np.int64) + n[y])
+        if good.any():
+            pairs = np.unique(np.column_stack([np.minimum(sig[a[good]], sig[b[good]]), np.maximum(sig[a[good]], sig[b[good]])]), axis=0)
+            yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to about so much."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        end = int(np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right"))
+        end = max(end, start + 1)
+        yield start, end
+        start = end
+
+
 def cross_pairs(prefixes: DataFrame, sketches: DataFrame, label: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of different components that share a prefix shingle, as far as sketches allow."""
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, now = [], None
-
-        def pairs() -> pd.DataFrame:
-            g = pd.concat(held) if len(held) > 1 else held[0]
-            one, other = g[g["role"] == 1], g[g["role"] == 0]
-            a, b = _counts(one["sketch"]), _counts(other["sketch"])
-            sa, sb, la, lb, na, nb = (x[c].to_numpy() for c in ("sig", "label", "n") for x in (one, other))
-            out = []
-            for i in range(len(one)):
-                ok = (lb != la[i]) & _possible(a[i], na[i], b, nb, percent)
-                out.append(np.column_stack([np.full(ok.sum(), sa[i]), sb[ok]]))
-            p = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-            return pd.DataFrame({"u": p.min(axis=1), "v": p.max(axis=1)}) if len(p) else pd.DataFrame({"u": [], "v": []}, dtype="int64")
-
+        rest: pd.DataFrame | None = None
         for pdf in parts:
-            keys = pdf["token"].to_numpy(), pdf["block"].to_numpy()
-            cut = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(pdf)]):
-                if hi > lo:
-                    key = (keys[0][lo], keys[1][lo])
-                    if held and key != now:
-                        yield pairs()
-                        held = []
-                    now = key
-                    held.append(pdf.iloc[lo:hi])
-        if held:
-            yield pairs()
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            token, block = pdf["token"].to_numpy(), pdf["block"].to_numpy()
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1]))
+            end = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
+            if end:
+                yield from _meeting(pdf.iloc[:end], percent)
+            rest = pdf.iloc[end:]
+        if rest is not None and len(rest):
+            yield from _meeting(rest, percent)
 
     now = prefixes.select("token", "sig", "n").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     sizes = now.groupBy("token", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
     open_ = now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").join(sketches.select("sig", "sketch"), "sig")
+    open_ = open_.withColumn("is_top", F.col("label") == F.col("top"))
     all_ = open_.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))).withColumn("role", F.lit(0))
-    few = open_.where("label <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    rows = all_.select("token", "block", "role", "sig", "n", "label", "sketch").unionByName(few.select("token", "block", "role", "sig", "n", "label", "sketch"))
+    few = open_.where("not is_top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("role", F.lit(1))
+    rows = all_.select("token", "block", "role", "sig", "n", "label", "is_top", "sketch").unionByName(few.select("token", "block", "role", "sig", "n", "label", "is_top", "sketch"))
     return rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInPandas(meet, "u long, v long").distinct()
 
 

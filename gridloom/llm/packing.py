@@ -51,6 +51,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity
                         salt = zlib.crc32(f"{key} {k}".encode()) % 64
                         rows.append((key, k, max(at, 0), len(part), crc, salt, *([part.astype(np.int64)] if with_ids else [])))
                 yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", *(["ids"] if with_ids else [])])
+        t.rest()
 
     return texts_of(docs, id_col, text_col).mapInPandas(cut, PIECES + (", ids array<long>" if with_ids else ""))
 

@@ -151,6 +151,7 @@ def write(docs: DataFrame, path: str, vocabulary: str, kind: str = "words", end_
                         out, first = ShardWriter(name, t.dtype, end_id, level, frame_ids), (key, int(hashes[a]))
                     out.add(key, np.append(ids, np.array(end_id, t.dtype)))
                     n_ids += len(ids) + 1
+        t.rest()
         if out is not None:
             out.close()
             yield pd.DataFrame({"file": [name], "first_id": [first[0]], "first_hash": [first[1]], "n_docs": [len(out.docs)], "n_ids": [n_ids], "bytes": [out.bytes]})
