@@ -92,10 +92,10 @@ def subtract(parent: Table, children: list[Table]) -> DataFrame | None:
 
 def subtract_by_key(parent: DataFrame, children: DataFrame, keys: list[str], numeric: list[str]) -> DataFrame:
     """The same by keys instead of positions, for tables of any size."""
-    sums = children.groupBy(*[col(k) for k in keys]).agg(*[F.sum(F.coalesce(col(c), F.lit(0))).alias(f"__s{i}") for i, c in enumerate(numeric)])
-    same = reduce(lambda a, b: a & b, [parent[k].eqNullSafe(sums[k]) for k in keys])
-    joined = parent.join(sums, same, "left").drop(*[sums[k] for k in keys])
-    return joined.select(*[(F.coalesce(col(c), F.lit(0)) - F.coalesce(F.col(f"__s{numeric.index(c)}"), F.lit(0))).alias(c) if c in numeric else parent[c] for c in parent.columns])
+    sums = children.groupBy(*[col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(*[F.sum(F.coalesce(col(c), F.lit(0))).alias(f"__s{i}") for i, c in enumerate(numeric)])
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    joined = parent.join(sums, same, "left")
+    return joined.select(*[(F.coalesce(col(c), F.lit(0)) - F.coalesce(F.col(f"__s{numeric.index(c)}"), F.lit(0))).alias(c) if c in numeric else col(c) for c in parent.columns])
 
 
 # --- notes that name tables ------------------------------------------------------------------------

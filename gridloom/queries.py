@@ -6,15 +6,23 @@ ORACLE_SQL states the results independently. Floating sums are rounded to cents
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .frame import ROW, col
 from .functions import labels as L
 from .operators import aggregates as A
+from .operators import derive as U
 from .operators import fill as FL
+from .operators import grid as G
+from .operators import relate as X
 from .operators import reshape as R
+from .operators import select as S
+from .plans import normalize as P
+from .sources import cells as SC
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -331,3 +339,149 @@ def note_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey") % 4
     note = F.concat("c_name", F.when(k == 0, "の合計").when(k == 1, "を除く値").when(k == 2, "を参照").otherwise("について"))
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), L.note_type(note).alias("kind"))
+
+
+# --- relations and derived tables ------------------------------------------------------------------
+
+
+def _company(spark: SparkSession, sf_dir: str) -> list[X.Table]:
+    """A table a region (nation by order status), and their total, each on a sheet of its own."""
+    orders, customer, nation, region = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+    part = lambda s: F.coalesce(F.sum(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))), F.lit(0.0)).alias(s.lower())
+    cells = joined.groupBy("r_name", "o_orderpriority").agg(part("F"), part("O"), part("P")).persist()
+    names = [r[0] for r in cells.select("r_name").distinct().orderBy("r_name").collect()]
+    tables = [X.Table(n, n, n, grid(cells.where(F.col("r_name") == n).select(F.col("o_orderpriority").alias("priority"), "f", "o", "p"), "priority")) for n in names]
+    whole = cells.groupBy(F.col("o_orderpriority").alias("priority")).agg(*[F.sum(c).alias(c) for c in ("f", "o", "p")])
+    return [X.Table("company", "company", "company", grid(whole, "priority")), *tables]
+
+
+@query("sum_relations", "SELECT 'company' AS parent, CAST(count(*) AS BIGINT) AS children, string_agg(r_name, ',' ORDER BY r_name) AS names FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey)")
+def sum_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = X.sum_relations(_company(spark, sf_dir))
+    return spark.createDataFrame([(r.parent, len(r.children), ",".join(r.children)) for r in found], "parent string, children long, names string")
+
+
+@query("sheet_levels", "SELECT 'company' AS sheet, CAST(count(*) AS BIGINT) AS parts FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey)")
+def sheet_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = X.aggregate_sheets(_company(spark, sf_dir))
+    return spark.createDataFrame([(s, len(cs)) for s, cs in found.items()], "sheet string, parts long")
+
+
+_REGION_CELLS = """SELECT r_name AS region, o_orderpriority AS priority, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 0), 2) AS f, round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 0), 2) AS o,
+ round(coalesce(sum(o_totalprice) FILTER (o_orderstatus = 'P'), 0), 2) AS p FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"""
+
+
+@query("integrate_tables", _REGION_CELLS)
+def integrate_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, *parts = _company(spark, sf_dir)
+    out = U.integrate(parts, ["region"], [(t.sheet,) for t in parts])
+    return out.select("region", "priority", *[cents(F.col(c)).alias(c) for c in ("f", "o", "p")])
+
+
+@query("latent_derive", f"SELECT priority, f, o, p FROM ({_REGION_CELLS}) WHERE region = (SELECT min(r_name) FROM region)")
+def latent_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first region's table from the company's and the others'."""
+    whole, _, *others = _company(spark, sf_dir)
+    out = U.subtract(whole, others)
+    return out.select("priority", *[cents(F.col(c)).alias(c) for c in ("f", "o", "p")])
+
+
+@query("latent_derive_keyed", "SELECT o_orderkey AS orderkey, round(sum(l_extendedprice) FILTER (l_returnflag = 'R'), 2) AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'R') > 0")
+def latent_derive_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of each order when the other flags' sums are taken off, over all line items."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("orderkey"), "l_returnflag", F.col("l_extendedprice").cast("decimal(20,4)").alias("amount"))
+    total = lines.groupBy("orderkey").agg(F.sum("amount").alias("amount"), F.count_if(F.col("l_returnflag") == "R").alias("n")).where("n > 0").drop("n")
+    out = U.subtract_by_key(total, lines.where("l_returnflag <> 'R'").select("orderkey", "amount"), ["orderkey"], ["amount"])
+    return out.select("orderkey", F.round(F.col("amount").cast("double"), 2).alias("amount"))
+
+
+@query("master_map", "SELECT n_name AS nation, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey IN (SELECT c_nationkey FROM customer)")
+def master_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    joined = customer.join(nation, customer.c_nationkey == nation.n_nationkey).join(region, nation.n_regionkey == region.r_regionkey)
+    return U.master_of(joined.select(F.col("n_name").alias("nation"), F.col("r_name").alias("region")), "nation", "region")
+
+
+@query("redundant_axis", "SELECT 'year' AS axis")
+def redundant_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables by year hold their year in the date's text, and don't hold who made them."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("string").alias("date"), F.col("o_totalprice").alias("price"))
+    years = [r[0] for r in orders.select(F.substring("date", 1, 4)).distinct().orderBy(F.substring("date", 1, 4)).limit(3).collect()]
+    tables = [X.Table(y, y, y, orders.where(F.col("date").startswith(y)).withColumn(ROW, F.monotonically_increasing_id())) for y in years]
+    found = U.redundant_axes(tables, ["year", "maker"], [(f"FY{y}", "someone") for y in years])
+    return spark.createDataFrame([(a,) for a in found], "axis string")
+
+
+@query(
+    "select_groups",
+    """SELECT c_custkey AS custkey, CASE WHEN c_custkey % 2 = 0 THEN 'integrated' WHEN c_custkey % 3 = 0 THEN 'minimum' WHEN c_custkey % 5 = 0 THEN 'master' WHEN c_acctbal > 0 THEN 'recommended' ELSE 'other' END AS grp,
+    CASE WHEN c_custkey % 5 = 0 THEN 'master' ELSE c_mktsegment END AS badge FROM customer""",
+)
+def select_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    catalog = table(spark, sf_dir, "customer").select(k.alias("custkey"), (k % 2 == 0).alias("is_integrated"), (k % 3 == 0).alias("is_minimum"), (k % 5 == 0).alias("is_master"), (F.col("c_acctbal") > 0).alias("recommended"), F.col("c_mktsegment").alias("granularity"))
+    return catalog.select("custkey", S.selection_group().alias("grp"), S.granularity_badge().alias("badge"))
+
+
+# --- grids -----------------------------------------------------------------------------------------
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet a nation: title, header, its customers, an empty row, then a note; cells in long form."""
+    customer, nation = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
+    rank = F.row_number().over(W.partitionBy("c_nationkey").orderBy("c_custkey"))
+    base = customer.join(nation, customer.c_nationkey == nation.n_nationkey).withColumn("k", rank)
+    text = lambda v: F.struct(F.lit("s").alias("kind"), v.cast("string").alias("s"), F.lit(None).cast("double").alias("d"))
+    num = lambda v: F.struct(F.lit("n").alias("kind"), F.lit(None).cast("string").alias("s"), v.cast("double").alias("d"))
+    sheet = lambda r, c, v: (F.col("n_name").alias("sheet"), r.cast("int").alias("r"), F.lit(c).alias("c"), v.alias("v"))
+    body = [base.select(*sheet(F.col("k") + 3, 1, text(F.col("c_name")))), base.select(*sheet(F.col("k") + 3, 2, text(F.col("c_mktsegment")))), base.select(*sheet(F.col("k") + 3, 3, num(F.col("c_acctbal")))), base.select(*sheet(F.col("k") + 3, 4, num(F.col("c_custkey"))))]
+    ends = base.groupBy("n_name").agg(F.max("k").alias("n"))
+    head = [ends.select(*sheet(F.lit(1), 1, text(F.lit("顧客一覧"))))] + [ends.select(*sheet(F.lit(3), i + 1, text(F.lit(h)))) for i, h in enumerate(("name", "segment", "balance", "key"))]
+    foot = [ends.select(*sheet(F.col("n") + 5, 1, text(F.lit("※出典：自社調査"))))]
+    cells = reduce(DataFrame.unionByName, body + head + foot)
+    return cells.select(F.lit("f").alias("file"), "sheet", "r", "c", "v.kind", "v.s", "v.d")
+
+
+@query("row_classify", "SELECT n_name AS sheet, 'data' AS kind, CAST(count(*) AS BIGINT) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT DISTINCT n_name, k, CAST(1 AS BIGINT) FROM customer JOIN nation ON c_nationkey = n_nationkey CROSS JOIN (VALUES ('title'), ('col_hdr'), ('note')) AS t(k)")
+def row_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _sheets(spark, sf_dir)
+    extra = cells.where("c = 4").withColumns({"c": F.lit(5), "s": F.when(F.col("kind") == "s", F.concat("s", F.lit("2"))), "d": F.col("d")})
+    rows = G.row_profiles(cells.unionByName(extra)).select("sheet", G.row_kind().alias("kind"))
+    return rows.groupBy("sheet", "kind").agg(F.count("*").alias("n"))
+
+
+@query("detect_tables", "SELECT n_name AS sheet, n_name || '_T1' AS table_id, '顧客一覧' AS title, CAST(1 AS BIGINT) AS c0, CAST(4 AS BIGINT) AS c1, CAST(count(*) AS BIGINT) AS n_rows, '※出典：自社調査' AS note FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def detect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = G.detect_tables(_sheets(spark, sf_dir))
+    return found.select("sheet", "table_id", "title", F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"), F.size("data_rows").cast("long").alias("n_rows"), F.get("notes", F.lit(0)).alias("note"))
+
+
+@query("extract_table", "SELECT c_name AS name, c_mktsegment AS segment, CAST(c_acctbal AS DOUBLE) AS balance, c_custkey AS key FROM customer WHERE c_nationkey = (SELECT n_nationkey FROM nation ORDER BY n_name LIMIT 1)")
+def extract_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _sheets(spark, sf_dir)
+    place = G.detect_tables(cells).orderBy("sheet").first().asDict()
+    return G.extract(cells, place).drop(ROW)
+
+
+@query("formula_sum", "SELECT l_orderkey AS id, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
+def formula_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SUM over the rectangle of each order's lines, as a join of ranges with cells."""
+    lines = table(spark, sf_dir, "lineitem")
+    sheet = F.col("l_orderkey").cast("string").alias("sheet")
+    cells = lines.select(F.lit("f").alias("file"), sheet, F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("r"), F.lit(2).alias("c"), F.lit("n").alias("kind"), F.lit(None).cast("string").alias("s"), F.col("l_quantity").alias("d"))
+    ranges = lines.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("r1")).select(F.col("l_orderkey").alias("id"), F.lit("f").alias("file"), sheet, F.lit(1).alias("r0"), F.lit(1).alias("c0"), "r1", F.lit(3).alias("c1"))
+    return SC.range_sums(cells, ranges).select("id", cents(F.col("total")).alias("total"))
+
+
+@query("normalize_plan", "SELECT c_mktsegment AS segment, CAST(year(o_orderdate) AS VARCHAR) || '年' AS year, round(sum(o_totalprice), 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")
+def normalize_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole plan: subtotal row and column removed, empty column dropped, years stacked."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey).withColumn("y", F.concat(F.year("o_orderdate").cast("string"), F.lit("年")))
+    years = [r[0] for r in joined.select("y").distinct().orderBy("y").collect()]
+    wide = joined.groupBy(F.col("c_mktsegment").alias("segment")).pivot("y", years).agg(F.sum("o_totalprice"))
+    total = wide.groupBy().agg(*[F.sum(col(y)).alias(y) for y in years]).select(F.lit("合計").alias("segment"), *[col(y) for y in years])
+    both = wide.unionByName(total).withColumn("合計", reduce(lambda a, b: a + b, [F.coalesce(col(y), F.lit(0.0)) for y in years])).withColumn("列", F.lit(None).cast("string"))
+    out = P.normalize(X.Table("t", "s", "売上", grid(both, "segment"))).frame
+    return out.select("segment", F.col("年").alias("year"), cents(F.col("売上")).alias("amount")).where("amount is not null")
