@@ -8,6 +8,7 @@ from .katz import op8_katz
 from .line_dedup import op6_line_dedup
 from .ngram_join import op7_ngram_join
 from .packing import op10_packing
+from .repeats import op4_repeats
 from .token_frames import op1_token_frames
 from .toxicity import op3_toxicity
 from .transport_stream import op5_transport_stream
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_token_frames": op1_token_frames,
     "op2_html_text": op2_html_text,
     "op3_toxicity": op3_toxicity,
+    "op4_repeats": op4_repeats,
     "op5_transport_stream": op5_transport_stream,
     "op6_line_dedup": op6_line_dedup,
     "op7_ngram_join": op7_ngram_join,
