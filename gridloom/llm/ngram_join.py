@@ -38,7 +38,8 @@ from .components import components
 
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 BUCKETS = 512
-#: Bins of a set's sketch: how many of its shingles begin with each 7 bits. Sums of minima bound an intersection from above.
+#: A set's sketch: how many of its shingles begin with each pattern of leading bits. Sums of minima bound an
+#: intersection from above; there are at least BINS bins, and four times as many until 16 shingles share one.
 BINS = 128
 BLOCK = 512
 #: kind 0: a document's (doc_id, sig, n); kind 1: a bucket's packed (shingle, sig, n); kind 2: a frequent prefix shingle.
@@ -52,6 +53,13 @@ def shingles(text: str, k: int = 5) -> np.ndarray:
     return shingle_hashes(word_hashes(lowered(text)), k)
 
 
+def sketch(s: np.ndarray) -> bytes:
+    bits = BINS.bit_length() - 1
+    while len(s) > 16 << bits:
+        bits += 2
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+
+
 def prefix(s: np.ndarray, frequent: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The prefix of a set under one order: frequent shingles last, the others by hash."""
     n = len(s)
@@ -116,7 +124,7 @@ def packed(texts: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Data
             for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
                 s = shingles(text, k)
                 sig = xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                docs.append((key, sig, len(s), np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4").tobytes()))
+                docs.append((key, sig, len(s), sketch(s)))
                 if len(s):
                     p = prefix(s, often, ORDERS[0], percent)
                     is_hot = np.isin(p, often, assume_unique=True) if len(often) else np.zeros(len(p), bool)
@@ -212,14 +220,35 @@ def verified(pairs: DataFrame, sets: DataFrame, frequent: np.ndarray, k: int, pe
     return rows.select("u", "v", "head", "text").mapInPandas(check, "u long, v long")
 
 
-def _possible(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sketches a and b (rows) allow the similarity: sizes alike and the bound large enough."""
-    bound = np.minimum(a, b).sum(axis=-1)
-    return (np.minimum(an, bn) * 100 >= np.maximum(an, bn) * percent) & (bound * (100 + percent) >= percent * (an + bn))
+class Sketches:
+    """Sketches of rows; pairs are compared at the coarser one's bins."""
+
+    def __init__(self, blobs) -> None:
+        self.bins = np.array([len(b) // 2 for b in blobs])
+        self.at, self.tables = np.zeros(len(self.bins), np.int64), {}
+        for k in np.unique(self.bins).tolist():
+            rows = np.flatnonzero(self.bins == k)
+            self.at[rows] = np.arange(len(rows))
+            self.tables[k] = np.frombuffer(b"".join(blobs[i] for i in rows.tolist()), "<u2").reshape(len(rows), k)
+
+    def rows(self, index: np.ndarray, bins: int) -> np.ndarray:
+        out = np.empty((len(index), bins), np.int32)
+        for k in np.unique(self.bins[index]).tolist():
+            mine = self.bins[index] == k
+            out[mine] = self.tables[k][self.at[index[mine]]].reshape(-1, bins, k // bins).sum(axis=2)
+        return out
 
 
-def _counts(blobs) -> np.ndarray:
-    return np.frombuffer(b"".join(blobs), "<u4").reshape(-1, BINS).astype(np.int64)
+def _possible(a: Sketches, x: np.ndarray, b: Sketches, y: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows x of a and y of b, of n shingles together, have a bound large enough for the similarity."""
+    out = np.zeros(len(x), bool)
+    bins = np.minimum(a.bins[x], b.bins[y])
+    for k in np.unique(bins).tolist():
+        which = np.flatnonzero(bins == k)
+        for i in range(0, len(which), step := max(1, 4_000_000 // k)):
+            w = which[i : i + step]
+            out[w] = np.minimum(a.rows(x[w], k), b.rows(y[w], k)).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * n[w]
+    return out
 
 
 def star_pairs(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +257,8 @@ def star_pairs(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFr
     def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             if len(pdf):
-                ok = _possible(_counts(pdf["us"]), pdf["un"].to_numpy(), _counts(pdf["vs"]), pdf["vn"].to_numpy(), percent)
+                row = np.arange(len(pdf))
+                ok = _possible(Sketches(pdf["us"].tolist()), row, Sketches(pdf["vs"].tolist()), row, (pdf["un"].astype("int64") + pdf["vn"]).to_numpy(), percent)
                 yield pdf.loc[ok, ["u", "v"]]
 
     pairs = prefixes.where(F.col("sig") != F.col("pivot")).where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent).select(F.col("pivot").alias("u"), F.col("sig").alias("v")).distinct()
@@ -239,7 +269,7 @@ def star_pairs(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFr
 def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 400_000) -> Iterator[pd.DataFrame]:
     """Pairs within whole groups (token, block): rows of role 1 with rows of role 0 of other labels."""
     token, block, role, sig, n, label, top = (pdf[c].to_numpy() for c in ("token", "block", "role", "sig", "n", "label", "is_top"))
-    table = np.frombuffer(b"".join(pdf["sketch"]), "<u4").reshape(-1, BINS)
+    table = Sketches(pdf["sketch"].tolist())
     group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))])
     zero, one = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
     size = np.bincount(group[zero], minlength=group[-1] + 1)
@@ -251,11 +281,7 @@ def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 400_000) -> Iterato
         b = zero[np.repeat(first[group[mine]] - (np.cumsum(times) - times), times) + np.arange(len(a))]
         ok = (label[a] != label[b]) & (top[b] | (sig[a] < sig[b])) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
         a, b = a[ok], b[ok]
-        good = np.zeros(len(a), bool)
-        for k in range(0, len(a), 20_000):
-            x, y = a[k : k + 20_000], b[k : k + 20_000]
-            bound = np.minimum(table[x], table[y]).sum(axis=1, dtype=np.int64)
-            good[k : k + 20_000] = bound * (100 + percent) >= percent * (n[x].astype(np.int64) + n[y])
+        good = _possible(table, a, table, b, n[a].astype(np.int64) + n[b], percent)
         if good.any():
             pairs = np.unique(np.column_stack([np.minimum(sig[a[good]], sig[b[good]]), np.maximum(sig[a[good]], sig[b[good]])]), axis=0)
             yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
