@@ -87,12 +87,15 @@ def profile(df: DataFrame, names: list[str]) -> dict[str, Profile]:
 
 
 def label_columns(df: DataFrame, found: dict[str, Profile]) -> list[str]:
-    """Text columns of which less than half of the cells, markers aside, are numbers."""
+    """Text columns of which less than half of the cells, markers aside, are numbers.
+
+    Text that is all digits is a code: a column of nothing but numbers wouldn't have been read as text.
+    """
     out = []
     for c in data_columns(df):
         p = found[c]
         real = p.rows - p.nulls - p.markers
-        if is_text(df, c) and not (real > 0 and p.numbers / real >= 0.5):
+        if is_text(df, c) and not (real > 0 and p.numbers / real >= 0.5 and p.numbers < p.rows - p.nulls):
             out.append(c)
     return out
 
