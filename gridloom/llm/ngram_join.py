@@ -57,7 +57,9 @@ def sketch(s: np.ndarray) -> bytes:
     bits = BINS.bit_length() - 1
     while len(s) > 16 << bits:
         bits += 2
-    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype("<u2").tobytes()
+    while (count := np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)).max() > 255:
+        bits += 1
+    return count.astype(np.uint8).tobytes()
 
 
 def prefix(s: np.ndarray, frequent: np.ndarray, order: int, percent: int) -> np.ndarray:
@@ -224,18 +226,18 @@ class Sketches:
     """Sketches of rows; pairs are compared at the coarser one's bins."""
 
     def __init__(self, blobs) -> None:
-        self.bins = np.array([len(b) // 2 for b in blobs])
+        self.bins = np.array([len(b) for b in blobs])
         self.at, self.tables = np.zeros(len(self.bins), np.int64), {}
         for k in np.unique(self.bins).tolist():
             rows = np.flatnonzero(self.bins == k)
             self.at[rows] = np.arange(len(rows))
-            self.tables[k] = np.frombuffer(b"".join(blobs[i] for i in rows.tolist()), "<u2").reshape(len(rows), k)
+            self.tables[k] = np.frombuffer(b"".join(blobs[i] for i in rows.tolist()), np.uint8).reshape(len(rows), k)
 
     def rows(self, index: np.ndarray, bins: int) -> np.ndarray:
         out = np.empty((len(index), bins), np.int32)
         for k in np.unique(self.bins[index]).tolist():
             mine = self.bins[index] == k
-            out[mine] = self.tables[k][self.at[index[mine]]].reshape(-1, bins, k // bins).sum(axis=2)
+            out[mine] = self.tables[k][self.at[index[mine]]].reshape(-1, bins, k // bins).sum(axis=2, dtype=np.int32)
         return out
 
 
@@ -267,11 +269,11 @@ def star_pairs(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFr
 
 
 def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 400_000) -> Iterator[pd.DataFrame]:
-    """Pairs within whole groups (token, block): rows of role 1 with rows of role 0 of other labels."""
+    """Pairs within whole groups (token, block): rows that meet with rows that are met, of other labels."""
     token, block, role, sig, n, label, top = (pdf[c].to_numpy() for c in ("token", "block", "role", "sig", "n", "label", "is_top"))
     table = Sketches(pdf["sketch"].tolist())
     group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))])
-    zero, one = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    zero, one = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
     size = np.bincount(group[zero], minlength=group[-1] + 1)
     first = np.cumsum(size) - size
     for lo, hi in _runs(size[group[one]], at_once):
@@ -318,9 +320,12 @@ def cross_pairs(prefixes: DataFrame, sketches: DataFrame, label: DataFrame, perc
     mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
     open_ = now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").join(sketches.select("sig", "sketch"), "sig")
     open_ = open_.withColumn("is_top", F.col("label") == F.col("top"))
-    all_ = open_.withColumn("block", F.pmod(F.xxhash64("sig"), F.col("blocks"))).withColumn("role", F.lit(0))
-    few = open_.where("not is_top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).withColumn("role", F.lit(1))
-    rows = all_.select("token", "block", "role", "sig", "n", "label", "is_top", "sketch").unionByName(few.select("token", "block", "role", "sig", "n", "label", "is_top", "sketch"))
+    # Role 0 is met, 1 meets, 2 does both; in blocks other than its own a row outside the largest component only meets.
+    own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    here = open_.withColumns({"block": own, "role": F.when(F.col("is_top"), 0).otherwise(2)})
+    there = open_.where("not is_top and blocks > 1").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "role": F.lit(1)}).where(F.col("block") != own)
+    columns = ["token", "block", "role", "sig", "n", "label", "is_top", "sketch"]
+    rows = here.select(*columns).unionByName(there.select(*columns))
     return rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInPandas(meet, "u long, v long").distinct()
 
 
