@@ -339,7 +339,7 @@ def test_html(spark):
     got = {r["page_id"]: r["text"] for r in html_text.extract(df, html_text.fit(df)).collect()}
     right = 0
     for i, h in pages:
-        body = re.search(r"<p>(.*?)<br>(.*?)<p>(.*?) &eacute;", h, re.S)
+        body = re.search(r"</h1><p>(.*?)<br>(.*?)<p>(.*?) &eacute;", h, re.S)
         right += got[i] == f"Head & more\n{body[1]} {body[2]}\n{body[3]} é"
     assert right == len(pages)
     assert [got[i] for i in (100, 101, 102, 103, 104)] == [""] * 5 and got[105] == got[3]
