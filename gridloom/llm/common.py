@@ -22,15 +22,21 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+_OWN: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's URI below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that is unset, as in tests on one machine, a temporary folder is set for it.
+    Only where that is unset, as in tests on one machine, a temporary folder of this process stands in.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-ckpt-"))
+        base = _OWN[0]
+    if "://" not in base and base.startswith("/"):
+        base = spark.conf.get("spark.hadoop.fs.defaultFS", "file://").rstrip("/") + base
     return f"{base.rstrip('/')}/llm/{name}-{uuid.uuid4().hex[:12]}"
 
 
