@@ -280,10 +280,15 @@ def _compare(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFram
             back, ahead = _common(mine[0][i : i + step], left), _common(mine[1][i : i + step], right)
             other = (keys[0][i : i + step, None, :] != keys[1][None, :, :]).any(axis=2)
             a, b = np.maximum(length - ahead, low[i : i + step, None]), np.minimum(back, high[i : i + step, None])
-            for x, y in zip(*np.nonzero(other & (a <= b))):
-                out.append((*keys[0][i + x], a[x, y], b[x, y]))
-        rows = np.unique(np.array(out, np.int64).reshape(-1, 5), axis=0)
-        return pd.DataFrame(rows, columns=["chunk", "d", "j", "low", "high"])
+            x, y = np.nonzero(other & (a <= b))
+            edge = np.zeros((len(back), width + 2), np.int64)  # the union over all partners, so a row's answer stays small
+            np.add.at(edge, (x, a[x, y]), 1)
+            np.add.at(edge, (x, b[x, y] + 1), -1)
+            inside = np.pad((np.cumsum(edge, axis=1) > 0).astype(np.int8), ((0, 0), (1, 1)))
+            turn = np.diff(inside, axis=1)
+            (x, begin), (_, end) = np.nonzero(turn == 1), np.nonzero(turn == -1)
+            out.append(np.column_stack([keys[0][i + x], begin, end - 1]))
+        return pd.DataFrame(np.concatenate(out), columns=["chunk", "d", "j", "low", "high"])
 
     for pdf in parts:
         gram, block = pdf["gram"].to_numpy(), pdf["block"].to_numpy()
@@ -359,7 +364,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 6_000_
     answers = asked.where("kind = 1").select("chunk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_answer_grams, ASK)
 
     def together(rows: DataFrame) -> DataFrame:
-        return rows.unionByName(files.withColumn("kind", F.lit(0)), allowMissingColumns=True).repartition("chunk").sortWithinPartitions("chunk")
+        """A chunk's rows and the name of its file (kind 0), together; what a kind lacks is 0, so integers stay integers."""
+        zero = {f.name: F.lit(None if f.dataType.typeName() in ("binary", "string") else 0).cast(f.dataType) for f in rows.schema if f.name != "chunk"}
+        return rows.withColumn("file", F.lit(None).cast("string")).unionByName(files.withColumns(zero)).repartition("chunk").sortWithinPartitions("chunk")
 
     def phrases(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, rows in _by_chunk(parts):
@@ -374,7 +381,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 6_000_
         for number, rows in _by_chunk(parts):
             real = rows[rows["kind"] == 1].sort_values(["d", "j"])
             if len(real):
-                yield _edges(Chunk.load(rows["file"][rows["kind"] == 0].iat[0], length), real.astype({c: bool for c in ("shared3", "first3", "shared9", "first9")} | {"d": int, "j": int}), number)
+                yield _edges(Chunk.load(rows["file"][rows["kind"] == 0].iat[0], length), real, number)
 
     around = stage(together(flags).mapInPandas(edges, EDGES), "repeat-edges")
     blocks = around.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count_if("need").alias("needy")).where("needy > 0").drop("needy")
@@ -387,9 +394,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 6_000_
         for _, rows in _by_chunk(parts):
             chunk = Chunk.load(rows["file"][rows["kind"] == 0].iat[0], length)
             real = rows[rows["kind"] > 0].sort_values(["d", "j"])
-            yield _result(chunk, real.fillna({c: False for c in ("shared3", "first3", "shared9", "first9")} | {"low": 0, "high": 0}).astype({c: bool for c in ("shared3", "first3", "shared9", "first9")} | {c: int for c in ("d", "j", "low", "high")}))
+            yield _result(chunk, real)
 
-    both = flags.unionByName(met.withColumn("kind", F.lit(2)), allowMissingColumns=True)
+    no = F.lit(False)
+    compared = met.withColumns({"kind": F.lit(2), "shared3": no, "first3": no, "shared9": no, "first9": no})
+    both = flags.withColumns({"low": F.lit(0), "high": F.lit(0)}).unionByName(compared)
     return restored(together(both).mapInPandas(finish, OUT))
 
 
