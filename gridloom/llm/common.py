@@ -171,7 +171,7 @@ class WordwiseTokenizer:
     with the one blank before it. Texts with other white space are encoded by the library whole.
     """
 
-    LIMIT = 800_000
+    LIMIT = 400_000
     ODD = re.compile(r"[^\S \n]")
     CONTROLS = "\x1c\x1d\x1e\x1f"
     RUNS = ("  ", "\n\n", " \n", "\n ")
@@ -218,6 +218,9 @@ class WordwiseTokenizer:
 
     def rest(self) -> None:
         """Between tasks only pieces that were met again stay, as the worker may have other work next."""
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
         if len(self.known) > 100_000:
             self.known = {"": b""} | {p: self.known[p] for p in self.again if p in self.known}
             self.again = set()

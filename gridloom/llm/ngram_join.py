@@ -13,8 +13,8 @@ for each order by itself, so candidates must share a prefix shingle under all of
 * candidates meet the other orders' prefixes and the size filter before their sets are intersected.
 
 Only components are asked for, so not all pairs of a large group are made: each shared shingle's
-classes are first compared with its least class, the links are joined into components, and then
-only classes of different components that share a prefix shingle are candidates: a shingle's classes
+classes are first compared with its least class, the links are joined into components, those outside
+its largest component are compared with one of them, and then only classes of different components that share a prefix shingle are candidates: a shingle's classes
 outside its largest component meet all its classes, in blocks of bounded size. So no link between
 components is lost, and a group that is one component costs a row a class. Sketches (counts of
 shingles by leading bits) rule out nearly all pairs that only share a passage before any text moves.
@@ -133,7 +133,7 @@ def packed(texts: DataFrame, frequent: np.ndarray, k: int, percent: int) -> Data
                     hot += [(sig, len(s), t) for t in p[is_hot].view(np.int64).tolist()]
                     held.append((p[~is_hot], sig, len(s)))
                     size += len(p)
-                    if size > 1_500_000:
+                    if size > 700_000:
                         yield flush(held).reindex(columns=COLUMNS)
                         held, size = [], 0
             yield pd.DataFrame({"kind": 0, "doc_id": pd.array([d[0] for d in docs], "Int64"), "sig": [d[1] for d in docs], "n": [d[2] for d in docs], "sketch": [d[3] for d in docs]}).reindex(columns=COLUMNS)
@@ -247,14 +247,14 @@ def _possible(a: Sketches, x: np.ndarray, b: Sketches, y: np.ndarray, n: np.ndar
     bins = np.minimum(a.bins[x], b.bins[y])
     for k in np.unique(bins).tolist():
         which = np.flatnonzero(bins == k)
-        for i in range(0, len(which), step := max(1, 4_000_000 // k)):
+        for i in range(0, len(which), step := max(1, 1_000_000 // k)):
             w = which[i : i + step]
             out[w] = np.minimum(a.rows(x[w], k), b.rows(y[w], k)).sum(axis=1, dtype=np.int64) * (100 + percent) >= percent * n[w]
     return out
 
 
-def star_pairs(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of each shared shingle's least class with its others, as far as sketches allow."""
+def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (u, v) as far as sketches allow."""
 
     def keep(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
@@ -263,12 +263,36 @@ def star_pairs(prefixes: DataFrame, sketches: DataFrame, percent: int) -> DataFr
                 ok = _possible(Sketches(pdf["us"].tolist()), row, Sketches(pdf["vs"].tolist()), row, (pdf["un"].astype("int64") + pdf["vn"]).to_numpy(), percent)
                 yield pdf.loc[ok, ["u", "v"]]
 
-    pairs = prefixes.where(F.col("sig") != F.col("pivot")).where(F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * percent).select(F.col("pivot").alias("u"), F.col("sig").alias("v")).distinct()
     side = lambda x: sketches.select(F.col("sig").alias(x), F.col("n").alias(f"{x}n"), F.col("sketch").alias(f"{x}s"))
-    return pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "un", "vn", "us", "vs").mapInPandas(keep, "u long, v long")
+    return pairs.distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", "un", "vn", "us", "vs").mapInPandas(keep, "u long, v long")
 
 
-def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 400_000) -> Iterator[pd.DataFrame]:
+def _alike(a, b, percent: int):
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+
+
+def star_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Each shared shingle's least class with its others."""
+    return prefixes.where(F.col("sig") != F.col("pivot")).where(_alike("n", "pivot_n", percent)).select(F.col("pivot").alias("u"), F.col("sig").alias("v"))
+
+
+def open_groups(prefixes: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of shared shingles whose classes are in several components, with the largest one marked."""
+    now = prefixes.select("token", "sig", "n").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    sizes = now.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
+    return now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").withColumn("is_top", F.col("label") == F.col("top"))
+
+
+def second_star_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """In each open shingle, one class outside the largest component with the others there."""
+    few = open_.where("not is_top")
+    pick = few.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n", "label")).alias("p"))
+    pairs = few.join(pick, "token").where("label <> p.label").where(_alike("n", F.col("p.n"), percent))
+    return pairs.select(F.least("sig", "p.sig").alias("u"), F.greatest("sig", "p.sig").alias("v"))
+
+
+def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 200_000) -> Iterator[pd.DataFrame]:
     """Pairs within whole groups (token, block): rows that meet with rows that are met, of other labels."""
     token, block, role, sig, n, label, top = (pdf[c].to_numpy() for c in ("token", "block", "role", "sig", "n", "label", "is_top"))
     table = Sketches(pdf["sketch"].tolist())
@@ -299,7 +323,7 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def cross_pairs(prefixes: DataFrame, sketches: DataFrame, label: DataFrame, percent: int) -> DataFrame:
+def cross_pairs(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Pairs (u, v) of different components that share a prefix shingle, as far as sketches allow."""
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -315,11 +339,7 @@ def cross_pairs(prefixes: DataFrame, sketches: DataFrame, label: DataFrame, perc
         if rest is not None and len(rest):
             yield from _meeting(rest, percent)
 
-    now = prefixes.select("token", "sig", "n").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    sizes = now.groupBy("token", "label").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
-    open_ = now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").join(sketches.select("sig", "sketch"), "sig")
-    open_ = open_.withColumn("is_top", F.col("label") == F.col("top"))
+    open_ = open_.join(sketches.select("sig", "sketch"), "sig")
     # Role 0 is met, 1 meets, 2 does both; in blocks other than its own a row outside the largest component only meets.
     own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
     here = open_.withColumns({"block": own, "role": F.when(F.col("is_top"), 0).otherwise(2)})
@@ -347,11 +367,14 @@ def join_components(docs: DataFrame, percent: int = 80, k: int = 5, sample: int
         sets = stage(_texts_by_sig(texts.join(stage(needed, "ngram-needed"), "doc_id"), k), "ngram-sets")
         return stage(verified(pairs, sets, frequent, k, percent), "ngram-links")
 
-    links = links_of(star_pairs(prefixes, sketches, percent))
+    links = links_of(possible_pairs(star_pairs(prefixes, percent), sketches, percent))
     label = components(links)
-    more = links_of(cross_pairs(prefixes, sketches, label, percent))
-    if more.head(1):
-        label = components(links.union(more))
+    for last in (False, True):
+        open_ = stage(open_groups(prefixes, label), "ngram-open")
+        more = links_of(cross_pairs(open_, sketches, percent) if last else possible_pairs(second_star_pairs(open_, percent), sketches, percent))
+        if more.head(1):
+            links = links.union(more)
+            label = components(links)
     of = classes.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = of.where("n > 0").groupBy("label").agg(F.min(F.nullif("doc_id", F.lit(NULL_ID))).alias("least"))
     return restored(of.join(least, "label", "left")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
