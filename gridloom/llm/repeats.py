@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 
 from .common import prefix_hash, restored, scratch, stage, texts_of, window_hash
 from .katz import gaps, pack, unpack
+from .ngram_join import _runs
 from .token_frames import _open
 
 GRAM = 64
@@ -248,59 +249,60 @@ def _edges(chunk: Chunk, rows: pd.DataFrame, number: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["gram", "chunk", "d", "j", "low", "high", "before", "after", "need"])
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common beginnings of rows of a with rows of b (all pairs)."""
-    differ = a[:, None, :] != b[None, :, :]
-    return np.where(differ.any(axis=2), differ.argmax(axis=2), a.shape[1])
-
-
-def _padded(blobs: list[bytes], width: int, filler: int) -> np.ndarray:
-    out = np.full((len(blobs), width), filler, np.int16)
-    for i, b in enumerate(blobs):
-        out[i, : len(b)] = np.frombuffer(b, np.uint8)
-    return out
+def _padded(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.array([len(b) for b in blobs])
+    out = np.zeros((len(blobs), width), np.uint8)
+    out[np.arange(width)[None, :] < sizes[:, None]] = np.frombuffer(b"".join(blobs), np.uint8)
+    return out, sizes
+
+
+def _common(rows: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the common beginnings of rows a and rows b."""
+    table, sizes = rows
+    differ = table[a] != table[b]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), table.shape[1])
+    return np.minimum(same, np.minimum(sizes[a], sizes[b]))
+
+
+def _overlaps(pdf: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
+    """Of whole groups (gram, block): offsets at which a needy position's windows occur at another of its group."""
+    gram, block, role, low, high = (pdf[c].to_numpy() for c in ("gram", "block", "role", "low", "high"))
+    keys = pdf[["chunk", "d", "j"]].to_numpy()
+    before, after = _padded(pdf["before"].tolist(), length - GRAM), _padded(pdf["after"].tolist(), length)
+    group = np.concatenate([[0], np.cumsum((gram[1:] != gram[:-1]) | (block[1:] != block[:-1]))])
+    zero, one = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+    size = np.bincount(group[zero], minlength=group[-1] + 1)
+    first = np.cumsum(size) - size
+    for lo, hi in _runs(size[group[one]], 30_000):
+        mine = one[lo:hi]
+        times = size[group[mine]]
+        item = np.repeat(np.arange(len(mine)), times)
+        a = mine[item]
+        b = zero[np.repeat(first[group[mine]] - (np.cumsum(times) - times), times) + np.arange(len(a))]
+        other = (keys[a] != keys[b]).any(axis=1)
+        item, a, b = item[other], a[other], b[other]
+        x, y = np.maximum(length - _common(after, a, b), low[a]), np.minimum(_common(before, a, b), high[a])
+        ok = x <= y
+        edge = np.zeros((len(mine), length - GRAM + 2), np.int64)  # the union over all partners, so a row's answer stays small
+        np.add.at(edge, (item[ok], x[ok]), 1)
+        np.add.at(edge, (item[ok], y[ok] + 1), -1)
+        turn = np.diff(np.pad((np.cumsum(edge, axis=1) > 0).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        (row, begin), (_, end) = np.nonzero(turn == 1), np.nonzero(turn == -1)
+        yield pd.DataFrame(np.column_stack([keys[mine[row]], begin, end - 1]), columns=["chunk", "d", "j", "low", "high"])
 
 
 def _compare(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    """Within (gram, block): offsets at which a needy position's windows occur at another of the block."""
-    held: list[pd.DataFrame] = []
-
-    def found() -> pd.DataFrame:
-        g = pd.concat(held) if len(held) > 1 else held[0]
-        one, all_ = g[g["role"].to_numpy() == 1], g[g["role"].to_numpy() == 0]
-        if not len(one) or not len(all_):
-            return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("chunk", "d", "j", "low", "high")})
-        width = length - GRAM
-        left, right = _padded(all_["before"].tolist(), width, -2), _padded(all_["after"].tolist(), length, -2)
-        mine = [_padded(one["before"].tolist(), width, -1), _padded(one["after"].tolist(), length, -1)]
-        keys = [x[["chunk", "d", "j"]].to_numpy() for x in (one, all_)]
-        low, high = one["low"].to_numpy(), one["high"].to_numpy()
-        out, step = [], max(1, 4_000_000 // (len(all_) * length))
-        for i in range(0, len(one), step):
-            back, ahead = _common(mine[0][i : i + step], left), _common(mine[1][i : i + step], right)
-            other = (keys[0][i : i + step, None, :] != keys[1][None, :, :]).any(axis=2)
-            a, b = np.maximum(length - ahead, low[i : i + step, None]), np.minimum(back, high[i : i + step, None])
-            x, y = np.nonzero(other & (a <= b))
-            edge = np.zeros((len(back), width + 2), np.int64)  # the union over all partners, so a row's answer stays small
-            np.add.at(edge, (x, a[x, y]), 1)
-            np.add.at(edge, (x, b[x, y] + 1), -1)
-            inside = np.pad((np.cumsum(edge, axis=1) > 0).astype(np.int8), ((0, 0), (1, 1)))
-            turn = np.diff(inside, axis=1)
-            (x, begin), (_, end) = np.nonzero(turn == 1), np.nonzero(turn == -1)
-            out.append(np.column_stack([keys[0][i + x], begin, end - 1]))
-        return pd.DataFrame(np.concatenate(out), columns=["chunk", "d", "j", "low", "high"])
-
+    rest: pd.DataFrame | None = None
     for pdf in parts:
+        pdf = pdf if rest is None else pd.concat([rest, pdf])
         gram, block = pdf["gram"].to_numpy(), pdf["block"].to_numpy()
-        cut = np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1])) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(pdf)]):
-            if b > a:
-                if held and (held[0]["gram"].iat[0], held[0]["block"].iat[0]) != (gram[a], block[a]):
-                    yield found()
-                    held = []
-                held.append(pdf.iloc[a:b])
-    if held:
-        yield found()
+        cut = np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1]))
+        end = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
+        if end:
+            yield from _overlaps(pdf.iloc[:end], length)
+        rest = pdf.iloc[end:]
+    if rest is not None and len(rest):
+        yield from _overlaps(rest, length)
 
 
 def _result(chunk: Chunk, rows: pd.DataFrame) -> pd.DataFrame:
