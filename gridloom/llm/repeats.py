@@ -17,7 +17,8 @@ of its ``WIDTH`` hashes of ``GRAM`` bytes, and equal windows hold it at equal of
    windows settles all of them at once.
 5. Comparing neighbours: what is left (at the edges of repeats) is compared byte by byte with one
    member of every name of the same gram, backwards and forwards from the sampled position; the two
-   lengths give exactly the windows that repeat. Large groups meet in blocks of bounded size.
+   lengths give exactly the windows that repeat. Positions meet only if they share half of what they must share,
+   before or after them, so a common line makes no group of its own; large groups meet in blocks of bounded size.
 
 Texts are written once in chunk files of the shared folder; rows that move are hashes, names and the
 surroundings of edges. Defined results: null and empty texts have no bytes; texts below ``length`` lose
@@ -386,8 +387,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 6_000_
                 yield _edges(Chunk.load(rows["file"][rows["kind"] == 0].iat[0], length), real, number)
 
     around = stage(together(flags).mapInPandas(edges, EDGES), "repeat-edges")
-    blocks = around.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.count_if("need").alias("needy")).where("needy > 0").drop("needy")
-    rows = around.join(blocks, "gram")
+    # What two positions share holds `half` bytes from them on, or else more than what is left before them: they meet by either.
+    half = (length + GRAM) // 2
+    onward, backward = F.substring("after", 1, half), F.substring("before", 1, length - half + 1)
+    sides = F.array(F.when(F.length("after") >= half, F.xxhash64("gram", F.lit(1), onward)), F.when(F.length("before") > length - half, F.xxhash64("gram", F.lit(2), backward)))
+    sided = around.withColumn("gram", F.explode(F.array_compact(sides)))
+    blocks = sided.groupBy("gram").agg(F.count("*").alias("n"), F.count_if("need").alias("needy")).where("needy > 0 and n > 1").select("gram", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    rows = sided.join(blocks, "gram")
     everyone = rows.withColumns({"block": F.pmod(F.xxhash64("chunk", "d", "j"), F.col("blocks")), "role": F.lit(0)})
     needy = rows.where("need").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "role": F.lit(1)})
     met = everyone.unionByName(needy).drop("blocks", "need").repartition("gram", "block").sortWithinPartitions("gram", "block").mapInPandas(lambda parts: _compare(parts, length), FOUND)
