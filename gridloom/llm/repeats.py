@@ -338,6 +338,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 6_000_
     folder, texts = scratch(spark, "repeat-chunks"), texts_of(docs, id_col, text_col)
     size = texts.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
     buckets = max(16, int(size / 60 / GRAMS) + 1)
+    tasks = max(1, min(int(size / chunk_bytes) + 1, 20_000))  # the rows are few, the files behind them are not
 
     def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out() -> pd.DataFrame:
@@ -369,7 +370,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 6_000_
     def together(rows: DataFrame) -> DataFrame:
         """A chunk's rows and the name of its file (kind 0), together; what a kind lacks is 0, so integers stay integers."""
         zero = {f.name: F.lit(None if f.dataType.typeName() in ("binary", "string") else 0).cast(f.dataType) for f in rows.schema if f.name != "chunk"}
-        return rows.withColumn("file", F.lit(None).cast("string")).unionByName(files.withColumns(zero)).repartition("chunk").sortWithinPartitions("chunk")
+        return rows.withColumn("file", F.lit(None).cast("string")).unionByName(files.withColumns(zero)).repartition(tasks, "chunk").sortWithinPartitions("chunk")
 
     def phrases(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for number, rows in _by_chunk(parts):
