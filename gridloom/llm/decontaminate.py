@@ -87,9 +87,12 @@ class Plan:
                 level[0] &= any(0 in key for key in keys)
             self.repetitions.append((r + 1, steps.tolist(), wanted, keys))
 
-    def search(self, words: np.ndarray, codes: np.ndarray) -> set[tuple[int, int]]:
-        """Candidates (item, first word of its window); words ends in STEPS words of padding."""
-        out: set[tuple[int, int]] = set()
+    def search(self, words: np.ndarray, codes: np.ndarray) -> set[tuple[int, int, int, int]]:
+        """Candidates (item, first word of its window, first and last word of the hit); words ends in STEPS words of padding.
+
+        A window may begin before its document: there it has lost its first words.
+        """
+        out: set[tuple[int, int, int, int]] = set()
         n = len(words) - STEPS - 1
         for seed, steps, wanted, keys in self.repetitions:
             bits = None
@@ -120,9 +123,9 @@ class Plan:
                     break
             if start is None or not len(start):
                 continue
-            for s, key in zip(start.tolist(), zip(*(x.tolist() for x in seen))):
+            for s, e, key in zip(start.tolist(), at.tolist(), zip(*(x.tolist() for x in seen))):
                 for k, offset in keys.get(key, ()):
-                    out.add((k, s - offset))
+                    out.add((k, s - offset, s, e))
         return out
 
 
@@ -163,19 +166,23 @@ def matches(texts: list[str], plan: Plan) -> Iterator[tuple[int, int, int, int,
             begin = np.concatenate([[0], ends[:-1] + np.arange(1, len(raw))]) if len(raw) else np.empty(0, int)
             size = np.diff(ends, prepend=0)
             best: dict[tuple[int, int, int], tuple[int, int]] = {}
-            done: set[tuple[int, int]] = set()
-            for k, start in sorted(plan.search(stream, codes)):
+            done: set[tuple[int, int, int]] = set()
+            hits = np.array(sorted(plan.search(stream, codes)), np.int64).reshape(-1, 4)
+            places: set[tuple[int, int, int]] = set()
+            for k, start, d, last in zip(hits[:, 0].tolist(), hits[:, 1].tolist(), *((np.searchsorted(begin, hits[:, c], side="right") - 1).tolist() for c in (2, 3))):
+                # A walk that starts on the 0 before a document, or on the words before that, hits the document it goes on in.
+                places.update((k, x, max(start, int(begin[x]))) for x in range(d, last + 1) if start >= begin[x] - plan.allowed[k])
+            for k, d, start in sorted(places):
                 item, most = plan.coded[k], plan.allowed[k]
-                if (k, start // (most + 1)) in done:
+                if (k, d, start // (most + 1)) in done:
                     continue
-                d = int(np.searchsorted(begin, max(start, 0), side="right")) - 1
                 low, high = max(start - 2 * most - 1, int(begin[d])), min(start + len(item) + 2 * most + 1, int(begin[d] + size[d]))
-                if start < begin[d] - most or high - low < len(item) - most:
+                if high - low < len(item) - most:
                     continue
                 window = codes[low:high]
                 if np.isin(item, window).sum() < len(item) - most:
                     continue
-                done.add((k, start // (most + 1)))
+                done.add((k, d, start // (most + 1)))
                 found = edit_window(item, window, most)
                 if found:
                     distance, x, y = found

@@ -327,6 +327,26 @@ def test_decontaminate(spark, nothing):
     assert decontaminate.edit_window(item, text, 2) == (1, 2, 7) and decontaminate.edit_window(item, text, 0) is None
 
 
+def test_decontaminate_at_a_documents_start():
+    """Items that lost up to a fifth of their words where a document begins, in a batch of several documents."""
+    items = [(i, prose(20 + 3 * i)) for i in range(20)]
+    plan = decontaminate.Plan(items, 0.2, 12, 4, 8)
+    texts, planted = [], {}
+    for i, t in items:
+        w = t.split()
+        for cut in range(1, len(w) // 5 + 1):
+            texts += ["", prose(30), prose(3)][len(texts) % 3 :][:1]
+            planted[len(texts)] = (i, cut)
+            texts.append(" ".join(w[cut:]) + " " + prose(20))
+    got = {}
+    for d, i, first, n, distance in decontaminate.matches(texts, plan):
+        got[d, i] = (first, distance)
+    assert {d for d, _ in got} <= set(planted)
+    found = [d for d, (i, cut) in planted.items() if (d, i) in got]
+    assert len(found) >= 0.95 * len(planted)
+    assert all(got[d, planted[d][0]][1] <= planted[d][1] for d in found)
+
+
 PAGE = """<html><head><title>t</title><script>var x="<p>no</p>";</script></head><body><div class="top-menu"><a href="/a">Home</a> <a href="/b">News</a></div>
 <nav><ul><li><a>One</a><li><a>Two</a></ul></nav><{0}{1}><h1>Head &amp; more</h1><p>{2}<br>{3}<p>{4} &eacute;<aside>see also</aside><div class="comments"><p>nice post</p></div></{0}>
 <form>Name <input></form><footer>&copy; us</footer></body></html>"""
