@@ -198,20 +198,23 @@ def _named(rows: DataFrame, level: str) -> DataFrame:
     place = F.struct("chunk", "d", "j")
     distinct = rows.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min(place).alias("one"))
     numbered = stage(distinct.orderBy("a", "b", "c").withColumn("name", F.monotonically_increasing_id() + 1), f"repeat-names-{level}")
-    return rows.join(numbered, ["a", "b", "c"]).select("chunk", "d", "j", "name", (F.col("n") > 1).alias("shared"), (place == F.col("one")).alias("first"))
+    return rows.join(numbered, ["a", "b", "c"]).select("chunk", "d", "j", "a", "c", "name", (F.col("n") > 1).alias("shared"), (place == F.col("one")).alias("first"))
 
 
 def names(triples: DataFrame) -> DataFrame:
-    """(chunk, d, j, shared3, first3, shared9, first9): whether three and nine phrases around a sampled position occur again."""
+    """(chunk, d, j, shared3, first3, shared9, first9, back, ahead): whether three and nine phrases around a sampled position occur again.
+
+    The nine are those of the name only as far as back and ahead say: without them, the three before or after aren't part of it.
+    """
     three = stage(_named(triples, "3"), "repeat-3")
     w = Window.partitionBy("chunk", "d").orderBy("j")
     # Positions missing in between have a gram of their own and so an end of every repeat: 0.
     back = F.coalesce(F.when(F.lag("j", 3).over(w) == F.col("j") - 3, F.lag("name", 3).over(w)), F.lit(0))
     ahead = F.coalesce(F.when(F.lead("j", 3).over(w) == F.col("j") + 3, F.lead("name", 3).over(w)), F.lit(0))
-    nine = three.where("shared").select("chunk", "d", "j", "name").join(three.where("shared").select("chunk", "d", "j", back.alias("back"), ahead.alias("ahead")), ["chunk", "d", "j"])
-    nine = _named(nine.select("chunk", "d", "j", F.col("back").alias("a"), F.col("name").alias("b"), F.col("ahead").alias("c")), "9")
-    nine = nine.select("chunk", "d", "j", F.col("shared").alias("shared9"), F.col("first").alias("first9"))
-    return three.join(nine, ["chunk", "d", "j"], "left").select("chunk", "d", "j", F.col("shared").alias("shared3"), F.col("first").alias("first3"), F.coalesce("shared9", F.lit(False)).alias("shared9"), F.coalesce("first9", F.lit(False)).alias("first9"))
+    nine = _named(three.where("shared").select("chunk", "d", "j", back.alias("a"), F.col("name").alias("b"), ahead.alias("c")), "9")
+    nine = nine.select("chunk", "d", "j", F.col("shared").alias("shared9"), F.col("first").alias("first9"), (F.col("a") != 0).alias("back"), (F.col("c") != 0).alias("ahead"))
+    rest = [F.coalesce(c, F.lit(False)).alias(c) for c in ("shared9", "first9", "back", "ahead")]
+    return three.join(nine, ["chunk", "d", "j"], "left").select("chunk", "d", "j", F.col("shared").alias("shared3"), F.col("first").alias("first3"), *rest)
 
 
 def _settled(chunk: Chunk, d: int, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -224,10 +227,8 @@ def _settled(chunk: Chunk, d: int, rows: pd.DataFrame) -> tuple[np.ndarray, np.n
     begin, end = bounds[j], np.where(j + 2 < m, place[np.minimum(j + 2, m - 1)] + GRAM, n)
     three, nine = rows["shared3"].to_numpy(), rows["shared9"].to_numpy()
     settled = three & (begin <= low) & (end >= high)
-    # A name of nine phrases reaches as far as its neighbours three phrases off have shared names themselves.
-    known = np.zeros(m + 6, bool)
-    known[j[three] + 3] = True
-    back, ahead = known[j], known[j + 6]
+    # A name of nine phrases reaches as far as it holds the names three phrases off.
+    back, ahead = rows["back"].to_numpy(), rows["ahead"].to_numpy()
     begin = np.where(back, bounds[np.maximum(j - 3, 0)], begin)
     end = np.where(ahead, np.where(j + 5 < m, place[np.minimum(j + 5, m - 1)] + GRAM, n), end)
     settled |= nine & (begin <= low) & (end >= high)
@@ -406,7 +407,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 6_000_
             yield _result(chunk, real)
 
     no = F.lit(False)
-    compared = met.withColumns({"kind": F.lit(2), "shared3": no, "first3": no, "shared9": no, "first9": no})
+    compared = met.withColumns({"kind": F.lit(2), "shared3": no, "first3": no, "shared9": no, "first9": no, "back": no, "ahead": no})
     both = flags.withColumns({"low": F.lit(0), "high": F.lit(0)}).unionByName(compared)
     return restored(together(both).mapInPandas(finish, OUT))
 

@@ -186,6 +186,20 @@ def test_repeats_with_edits(spark, seed):
     assert [got[i] for i in range(60)] == brute_repeats(texts, 200)
 
 
+def test_repeats_shared_in_overlapping_pairs(spark):
+    """a+b in one document, b+c in another (and c+d in a third), all of them joined in the last: no window over a join is more than these pairs."""
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    texts = []
+    for k in range(150):
+        parts = [text(rng.randint(40, 320)) for _ in range(3 + k % 2)]
+        texts += [text(300) + x + y + text(300) for x, y in zip(parts, parts[1:])]
+        texts.append(text(300) + "".join(parts) + text(300))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(df, chunk_bytes=100_000).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
+
+
 def test_transport_stream(spark, docs, nothing):
     got = transport_stream.describe(transport_stream.parse_media(transport_stream.to_media(docs))).collect()
     want = Counter()
