@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dicts as D
@@ -36,7 +36,7 @@ def align(frame: DataFrame, reference: list[str]) -> DataFrame:
 def redundant_axes(tables: list[Table], axes: list[str], values: list[tuple[str, ...]]) -> list[str]:
     """Axes that the tables hold already: a column of that name, or one that contains the value in half its cells.
 
-    In the second case no value may match in two tables. One aggregate job a table.
+    In the second case no value may match in two tables. One aggregate job a table, then one over all their matched values.
     """
     out = []
     for k, axis in enumerate(axes):
@@ -44,21 +44,29 @@ def redundant_axes(tables: list[Table], axes: list[str], values: list[tuple[str,
             out.append(axis)
             continue
         shared = [c for c in data_columns(tables[0].frame) if all(c in data_columns(t.frame) for t in tables)]
-        hit: dict[str, list[set]] = {c: [] for c in shared}
+        tests = []
         for t, v in zip(tables, values):
             year = re.search(D.YEAR, v[k])
-            test = lambda c: col(c).cast("string").contains(year[0]) if year else col(c).cast("string") == v[k]  # noqa: B023, E731
-            r = t.frame.agg(F.count("*").alias("n"), *[F.count_if(test(c)).alias(f"k{i}") for i, c in enumerate(shared)], *[F.slice(F.collect_set(F.when(test(c), col(c).cast("string"))), 1, 1000).alias(f"s{i}") for i, c in enumerate(shared)]).first()
-            for i, c in enumerate(shared):
-                if r["n"] and r[f"k{i}"] / r["n"] >= 0.5:
-                    hit[c].append(set(r[f"s{i}"]))
-        for c, sets in hit.items():
-            if len(sets) == len(tables) and sum(map(len, sets)) == len(set().union(*sets)):
-                out.append(axis)
+            tests.append({c: col(c).cast("string").contains(year[0]) if year else col(c).cast("string") == v[k] for c in shared})
+            r = t.frame.agg(F.count("*").alias("n"), *[F.count_if(tests[-1][c]).alias(f"k{i}") for i, c in enumerate(shared)]).first()
+            shared = [c for i, c in enumerate(shared) if r["n"] and r[f"k{i}"] / r["n"] >= 0.5]
+            if not shared:
                 break
+        if shared and set(shared) - _overlapping(tables, tests, shared):
+            out.append(axis)
     return out
 
 
+def _overlapping(tables: list[Table], tests: list[dict[str, Column]], names: list[str]) -> set[str]:
+    """Columns of which a value that passes the test occurs in two tables."""
+    parts = []
+    for k, (t, test) in enumerate(zip(tables, tests, strict=True)):
+        matched = F.array(*[F.struct(F.lit(i).alias("c"), F.when(test[c], col(c).cast("string")).alias("v")) for i, c in enumerate(names)])
+        parts.append(t.frame.select(F.explode(matched).alias("m")).select("m.c", "m.v", F.lit(k).alias("t")).where("v is not null"))
+    spread = reduce(DataFrame.unionByName, parts).groupBy("c", "v").agg(F.min("t").alias("least"), F.max("t").alias("most"))
+    return {names[r["c"]] for r in spread.where("least < most").select("c").distinct().collect()}
+
+
 def master(spark: SparkSession, axis: str, parents: dict[str, str], parent_axis: str) -> DataFrame:
     """A dimension master (child, parent) from an explicit map; repeated pairs once."""
     rows = sorted(set(parents.items()))

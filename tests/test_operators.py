@@ -178,3 +178,13 @@ def test_plans(frame, spark):
     assert [t.id for t, _ in split] == ["u", "u_uchi_breakdown"]
     final = propose(spark, [X.Table(n, n, n, frame(v, "区分 string, m long")) for n, v in (("計", [("A", 6)]), ("a", [("A", 1)]), ("b", [("A", 2)]), ("c", [("A", 3)]))])
     assert any(f.is_integrated and set(f.sources) == {"a", "b", "c"} for f in final.values())
+
+
+def test_redundant_axes_compare_every_matched_value(frame):
+    def found(first):
+        parts = {"2020": range(3000), "2021": range(first, first + 3000)}
+        tables = [X.Table(y, y, y, frame([(f"2020/2021 {i}", i) for i in r], "期間 string, 値 long")) for y, r in parts.items()]
+        return U.redundant_axes(tables, ["年"], [("2020",), ("2021",)])
+
+    assert found(2999) == []  # one value in both
+    assert found(3000) == ["年"]
