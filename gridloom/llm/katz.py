@@ -40,7 +40,7 @@ K = 5
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Questions that a bucket takes, about; their number grows with the corpus.
 QUESTIONS = 2_000_000
-KINDS = ["<u8", "<i8", "<f8", "<u4"]
+KINDS = ["<u8", "<i8", "<f8", "<u4", "|u1"]
 ASK = "kind int, chunk long, file string, bucket int, ask binary, stats array<double>"
 ANSWER = "kind int, chunk long, bucket int, answer binary, history long, stats array<double>"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

@@ -1,415 +1,190 @@
-"""Removal of repeated byte strings by a distributed difference-cover suffix naming (operator 4).
-
-Every byte that a string of ``length`` bytes covers goes if that string also starts anywhere else. The
-suffix-array scheme of difference covers is kept, with a cover chosen by content: a position mod 3 would
-make some billion suffixes of the corpus rows, while a window of ``length`` bytes always holds the least
-of its ``WIDTH`` hashes of ``GRAM`` bytes, and equal windows hold it at equal offsets. So these positions
-(one in some 70) are a cover in which equal strings meet, whatever their alignment.
-
-1. Sampled suffixes: the cover's positions. Those whose gram occurs once in the corpus begin no repeat.
-2. Sorted triples: the others are named by (phrase before, phrase, phrase after), a phrase reaching from a
-   sampled position over the next one's gram. Distinct triples, pre-aggregated, are sorted by range and
-   numbered.
-3. Recursion on names: triples of names three phrases apart are sorted and numbered again, which names
-   nine phrases.
-4. Merging the remaining suffixes: every other position's string is (offset to its sampled position, bytes
-   before, that suffix). A sampled position whose name is shared and spans the whole surroundings of its
-   windows settles all of them at once.
-5. Comparing neighbours: what is left (at the edges of repeats) is compared byte by byte with one
-   member of every name of the same gram, backwards and forwards from the sampled position; the two
-   lengths give exactly the windows that repeat. Positions meet only if they share half of what they must share,
-   before or after them, so a common line makes no group of its own; large groups meet in blocks of bounded size.
-
-Texts are written once in chunk files of the shared folder; rows that move are hashes, names and the
-surroundings of edges. Defined results: null and empty texts have no bytes; texts below ``length`` lose
-nothing; repeated rows are documents that repeat each other; matches never cross documents. Grams and
-phrases are compared by 64-bit hashes, edges by bytes.
+"""Removal of repeated byte strings by a distributed difference-cover algorithm (operator 4).
+
+Every byte that a string of ``length`` bytes covers goes if that string also starts anywhere else. Positions of a
+document whose remainder is in a perfect difference set are sampled (12 of 133 remainders for 200 bytes): any two
+positions i and j have one offset l < 133 at which i + l and j + l are both sampled, so of two equal strings at least
+68 equal bytes follow sampled positions of both.
+
+1. Sampled suffixes are named by their first ``gram`` = length - 132 bytes. Names are sorted by ranges of names over
+   the whole corpus and neighbours compared; a suffix whose name has no equal neighbour shares no string and goes.
+2. Recursion on names: what is left is named by all that its strings can hold, from 133 bytes before it (the sampled
+   suffix before it in its class) to ``length`` after it. Again sorted; where a name has an equal neighbour all strings
+   around the suffix repeat, and one suffix stands for them all from here on.
+3. Remaining suffixes, those that aren't sampled: the string l bytes before a sampled suffix is (l bytes, that suffix).
+   Those with l <= 66 share the suffix's first 134 bytes, the others the 134 bytes from 66 before it, so these two
+   names, sorted, tell which of them can repeat, and which of the suffixes that stand for others they could meet.
+4. These strings (at the edges of repeats) are named whole, sorted, and adjacent names compared.
+
+So no pairs are made, and a group of any size costs a name a member. Names are 64-bit hashes of the bytes that they
+stand for (filters use their leading bits), hence sorted order is that of the hashes: that changes which names are
+neighbours of unequal ones, not which are equal. Names of 64 bits are taken for the strings. They travel packed (chunks.py).
+
+Defined results: null and empty texts have no bytes; texts below ``length`` lose nothing; repeated rows are documents
+that repeat each other; matches never cross documents; null ids are kept; extra columns are ignored; an empty table
+has no rows. A document is held in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import prefix_hash, restored, scratch, stage, texts_of, window_hash
-from .katz import gaps, pack, unpack
-from .ngram_join import _runs
-from .token_frames import _open
-
-GRAM = 64
-GRAMS = 2_000_000
-BLOCK = 1024
-ASK = "kind int, chunk long, file string, bucket int, blob binary"
-TRIPLES = "chunk long, d int, j int, a long, b long, c long"
-EDGES = "gram long, chunk long, d int, j int, low int, high int, before binary, after binary, need boolean"
-FOUND = "chunk long, d int, j int, low int, high int"
+from .chunks import COLUMNS, FIRST, FLAGGED, OFTEN, Chunk, Corpus, answered, question
+from .common import mix, prefix_hash, restored, window_hash
+from .katz import pack, unpack
+
+#: Perfect difference sets, modulus and residues; every difference but 0 occurs once.
+COVERS = {133: (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109), 57: (0, 1, 3, 13, 32, 36, 43, 52), 31: (0, 1, 3, 8, 12, 18), 13: (0, 1, 3, 9)}
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:long,end:long>>"
 
 
-def cover(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, first window, last window) of each sampled position, and the grams' hashes at them.
-
-    A window's sampled position is that of its least gram hash, the leftmost of equals.
-    """
-    n = len(data) - length + 1
-    if n <= 0:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    h = prefix_hash(data)
-    at = np.arange(len(data) - GRAM + 1)
-    value = window_hash(h, at, at + GRAM)
-    width, span, idx = length - GRAM + 1, 1, at.astype(np.int32)
-    best = value
-    while 2 * span <= width:
-        left, right = best[:-span], best[span:]
-        take = right < left
-        best, idx, span = np.where(take, right, left), np.where(take, idx[span:], idx[:-span]), 2 * span
-    rest = width - span
-    if rest:
-        left, right = best[:-rest], best[rest:]
-        idx = np.where(right < left, idx[rest:], idx[:-rest])
-    idx = idx[:n]
-    new = np.flatnonzero(np.concatenate([[True], idx[1:] != idx[:-1]]))
-    place = idx[new].astype(np.int64)
-    return place, new, value[place]
-
-
-class Chunk:
-    """Documents of a chunk file, with the cover of each."""
-
-    def __init__(self, ids: np.ndarray, texts: list[bytes], length: int, covers: list | None = None) -> None:
-        self.ids, self.texts, self.length = ids, texts, length
-        self.covers = [cover(np.frombuffer(t, np.uint8), length) for t in texts] if covers is None else covers
-
-    def save(self, uri: str) -> None:
-        import zstandard
-
-        system, path = _open(uri)
-        system.create_dir(path.rpartition("/")[0], recursive=True)
-        count = np.array([len(p) for p, _, _ in self.covers], "<i8")
-        flat = [np.concatenate([c[k] for c in self.covers]) if self.covers else np.empty(0) for k in range(3)]
-        head = pack(self.ids.astype("<i8"), np.array([len(t) for t in self.texts], "<i8"), count, flat[0].astype("<u4"), flat[1].astype("<u4"))
-        body = zstandard.ZstdCompressor(level=3).compress(b"".join(self.texts))
-        with system.open_output_stream(path, compression=None) as out:
-            out.write(len(head).to_bytes(8, "little") + head + body)
-
-    @staticmethod
-    def load(uri: str, length: int) -> Chunk:
-        import zstandard
-
-        system, path = _open(uri)
-        with system.open_input_file(path) as f:
-            raw = f.read()
-        n = int.from_bytes(raw[:8], "little")
-        ids, sizes, count, place, first = unpack(raw[8 : 8 + n])
-        body, ends = zstandard.ZstdDecompressor().decompress(raw[8 + n :]) if sizes.sum() else b"", np.cumsum(sizes)
-        texts = [body[e - s : e] for s, e in zip(sizes.tolist(), ends.tolist())]
-        cut = np.cumsum(count)[:-1]
-        return Chunk(ids, texts, length, list(zip(np.split(place.astype(np.int64), cut), np.split(first.astype(np.int64), cut), [None] * len(texts))))
-
-    def last(self, d: int) -> np.ndarray:
-        """Each sampled position's last window."""
-        first = self.covers[d][1]
-        return np.append(first[1:] - 1, len(self.texts[d]) - self.length)
-
-    def grams(self, d: int) -> np.ndarray:
-        place = self.covers[d][0]
-        return window_hash(prefix_hash(np.frombuffer(self.texts[d], np.uint8)), place, place + GRAM) if len(place) else np.empty(0, np.uint64)
-
-
-def _by_chunk(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
-    """Whole chunks of rows sorted by chunk."""
-    held: list[pd.DataFrame] = []
-    for pdf in parts:
-        keys = pdf["chunk"].to_numpy()
-        cut = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-        for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(pdf)]):
-            if b > a:
-                if held and held[0]["chunk"].iat[0] != keys[a]:
-                    yield int(held[0]["chunk"].iat[0]), pd.concat(held)
-                    held = []
-                held.append(pdf.iloc[a:b])
-    if held:
-        yield int(held[0]["chunk"].iat[0]), pd.concat(held)
-
-
-def _answer_grams(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each question, which of its grams occur twice in the corpus."""
-    now, rows = None, []
-
-    def answers() -> pd.DataFrame:
-        asked = [unpack(blob) for _, blob in rows]
-        keys = [np.cumsum(k, dtype=np.uint64) for k, _ in asked]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        twice = (np.bincount(at, weights=np.concatenate([c for _, c in asked])) > 1)[at]
-        ends = np.cumsum([len(k) for k in keys])
-        return pd.DataFrame({"kind": 1, "chunk": [c for c, _ in rows], "file": None, "bucket": now, "blob": [np.packbits(twice[e - len(k) : e]).tobytes() for k, e in zip(keys, ends)]})
-
-    for pdf in parts:
-        for chunk, bucket, blob in zip(pdf["chunk"], pdf["bucket"], pdf["blob"], strict=True):
-            if rows and bucket != now:
-                yield answers()
-                rows = []
-            now = bucket
-            rows.append((chunk, blob))
-    if rows:
-        yield answers()
-
-
-def _buckets(grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted grams go to buckets in order of bucket and gram: (order, ends)."""
-    bucket = (grams % np.uint64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(n + 1))
-
-
-def _triples(chunk: Chunk, answers: dict[int, bytes], buckets: int, number: int) -> pd.DataFrame:
-    """Rows of phrases around each sampled position whose gram repeats."""
-    grams = [chunk.grams(d) for d in range(len(chunk.texts))]
-    distinct = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
-    order, ends = _buckets(distinct, buckets)
-    twice = np.zeros(len(distinct), bool)
-    for b, blob in answers.items():
-        k = order[ends[b] : ends[b + 1]]
-        twice[k] = np.unpackbits(np.frombuffer(blob, np.uint8), count=len(k)).astype(bool)
-    out = []
-    for d, g in enumerate(grams):
-        j = np.flatnonzero(twice[np.searchsorted(distinct, g)]) if len(g) else np.empty(0, np.int64)
-        if not len(j):
-            continue
-        data, place = np.frombuffer(chunk.texts[d], np.uint8), chunk.covers[d][0]
-        h = prefix_hash(data)
-        start, end = np.concatenate([[0], place]), np.concatenate([place + GRAM, [len(data)]])
-        phrase = window_hash(h, start, end)  # phrase k reaches from sampled position k - 1 over that of k
-        phrase[0] ^= np.uint64(0xA5A5)  # a text's beginning and end aren't like others
-        phrase[-1] ^= np.uint64(0x5A5A00)
-        after = np.append(phrase, np.uint64(0))
-        out.append(pd.DataFrame({"chunk": number, "d": d, "j": j, "a": phrase[j].view(np.int64), "b": phrase[j + 1].view(np.int64), "c": after[j + 2].view(np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("chunk", "d", "j", "a", "b", "c")})
-
-
-def _named(rows: DataFrame, level: str) -> DataFrame:
-    """Rows with the number of their triple among the sorted distinct ones, whether it is shared, and whether the row is its first."""
-    place = F.struct("chunk", "d", "j")
-    distinct = rows.groupBy("a", "b", "c").agg(F.count("*").alias("n"), F.min(place).alias("one"))
-    numbered = stage(distinct.orderBy("a", "b", "c").withColumn("name", F.monotonically_increasing_id() + 1), f"repeat-names-{level}")
-    return rows.join(numbered, ["a", "b", "c"]).select("chunk", "d", "j", "a", "c", "name", (F.col("n") > 1).alias("shared"), (place == F.col("one")).alias("first"))
-
-
-def names(triples: DataFrame) -> DataFrame:
-    """(chunk, d, j, shared3, first3, shared9, first9, back, ahead): whether three and nine phrases around a sampled position occur again.
-
-    The nine are those of the name only as far as back and ahead say: without them, the three before or after aren't part of it.
-    """
-    three = stage(_named(triples, "3"), "repeat-3")
-    w = Window.partitionBy("chunk", "d").orderBy("j")
-    # Positions missing in between have a gram of their own and so an end of every repeat: 0.
-    back = F.coalesce(F.when(F.lag("j", 3).over(w) == F.col("j") - 3, F.lag("name", 3).over(w)), F.lit(0))
-    ahead = F.coalesce(F.when(F.lead("j", 3).over(w) == F.col("j") + 3, F.lead("name", 3).over(w)), F.lit(0))
-    nine = _named(three.where("shared").select("chunk", "d", "j", back.alias("a"), F.col("name").alias("b"), ahead.alias("c")), "9")
-    nine = nine.select("chunk", "d", "j", F.col("shared").alias("shared9"), F.col("first").alias("first9"), (F.col("a") != 0).alias("back"), (F.col("c") != 0).alias("ahead"))
-    rest = [F.coalesce(c, F.lit(False)).alias(c) for c in ("shared9", "first9", "back", "ahead")]
-    return three.join(nine, ["chunk", "d", "j"], "left").select("chunk", "d", "j", F.col("shared").alias("shared3"), F.col("first").alias("first3"), *rest)
-
-
-def _settled(chunk: Chunk, d: int, rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(settled, first of its name) for rows (j, ...) of one document: a shared name spans all that its windows hold."""
-    place, first = chunk.covers[d][0], chunk.covers[d][1]
-    last, n, m = chunk.last(d), len(chunk.texts[d]), len(place)
-    j = rows["j"].to_numpy()
-    bounds = np.concatenate([[0], place])  # where phrase k begins
-    low, high = first[j], last[j] + chunk.length
-    begin, end = bounds[j], np.where(j + 2 < m, place[np.minimum(j + 2, m - 1)] + GRAM, n)
-    three, nine = rows["shared3"].to_numpy(), rows["shared9"].to_numpy()
-    settled = three & (begin <= low) & (end >= high)
-    # A name of nine phrases reaches as far as it holds the names three phrases off.
-    back, ahead = rows["back"].to_numpy(), rows["ahead"].to_numpy()
-    begin = np.where(back, bounds[np.maximum(j - 3, 0)], begin)
-    end = np.where(ahead, np.where(j + 5 < m, place[np.minimum(j + 5, m - 1)] + GRAM, n), end)
-    settled |= nine & (begin <= low) & (end >= high)
-    return settled, (three & rows["first3"].to_numpy()) | (nine & rows["first9"].to_numpy())
-
-
-def _edges(chunk: Chunk, rows: pd.DataFrame, number: int) -> pd.DataFrame:
-    """Surroundings of positions that aren't settled, and of one position of each settled name."""
-    out = []
-    width = chunk.length - GRAM
-    for d, mine in rows.groupby("d"):
-        text, place, first = chunk.texts[d], chunk.covers[d][0], chunk.covers[d][1]
-        last, gram = chunk.last(d), chunk.grams(d).view(np.int64)
-        settled, lead = _settled(chunk, d, mine)
-        for j, s, one in zip(mine["j"].tolist(), settled.tolist(), lead.tolist()):
-            if s and not one:
-                continue
-            p = int(place[j])
-            out.append((int(gram[j]), number, d, j, p - int(last[j]), p - int(first[j]), text[max(0, p - width) : p][::-1], text[p : p + chunk.length], not s))
-    return pd.DataFrame(out, columns=["gram", "chunk", "d", "j", "low", "high", "before", "after", "need"])
-
-
-def _padded(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(b) for b in blobs])
-    out = np.zeros((len(blobs), width), np.uint8)
-    out[np.arange(width)[None, :] < sizes[:, None]] = np.frombuffer(b"".join(blobs), np.uint8)
-    return out, sizes
-
-
-def _common(rows: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Lengths of the common beginnings of rows a and rows b."""
-    table, sizes = rows
-    differ = table[a] != table[b]
-    same = np.where(differ.any(axis=1), differ.argmax(axis=1), table.shape[1])
-    return np.minimum(same, np.minimum(sizes[a], sizes[b]))
-
-
-def _overlaps(pdf: pd.DataFrame, length: int) -> Iterator[pd.DataFrame]:
-    """Of whole groups (gram, block): offsets at which a needy position's windows occur at another of its group."""
-    gram, block, role, low, high = (pdf[c].to_numpy() for c in ("gram", "block", "role", "low", "high"))
-    keys = pdf[["chunk", "d", "j"]].to_numpy()
-    before, after = _padded(pdf["before"].tolist(), length - GRAM), _padded(pdf["after"].tolist(), length)
-    group = np.concatenate([[0], np.cumsum((gram[1:] != gram[:-1]) | (block[1:] != block[:-1]))])
-    zero, one = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
-    size = np.bincount(group[zero], minlength=group[-1] + 1)
-    first = np.cumsum(size) - size
-    for lo, hi in _runs(size[group[one]], 30_000):
-        mine = one[lo:hi]
-        times = size[group[mine]]
-        item = np.repeat(np.arange(len(mine)), times)
-        a = mine[item]
-        b = zero[np.repeat(first[group[mine]] - (np.cumsum(times) - times), times) + np.arange(len(a))]
-        other = (keys[a] != keys[b]).any(axis=1)
-        item, a, b = item[other], a[other], b[other]
-        x, y = np.maximum(length - _common(after, a, b), low[a]), np.minimum(_common(before, a, b), high[a])
-        ok = x <= y
-        edge = np.zeros((len(mine), length - GRAM + 2), np.int64)  # the union over all partners, so a row's answer stays small
-        np.add.at(edge, (item[ok], x[ok]), 1)
-        np.add.at(edge, (item[ok], y[ok] + 1), -1)
-        turn = np.diff(np.pad((np.cumsum(edge, axis=1) > 0).astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        (row, begin), (_, end) = np.nonzero(turn == 1), np.nonzero(turn == -1)
-        yield pd.DataFrame(np.column_stack([keys[mine[row]], begin, end - 1]), columns=["chunk", "d", "j", "low", "high"])
-
-
-def _compare(parts: Iterator[pd.DataFrame], length: int) -> Iterator[pd.DataFrame]:
-    rest: pd.DataFrame | None = None
-    for pdf in parts:
-        pdf = pdf if rest is None else pd.concat([rest, pdf])
-        gram, block = pdf["gram"].to_numpy(), pdf["block"].to_numpy()
-        cut = np.flatnonzero((gram[1:] != gram[:-1]) | (block[1:] != block[:-1]))
-        end = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
-        if end:
-            yield from _overlaps(pdf.iloc[:end], length)
-        rest = pdf.iloc[end:]
-    if rest is not None and len(rest):
-        yield from _overlaps(rest, length)
-
-
-def _result(chunk: Chunk, rows: pd.DataFrame) -> pd.DataFrame:
-    """Removed bytes of every document of a chunk, from names (kind 1) and compared edges (kind 2)."""
-    by: dict[int, list[np.ndarray]] = {}
-    for d, mine in rows[rows["kind"] == 1].groupby("d"):
-        settled, _ = _settled(chunk, d, mine)
-        j = mine["j"].to_numpy()[settled]
-        by.setdefault(d, []).append(np.column_stack([chunk.covers[d][1][j], chunk.last(d)[j] + chunk.length]))
-    for d, mine in rows[rows["kind"] == 2].groupby("d"):
-        p = chunk.covers[d][0][mine["j"].to_numpy()]
-        by.setdefault(d, []).append(np.column_stack([p - mine["high"].to_numpy(), p - mine["low"].to_numpy() + chunk.length]))
-    out = []
-    for d, (key, text) in enumerate(zip(chunk.ids.tolist(), chunk.texts)):
-        edge = np.zeros(len(text) + 1, np.int64)
-        for x in by.get(d, []):
-            np.add.at(edge, x[:, 0], 1)
-            np.add.at(edge, x[:, 1], -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        step = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
-        spans = [{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1))]
-        kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if spans else text
-        out.append((key, len(text), int(gone.sum()), len(spans), kept, spans))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
-
-
-def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _runs(mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of a mask."""
+    step = np.diff(mark.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
+
+
+def _marked(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which of n places lie in one of the ranges."""
+    ok = start < end
+    edge = np.bincount(start[ok], minlength=n + 1) - np.bincount(end[ok], minlength=n + 1)
+    return np.cumsum(edge[:n]) > 0
+
+
+class Suffixes:
+    """Sampled suffixes of a chunk's documents, and names of strings around them."""
+
+    def __init__(self, chunk: Chunk, length: int) -> None:
+        self.chunk, self.length, self.n = chunk, length, len(chunk.data)
+        self.modulus = max(v for v in COVERS if 3 * v <= 2 * length)
+        self.gram, self.mid = length - self.modulus + 1, (self.modulus - 1) // 2
+        in_cover = np.zeros(self.modulus, bool)
+        in_cover[list(COVERS[self.modulus])] = True
+        size = np.where(chunk.size < length, 0, chunk.size)
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        within = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+        keep = in_cover[within % self.modulus] & (within + self.gram <= chunk.size[doc])
+        doc, within = doc[keep], within[keep]
+        self.low, self.high = chunk.start[doc], chunk.end[doc]
+        self.at = self.low + within
+        self.h = prefix_hash(chunk.data)
+
+    def only(self, keep: np.ndarray) -> None:
+        self.at, self.low, self.high = self.at[keep], self.low[keep], self.high[keep]
+
+    def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return window_hash(self.h, start, end)
+
+    def grams(self) -> np.ndarray:
+        return self.names(self.at, self.at + self.gram)
+
+    def around(self) -> np.ndarray:
+        """Names of suffixes with what stands before them; where a document's ends cut them short, the suffix's place in them counts."""
+        begin = np.maximum(self.low, self.at - self.modulus)
+        return mix(self.names(begin, np.minimum(self.high, self.at + self.length)) + (self.at - begin).astype(np.uint64))
+
+    def windows_around(self) -> tuple[np.ndarray, np.ndarray]:
+        """Ranges of the strings that lie within what ``around`` names."""
+        return np.maximum(self.low, self.at - self.modulus), np.minimum(self.at, self.high - self.length) + 1
+
+    def halves(self) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Ranges of the strings that begin at most ``mid`` bytes before a suffix, and of those from there on."""
+        last = self.high - self.length
+        return (np.maximum(self.low, self.at - self.mid), np.minimum(self.at, last) + 1), (np.maximum(self.low, self.at - self.modulus + 1), np.minimum(self.at - self.mid, last) + 1)
+
+    def half_names(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Names of the first halves of suffixes ``near`` and then of the others of suffixes ``far``."""
+        a, b = self.at[near], self.at[far]
+        return np.concatenate([self.names(a, a + self.length - self.mid), self.names(b - self.mid, b + self.gram) ^ np.uint64(0x9E3779B97F4A7C15)])
+
+
+def _bits(mask: np.ndarray) -> np.ndarray:
+    return np.packbits(mask)
+
+
+def _mask(bits: np.ndarray, n: int) -> np.ndarray:
+    return np.unpackbits(bits, count=n).astype(bool)
+
+
+def _frames(number: int, file: str, kept: bytes, asked: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    yield pd.DataFrame([(0, number, file, 0, kept)], columns=COLUMNS)
+    yield asked
+
+
+def remove_repeats(docs: DataFrame, length: int = 200, chunk_bytes: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept, spans) of every row."""
-    if length <= GRAM:
-        raise ValueError(f"strings of more than {GRAM} bytes")
-    spark = docs.sparkSession
-    folder, texts = scratch(spark, "repeat-chunks"), texts_of(docs, id_col, text_col)
-    size = texts.agg(F.sum(F.octet_length("text").cast("double"))).first()[0] or 0
-    buckets = max(16, int(size / 60 / GRAMS) + 1)
-    tasks = max(1, min(int(size / chunk_bytes) + 1, 20_000))  # the rows are few, the files behind them are not
-
-    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out() -> pd.DataFrame:
-            name, number = f"{folder}/{uuid.uuid4().hex}", uuid.uuid4().int >> 65
-            chunk = Chunk(np.array(ids, np.int64), held, length)
-            chunk.save(name)
-            grams, count = np.unique(np.concatenate([g for _, _, g in chunk.covers]), return_counts=True)
-            order, ends = _buckets(grams, buckets)
-            rows = [(0, number, name, 0, None)]
-            rows += [(1, number, None, b, pack(gaps(grams[k]), count[k].astype("<u4"))) for b in range(buckets) if len(k := order[ends[b] : ends[b + 1]])]
-            return pd.DataFrame(rows, columns=["kind", "chunk", "file", "bucket", "blob"])
-
-        ids, held, total = [], [], 0
-        for pdf in parts:
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids.append(i)
-                held.append(text.encode("utf-8", "surrogatepass"))
-                total += len(held[-1])
-                if total > chunk_bytes:
-                    yield out()
-                    ids, held, total = [], [], 0
-        if ids:
-            yield out()
-
-    asked = stage(texts.mapInPandas(split, ASK), "repeat-grams")
-    files = asked.where("kind = 0").select("chunk", "file")
-    answers = asked.where("kind = 1").select("chunk", "bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(_answer_grams, ASK)
-
-    def together(rows: DataFrame) -> DataFrame:
-        """A chunk's rows and the name of its file (kind 0), together; what a kind lacks is 0, so integers stay integers."""
-        zero = {f.name: F.lit(None if f.dataType.typeName() in ("binary", "string") else 0).cast(f.dataType) for f in rows.schema if f.name != "chunk"}
-        return rows.withColumn("file", F.lit(None).cast("string")).unionByName(files.withColumns(zero)).repartition(tasks, "chunk").sortWithinPartitions("chunk")
-
-    def phrases(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, rows in _by_chunk(parts):
-            chunk = Chunk.load(rows["file"][rows["kind"] == 0].iat[0], length)
-            real = rows[rows["kind"] == 1]
-            yield _triples(chunk, dict(zip(real["bucket"].astype(int), real["blob"])), buckets, number)
-
-    named = stage(names(stage(together(answers.drop("file")).mapInPandas(phrases, TRIPLES), "repeat-triples")), "repeat-named")
-    flags = named.withColumn("kind", F.lit(1))
-
-    def edges(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for number, rows in _by_chunk(parts):
-            real = rows[rows["kind"] == 1].sort_values(["d", "j"])
-            if len(real):
-                yield _edges(Chunk.load(rows["file"][rows["kind"] == 0].iat[0], length), real, number)
-
-    around = stage(together(flags).mapInPandas(edges, EDGES), "repeat-edges")
-    # What two positions share holds `half` bytes from them on, or else more than what is left before them: they meet by either.
-    half = (length + GRAM) // 2
-    onward, backward = F.substring("after", 1, half), F.substring("before", 1, length - half + 1)
-    sides = F.array(F.when(F.length("after") >= half, F.xxhash64("gram", F.lit(1), onward)), F.when(F.length("before") > length - half, F.xxhash64("gram", F.lit(2), backward)))
-    sided = around.withColumn("gram", F.explode(F.array_compact(sides)))
-    blocks = sided.groupBy("gram").agg(F.count("*").alias("n"), F.count_if("need").alias("needy")).where("needy > 0 and n > 1").select("gram", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    rows = sided.join(blocks, "gram")
-    everyone = rows.withColumns({"block": F.pmod(F.xxhash64("chunk", "d", "j"), F.col("blocks")), "role": F.lit(0)})
-    needy = rows.where("need").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "role": F.lit(1)})
-    met = everyone.unionByName(needy).drop("blocks", "need").repartition("gram", "block").sortWithinPartitions("gram", "block").mapInPandas(lambda parts: _compare(parts, length), FOUND)
-
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for _, rows in _by_chunk(parts):
-            chunk = Chunk.load(rows["file"][rows["kind"] == 0].iat[0], length)
-            real = rows[rows["kind"] > 0].sort_values(["d", "j"])
-            yield _result(chunk, real)
-
-    no = F.lit(False)
-    compared = met.withColumns({"kind": F.lit(2), "shared3": no, "first3": no, "shared9": no, "first9": no, "back": no, "ahead": no})
-    both = flags.withColumns({"low": F.lit(0), "high": F.lit(0)}).unionByName(compared)
-    return restored(together(both).mapInPandas(finish, OUT))
+    if 2 * length < 3 * min(COVERS):
+        raise ValueError(f"strings of at least {-(-3 * min(COVERS) // 2)} bytes")
+    corpus = Corpus(docs, "repeats", chunk_bytes, id_col, text_col)
+    entries = corpus.bytes * 0.1 + 1
+    buckets, short = corpus.buckets(entries), max(32, min(64, int(np.log2(entries)) + 10))
+
+    def grams(number: int, chunk: Chunk) -> pd.DataFrame:
+        return question(number, Suffixes(chunk, length).grams(), buckets, short)
+
+    def surroundings(number: int, file: str, kept: bytes | None, reply: np.ndarray) -> Iterator[pd.DataFrame]:
+        s = Suffixes(Chunk.load(file), length)
+        again = (answered(s.grams(), reply, short)[0] & OFTEN) > 0
+        s.only(again)
+        yield from _frames(number, file, pack(_bits(again)), question(number, s.around(), buckets))
+
+    def halves(number: int, file: str, kept: bytes | None, reply: np.ndarray) -> Iterator[pd.DataFrame]:
+        s = Suffixes(Chunk.load(file), length)
+        s.only(_mask(unpack(kept)[0], len(s.at)))
+        value, lead = answered(s.around(), reply)
+        shared = (value & OFTEN) > 0
+        begin, end = s.windows_around()
+        settled = _marked(s.n, begin[shared], end[shared])
+        stands = ~shared | (lead & ((value & FIRST) > 0))
+        s.only(stands)
+        open_ = np.concatenate([[0], np.cumsum(~settled)])
+        flags, which = [], []
+        for begin, end in s.halves():
+            k = np.flatnonzero(begin < end)
+            which.append(k)
+            flags.append(open_[end[k]] > open_[begin[k]])
+        state = pack(unpack(kept)[0], _bits(stands), *(x.astype("<i8") for x in _runs(settled)))
+        yield from _frames(number, file, state, question(number, s.half_names(*which), buckets, short, np.concatenate(flags)))
+
+    def edges(number: int, file: str, kept: bytes | None, reply: np.ndarray) -> Iterator[pd.DataFrame]:
+        s = Suffixes(Chunk.load(file), length)
+        survivors, stands, *settled = unpack(kept)
+        s.only(_mask(survivors, len(s.at)))
+        s.only(_mask(stands, len(s.at)))
+        ranges = s.halves()
+        which = [np.flatnonzero(begin < end) for begin, end in ranges]
+        value = answered(s.half_names(*which), reply, short)[0]
+        meets = ((value & OFTEN) > 0) & ((value & FLAGGED) > 0)
+        cut = len(which[0])
+        chosen = [(begin[k][m], end[k][m]) for (begin, end), k, m in zip(ranges, which, (meets[:cut], meets[cut:]))]
+        open_ = _marked(s.n, np.concatenate([b for b, _ in chosen]), np.concatenate([e for _, e in chosen]))
+        at = np.flatnonzero(open_)
+        yield from _frames(number, file, pack(*(x.astype("<i8") for x in (*settled, *_runs(open_)))), question(number, s.names(at, at + length), buckets))
+
+    def finish(number: int, file: str, kept: bytes | None, reply: np.ndarray) -> Iterator[pd.DataFrame]:
+        chunk = Chunk.load(file)
+        n, (begin, end, first, last) = len(chunk.data), unpack(kept)
+        at = np.flatnonzero(_marked(n, first, last))
+        if len(at):
+            value, _ = answered(window_hash(prefix_hash(chunk.data), at, at + length), reply)
+            at = at[(value & OFTEN) > 0]
+        gone = _marked(n, np.concatenate([begin, at]), np.concatenate([end - 1, at]) + length)
+        rows = []
+        for key, text, a, b in zip(chunk.ids.tolist(), chunk.texts, chunk.start.tolist(), chunk.end.tolist()):
+            mine = gone[a:b]
+            removed = int(np.count_nonzero(mine))
+            spans = [{"start": x, "end": y} for x, y in zip(*(z.tolist() for z in _runs(mine)))] if removed else []
+            rows.append((key, len(text), removed, len(spans), chunk.data[a:b][~mine].tobytes() if removed else text, spans))
+        yield pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+
+    table = corpus.answers(corpus.begin(grams), buckets)
+    for step in (surroundings, halves, edges):
+        table = corpus.answers(corpus.again(table, step), buckets)
+    return restored(corpus.each(table, finish, OUT))
 
 
 def op4_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
