@@ -11,15 +11,18 @@ exact copies count once):
 * segments of toxic scores in clean text follow an extreme-value law: lambda solves
   sum p(s) exp(lambda s) = 1 over the scores of clean training text, K comes from how many
   segments clean text has;
-* a document's evidence is the sum of -ln E over its segments with E < 1; a logistic curve, fitted on
-  documents that the weights in use then have not seen, turns it into a probability.
+* a document's evidence is the sum of -ln E over its segments with E < 1; a logistic curve turns it into a
+  probability. The curve is cross-fitted: each of ``FOLDS`` folds is rated by weights of the other folds.
+  A smaller z is taken as long as it makes the labels of the folds likelier, as it does with few labels; a
+  curve without slope is never used while there are units.
 
 Scoring is one pass over all whole texts: the linear-time scan for all maximal scoring segments
 goes over the tokens with positive scores only, as sums between them come from one running sum.
 The model is at most ``max_units`` numbers, whatever the corpus.
 
 Defined results: null and empty texts score as documents without evidence; rows that repeat each
-get a row; null labels are ignored, of several labels of one id the highest counts; without any
+get a row; a null id is scored like any other, is in no fold (``held_out`` false) and teaches nothing, as
+labels of null ids are ignored; an empty table has no rows; extra columns are ignored; null labels are ignored, of several labels of one id the highest counts; without any
 label, or with one class only, every score is the smoothed share of toxic labels.
 """
 
@@ -36,7 +39,11 @@ from pyspark.sql import functions as F
 from .common import lowered, prefix_hash, restored, small_batches, texts_of, window_hash, word_spans
 
 STEMS = (4, 5, 6)
-COUNTS = "unit long, n0a long, n1a long, n0b long, n1b long"
+FOLDS = 5
+CELLS = [f"n{y}_{fold}" for fold in range(FOLDS) for y in (0, 1)]
+COUNTS = "unit long, " + ", ".join(f"{c} long" for c in CELLS)
+#: What z falls back to in turn.
+LOOSER = (2.0, 1.5, 1.0, 0.5)
 SCORES = "doc_id long, evidence double, n_tokens long, segments array<struct<first:long,last:long,score:double,e_value:double>>"
 
 
@@ -109,21 +116,25 @@ def evidence(scores: np.ndarray, model: Model) -> tuple[float, list[tuple[int, i
     return float(sum(-np.log(max(e, 1e-260)) for *_, e in found)), found
 
 
-def _weights(counts: DataFrame, cols: tuple[Column, Column], z: float, prior: float, max_units: int) -> tuple[np.ndarray, np.ndarray]:
-    """Units whose log-odds differ from nought, by prior-smoothed counts of (clean, toxic) documents."""
-    n0, n1 = cols
-    c = counts.select("unit", n0.alias("n0"), n1.alias("n1"))
-    sums = c.agg(F.sum("n0"), F.sum("n1")).first()
-    total0, total1 = float(sums[0] or 0), float(sums[1] or 0)
-    if not total0 or not total1:
-        return np.empty(0, np.int64), np.empty(0)
-    a, a0 = (F.col("n0") + F.col("n1")) * prior, (total0 + total1) * prior
-    odds = F.log((F.col("n1") + a) / (F.lit(total1 + a0) - F.col("n1") - a)) - F.log((F.col("n0") + a) / (F.lit(total0 + a0) - F.col("n0") - a))
-    sd = F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a))
-    w = F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - z * sd)
-    rows = c.where("n0 + n1 > 1").select("unit", w.alias("w")).where(F.abs("w") > 0.1).orderBy(F.abs("w").desc(), "unit").limit(max_units).toPandas()
-    rows = rows.sort_values("unit")
-    return rows["unit"].to_numpy(np.int64), rows["w"].to_numpy(float)
+def _weights(counts: DataFrame, parts: list[tuple[Column, Column]], z: float, prior: float, max_units: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part, a pair of counts of (clean, toxic) documents: units whose smoothed log-odds differ from nought."""
+    c = counts.select("unit", *[n.alias(f"n{y}p{k}") for k, pair in enumerate(parts) for y, n in enumerate(pair)])
+    sums = c.agg(*[F.sum(x).alias(x) for x in c.columns[1:]]).first()
+    columns = []
+    for k in range(len(parts)):
+        n0, n1, total0, total1 = F.col(f"n0p{k}"), F.col(f"n1p{k}"), float(sums[f"n0p{k}"] or 0), float(sums[f"n1p{k}"] or 0)
+        if not total0 or not total1:
+            columns.append(F.lit(0.0).alias(f"w{k}"))
+            continue
+        a, a0 = (n0 + n1) * prior, (total0 + total1) * prior
+        odds = F.log((n1 + a) / (F.lit(total1 + a0) - n1 - a)) - F.log((n0 + a) / (F.lit(total0 + a0) - n0 - a))
+        sd = F.sqrt(1 / (n1 + a) + 1 / (n0 + a))
+        columns.append(F.when(n0 + n1 > 1, F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - z * sd)).otherwise(0.0).alias(f"w{k}"))
+    names = [f"w{k}" for k in range(len(parts))]
+    most = F.greatest(*[F.abs(w) for w in names], F.lit(0.0))
+    rows = c.select("unit", *columns).where(most > 0.1).orderBy(most.desc(), "unit").limit(max_units).toPandas().sort_values("unit")
+    unit = rows["unit"].to_numpy(np.int64)
+    return [(unit[on], w[on]) for w in (rows[n].to_numpy(float) for n in names) for on in (np.abs(w) > 0.1,)]
 
 
 def _null_law(stats: pd.DataFrame, drift: float, model: Model) -> None:
@@ -168,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 24_000, max_unit
     model = Model(drift=drift)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(remainder("doc_id", hold_out[0]) != hold_out[1])
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
-    sample = known.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(max_labelled).withColumn("fold", (F.pmod("key", F.lit(3)) == 0).cast("int"))
+    sample = known.withColumn("key", F.xxhash64("doc_id")).orderBy("key", "doc_id").limit(max_labelled).withColumn("fold", F.pmod("key", F.lit(FOLDS)).cast("int"))
     rows = sample.select("doc_id", "y", "fold").toPandas()  # at most max_labelled rows
     model.offset = float(np.log((rows["y"].sum() + 0.5) / (len(rows) - rows["y"].sum() + 0.5)))
     if rows["y"].nunique() < 2:
@@ -192,50 +203,71 @@ def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z:
                 for text, y, fold in zip(part["text"], part["y"], part["fold"], strict=True):
                     u = np.unique(np.concatenate(units_of(text)))
                     units.append(u)
-                    kind.append(np.full(len(u), int(y) + 2 * int(fold)))
+                    kind.append(np.full(len(u), int(y > 0) + 2 * int(fold)))
                 if not units:
                     continue
                 u, inv = np.unique(np.concatenate(units), return_inverse=True)
-                table = np.bincount(inv * 4 + np.concatenate(kind), minlength=4 * len(u)).reshape(-1, 4)
+                table = np.bincount(inv * len(CELLS) + np.concatenate(kind), minlength=len(CELLS) * len(u)).reshape(-1, len(CELLS))
                 keep = u != 0
-                yield pd.DataFrame({"unit": u[keep], **{c: table[keep, i] for i, c in enumerate(("n0a", "n1a", "n0b", "n1b"))}})
+                yield pd.DataFrame({"unit": u[keep], **{c: table[keep, i] for i, c in enumerate(CELLS)}})
 
-    counts = train.mapInPandas(count, COUNTS).groupBy("unit").agg(*[F.sum(c).alias(c) for c in ("n0a", "n1a", "n0b", "n1b")]).persist()
+    counts = train.mapInPandas(count, COUNTS).groupBy("unit").agg(*[F.sum(c).alias(c) for c in CELLS]).persist()
 
-    def seen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for pdf in parts:
-            rows = []
-            for text, y, fold in zip(pdf["text"], pdf["y"], pdf["fold"], strict=True):
-                s = token_scores(text, m)
-                if y == 0:
+    def laws(models: list[Model]) -> None:
+        """Extreme-value laws: a clean document counts for one model that learned from it (of several, that of the fold after its own)."""
+        shared = spark.sparkContext.broadcast(models)
+
+        def seen(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                rows = []
+                for text, fold in zip(pdf["text"], pdf["fold"], strict=True):
+                    k = (int(fold) + 1) % len(shared.value)
+                    s = token_scores(text, shared.value[k])
                     v, n = np.unique(np.round(s, 1), return_counts=True)
-                    rows += [(0, float(a), int(b), 0.0, 0, 0, 0) for a, b in zip(v, n)]
-                    rows += [(0, 0.0, 0, float(np.round(x, 1)), 1, 0, 0) for *_, x in segments(s)]
-            yield pd.DataFrame(rows, columns=["kind", "score", "tokens", "segment", "segments", "y", "fold"])
+                    rows += [(k, float(a), int(b), 0.0, 0) for a, b in zip(v, n)]
+                    rows += [(k, 0.0, 0, float(np.round(x, 1)), 1) for *_, x in segments(s)]
+                yield pd.DataFrame(rows, columns=["k", "score", "tokens", "segment", "segments"])
 
-    def held(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        for pdf in parts:
-            yield pd.DataFrame({"x": [evidence(token_scores(t, m), m)[0] for t in pdf["text"]], "y": pdf["y"].to_numpy()})
+        law = train.where("y = 0").mapInPandas(seen, "k int, score double, tokens long, segment double, segments long")
+        law = law.groupBy("k", "score", "segment").agg(F.sum("tokens").alias("tokens"), F.sum("segments").alias("segments")).orderBy("k", "score", "segment").toPandas()
+        for k, m in enumerate(models):
+            _null_law(law[law["k"] == k], drift, m)
+
+    def rated(models: list[Model]) -> tuple[np.ndarray, np.ndarray]:
+        """Evidence and label of every document, by the model of its fold."""
+        shared = spark.sparkContext.broadcast(models)
+
+        def rate(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                of = (shared.value[int(fold) % len(shared.value)] for fold in pdf["fold"])
+                yield pd.DataFrame({"x": [evidence(token_scores(t, m), m)[0] for t, m in zip(pdf["text"], of)], "y": (pdf["y"] > 0).astype("int64").to_numpy()})
+
+        xy = train.mapInPandas(rate, "x double, y long").orderBy("x", "y").toPandas()  # at most max_labelled rows
+        return np.minimum(xy["x"].to_numpy(float), 60.0), xy["y"].to_numpy(float)
+
+    def total(y: int, without: int | None = None) -> Column:
+        return sum((F.col(f"n{y}_{fold}") for fold in range(FOLDS) if fold != without), F.lit(0))
 
-    # First weights of the folds a, for the curve on fold b; then weights of all.
     try:
-        for last in (False, True):
-            cols = (F.col("n0a") + F.col("n0b"), F.col("n1a") + F.col("n1b")) if last else (F.col("n0a"), F.col("n1a"))
-            model.units, model.weights = _weights(counts, cols, z, prior, max_units)
-            shared = spark.sparkContext.broadcast(model)
-            law = train.mapInPandas(seen, "kind int, score double, tokens long, segment double, segments long, y int, fold int")
-            law = law.groupBy("score", "segment").agg(F.sum("tokens").alias("tokens"), F.sum("segments").alias("segments")).toPandas()
-            _null_law(law, drift, model)
-            if not last:
-                shared = spark.sparkContext.broadcast(model)
-                xy = train.where("fold = 1").mapInPandas(held, "x double, y long").toPandas()  # at most max_labelled rows
-                if xy["y"].nunique() == 2:
-                    x = np.minimum(xy["x"].to_numpy(float), 60.0)
-                    model.slope, model.offset = _logistic(x, xy["y"].to_numpy(float))
-                else:
-                    model.slope = 1.0
+        best = None
+        for now in (z, *[x for x in LOOSER if x < z]):
+            found = _weights(counts, [(total(0, fold), total(1, fold)) for fold in range(FOLDS)] + [(total(0), total(1))], now, prior, max_units)
+            units, weights = found.pop()
+            folds = [Model(units=u, weights=w, drift=drift) for u, w in found]
+            if not all((w > 0).any() for w in (weights, *(m.weights for m in folds))):
+                continue
+            laws(folds)
+            x, y = rated(folds)
+            slope, offset = _logistic(x, y)
+            p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+            fit_now = float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+            if best is not None and fit_now <= best:
+                break
+            best, model.units, model.weights, model.slope, model.offset = fit_now, units, weights, slope, offset
+        laws([model])
+        if model.slope <= 0.01 and len(model.units):  # no fold tells the others' classes apart: the curve of the weights' own documents, less steep
+            slope, offset = _logistic(*rated([model]))
+            model.slope, model.offset = max(slope / 2, 0.1), offset
     finally:
         counts.unpersist()
     return model
@@ -272,4 +304,4 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rated = score(docs, model)
-    return rated.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("segments").cast("long").alias("n_segments"))
+    return rated.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.size("segments").cast("long").alias("n_segments"))
