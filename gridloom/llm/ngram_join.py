@@ -1,58 +1,93 @@
-"""N-gram Jaccard join by prefix filters under several global token orders (operator 7).
-
-A document's set is its distinct 5-word shingles (64-bit hashes). Sets link when their Jaccard
-similarity is at least 0.8. If two sets of sizes a and b link, then under any one global order of all
-shingles their prefixes of a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1 shingles share one. That holds
-for each order by itself, so candidates must share a prefix shingle under all of them:
-
-* every order puts shingles that are frequent in a bounded sample of documents last and the rest by
-  a hash of its own. The sample only bends the orders; it can't lose a link;
-* documents with equal sets are one class. Prefix shingles of the first order go, packed by hash
-  bucket, to tasks that keep those of two classes or more; the frequent ones go as rows that are
-  pre-aggregated, so no task gathers what a third of all rows shares;
-* candidates meet the other orders' prefixes and the size filter before their sets are intersected.
-
-Only components are asked for, so not all pairs of a large group are made: each shared shingle's
-classes are first compared with its least class, the links are joined into components, those outside
-its largest component are compared with one of them, and then only classes of different components that share a prefix shingle are candidates: a shingle's classes
-outside its largest component meet all its classes, in blocks of bounded size. So no link between
-components is lost, and a group that is one component costs a row a class. Sketches (counts of
-shingles by leading bits) rule out nearly all pairs that only share a passage before any text moves.
-
-Defined results: null, empty and word-free texts have no shingles and stand alone; repeated rows
-have equal sets and so one component; a null id never names a component with other members; extra
-columns are ignored.
+"""N-gram Jaccard join by filters under several global token orders (operator 7).
+
+A document's set is its distinct 5-word shingles (64-bit hashes). Sets link when their Jaccard similarity is at
+least 0.8. If two sets of sizes a and b link, then under any one global order of all shingles their prefixes of
+a - ceil(0.8 a) + 1 and b - ceil(0.8 b) + 1 shingles share one. That holds for each order by itself, so candidates
+must share a prefix shingle under every one of them:
+
+* How often each shingle occurs in the corpus is counted first (chunks.py). Every order puts rarer shingles before
+  more frequent ones, by classes of counts, and orders equals by a hash of its own. So a document whose prefix is
+  all shingles that occur once has no link, whatever passages it shares, and goes no further.
+* Documents with equal sets are one class. Classes that share no prefix shingle under the first order go, then those
+  that share none with the rest under the second, then under the third.
+* Candidate pairs of each order are joined as pairs; those that aren't candidates under all orders go before any text
+  moves, as do pairs whose sizes, counts of shingles that occur once, or sketches (counts of shingles by leading bits,
+  whose minima bound an intersection from above) rule a link out. What is left is verified on the texts.
+
+Only components are asked for, so not all pairs of a large group are made: first each shared shingle's classes meet the
+class among them with the least share of shingles that occur once (the text that others were copied from), and the
+links are joined into components. Then only shingles whose classes are in several components are open: one class
+outside the largest component meets the others there; and what is still open meets in blocks of bounded size, those
+outside the largest component with all of other components. So no link between components is lost, and a group
+that is one component costs a row a class.
+
+Defined results: null, empty and word-free texts have no shingles and stand alone; repeated rows have equal sets and so
+one component; a null id never names a component with other members; an empty table has no rows; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, discard, lowered, mix, restored, shingle_hashes, stage, texts_of, word_hashes
+from .chunks import OFTEN, Chunk, Corpus, answered, question
+from .common import LOWER, NULL_ID, mix, prefix_hash, restored, shingle_hashes, stage, window_hash, word_hashes, word_spans, lowered
 from .components import components
 
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-BUCKETS = 512
+ALL = (1 << len(ORDERS)) - 1
 #: A set's sketch: how many of its shingles begin with each pattern of leading bits. Sums of minima bound an
 #: intersection from above; there are at least BINS bins, and four times as many until 16 shingles share one.
 BINS = 128
 BLOCK = 512
-#: kind 0: a document's (doc_id, sig, n); kind 1: a bucket's packed (shingle, sig, n); kind 2: a frequent prefix shingle.
-PACKED = "kind int, doc_id long, sig long, n int, bucket int, token long, blob binary, sketch binary"
-COLUMNS = ["kind", "doc_id", "sig", "n", "bucket", "token", "blob", "sketch"]
-SHARED = "token long, sig long, n int, pivot long, pivot_n int"
-ENTRY = np.dtype([("token", "<i8"), ("sig", "<i8"), ("n", "<i4")])
+TOKENS = [f"t{o}" for o in range(len(ORDERS))]
+DOCS = "doc_id long, sig long, n int, rare int, chunk long, file string, d int, sketch binary, " + ", ".join(f"{t} array<long>" for t in TOKENS)
 
 
 def shingles(text: str, k: int = 5) -> np.ndarray:
     return shingle_hashes(word_hashes(lowered(text)), k)
 
 
+def sets_of(chunk: Chunk, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct shingles of all documents in a row, and where each document's end."""
+    data = np.frombuffer(b" ".join(chunk.texts).translate(LOWER), np.uint8)
+    start, end = word_spans(data)
+    if not len(start):
+        return np.empty(0, np.uint64), np.zeros(len(chunk.texts), np.int64)
+    words = window_hash(prefix_hash(data), start, end)
+    doc = np.searchsorted(chunk.end + np.arange(len(chunk.end)), start, side="right")  # a blank stands after each text
+    whole = np.flatnonzero(doc[: max(0, len(doc) - k + 1)] == doc[k - 1 :])
+    out = np.full(len(whole), np.uint64(k), np.uint64)
+    for j in range(k):
+        out = mix(out * np.uint64(0x100000001B3) + words[whole + j])
+    of, count = doc[whole], np.bincount(doc, minlength=len(chunk.texts))
+    upto = np.cumsum(count)
+    few = np.flatnonzero((count > 0) & (count < k)).tolist()
+    out = np.concatenate([out, *(shingle_hashes(words[upto[d] - count[d] : upto[d]], k) for d in few)])
+    of = np.concatenate([of, np.array(few, of.dtype)])
+    order = np.lexsort((out, of))
+    out, of = out[order], of[order]
+    new = np.concatenate([[True], (out[1:] != out[:-1]) | (of[1:] != of[:-1])])
+    return out[new], np.cumsum(np.bincount(of[new], minlength=len(chunk.texts)))
+
+
+def first_of_equals(chunk: Chunk, sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each document's signature, and which documents are the chunk's first with theirs."""
+    from xxhash import xxh3_64_intdigest
+
+    raw = sets.tobytes()
+    sig = np.array([xxh3_64_intdigest(raw[8 * a : 8 * b]) - (1 << 63) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())], np.int64)
+    lead = np.zeros(len(sig), bool)
+    lead[np.unique(sig, return_index=True)[1]] = True
+    return sig, lead
+
+
 def sketch(s: np.ndarray) -> bytes:
     bits = BINS.bit_length() - 1
     while len(s) > 16 << bits:
@@ -62,164 +97,167 @@ def sketch(s: np.ndarray) -> bytes:
     return count.astype(np.uint8).tobytes()
 
 
-def prefix(s: np.ndarray, frequent: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The prefix of a set under one order: frequent shingles last, the others by hash."""
+def prefix(s: np.ndarray, often: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """Where the shingles of a set's prefix stand in it, under an order: rarer classes first, equals by hash."""
     n = len(s)
     size = n - -(-percent * n // 100) + 1
-    key = mix(s ^ np.uint64(order)) >> np.uint64(1)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        key = np.where(frequent[at] == s, key | np.uint64(1 << 63), key)
-    return s[np.argpartition(key, size - 1)[:size]] if size < n else s
+    key = (mix(s ^ np.uint64(order)) >> np.uint64(2)) | (often.astype(np.uint64) << np.uint64(62))
+    return np.argpartition(key, size - 1)[:size] if size < n else np.arange(n)
+
+
+def documents(corpus: Corpus, k: int, percent: int) -> DataFrame:
+    """A row a document; the first of each set in a chunk, if it can have links, with its prefixes under all orders."""
+    entries = corpus.bytes / 6 + 1
+    buckets, bits = corpus.buckets(entries), max(32, min(64, int(np.log2(entries)) + 10))
+
+    def asked(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sets, ends = sets_of(chunk, k)
+        sig, lead = first_of_equals(chunk, sets, ends)
+        return sets, ends, sig, lead
+
+    def ask(number: int, chunk: Chunk) -> pd.DataFrame:
+        sets, ends, _, lead = asked(chunk)
+        return question(number, sets[np.repeat(lead, np.diff(ends, prepend=0))], buckets, bits)
+
+    def rows(number: int, file: str, kept: bytes | None, reply: np.ndarray) -> Iterator[pd.DataFrame]:
+        chunk = Chunk.load(file)
+        sets, ends, sig, lead = asked(chunk)
+        n = np.diff(ends, prepend=0)
+        mine = np.repeat(lead, n)
+        often = np.zeros(len(sets), np.uint8)
+        often[mine] = answered(sets[mine], reply, bits)[0] & OFTEN
+        once = np.concatenate([[0], np.cumsum(often == 0)])
+        rare = once[ends] - once[ends - n]
+        open_ = lead & (n > 0) & (rare < n - -(-percent * n // 100) + 1)
+        out = {"doc_id": chunk.ids, "sig": sig, "n": n, "rare": np.where(lead, rare, 0), "chunk": number, "file": file, "d": np.arange(len(n)), "sketch": np.full(len(n), None, object)}
+        out |= {t: np.full(len(n), None, object) for t in TOKENS}
+        for d in np.flatnonzero(open_).tolist():
+            s, c = sets[ends[d] - n[d] : ends[d]], often[ends[d] - n[d] : ends[d]]
+            out["sketch"][d] = sketch(s)
+            for t, order in zip(TOKENS, ORDERS):
+                at = prefix(s, c, order, percent)
+                out[t][d] = s[at[c[at] > 0]].view(np.int64)
+        yield pd.DataFrame(out)
+
+    return stage(corpus.each(corpus.answers(corpus.begin(ask), buckets), rows, DOCS), "ngram-documents")
+
+
+def sharing(classes: DataFrame) -> list[DataFrame]:
+    """For each order, stored rows (token, sig, n, rare) of prefix shingles that several classes share, of classes that share under all orders."""
+    found, alive = [], classes
+    for t in TOKENS:
+        rows = alive.select(F.explode(t).alias("token"), "sig", "n", "rare")
+        several = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+        found.append(stage(rows.join(several, "token", "left_semi"), "ngram-shared"))
+        alive = alive.join(found[-1].select("sig").distinct(), "sig", "left_semi")
+    return found
+
+
+def _can_link(a: str, b: str, percent: int):
+    """Sizes, and shingles that occur once and so in no other set, allow a link of two classes."""
+    n, m = F.col(f"{a}n"), F.col(f"{b}n")
+    least = F.least(n - F.col(f"{a}rare"), m - F.col(f"{b}rare"))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (least * (100 + percent) >= (n + m) * percent)
+
+
+def under_all_orders(pairs: list[DataFrame]) -> DataFrame:
+    """(u, v) that are candidates under every order."""
+    marked = [p.select("u", "v", F.lit(1 << o).alias("bit")) for o, p in enumerate(pairs)]
+    return reduce(DataFrame.unionByName, marked).groupBy("u", "v").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") == ALL).select("u", "v")
+
+
+def _with(rows: DataFrame, pick: DataFrame, percent: int, other: bool = False) -> DataFrame:
+    """Pairs of each group's rows with the group's picked class."""
+    joined = rows.join(pick, "token").where(F.col("sig") != F.col("p_sig"))
+    if other:
+        joined = joined.where(F.col("label") != F.col("p_label"))
+    return joined.where(_can_link("", "p_", percent)).select(F.least("sig", "p_sig").alias("u"), F.greatest("sig", "p_sig").alias("v"))
+
+
+def _picked(rows: DataFrame, *more: str) -> DataFrame:
+    fields = ["sig", "n", "rare", *more]
+    pick = rows.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), *fields)).alias("p"))
+    return pick.select("token", *[F.col(f"p.{f}").alias(f"p_{f}") for f in fields])
+
+
+def star_pairs(shared: list[DataFrame], percent: int) -> DataFrame:
+    """Under all orders: each shared shingle's class with the least share of shingles that occur once, with its others."""
+    return under_all_orders([_with(rows, _picked(rows), percent).distinct() for rows in shared])
+
+
+def open_groups(shared: list[DataFrame], label: DataFrame) -> list[DataFrame]:
+    """Stored rows of shared shingles whose classes are in several components, with the largest one marked."""
+    found = []
+    for rows in shared:
+        now = rows.select("token", "sig", "n", "rare").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        sizes = now.groupBy("token", "label").agg(F.count("*").alias("c"))
+        mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
+        found.append(stage(now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").withColumn("is_top", F.col("label") == F.col("top")), "ngram-open"))
+    return found
+
+
+def second_star_pairs(open_: list[DataFrame], percent: int) -> DataFrame:
+    """Under all orders: in each open shingle, one class outside the largest component with those of other components."""
+    return under_all_orders([_with(rows, _picked(rows.where("not is_top"), "label"), percent, other=True).distinct() for rows in open_])
+
+
+def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 500_000) -> Iterator[pd.DataFrame]:
+    """Pairs within whole groups (token, block): rows that meet with rows that are met, of other labels."""
+    token, block, role, sig, n, rare, label, top = (pdf[c].to_numpy() for c in ("token", "block", "role", "sig", "n", "rare", "label", "is_top"))
+    n, rare = n.astype(np.int64), rare.astype(np.int64)
+    group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))])
+    zero, one = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+    size = np.bincount(group[zero], minlength=group[-1] + 1)
+    first = np.cumsum(size) - size
+    for lo, hi in _runs(size[group[one]], at_once):
+        mine = one[lo:hi]
+        times = size[group[mine]]
+        a = np.repeat(mine, times)
+        b = zero[np.repeat(first[group[mine]] - (np.cumsum(times) - times), times) + np.arange(len(a))]
+        ok = (label[a] != label[b]) & (top[b] | (sig[a] < sig[b])) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
+        ok &= np.minimum(n[a] - rare[a], n[b] - rare[b]) * (100 + percent) >= (n[a] + n[b]) * percent
+        a, b = a[ok], b[ok]
+        if len(a):
+            pairs = np.unique(np.column_stack([np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])]), axis=0)
+            yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
 
 
-def frequent_shingles(texts: DataFrame, sample: int, least: int, most: int, k: int) -> np.ndarray:
-    """Sorted shingles of at least so many of the sampled documents (at most ``most``)."""
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items whose sizes add up to about so much."""
+    total, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        end = int(np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right"))
+        end = max(end, start + 1)
+        yield start, end
+        start = end
 
-    def each(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for at in range(0, len(pdf), 200):
-                s = [shingles(t, k) for t in pdf["text"].iloc[at : at + 200]]
-                token, n = np.unique(np.concatenate(s) if s else np.empty(0, np.uint64), return_counts=True)
-                yield pd.DataFrame({"token": token.view(np.int64), "n": n})
-
-    key = texts.select("doc_id", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(sample)
-    ids = key.select(F.max("h")).first()[0]
-    if ids is None:
-        return np.empty(0, np.uint64)
-    rows = texts.where(F.xxhash64("doc_id") <= ids).mapInPandas(each, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    top = rows.orderBy(F.desc("n"), "token").limit(most).toPandas()
-    return np.sort(top["token"].to_numpy(np.int64).view(np.uint64))
-
-
-def packed(texts: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    shared = texts.sparkSession.sparkContext.broadcast(frequent)  # bounded by a parameter
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-        from xxhash import xxh3_64_intdigest
-
-        often = shared.value
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-
-        def flush(held: list) -> pd.DataFrame:
-            token = np.concatenate([t for t, _, _ in held])
-            entry = np.empty(len(token), ENTRY)
-            entry["token"] = token.view(np.int64)
-            lengths = [len(t) for t, _, _ in held]
-            entry["sig"], entry["n"] = np.repeat([s for _, s, _ in held], lengths), np.repeat([n for _, _, n in held], lengths)
-            entry = np.unique(entry)
-            bucket = (mix(entry["token"].view(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
-            order = np.lexsort((entry["token"], bucket))
-            entry, bucket = entry[order], bucket[order]
-            ends = np.searchsorted(bucket, np.arange(BUCKETS + 1))
-            rows = []
-            for b in np.unique(bucket).tolist():
-                e = entry[ends[b] : ends[b + 1]]
-                gaps = np.diff(e["token"].view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
-                rows.append((b, squeeze(len(e).to_bytes(8, "little") + gaps + e["sig"].tobytes() + e["n"].tobytes())))
-            return pd.DataFrame({"kind": 1, "bucket": [r[0] for r in rows], "blob": [r[1] for r in rows]})
-
-        held, size = [], 0
-        for pdf in parts:
-            docs, hot = [], []
-            for key, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                s = shingles(text, k)
-                sig = xxh3_64_intdigest(s.tobytes()) - (1 << 63)
-                docs.append((key, sig, len(s), sketch(s)))
-                if len(s):
-                    p = prefix(s, often, ORDERS[0], percent)
-                    is_hot = np.isin(p, often, assume_unique=True) if len(often) else np.zeros(len(p), bool)
-                    hot += [(sig, len(s), t) for t in p[is_hot].view(np.int64).tolist()]
-                    held.append((p[~is_hot], sig, len(s)))
-                    size += len(p)
-                    if size > 700_000:
-                        yield flush(held).reindex(columns=COLUMNS)
-                        held, size = [], 0
-            yield pd.DataFrame({"kind": 0, "doc_id": pd.array([d[0] for d in docs], "Int64"), "sig": [d[1] for d in docs], "n": [d[2] for d in docs], "sketch": [d[3] for d in docs]}).reindex(columns=COLUMNS)
-            if hot:
-                yield pd.DataFrame({"kind": 2, "sig": [h[0] for h in hot], "n": [h[1] for h in hot], "token": [h[2] for h in hot]}).reindex(columns=COLUMNS)
-        if size:
-            yield flush(held).reindex(columns=COLUMNS)
-
-    def typed(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in run(parts):
-            yield pdf.astype({"doc_id": "Int64", "sig": "Int64", "n": "Int32", "bucket": "Int32", "token": "Int64"})
-
-    return texts.mapInPandas(typed, PACKED)
-
-
-def shared_tokens(table: DataFrame) -> DataFrame:
-    """(token, sig, n, pivot, pivot_n): prefix shingles of two classes or more; the pivot is the least class."""
-
-    def gather(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import zstandard
-
-        def unpack(blob: bytes) -> np.ndarray:
-            raw = zstandard.ZstdDecompressor().decompress(blob)
-            m = int.from_bytes(raw[:8], "little")
-            e = np.empty(m, ENTRY)
-            e["token"] = np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * m, 8).reshape(8, m).T).view("<u8").ravel(), dtype=np.uint64).view(np.int64)
-            e["sig"], e["n"] = np.frombuffer(raw, "<i8", m, 8 + 8 * m), np.frombuffer(raw, "<i4", m, 8 + 16 * m)
-            return e
-
-        def emit(blobs: list[bytes]) -> pd.DataFrame:
-            e = np.concatenate([unpack(b) for b in blobs])
-            e = e[np.lexsort((e["sig"], e["token"]))]
-            e = e[np.concatenate([[True], (e["token"][1:] != e["token"][:-1]) | (e["sig"][1:] != e["sig"][:-1])])]
-            head = np.flatnonzero(np.concatenate([[True], e["token"][1:] != e["token"][:-1]]))
-            size = np.diff(np.append(head, len(e)))
-            at = np.repeat(head, size)
-            keep = np.repeat(size, size) > 1
-            e, at, all_e = e[keep], at[keep], e
-            return pd.DataFrame({"token": e["token"], "sig": e["sig"], "n": e["n"], "pivot": all_e["sig"][at], "pivot_n": all_e["n"][at]})
-
-        bucket, blobs = None, []
-        for pdf in parts:
-            for b, blob in zip(pdf["bucket"], pdf["blob"], strict=True):
-                if b != bucket and blobs:
-                    yield emit(blobs)
-                    blobs = []
-                bucket = b
-                blobs.append(blob)
-        if blobs:
-            yield emit(blobs)
-
-    cold = table.where("kind = 1").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket").mapInPandas(gather, SHARED)
-    hot = table.where("kind = 2").select("token", "sig", "n").distinct()
-    first = hot.groupBy("token").agg(F.min(F.struct("sig", "n")).alias("p"), F.count("*").alias("c")).where("c > 1").select("token", F.col("p.sig").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    return cold.unionByName(hot.join(first, "token"))
-
-
-def verified(pairs: DataFrame, sets: DataFrame, frequent: np.ndarray, k: int, percent: int) -> DataFrame:
-    """Links (u, v) among candidate pairs (u, v); sets has (sig, text). A u with very many v is salted."""
-    shared = pairs.sparkSession.sparkContext.broadcast(frequent)
 
-    def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        often, u, mine, filters = shared.value, None, None, []
+def cross_pairs(open_: list[DataFrame], percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a prefix shingle under every order."""
+
+    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
         for pdf in parts:
-            out = []
-            for a, b, head, text in zip(pdf["u"], pdf["v"], pdf["head"], pdf["text"], strict=True):
-                if head:
-                    u, mine = a, shingles(text, k)
-                    filters = [prefix(mine, often, o, percent) for o in ORDERS[1:]]
-                    continue
-                assert a == u, "a class without its set"
-                s = shingles(text, k)
-                if min(len(s), len(mine)) * 100 < percent * max(len(s), len(mine)):
-                    continue
-                if not all(len(np.intersect1d(f, prefix(s, often, o, percent), assume_unique=True)) for f, o in zip(filters, ORDERS[1:])):
-                    continue
-                both = len(np.intersect1d(mine, s, assume_unique=True))
-                if both * 100 >= percent * (len(mine) + len(s) - both):
-                    out.append((a, int(b)))
-            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+            pdf = pdf if rest is None else pd.concat([rest, pdf])
+            token, block = pdf["token"].to_numpy(), pdf["block"].to_numpy()
+            cut = np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1]))
+            end = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
+            if end:
+                yield from _meeting(pdf.iloc[:end], percent)
+            rest = pdf.iloc[end:]
+        if rest is not None and len(rest):
+            yield from _meeting(rest, percent)
 
-    pieces = pairs.groupBy("u").agg(F.ceil(F.count("*") / 256).alias("pieces"))
-    members = pairs.join(pieces, "u").withColumn("piece", F.pmod(F.xxhash64("v"), F.col("pieces"))).join(sets.withColumnRenamed("sig", "v"), "v").select("u", "piece", F.lit(False).alias("head"), "v", "text")
-    heads = pieces.join(sets.withColumnRenamed("sig", "u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("head"), F.col("u").alias("v"), "text")
-    rows = members.unionByName(heads).repartition("u", "piece").sortWithinPartitions("u", "piece", F.desc("head"))
-    return rows.select("u", "v", "head", "text").mapInPandas(check, "u long, v long")
+    def pairs(rows: DataFrame) -> DataFrame:
+        # Role 0 is met, 1 meets, 2 does both; in blocks other than its own a row outside the largest component only meets.
+        own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+        here = rows.withColumns({"block": own, "role": F.when(F.col("is_top"), 0).otherwise(2)})
+        there = rows.where("not is_top and blocks > 1").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "role": F.lit(1)}).where(F.col("block") != own)
+        columns = ["token", "block", "role", "sig", "n", "rare", "label", "is_top"]
+        both = here.select(*columns).unionByName(there.select(*columns))
+        return both.repartition("token", "block").sortWithinPartitions("token", "block").mapInPandas(meet, "u long, v long").distinct()
+
+    return under_all_orders([pairs(rows) for rows in open_])
 
 
 class Sketches:
@@ -267,131 +305,71 @@ def possible_pairs(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataF
     return pairs.distinct().join(side("u"), "u").join(side("v"), "v").select("u", "v", "un", "vn", "us", "vs").mapInPandas(keep, "u long, v long")
 
 
-def _alike(a, b, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
-
-
-def star_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """Each shared shingle's least class with its others."""
-    return prefixes.where(F.col("sig") != F.col("pivot")).where(_alike("n", "pivot_n", percent)).select(F.col("pivot").alias("u"), F.col("sig").alias("v"))
-
-
-def open_groups(prefixes: DataFrame, label: DataFrame) -> DataFrame:
-    """Rows of shared shingles whose classes are in several components, with the largest one marked."""
-    now = prefixes.select("token", "sig", "n").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    sizes = now.groupBy("token", "label").agg(F.count("*").alias("c"))
-    mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
-    return now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").withColumn("is_top", F.col("label") == F.col("top"))
-
-
-def second_star_pairs(open_: DataFrame, percent: int) -> DataFrame:
-    """In each open shingle, one class outside the largest component with the others there."""
-    few = open_.where("not is_top")
-    pick = few.groupBy("token").agg(F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n", "label")).alias("p"))
-    pairs = few.join(pick, "token").where("label <> p.label").where(_alike("n", F.col("p.n"), percent))
-    return pairs.select(F.least("sig", "p.sig").alias("u"), F.greatest("sig", "p.sig").alias("v"))
-
-
-def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 200_000) -> Iterator[pd.DataFrame]:
-    """Pairs within whole groups (token, block): rows that meet with rows that are met, of other labels."""
-    token, block, role, sig, n, label, top = (pdf[c].to_numpy() for c in ("token", "block", "role", "sig", "n", "label", "is_top"))
-    table = Sketches(pdf["sketch"].tolist())
-    group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))])
-    zero, one = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-    size = np.bincount(group[zero], minlength=group[-1] + 1)
-    first = np.cumsum(size) - size
-    for lo, hi in _runs(size[group[one]], at_once):
-        mine = one[lo:hi]
-        times = size[group[mine]]
-        a = np.repeat(mine, times)
-        b = zero[np.repeat(first[group[mine]] - (np.cumsum(times) - times), times) + np.arange(len(a))]
-        ok = (label[a] != label[b]) & (top[b] | (sig[a] < sig[b])) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
-        a, b = a[ok], b[ok]
-        good = _possible(table, a, table, b, n[a].astype(np.int64) + n[b], percent)
-        if good.any():
-            pairs = np.unique(np.column_stack([np.minimum(sig[a[good]], sig[b[good]]), np.maximum(sig[a[good]], sig[b[good]])]), axis=0)
-            yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
+def verified(pairs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) among candidate pairs (u, v); sets has (sig, text). A u with very many v is salted."""
 
+    def check(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        u, mine = None, None
+        for pdf in parts:
+            out = []
+            for a, b, head, text in zip(pdf["u"], pdf["v"], pdf["head"], pdf["text"], strict=True):
+                s = shingle_hashes(word_hashes(text), k)
+                if head:
+                    u, mine = a, s
+                    continue
+                assert a == u, "a class without its set"
+                both = len(np.intersect1d(mine, s, assume_unique=True))
+                if both * 100 >= percent * (len(mine) + len(s) - both):
+                    out.append((a, int(b)))
+            yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
 
-def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Ranges of items whose sizes add up to about so much."""
-    total, start = np.cumsum(sizes), 0
-    while start < len(sizes):
-        end = int(np.searchsorted(total, (total[start - 1] if start else 0) + most, side="right"))
-        end = max(end, start + 1)
-        yield start, end
-        start = end
+    pieces = pairs.groupBy("u").agg(F.ceil(F.count("*") / 256).alias("pieces"))
+    members = pairs.join(pieces, "u").withColumn("piece", F.pmod(F.xxhash64("v"), F.col("pieces"))).join(sets.withColumnRenamed("sig", "v"), "v").select("u", "piece", F.lit(False).alias("head"), "v", "text")
+    heads = pieces.join(sets.withColumnRenamed("sig", "u"), "u").select("u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(True).alias("head"), F.col("u").alias("v"), "text")
+    rows = members.unionByName(heads).repartition("u", "piece").sortWithinPartitions("u", "piece", F.desc("head"))
+    return rows.select("u", "v", "head", "text").mapInPandas(check, "u long, v long")
 
 
-def cross_pairs(open_: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that share a prefix shingle, as far as sketches allow."""
+def texts_by_class(needed: DataFrame) -> DataFrame:
+    """(sig, text) of classes (sig, chunk, file, d), read from their chunk files; lower case."""
 
-    def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest: pd.DataFrame | None = None
+    def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, chunk = None, None
         for pdf in parts:
-            pdf = pdf if rest is None else pd.concat([rest, pdf])
-            token, block = pdf["token"].to_numpy(), pdf["block"].to_numpy()
-            cut = np.flatnonzero((token[1:] != token[:-1]) | (block[1:] != block[:-1]))
-            end = int(cut[-1]) + 1 if len(cut) else 0  # the last group may go on
-            if end:
-                yield from _meeting(pdf.iloc[:end], percent)
-            rest = pdf.iloc[end:]
-        if rest is not None and len(rest):
-            yield from _meeting(rest, percent)
+            out = []
+            for sig, file, d in zip(pdf["sig"], pdf["file"], pdf["d"], strict=True):
+                if file != now:
+                    now, chunk = file, Chunk.load(file)
+                out.append((sig, chunk.texts[d].translate(LOWER)))
+            yield pd.DataFrame(out, columns=["sig", "text"])
 
-    open_ = open_.join(sketches.select("sig", "sketch"), "sig")
-    # Role 0 is met, 1 meets, 2 does both; in blocks other than its own a row outside the largest component only meets.
-    own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-    here = open_.withColumns({"block": own, "role": F.when(F.col("is_top"), 0).otherwise(2)})
-    there = open_.where("not is_top and blocks > 1").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "role": F.lit(1)}).where(F.col("block") != own)
-    columns = ["token", "block", "role", "sig", "n", "label", "is_top", "sketch"]
-    rows = here.select(*columns).unionByName(there.select(*columns))
-    return rows.repartition("token", "block").sortWithinPartitions("token", "block").mapInPandas(meet, "u long, v long").distinct()
+    return needed.repartition("chunk").sortWithinPartitions("chunk", "d").select("sig", "file", "d").mapInPandas(load, "sig long, text binary")
 
 
-def join_components(docs: DataFrame, percent: int = 80, k: int = 5, sample: int = 4000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, percent: int = 80, k: int = 5, chunk_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the least id of its component."""
-    texts = texts_of(docs, id_col, text_col)
-    frequent = frequent_shingles(texts, sample, 8, 100_000, k)
-    table = stage(packed(texts, frequent, k, percent), "ngram-prefixes")
-    prefixes = stage(shared_tokens(table), "ngram-shared")
-    classes = stage(table.where("kind = 0").select("doc_id", "sig", "n"), "ngram-classes")
-    shared = prefixes.select("sig").distinct()
-    sketches = stage(table.where("kind = 0").select("doc_id", "sig", "n", "sketch").join(shared, "sig", "left_semi").groupBy("sig").agg(F.min_by(F.struct("doc_id", "n", "sketch"), "doc_id").alias("r")).select("sig", "r.*"), "ngram-sketches")
-    discard(table)
+    table = documents(Corpus(docs, "ngram", chunk_bytes, id_col, text_col), k, percent)
+    classes = stage(table.where("sketch is not null").dropDuplicates(["sig"]), "ngram-classes")
+    shared = sharing(classes)
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "ngram-pairs")
-        needed = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct().join(sketches.select("sig", "doc_id"), "sig")
-        # Rows that repeat an id may differ; the signature that was computed with the text decides.
-        sets = stage(_texts_by_sig(texts.join(stage(needed, "ngram-needed"), "doc_id"), k), "ngram-sets")
-        return stage(verified(pairs, sets, frequent, k, percent), "ngram-links")
+        pairs = stage(possible_pairs(pairs, classes, percent), "ngram-pairs")
+        needed = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct()
+        sets = stage(texts_by_class(classes.select("sig", "chunk", "file", "d").join(needed, "sig", "left_semi")), "ngram-sets")
+        return stage(verified(pairs, sets, k, percent), "ngram-links")
 
-    links = links_of(possible_pairs(star_pairs(prefixes, percent), sketches, percent))
+    links = links_of(star_pairs(shared, percent))
     label = components(links)
     for last in (False, True):
-        open_ = stage(open_groups(prefixes, label), "ngram-open")
-        more = links_of(cross_pairs(open_, sketches, percent) if last else possible_pairs(second_star_pairs(open_, percent), sketches, percent))
+        shared = open_groups(shared, label)
+        more = links_of(cross_pairs(shared, percent) if last else second_star_pairs(shared, percent))
         if more.head(1):
             links = links.union(more)
             label = components(links)
-    of = classes.join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    of = table.select("doc_id", "sig", "n").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = of.where("n > 0").groupBy("label").agg(F.min(F.nullif("doc_id", F.lit(NULL_ID))).alias("least"))
     return restored(of.join(least, "label", "left")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _texts_by_sig(rows: DataFrame, k: int) -> DataFrame:
-    """(sig, text) of rows (doc_id, sig, text) whose text has that signature."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xxhash import xxh3_64_intdigest
-
-        for pdf in parts:
-            keep = [xxh3_64_intdigest(shingles(t, k).tobytes()) - (1 << 63) == s for s, t in zip(pdf["sig"], pdf["text"], strict=True)]
-            yield pdf[keep]
-
-    return rows.select("sig", "text").mapInPandas(run, "sig long, text string").dropDuplicates(["sig"])
-
-
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
