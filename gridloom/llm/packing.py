@@ -11,9 +11,11 @@
 3. The fractional solution is rounded down; what stays over is packed by best fit, longest first,
    over the histogram again.
 4. Each piece takes the slot of its rank among the pieces of its length. Ranks come from counts by
-   (length, salt), so a length that a third of all rows share is numbered in many tasks.
+   (length, salt), with a salt for every ``RANKED`` pieces of a length, so a length that a third of
+   all rows share is numbered in many tasks.
 
-Full pieces fill a sequence alone and never enter the program. Defined results: null or empty
+Full pieces fill a sequence alone: they take a number of their own and enter neither the program nor a
+window. Defined results: null or empty
 text is the end id alone; repeated rows are packed as often as they occur; an empty table has no
 pieces; extra columns are ignored.
 """
@@ -28,8 +30,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import batches, restored, stage, texts_of, tokenizer
+from .common import batches, mix, restored, stage, texts_of, tokenizer
 
+#: Pieces of one length that are numbered in one task.
+RANKED = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
 
@@ -39,18 +43,22 @@ def pieces_of(docs: DataFrame, vocabulary: str, kind: str, end_id: int, capacity
     def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = tokenizer(vocabulary, kind)
         for pdf in parts:
-            texts, keys = pdf["text"].tolist(), pdf["doc_id"].tolist()
+            texts, keys = pdf["text"].tolist(), pdf["doc_id"].to_numpy()
             for a, b in batches(texts):
-                rows = []
-                for key, ids in zip(keys[a:b], t.encode(texts[a:b]), strict=True):
-                    ids = np.append(ids, np.array(end_id, t.dtype)).astype("<u4")
-                    first = (len(ids) - 1) % capacity + 1
-                    for k, at in enumerate(range(first - capacity, len(ids), capacity)):
-                        part = ids[max(at, 0) : at + capacity]
-                        crc = zlib.crc32(part.tobytes())
-                        salt = zlib.crc32(f"{key} {k}".encode()) % 64
-                        rows.append((key, k, max(at, 0), len(part), crc, salt, *([part.astype(np.int64)] if with_ids else [])))
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "salt", *(["ids"] if with_ids else [])])
+                ids, ends = t.encode_ended(texts[a:b], end_id)
+                ids, size = ids.astype("<u4", copy=False), np.diff(ends, prepend=0)
+                n = -(-size // capacity)  # the first piece takes what the full ones leave
+                doc = np.repeat(np.arange(len(n)), n)
+                k = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+                stop = ends[doc] - (n[doc] - 1 - k) * capacity
+                start = np.where(k == 0, ends[doc] - size[doc], stop - capacity)
+                spans = list(zip(start.tolist(), stop.tolist()))
+                out = {"doc_id": keys[a:b][doc], "piece": k, "start": start - (ends - size)[doc], "length": stop - start}
+                out["ids_crc32"] = [zlib.crc32(ids[x:y]) for x, y in spans]
+                out["salt"] = (mix(out["doc_id"].view(np.uint64) * np.uint64(3) + k.astype(np.uint64)) >> np.uint64(33)).astype(np.int64)
+                if with_ids:
+                    out["ids"] = [ids[x:y].astype(np.int64) for x, y in spans]
+                yield pd.DataFrame(out)
         t.rest()
 
     return texts_of(docs, id_col, text_col).mapInPandas(cut, PIECES + (", ids array<long>" if with_ids else ""))
@@ -191,35 +199,32 @@ def slots(plan: list[tuple[tuple[int, ...], int]], capacity: int) -> dict[str, n
 def place(pieces: DataFrame, capacity: int, **how) -> DataFrame:
     """Adds sequence_id and offset; pieces must be a stored table with the columns of PIECES."""
     spark = pieces.sparkSession
-    by_salt = pieces.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
-    for r in by_salt.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most capacity rows
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most capacity rows
         counts[r["length"]] = r["n"]
     counts[capacity] = 0
     table = slots(pack(counts, capacity, **how), capacity)
     shared = spark.sparkContext.broadcast(table)  # bounded by the configurations over 1..capacity
+    parts_of = spark.createDataFrame([(int(l), int(-(-counts[l] // RANKED))) for l in np.flatnonzero(counts)], "length long, salts long")  # at most capacity rows
 
+    kept = [c for c in pieces.columns if c != "salt"]
+    some = pieces.where(F.col("length") < capacity).join(F.broadcast(parts_of), "length").withColumn("salt", F.pmod("salt", "salts"))
+    by_salt = some.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = by_salt.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1
-    ranked = pieces.withColumn("within", within).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within")).drop("before", "within")
+    ranked = some.withColumn("within", within).join(before, ["length", "salt"]).select(*kept, (F.col("before") + F.col("within")).alias("rank"))
 
     def assign(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t = shared.value
         for pdf in parts:
             length, rank = pdf["length"].to_numpy(), pdf["rank"].to_numpy()
-            full = length == capacity
-            sequence, offset = t["n"] + rank, np.zeros(len(rank), np.int64)
-            if len(t["key"]):
-                k = np.maximum(np.searchsorted(t["key"], length * (1 << 40) + rank, side="right") - 1, 0)
-                sequence = np.where(full, sequence, t["sequence"][k] + rank - t["base"][k])
-                offset = np.where(full, 0, t["offset"][k])
-            yield pdf.drop(columns=["salt", "rank"]).assign(sequence_id=sequence, offset=offset)
-
-    kept = [c for c in pieces.columns if c not in ("salt",)]
+            k = np.maximum(np.searchsorted(t["key"], length * (1 << 40) + rank, side="right") - 1, 0)
+            yield pdf.drop(columns=["rank"]).assign(sequence_id=t["sequence"][k] + rank - t["base"][k], offset=t["offset"][k])
+
     fields = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
-    out = [c for c in ranked.columns if c not in ("salt", "rank")]
-    schema = ", ".join(f"{c} {fields[c]}" for c in out) + ", sequence_id long, offset long"
-    return ranked.mapInPandas(assign, schema).select(*kept, "sequence_id", "offset")
+    placed = ranked.mapInPandas(assign, ", ".join(f"{c} {fields[c]}" for c in kept) + ", sequence_id long, offset long")
+    full = pieces.where(F.col("length") == capacity).select(*kept, (F.monotonically_increasing_id() + table["n"]).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return placed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, kind: str = "bytes", end_id: int = 2, capacity: int = 1024, with_ids: bool = False, **how) -> DataFrame:

@@ -73,7 +73,7 @@ class ShardWriter:
     def add(self, doc_id: int, ids: np.ndarray) -> None:
         self.docs.append((doc_id, doc_id == NULL_ID, len(self.table), len(ids)))
         for i in range(0, max(len(ids), 1), self.frame_ids):
-            plain = ids[i : i + self.frame_ids].astype(self.dtype).tobytes()
+            plain = ids[i : i + self.frame_ids].astype(self.dtype, copy=False).tobytes()
             self._put(self.squeeze(plain), plain)
 
     def close(self) -> None:
@@ -87,13 +87,19 @@ class ShardWriter:
 
 
 class ShardReader:
-    """Documents of one shard; only the frames asked for are read and decompressed."""
+    """Documents of one shard; only the frames asked for are read and decompressed.
 
-    def __init__(self, uri: str) -> None:
+    A reader of the whole shard reads ahead in large blocks instead of once a document.
+    """
+
+    AHEAD = 8 << 20
+
+    def __init__(self, uri: str, whole: bool = False) -> None:
         import zstandard
 
         system, path = _open(uri)
         self.file, self.unpack = system.open_input_file(path), zstandard.ZstdDecompressor().decompress
+        self.whole, self.block, self.block_at = whole, b"", 0
         size = self.file.size()
         n, _, magic = struct.unpack("<IBI", self._at(size - 9, 9))
         if magic != SEEKABLE:
@@ -112,8 +118,13 @@ class ShardReader:
         self.stop = np.concatenate([self.first[1:], [n - 1]]) if k else self.first
 
     def _at(self, where: int, n: int) -> bytes:
-        self.file.seek(where)
-        return self.file.read(n)
+        if not self.whole:
+            self.file.seek(where)
+            return self.file.read(n)
+        if not self.block_at <= where <= where + n <= self.block_at + len(self.block):
+            self.file.seek(where)
+            self.block, self.block_at = self.file.read(max(n, self.AHEAD)), where
+        return self.block[where - self.block_at : where - self.block_at + n]
 
     def _frame(self, i: int) -> bytes:
         return self._at(int(self.offset[i]), int(self.table[i, 0]))
@@ -146,11 +157,12 @@ def write(docs: DataFrame, path: str, vocabulary: str, kind: str = "words", end_
         for pdf in parts:
             texts, keys, hashes = pdf["text"].tolist(), pdf["doc_id"].tolist(), pdf["h"].tolist()
             for a, b in batches(texts):
-                for key, ids in zip(keys[a:b], t.encode(texts[a:b]), strict=True):
-                    if out is None:
-                        out, first = ShardWriter(name, t.dtype, end_id, level, frame_ids), (key, int(hashes[a]))
-                    out.add(key, np.append(ids, np.array(end_id, t.dtype)))
-                    n_ids += len(ids) + 1
+                if out is None:
+                    out, first = ShardWriter(name, t.dtype, end_id, level, frame_ids), (keys[a], int(hashes[a]))
+                ids, ends = t.encode_ended(texts[a:b], end_id)
+                n_ids += len(ids)
+                for key, x, y in zip(keys[a:b], [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                    out.add(key, ids[x:y])
         t.rest()
         if out is not None:
             out.close()
@@ -177,7 +189,7 @@ def read(spark: SparkSession, manifest: list[dict], doc_ids: set[int] | None = N
     def load(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
             for uri, start in zip(pdf["file"], pdf["start"], strict=True):
-                r = ShardReader(uri)
+                r = ShardReader(uri, whole=doc_ids is None)
                 starts = int(start) + np.concatenate([[0], np.cumsum(r.count[:-1], dtype=np.int64)]) if len(r.count) else r.count
                 wanted = range(len(r.ids)) if doc_ids is None else [k for k in range(len(r.ids)) if int(r.ids[k]) in doc_ids]
                 rows = []

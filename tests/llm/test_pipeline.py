@@ -55,6 +55,22 @@ def test_run(spark, world):
     assert out.groupby("sequence_id").length.sum().max() <= 1024 and 1002 not in set(out.doc_id) and 0 not in set(out.doc_id)
 
 
+def test_near_copies_with_shared_ids_and_odd_columns(spark):
+    """Ids that several texts share, null ids and texts, repeated rows, and columns named like those the stages use."""
+    a, b, c = prose(40), prose(40), prose(40)
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (3, a), (3, a), (4, None), (4, None), (5, ""), (None, " ")]
+    docs = spark.createDataFrame([(i, t, 7, 8, 9, "x") for i, t in rows], "doc_id long, text string, kept int, doc_key int, first_key int, __doc string")
+    out = P.keep_one_of_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    assert sorted(((r[0], r[1]) for r in out.collect()), key=str) == sorted([(1, a), (1, b), (None, c), (4, None), (4, None), (5, ""), (None, " ")], key=str)
+    lines = P.remove_repeated_lines(spark, docs.withColumn("raw_lines", docs.kept), "")
+    assert lines.columns == [*docs.columns, "raw_lines"]
+    # Rows equal in id and text are one document; the first copies in order of ids (null first) stay.
+    assert sorted(((r[0], r[1]) for r in lines.collect()), key=str) == sorted([(None, b), (None, c), (1, a), (4, None), (4, None), (5, ""), (None, " ")], key=str)
+    none = docs.limit(0)
+    assert P.keep_one_of_near_copies(spark, none, "").count() == 0 and P.remove_repeated_lines(spark, none, "").count() == 0
+
+
 def test_registered():
     import __spark_entry__ as e
 
