@@ -8,11 +8,10 @@ must share a prefix shingle under every one of them:
 * How often each shingle occurs in the corpus is counted first (chunks.py). Every order puts rarer shingles before
   more frequent ones, by classes of counts, and orders equals by a hash of its own. So a document whose prefix is
   all shingles that occur once has no link, whatever passages it shares, and goes no further.
-* Documents with equal sets are one class. Classes that share no prefix shingle under the first order go, then those
-  that share none with the rest under the second, then under the third.
-* Candidate pairs of each order are joined as pairs; those that aren't candidates under all orders go before any text
-  moves, as do pairs whose sizes, counts of shingles that occur once, or sketches (counts of shingles by leading bits,
-  whose minima bound an intersection from above) rule a link out. What is left is verified on the texts.
+* Documents with equal sets are one class. Classes meet where they share a prefix shingle under the first order.
+* The filters are intersected before any text moves: pairs go whose sizes, counts of shingles that occur once, or
+  sketches (counts of shingles by leading bits, whose minima bound an intersection from above) rule a link out, and pairs
+  whose prefixes under any of the other orders share nothing. What is left is verified on the texts.
 
 Only components are asked for, so not all pairs of a large group are made: first each shared shingle's classes meet the
 class among them with the least share of shingles that occur once (the text that others were copied from), and the
@@ -29,7 +28,6 @@ ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,11 +39,12 @@ from .common import LOWER, NULL_ID, mix, prefix_hash, restored, shingle_hashes,
 from .components import components
 
 ORDERS = (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
-ALL = (1 << len(ORDERS)) - 1
 #: A set's sketch: how many of its shingles begin with each pattern of leading bits. Sums of minima bound an
 #: intersection from above; there are at least BINS bins, and four times as many until 16 shingles share one.
 BINS = 128
 BLOCK = 512
+#: How many of its least prefix shingles a row carries where rows meet.
+LEAST = 8
 TOKENS = [f"t{o}" for o in range(len(ORDERS))]
 DOCS = "doc_id long, sig long, n int, rare int, chunk long, file string, d int, sketch binary, " + ", ".join(f"{t} array<long>" for t in TOKENS)
 
@@ -136,21 +135,19 @@ def documents(corpus: Corpus, k: int, percent: int) -> DataFrame:
             out["sketch"][d] = sketch(s)
             for t, order in zip(TOKENS, ORDERS):
                 at = prefix(s, c, order, percent)
-                out[t][d] = s[at[c[at] > 0]].view(np.int64)
+                out[t][d] = np.sort(s[at[c[at] > 0]].view(np.int64))
         yield pd.DataFrame(out)
 
     return stage(corpus.each(corpus.answers(corpus.begin(ask), buckets), rows, DOCS), "ngram-documents")
 
 
-def sharing(classes: DataFrame) -> list[DataFrame]:
-    """For each order, stored rows (token, sig, n, rare) of prefix shingles that several classes share, of classes that share under all orders."""
-    found, alive = [], classes
-    for t in TOKENS:
-        rows = alive.select(F.explode(t).alias("token"), "sig", "n", "rare")
-        several = rows.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-        found.append(stage(rows.join(several, "token", "left_semi"), "ngram-shared"))
-        alive = alive.join(found[-1].select("sig").distinct(), "sig", "left_semi")
-    return found
+def sharing(classes: DataFrame) -> DataFrame:
+    """(token, sig, n, rare, and the group's picked class) of first-order prefix shingles that several classes share.
+
+    A shingle's picked class has the least share of shingles that occur once: the text that others were copied from.
+    """
+    rows = classes.select(F.explode(TOKENS[0]).alias("token"), "sig", "n", "rare")
+    return rows.join(_picked(rows), "token")
 
 
 def _can_link(a: str, b: str, percent: int):
@@ -160,49 +157,50 @@ def _can_link(a: str, b: str, percent: int):
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (least * (100 + percent) >= (n + m) * percent)
 
 
-def under_all_orders(pairs: list[DataFrame]) -> DataFrame:
-    """(u, v) that are candidates under every order."""
-    marked = [p.select("u", "v", F.lit(1 << o).alias("bit")) for o, p in enumerate(pairs)]
-    return reduce(DataFrame.unionByName, marked).groupBy("u", "v").agg(F.bit_or("bit").alias("bits")).where(F.col("bits") == ALL).select("u", "v")
+def under_other_orders(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) whose prefixes share a shingle under every order after the first."""
+    side = lambda x: classes.select(F.col("sig").alias(x), *[F.col(t).alias(x + t) for t in TOKENS[1:]])
+    both = pairs.join(side("u"), "u").join(side("v"), "v")
+    for t in TOKENS[1:]:
+        both = both.where(F.arrays_overlap("u" + t, "v" + t))
+    return both.select("u", "v")
 
 
-def _with(rows: DataFrame, pick: DataFrame, percent: int, other: bool = False) -> DataFrame:
-    """Pairs of each group's rows with the group's picked class."""
-    joined = rows.join(pick, "token").where(F.col("sig") != F.col("p_sig"))
-    if other:
-        joined = joined.where(F.col("label") != F.col("p_label"))
-    return joined.where(_can_link("", "p_", percent)).select(F.least("sig", "p_sig").alias("u"), F.greatest("sig", "p_sig").alias("v"))
+def _pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each group's rows with the group's picked class, as far as they can link."""
+    rows = rows.where(F.col("sig") != F.col("p_sig")).where(_can_link("", "p_", percent))
+    return rows.select(F.least("sig", "p_sig").alias("u"), F.greatest("sig", "p_sig").alias("v"))
 
 
 def _picked(rows: DataFrame, *more: str) -> DataFrame:
     fields = ["sig", "n", "rare", *more]
-    pick = rows.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), *fields)).alias("p"))
-    return pick.select("token", *[F.col(f"p.{f}").alias(f"p_{f}") for f in fields])
-
+    pick = rows.groupBy("token").agg(F.min(F.struct((F.col("rare") / F.col("n")).alias("share"), *fields)).alias("p"), F.count("*").alias("c"))
+    return pick.where("c > 1" if not more else "c > 0").select("token", *[F.col(f"p.{f}").alias(f"p_{f}") for f in fields])
 
-def star_pairs(shared: list[DataFrame], percent: int) -> DataFrame:
-    """Under all orders: each shared shingle's class with the least share of shingles that occur once, with its others."""
-    return under_all_orders([_with(rows, _picked(rows), percent).distinct() for rows in shared])
 
+def open_groups(shared: DataFrame, label: DataFrame) -> DataFrame:
+    """Rows of shared shingles whose classes are in several components, with the largest one marked."""
+    now = shared.select("token", "sig", "n", "rare").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    sizes = now.groupBy("token", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
+    return now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").withColumn("is_top", F.col("label") == F.col("top"))
 
-def open_groups(shared: list[DataFrame], label: DataFrame) -> list[DataFrame]:
-    """Stored rows of shared shingles whose classes are in several components, with the largest one marked."""
-    found = []
-    for rows in shared:
-        now = rows.select("token", "sig", "n", "rare").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        sizes = now.groupBy("token", "label").agg(F.count("*").alias("c"))
-        mixed = sizes.groupBy("token").agg(F.count("*").alias("labels"), F.sum("c").alias("c"), F.max(F.struct("c", F.col("label").alias("l"))).alias("top")).where("labels > 1")
-        found.append(stage(now.join(mixed.select("token", F.col("top.l").alias("top"), F.ceil(F.col("c") / BLOCK).alias("blocks")), "token").withColumn("is_top", F.col("label") == F.col("top")), "ngram-open"))
-    return found
 
-
-def second_star_pairs(open_: list[DataFrame], percent: int) -> DataFrame:
-    """Under all orders: in each open shingle, one class outside the largest component with those of other components."""
-    return under_all_orders([_with(rows, _picked(rows.where("not is_top"), "label"), percent, other=True).distinct() for rows in open_])
+def second_star_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """In each open shingle, one class outside the largest component with those of other components."""
+    return _pairs(open_.join(_picked(open_.where("not is_top"), "label"), "token").where("label <> p_label"), percent)
 
 
 def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 500_000) -> Iterator[pd.DataFrame]:
-    """Pairs within whole groups (token, block): rows that meet with rows that are met, of other labels."""
+    """Pairs within whole groups (token, block): rows that meet with rows that are met, of other labels.
+
+    A pair that shares many shingles would come from each of their groups: where the rows' least shingles have one in
+    common that is less than the group's, the pair comes from that one's group, so this one needn't give it.
+    """
+    table = Sketches(pdf["sketch"].tolist())
+    lists = np.full((len(pdf), LEAST), np.iinfo(np.int64).max)
+    for i, x in enumerate(pdf["least"]):
+        lists[i, : len(x)] = x
     token, block, role, sig, n, rare, label, top = (pdf[c].to_numpy() for c in ("token", "block", "role", "sig", "n", "rare", "label", "is_top"))
     n, rare = n.astype(np.int64), rare.astype(np.int64)
     group = np.concatenate([[0], np.cumsum((token[1:] != token[:-1]) | (block[1:] != block[:-1]))])
@@ -217,6 +215,13 @@ def _meeting(pdf: pd.DataFrame, percent: int, at_once: int = 500_000) -> Iterato
         ok = (label[a] != label[b]) & (top[b] | (sig[a] < sig[b])) & (np.minimum(n[a], n[b]) * 100 >= np.maximum(n[a], n[b]) * percent)
         ok &= np.minimum(n[a] - rare[a], n[b] - rare[b]) * (100 + percent) >= (n[a] + n[b]) * percent
         a, b = a[ok], b[ok]
+        known = np.zeros(len(a), bool)
+        for j in range(LEAST):
+            other = lists[b, j]
+            known |= (other < token[a]) & (lists[a] == other[:, None]).any(axis=1)
+        a, b = a[~known], b[~known]
+        good = _possible(table, a, table, b, n[a] + n[b], percent)
+        a, b = a[good], b[good]
         if len(a):
             pairs = np.unique(np.column_stack([np.minimum(sig[a], sig[b]), np.maximum(sig[a], sig[b])]), axis=0)
             yield pd.DataFrame({"u": pairs[:, 0], "v": pairs[:, 1]})
@@ -232,8 +237,8 @@ def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
-def cross_pairs(open_: list[DataFrame], percent: int) -> DataFrame:
-    """Pairs (u, v) of different components that share a prefix shingle under every order."""
+def cross_pairs(open_: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of different components that share a first-order prefix shingle, as far as sketches allow."""
 
     def meet(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest: pd.DataFrame | None = None
@@ -248,16 +253,14 @@ def cross_pairs(open_: list[DataFrame], percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from _meeting(rest, percent)
 
-    def pairs(rows: DataFrame) -> DataFrame:
-        # Role 0 is met, 1 meets, 2 does both; in blocks other than its own a row outside the largest component only meets.
-        own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
-        here = rows.withColumns({"block": own, "role": F.when(F.col("is_top"), 0).otherwise(2)})
-        there = rows.where("not is_top and blocks > 1").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "role": F.lit(1)}).where(F.col("block") != own)
-        columns = ["token", "block", "role", "sig", "n", "rare", "label", "is_top"]
-        both = here.select(*columns).unionByName(there.select(*columns))
-        return both.repartition("token", "block").sortWithinPartitions("token", "block").mapInPandas(meet, "u long, v long").distinct()
-
-    return under_all_orders([pairs(rows) for rows in open_])
+    rows = open_.join(classes.select("sig", "sketch", F.slice(TOKENS[0], 1, LEAST).alias("least")), "sig")
+    # Role 0 is met, 1 meets, 2 does both; in blocks other than its own a row outside the largest component only meets.
+    own = F.pmod(F.xxhash64("sig"), F.col("blocks"))
+    here = rows.withColumns({"block": own, "role": F.when(F.col("is_top"), 0).otherwise(2)})
+    there = rows.where("not is_top and blocks > 1").withColumns({"block": F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)), "role": F.lit(1)}).where(F.col("block") != own)
+    columns = ["token", "block", "role", "sig", "n", "rare", "label", "is_top", "least", "sketch"]
+    both = here.select(*columns).unionByName(there.select(*columns))
+    return both.repartition("token", "block").sortWithinPartitions("token", "block").mapInPandas(meet, "u long, v long")
 
 
 class Sketches:
@@ -350,19 +353,19 @@ def join_components(docs: DataFrame, percent: int = 80, k: int = 5, chunk_bytes:
     """(doc_id, n_shingles, component_id) of every row; component_id is the least id of its component."""
     table = documents(Corpus(docs, "ngram", chunk_bytes, id_col, text_col), k, percent)
     classes = stage(table.where("sketch is not null").dropDuplicates(["sig"]), "ngram-classes")
-    shared = sharing(classes)
+    shared = stage(sharing(classes), "ngram-shared")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = stage(possible_pairs(pairs, classes, percent), "ngram-pairs")
+        pairs = stage(under_other_orders(stage(possible_pairs(pairs, classes, percent), "ngram-possible"), classes), "ngram-pairs")
         needed = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct()
         sets = stage(texts_by_class(classes.select("sig", "chunk", "file", "d").join(needed, "sig", "left_semi")), "ngram-sets")
         return stage(verified(pairs, sets, k, percent), "ngram-links")
 
-    links = links_of(star_pairs(shared, percent))
+    links = links_of(_pairs(shared, percent))
     label = components(links)
     for last in (False, True):
-        shared = open_groups(shared, label)
-        more = links_of(cross_pairs(shared, percent) if last else second_star_pairs(shared, percent))
+        shared = stage(open_groups(shared, label), "ngram-open")
+        more = links_of(cross_pairs(shared, classes, percent) if last else second_star_pairs(shared, percent))
         if more.head(1):
             links = links.union(more)
             label = components(links)
