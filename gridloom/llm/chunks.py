@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, scratch, stage, texts_of
+from .common import discard, rest, scratch, stage, texts_of
 from .katz import gaps, pack, unpack
 from .token_frames import _open
 
@@ -30,7 +30,7 @@ from .token_frames import _open
 ROWS = "kind int, chunk long, file string, bucket int, blob binary"
 COLUMNS = ["kind", "chunk", "file", "bucket", "blob"]
 #: Hashes that a bucket's task is to hold, about.
-ENTRIES = 1_000_000
+ENTRIES = 500_000
 #: An answer's bits: how often the hash occurs (0: once, 1: up to 8 times, 2: up to 64, 3: more), whether the asking chunk
 #: is the first with it, and whether anyone asked with a flag.
 OFTEN, FIRST, FLAGGED = 3, 4, 8
@@ -119,6 +119,7 @@ def _answer(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.append((chunk, blob))
     if rows:
         yield answers()
+    rest()
 
 
 def _by_chunk(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, str, bytes | None, np.ndarray]]:
@@ -173,6 +174,7 @@ class Corpus:
                         ids, held, total = [], [], 0
             if ids:
                 yield from out()
+            rest()
 
         return stage(self.texts.mapInPandas(split, ROWS), f"{self.name}-asked")
 
@@ -189,6 +191,7 @@ class Corpus:
         def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for item in _by_chunk(parts):
                 yield from run(*item)
+            rest()
 
         return table.repartition(self.tasks, "chunk").sortWithinPartitions("chunk", "kind", "bucket").mapInPandas(go, schema)
 

@@ -114,7 +114,7 @@ class _Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = max(n + n // 8, 1 << 16)
             inverse = pow(_BASE, -1, 1 << 64)
             for name, base in (("up", _BASE), ("down", inverse)):
                 p = np.full(size, base, np.uint64)
@@ -126,12 +126,27 @@ class _Powers:
 POWERS = _Powers()
 
 
+def rest() -> None:
+    """Gives memory back at a task's end, as the worker may have other work next, and a neighbour in the same executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    if len(POWERS.up) > 1 << 18:
+        POWERS.__init__()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def prefix_hash(data: np.ndarray) -> np.ndarray:
     """h with h[j] - h[i] = hash of data[i:j] times base**i (modulo 2**64); len(data) + 1 entries."""
     up, _ = POWERS.get(len(data) + 1)
     h = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=h[1:])
-    return h
+    h[1:] = data
+    h[1:] += np.uint64(1)
+    h[1:] *= up[: len(data)]
+    return np.cumsum(h, out=h)
 
 
 def window_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -298,12 +313,10 @@ class WordwiseTokenizer:
         return self.pool[np.repeat(self.at[k] - (end - size), size) + np.arange(end[-1] if len(end) else 0)]
 
     def rest(self) -> None:
-        """Between tasks: the worker may have other work next."""
-        import pyarrow as pa
-
-        pa.default_memory_pool().release_unused()
+        """Between tasks fewer pieces stay."""
         if len(self.keys) > self.LIMIT // 2:
             self._shrink()
+        rest()
 
     def encode_ended(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode_flat, with an end id after each text's own."""

@@ -349,7 +349,7 @@ def texts_by_class(needed: DataFrame) -> DataFrame:
     return needed.repartition("chunk").sortWithinPartitions("chunk", "d").select("sig", "file", "d").mapInPandas(load, "sig long, text binary")
 
 
-def join_components(docs: DataFrame, percent: int = 80, k: int = 5, chunk_bytes: int = 3_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, percent: int = 80, k: int = 5, chunk_bytes: int = 1_500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; component_id is the least id of its component."""
     table = documents(Corpus(docs, "ngram", chunk_bytes, id_col, text_col), k, percent)
     classes = stage(table.where("sketch is not null").dropDuplicates(["sig"]), "ngram-classes")

@@ -3,7 +3,7 @@
 Fit, on a bounded sample of labelled documents (``max_labelled`` rows, least hash of the id first;
 exact copies count once):
 
-* units are words and their leading 4, 5 and 6 bytes, so inflected forms share evidence. Each unit's
+* units are words and their leading 4, 5 and 6 bytes, so inflected forms share evidence, as far as two documents have them. Each unit's
   log-odds between toxic and other documents have an informative Dirichlet prior, proportional to
   the unit's pooled count; a unit counts only as far as its log-odds are ``z`` standard deviations
   from nought;
@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered, prefix_hash, restored, small_batches, texts_of, window_hash, word_spans
+from .common import lowered, prefix_hash, rest, restored, small_batches, texts_of, window_hash, word_spans
 
 STEMS = (4, 5, 6)
 FOLDS = 5
@@ -197,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 24_000, max_unit
 def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z: float, prior: float, drift: float) -> Model:
     def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in parts:
-            for at in range(0, len(pdf), 500):
-                part = pdf.iloc[at : at + 500]
+            for at in range(0, len(pdf), 150):
+                part = pdf.iloc[at : at + 150]
                 units, kind = [], []
                 for text, y, fold in zip(part["text"], part["y"], part["fold"], strict=True):
                     u = np.unique(np.concatenate(units_of(text)))
@@ -211,7 +211,7 @@ def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z:
                 keep = u != 0
                 yield pd.DataFrame({"unit": u[keep], **{c: table[keep, i] for i, c in enumerate(CELLS)}})
 
-    counts = train.mapInPandas(count, COUNTS).groupBy("unit").agg(*[F.sum(c).alias(c) for c in CELLS]).persist()
+    counts = train.mapInPandas(count, COUNTS).groupBy("unit").agg(*[F.sum(c).cast("int").alias(c) for c in CELLS]).where(" + ".join(CELLS) + " > 1").persist()
 
     def laws(models: list[Model]) -> None:
         """Extreme-value laws: a clean document counts for one model that learned from it (of several, that of the fold after its own)."""
@@ -227,9 +227,10 @@ def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z:
                     rows += [(k, float(a), int(b), 0.0, 0) for a, b in zip(v, n)]
                     rows += [(k, 0.0, 0, float(np.round(x, 1)), 1) for *_, x in segments(s)]
                 yield pd.DataFrame(rows, columns=["k", "score", "tokens", "segment", "segments"])
+            rest()
 
         law = train.where("y = 0").mapInPandas(seen, "k int, score double, tokens long, segment double, segments long")
-        law = law.groupBy("k", "score", "segment").agg(F.sum("tokens").alias("tokens"), F.sum("segments").alias("segments")).orderBy("k", "score", "segment").toPandas()
+        law = law.groupBy("k", "score", "segment").agg(F.sum("tokens").alias("tokens"), F.sum("segments").alias("segments")).toPandas().sort_values(["k", "score", "segment"])
         for k, m in enumerate(models):
             _null_law(law[law["k"] == k], drift, m)
 
@@ -242,7 +243,7 @@ def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z:
                 of = (shared.value[int(fold) % len(shared.value)] for fold in pdf["fold"])
                 yield pd.DataFrame({"x": [evidence(token_scores(t, m), m)[0] for t, m in zip(pdf["text"], of)], "y": (pdf["y"] > 0).astype("int64").to_numpy()})
 
-        xy = train.mapInPandas(rate, "x double, y long").orderBy("x", "y").toPandas()  # at most max_labelled rows
+        xy = train.mapInPandas(rate, "x double, y long").toPandas().sort_values(["x", "y"])  # at most max_labelled rows
         return np.minimum(xy["x"].to_numpy(float), 60.0), xy["y"].to_numpy(float)
 
     def total(y: int, without: int | None = None) -> Column:
