@@ -104,6 +104,26 @@ def grouping_columns(names: list[str], found: dict[str, Profile]) -> list[str]:
     return [c for c in names if found[c].distinct / max(1, found[c].rows) < 0.5]
 
 
+def order_parts(c: Column, kind) -> list[Column]:
+    """The numbers of an order key, most significant first: after unpivots and unions it is nested (item, row)."""
+    if kind.typeName() != "struct":
+        return [c.cast("long")]
+    return [x for f in kind.fields for x in order_parts(c[f.name], f.dataType)]
+
+
+def row_block(df: DataFrame) -> Column:
+    """The block of BLOCK_ROWS rows that a row is in; blocks sort as their rows do."""
+    kind = df.schema[ROW].dataType
+    if kind.typeName() == "array":
+        kept, last = F.slice(ROW, 1, F.size(ROW) - 1), F.element_at(ROW, -1)
+        return F.concat(kept, F.array(F.floor(last / BLOCK_ROWS)))
+    if kind.typeName() == "struct" and kind.fields[-1].dataType.typeName() == "array":
+        rows = F.col(f"{ROW}.{kind.fields[-1].name}")
+        return F.struct(*[F.col(f"{ROW}.{f.name}") for f in kind.fields[:-1]], F.concat(F.slice(rows, 1, F.size(rows) - 1), F.array(F.floor(F.element_at(rows, -1) / BLOCK_ROWS))).alias("block"))
+    *before, last = order_parts(F.col(ROW), kind)
+    return F.struct(*[b.alias(f"b{i}") for i, b in enumerate(before)], F.floor(last / BLOCK_ROWS).alias("block"))
+
+
 def previous(df: DataFrame, values: dict[str, Column], keys: list[str], including: bool = True) -> DataFrame:
     """Adds, for each alias, the last non-null value up to (or before) each row within its keys.
 
@@ -114,8 +134,7 @@ def previous(df: DataFrame, values: dict[str, Column], keys: list[str], includin
     if keys:
         w = Window.partitionBy(*[col(k) for k in keys]).orderBy(ROW).rowsBetween(Window.unboundedPreceding, end)
         return df.withColumns({a: F.last(v, ignorenulls=True).over(w) for a, v in values.items()})
-    block = (F.floor(F.col(ROW) / BLOCK_ROWS)).alias("__block")
-    marked = df.withColumns({"__block": block, **{f"__v_{a}": v for a, v in values.items()}})
+    marked = df.withColumns({"__block": row_block(df), **{f"__v_{a}": v for a, v in values.items()}})
     inner = Window.partitionBy("__block").orderBy(ROW).rowsBetween(Window.unboundedPreceding, end)
     ends = marked.groupBy("__block").agg(*[F.max_by(F.col(f"__v_{a}"), F.when(F.col(f"__v_{a}").isNotNull(), F.col(ROW))).alias(f"__e_{a}") for a in values])
     over = Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dicts as D
-from ..frame import ROW, col, data_columns, is_numeric
+from ..frame import ROW, col, data_columns, is_numeric, order_parts
 from .relate import Recommendation, Table, measures, totals
 
 
@@ -19,10 +19,11 @@ def integrate(tables: list[Table], axes: list[str], values: list[tuple[str, ...]
     """UNION ALL by name with discriminator columns in front; the first table's order, extras after it, gaps null."""
     if len({len(v) for v in values} | {len(axes)}) != 1:
         raise ValueError("a value for each axis and table is needed")
-    parts = []
+    parts, alike = [], len({t.frame.schema[ROW].dataType.simpleString() for t in tables}) == 1
     for k, (t, v) in enumerate(zip(tables, values, strict=True)):
         names = data_columns(t.frame)
-        parts.append(t.frame.select(F.struct(F.lit(k).alias("source"), F.col(ROW).cast("string").alias("row")).alias(ROW), *[F.lit(x).alias(a) for a, x in zip(axes, v)], *[col(n) for n in names if n not in axes]))
+        row = F.col(ROW) if alike else F.array(*order_parts(F.col(ROW), t.frame.schema[ROW].dataType))
+        parts.append(t.frame.select(F.struct(F.lit(k).alias("source"), row.alias("row")).alias(ROW), *[F.lit(x).alias(a) for a, x in zip(axes, v)], *[col(n) for n in names if n not in axes]))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .. import dicts as D
 from ..frame import ROW, col, data_columns, is_text, previous, profile, q
 from ..functions import labels as L
-from .naming import Namer, axis_name, resolve_generated, unique_name, value_name
+from .naming import Namer, axis_name, resolve_generated, unique_columns, unique_name, value_name
 
 PIVOT_LIMIT, SHEET_COLUMNS = 1000, 16384
 
@@ -259,13 +259,23 @@ def place_axis(columns: list[str], axis: list[str], anchor: str, side: str) -> l
 
 
 def transpose(df: DataFrame, name: str = "項目") -> DataFrame:
-    """The first column's values become columns (in row order) and the other headers the first column."""
+    """The first column's values become columns (in row order) and the other headers the first column.
+
+    Empty values get a placeholder and repeated ones a number, as headers do. A table of more rows than a sheet has
+    columns can't be turned and raises ValueError.
+    """
     first, *others = data_columns(df)
-    heads = [r[0] for r in df.select(col(first).cast("string"), ROW).orderBy(ROW).limit(SHEET_COLUMNS).collect()]
+    found = df.select(F.struct(ROW).alias("at"), col(first).cast("string").alias("head")).orderBy("at").limit(SHEET_COLUMNS + 1).collect()
+    if len(found) > SHEET_COLUMNS:
+        raise ValueError(f"more than {SHEET_COLUMNS} rows to make columns of")
     kind = common_type(df, others)
-    long = df.select(col(first).cast("string").alias("__head"), F.posexplode(F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast(kind).alias("v")) for c in others])).alias("__pos", "__cell"))
-    wide = long.groupBy("__pos", F.col("__cell.c").alias(name)).pivot("__head", heads).agg(F.first("__cell.v", ignorenulls=True))
-    return wide.withColumnRenamed("__pos", ROW)
+    heads = [h if h != name else unique_name(name, [r["head"] for r in found]) for h in unique_columns([r["head"] for r in found])]
+    numbered = T.StructType([T.StructField("__key", df.schema[ROW].dataType), T.StructField("__at", T.LongType())])
+    places = df.sparkSession.createDataFrame([(r["at"][ROW], k) for k, r in enumerate(found, 1)], numbered)  # at most a sheet's columns
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), col(c).cast(kind).alias("v")) for c in others])
+    long = df.join(F.broadcast(places), F.col(ROW) == F.col("__key")).select("__at", F.posexplode(cells).alias("__pos", "__cell"))
+    wide = long.groupBy("__pos", F.col("__cell.c").alias(name)).pivot("__at", list(range(1, len(heads) + 1))).agg(F.first("__cell.v", ignorenulls=True))
+    return wide.select(F.col("__pos").alias(ROW), col(name), *[F.col(str(k + 1)).alias(h) for k, h in enumerate(heads)])
 
 
 # --- header axes ----------------------------------------------------------------------------------

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import dicts as D
 from .frame import ROW, col
 from .functions import labels as L
 from .operators import aggregates as A
@@ -164,14 +165,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid(counts, "user_id", "event_type")
 
 
-_EVENT_TYPES = "SELECT user_id, CAST(nullif(count(*) FILTER (event_type = 'click'), 0) AS BIGINT) AS click, CAST(nullif(count(*) FILTER (event_type = 'purchase'), 0) AS BIGINT) AS purchase FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1"
+_TYPES = ("click", "error", "purchase", "signup", "view")
+_EVENT_TYPES = "SELECT user_id, " + ", ".join(f"CAST(nullif(count(*) FILTER (event_type = '{t}'), 0) AS BIGINT) AS \"{t}\"" for t in _TYPES) + " FROM events GROUP BY 1"
 
 
 @query("kv_pivot", _EVENT_TYPES)
 def kv_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _events(spark, sf_dir).where(F.col("event_type").isin("click", "purchase"))
-    info = R.KeyValue(("user_id",), "event_type", "n", ("click", "purchase"), 0)
-    return R.pivot_key_value(rows, info, fill=None).drop(ROW)
+    """Every event type found, over all events."""
+    rows = _events(spark, sf_dir)
+    found = tuple(r["attribute"] for r in R.rank_attributes(rows, "event_type").collect())
+    return R.pivot_key_value(rows, R.KeyValue(("user_id",), "event_type", "n", found, 0), fill=None).drop(ROW)
 
 
 @query("kv_attr_rank", "SELECT event_type AS attribute, CAST(count(*) AS BIGINT) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
@@ -321,10 +324,15 @@ def time_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("orderkey"), L.time_kind(name).alias("kind"))
 
 
-@query("agg_label", "SELECT doc_id, regexp_matches(lower(regexp_replace(split_part(text, '.', 1), '[\\s]+', '', 'g')), '(total|sum|ytd|combined|overall|aggregate|cumulative)$') AS is_agg FROM documents WHERE regexp_full_match(split_part(text, '.', 1), '[A-Za-z ]+')")
+_BLANKS = "[\\s\\x0B\\x1C-\\x1F\\x85\\xA0\\x{1680}\\x{2000}-\\x{200D}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+"
+_ENDS = "(" + "|".join(sorted(k.replace(" ", "") for k in D.AGG_KEYWORDS)) + ")$"
+_BARE = f"regexp_replace(text, '{D.TRAILING_BRACKETS}', '')"
+
+
+@query("agg_label", "SELECT doc_id, coalesce(" + " OR ".join(f"regexp_matches(regexp_replace(lower({t}), '{_BLANKS}', '', 'g'), '{_ENDS}')" for t in ("text", _BARE)) + ", false) AS is_agg FROM documents")
 def agg_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = F.split_part(F.col("text"), F.lit("."), F.lit(1))
-    return table(spark, sf_dir, "documents").where(head.rlike("^[A-Za-z ]+$")).select("doc_id", L.is_agg_label(head).alias("is_agg"))
+    """Whole texts of all documents as labels."""
+    return table(spark, sf_dir, "documents").select("doc_id", L.is_agg_label(F.col("text")).alias("is_agg"))
 
 
 @query("of_which_label", "SELECT o_orderkey AS orderkey, o_orderstatus AS child FROM orders")

@@ -2,7 +2,10 @@ from __future__ import annotations
 
 from .conftest import rows
 
-from gridloom.frame import ROW
+from pyspark.sql import functions as F
+
+from gridloom import dicts as D
+from gridloom.frame import ROW, previous
 from gridloom.operators import aggregates as A
 from gridloom.operators import derive as U
 from gridloom.operators import fill, headers, naming
@@ -134,6 +137,24 @@ def test_invalid_columns_and_transpose(frame):
     assert rows(out) == [("東京", 100, 20), ("大阪", 80, 15)]
 
 
+def test_transpose_of_repeated_and_empty_heads(frame):
+    out = R.transpose(frame([("売上", 100), ("売上", 80), (None, 5)], "指標 string, 東京 long"), "支店")
+    assert out.columns[1:] == ["支店", "売上", "売上_1", D.EMPTY_HEADER] and rows(out) == [("東京", 100, 80, 5)]
+
+
+def test_row_order_after_unpivot_and_union(frame):
+    """Rows keep their order past ten, and blanks are filled after an unpivot, where the order key is nested."""
+    df = frame([(f"r{i}" if i % 2 == 0 else None, i, -i) for i in range(12)], "名 string, a long, b long")
+    flat = R.unpivot(df, ["名"], [({"軸": "x"}, {"値": "a"}), ({"軸": "y"}, {"値": "b"})], ["軸"], ["値"])
+    filled = previous(flat, {"前": F.col("名")}, [])
+    assert [r["前"] for r in filled.orderBy(ROW).collect()] == [f"r{i - i % 2}" for i in range(12)] * 2
+    for parts in ((df, df), (df, flat.drop("軸"))):
+        both = U.integrate([X.Table(str(k), "s", "t", p) for k, p in enumerate(parts)], ["表"], [("一",), ("二",)])
+        names = [r["名"] for r in both.where("`表` = '一'").orderBy(ROW).collect()]
+        assert names == [f"r{i}" if i % 2 == 0 else None for i in range(12)]
+        assert previous(both, {"前": F.col("名")}, []).count() == both.count()
+
+
 def test_headers_and_names():
     assert headers.merge_headers([["支店", "従業者数"], [None, "人"]], ["name", "unit"], 2)[0] == ["支店", "従業者数 [人]"]
     merged = headers.merge_headers([headers.fill_header(["商品", "東京", None, "大阪", None]), [None, "売上", "原価", "売上", "原価"]], ["name", "name"], 5)[0]
