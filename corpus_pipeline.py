@@ -68,7 +68,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", pack),
 ]
 
-#: Boosted scores, similarity joins and packing aren't expressible in SQL; tests hold run() against a brute-force version.
+#: Toxicity scores, similarity joins and packing aren't expressible in SQL; tests check each stage on planted cases.
 ORACLE_SQL: str | None = None
 
 
