@@ -14,7 +14,7 @@ decide), and the assignment of greatest likelihood is found bottom-up. So nothin
 node is kept and nothing under an accepted one is rejected.
 
 Defined results: null, empty and text-free html give an empty text; repeated rows are pages of
-their own; unclosed and misplaced tags are closed as browsers do for block elements; extra columns
+their own; unclosed and misplaced tags are closed as browsers do for block elements, in time linear in the page; extra columns
 are ignored; with no page to train on, blocks outside menus and the like are kept.
 """
 
@@ -37,6 +37,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("head script style noscript template textarea select option button iframe svg math object canvas video audio datalist title".split())
 RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
+REACHED = frozenset("p h1 h2 h3 h4 h5 h6".split())
 SEMANTIC = frozenset("article main nav header footer aside form menu dialog".split())
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -57,8 +58,9 @@ TOKEN_GROUP = {w: i for i, ws in enumerate(LEXICON.values()) for w in ws.split()
 N_GROUPS, CONTENT = len(LEXICON), len(LEXICON) - 1
 TAG_KINDS = [frozenset(s.split()) for s in ("p pre blockquote", "h1 h2 h3 h4 h5 h6", "ul ol dl menu dir", "li dt dd", "table tbody thead tfoot tr td th", "div section center details", "article main", "nav menu", "header footer hgroup", "aside", "form fieldset legend", "figure figcaption")]
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>|<[a-zA-Z][^>]*>""", re.S)
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
+_OPEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>]*+)|[!?/])")
+_ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+_RAW_END = {t: re.compile(rf"</{t}\s*+>", re.I) for t in RAW}
 _ATTR = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -82,11 +84,43 @@ def _groups(attributes: str) -> int:
     return bits
 
 
+class Tags:
+    """Tags and comments of a page from left to right, each character looked at a bounded number of times.
+
+    A tag ends at the first > outside quotes. Once a quote is never closed, tags end at the first >.
+    """
+
+    def __init__(self, text: str) -> None:
+        self.text, self.last, self.quotes = text, text.rfind(">"), True
+
+    def after(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, is an end tag, name, attributes) of the next one; no name: a comment or declaration."""
+        text = self.text
+        while m := _OPEN.search(text, at):
+            at = m.end()
+            if m[1]:
+                end = text.find("-->", at)
+                return m.start(), len(text) if end < 0 else end + 3, False, "", ""
+            if at > self.last:  # nothing ends a tag from here on
+                continue
+            end = at
+            if m[3] and self.quotes:
+                end = _ATTRIBUTES.match(text, at).end()
+                self.quotes = text[end : end + 1] == ">"
+            if not (m[3] and self.quotes):
+                end = text.find(">", at)
+            return m.start(), end + 1, bool(m[2]), (m[3] or "").lower(), text[at:end]
+        return None
+
+
 def parse(text: str) -> Page:
     page = Page(["html"], [-1], [0], [])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements; the number of the block they are in
+    places: dict[str, list[int]] = {}  # where in the stack a name is open
+    blocks, walls = [0], [0]  # where blocks are open; those that a paragraph doesn't reach beyond
     hidden = links = linked = 0
     buffer: list[str] = []
+    tags = Tags(text)
 
     def flush() -> None:
         nonlocal linked
@@ -96,34 +130,40 @@ def parse(text: str) -> Page:
             buffer.clear()
         linked = 0
 
-    def close(name: str) -> None:
+    def latest(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(where: int) -> None:
         nonlocal hidden, links
-        hidden -= name in HIDDEN
-        links -= name == "a"
+        while len(stack) > where:
+            name = stack.pop()[0]
+            places[name].pop()
+            hidden -= name in HIDDEN
+            links -= name == "a"
+        for open_blocks in (blocks, walls):
+            while open_blocks[-1] >= where:
+                open_blocks.pop()
 
     at, end = 0, len(text)
     while at < end:
-        m = _TAG.search(text, at)
-        stop = m.start() if m else end
+        tag = tags.after(at)
+        stop = tag[0] if tag else end
         if stop > at and not hidden:
             buffer.append(text[at:stop])
             linked += (stop - at) * (links > 0)
-        if not m:
+        if not tag:
             break
-        at = m.end()
-        if not m[2]:
+        _, at, ends, name, attributes = tag
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:  # an end tag
-            if name == "p" and not any(n == "p" for n, _ in stack):
+        if ends:
+            where = latest({name})
+            if name == "p" and not where:
                 flush()
-                continue
-            where = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == name), 0)
-            if where and (name in BLOCK or not any(n in BLOCK for n, _ in stack[where + 1 :])):
-                if any(n in BLOCK for n, _ in stack[where:]):
+            elif where and (name in BLOCK or blocks[-1] < where):
+                if blocks[-1] >= where:
                     flush()
-                while len(stack) > where:
-                    close(stack.pop()[0])
+                close(where)
             continue
         if name == "br":
             buffer.append(" ")
@@ -132,32 +172,32 @@ def parse(text: str) -> Page:
             if name == "hr":
                 flush()
             continue
-        if name in ("html", "body") and any(n == name for n, _ in stack):
+        if name == "html" or (name == "body" and latest({"body"})):
             continue
         if name in BLOCK:
             flush()
-            closing, until = CLOSES.get(name, (set(), set()))
-            closing = closing or {"p"}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closing:
-                    while len(stack) > i:
-                        close(stack.pop()[0])
-                    break
-                if stack[i][0] in until or (stack[i][0] in BLOCK and stack[i][0] not in ("p", "h1", "h2", "h3", "h4", "h5", "h6") and not until):
-                    break
+            closing, until = CLOSES.get(name, ({"p"}, None))
+            where = latest(closing)
+            if where > (walls[-1] if until is None else latest(until)):
+                close(where)
             page.tag.append(name)
             page.parent.append(stack[-1][1])
-            page.groups.append(_groups(m[3]))
-            stack.append((name, len(page.tag) - 1))
-        elif not m[3].endswith("/") or name in HIDDEN:
-            stack.append((name, stack[-1][1]))
+            page.groups.append(_groups(attributes))
+            blocks.append(len(stack))
+            if name not in REACHED:
+                walls.append(len(stack))
+            number = len(page.tag) - 1
+        elif not attributes.endswith("/") or name in HIDDEN:
+            number = stack[-1][1]
         else:
             continue
+        places.setdefault(name, []).append(len(stack))
+        stack.append((name, number))
         hidden += name in HIDDEN
         links += name == "a"
         if name in RAW:
-            m = _RAW_END[name].search(text, at)
-            at = m.start() if m else end
+            raw = _RAW_END[name].search(text, at)
+            at = raw.start() if raw else end
     flush()
     return page
 
