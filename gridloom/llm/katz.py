@@ -322,8 +322,9 @@ def score(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), tokens: int = 2_0
 
     asked = stage(rows.mapInPandas(split, ASK), "katz-ask")
     chunks = asked.where("kind = 0").select("chunk", "file")
-    starts = int(asked.where("kind = 0").agg(F.sum(F.element_at("stats", 1))).first()[0] or 0)
-    by_bucket = lambda df: df.where("kind = 1").select("chunk", "bucket", "ask").repartition("bucket").sortWithinPartitions("bucket")
+    n_chunks, starts = chunks.count(), int(asked.where("kind = 0").agg(F.sum(F.element_at("stats", 1))).first()[0] or 0)
+    # task counts of their own: rows are few and small, what they stand for isn't, so none may be put together by size
+    by_bucket = lambda df: df.where("kind = 1").select("chunk", "bucket", "ask").repartition(2 * buckets, "bucket").sortWithinPartitions("bucket")
     words = stage(by_bucket(asked).mapInPandas(_add_words, ANSWER), "katz-words")
     sums = words.where("kind = 2").select(*[F.sum(F.element_at("stats", i + 1)) for i in range(K + 3)]).first()
     unigrams = Unigrams(*(float(sums[i] or 0) for i in range(2)), [float(s or 0) for s in sums[2:]])
@@ -331,7 +332,7 @@ def score(docs: DataFrame, hold_out: tuple[int, int] = (7, 2), tokens: int = 2_0
     def together(answers: DataFrame) -> DataFrame:
         """Chunk rows first, then their answers, a chunk's rows in one task."""
         files = chunks.select("chunk", "file", F.lit(0).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("answer"))
-        return files.unionByName(answers.select("chunk", F.lit(None).cast("string").alias("file"), "kind", "bucket", "answer")).repartition("chunk").sortWithinPartitions("chunk", "kind")
+        return files.unionByName(answers.select("chunk", F.lit(None).cast("string").alias("file"), "kind", "bucket", "answer")).repartition(max(1, n_chunks), "chunk").sortWithinPartitions("chunk", "kind")
 
     total = unigrams.total
 
