@@ -28,20 +28,24 @@ def group_key(name: str) -> str:
 
 
 def dependent_columns(df: DataFrame, names: list[str]) -> dict[str, set[str]]:
-    """Columns of which one decides the other, either way; exact counts of all pairs in one job."""
+    """Columns of which one decides the other, either way; exact counts of all pairs in one job.
+
+    Rows are put together by their combination of values first, so what is counted distinct, once a
+    pair and side, is the few combinations of labels and not the table's rows.
+    """
     out: dict[str, set[str]] = {c: set() for c in names}
     pairs = list(combinations(range(len(names)), 2))
     if not pairs:
         return out
-    key = [F.coalesce(col(c).cast("string"), F.lit("\x00")) for c in names]  # a null is a group of its own
-    singles = [F.count_distinct(k).alias(f"n{i}") for i, k in enumerate(key)]
-    known = [F.count_distinct(F.when(col(names[i]).isNotNull() & col(names[j]).isNotNull(), F.struct(key[i], key[j]))).alias(f"b{i}_{j}") for i, j in pairs]
-    left = [F.count_distinct(F.when(col(names[j]).isNotNull(), key[i])).alias(f"l{i}_{j}") for i, j in pairs]
-    right = [F.count_distinct(F.when(col(names[i]).isNotNull(), key[j])).alias(f"r{i}_{j}") for i, j in pairs]
-    by_left = [F.count_distinct(F.when(col(names[j]).isNotNull(), F.struct(key[i], key[j]))).alias(f"pl{i}_{j}") for i, j in pairs]
-    by_right = [F.count_distinct(F.when(col(names[i]).isNotNull(), F.struct(key[i], key[j]))).alias(f"pr{i}_{j}") for i, j in pairs]
-    r = df.agg(F.count("*").alias("n"), *singles, *known, *left, *right, *by_left, *by_right).first()
-    if r["n"] < 2:
+    combined = df.groupBy(*[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)]).agg(F.count("*").alias("rows"))
+    cell = [F.col(f"c{i}") for i in range(len(names))]
+    key = [F.coalesce(c, F.lit("\x00")) for c in cell]  # a null is a group of its own
+    left = [F.count_distinct(F.when(cell[j].isNotNull(), key[i])).alias(f"l{i}_{j}") for i, j in pairs]
+    right = [F.count_distinct(F.when(cell[i].isNotNull(), key[j])).alias(f"r{i}_{j}") for i, j in pairs]
+    by_left = [F.count_distinct(F.when(cell[j].isNotNull(), F.struct(key[i], key[j]))).alias(f"pl{i}_{j}") for i, j in pairs]
+    by_right = [F.count_distinct(F.when(cell[i].isNotNull(), F.struct(key[i], key[j]))).alias(f"pr{i}_{j}") for i, j in pairs]
+    r = combined.agg(F.sum("rows").alias("n"), *left, *right, *by_left, *by_right).first()
+    if (r["n"] or 0) < 2:
         return out
     for i, j in pairs:
         if r[f"pl{i}_{j}"] == r[f"l{i}_{j}"] or r[f"pr{i}_{j}"] == r[f"r{i}_{j}"]:

@@ -81,38 +81,35 @@ def row_kind(row: Row, positions: list[int]) -> str:
 
 
 def merge_headers(rows: list[Row], roles: list[str], width: int) -> tuple[list[str], list[int]]:
-    """Names from header rows: parts joined by _, or `name [unit]` in the language that comes first."""
-    def cell(row: Row, i: int) -> str:
-        return str(row[i]).strip() if i < len(row) and _filled(row[i]) else ""
-
-    if "unit" not in roles:
-        used = list(range(len(rows)))
-        names = ["_".join(p for p in dict.fromkeys(cell(r, i) for r in rows) if p) or f"{D.EMPTY_HEADER}{i + 1}" for i in range(width)]
-        return names, used
-    pairs: list[tuple[list[int], int | None]] = []
-    waiting: list[int] = []
-    for k, role in enumerate(roles):
-        if role == "name":
-            waiting.append(k)
-        else:
-            pairs.append((waiting or (pairs[-1][0] if pairs else []), k))
-            waiting = []
-    if waiting:
-        pairs.append((waiting, None))
-    languages = [row_language(rows[p[0][-1]]) if p[0] else "other" for p in pairs]
-    clear = next((x for x in languages if x != "other"), None)
-    if clear and len({x for x in languages if x != "other"}) > 1:
-        pairs = [p for p, x in zip(pairs, languages) if x == clear]
-    names, used = [], sorted({k for ks, u in pairs for k in (*ks, *([u] if u is not None else []))})
+    """(names, rows used): a column's parts joined by _, each with the unit of the row right below it as `name [unit]`.
+
+    Where units are given and languages mix, rows in another language than the first are left out; rows
+    in none, such as years, stay. A unit under an empty cell goes to the next part, or else the last.
+    """
+    def cell(k: int, i: int) -> str:
+        text = str(rows[k][i]).strip() if i < len(rows[k]) and _filled(rows[k][i]) else ""
+        return "" if text.lower() == "nan" else text
+
+    owned = {k for k in range(1, len(roles)) if roles[k] == "unit" and roles[k - 1] == "name"}
+    heads = [k for k in range(len(roles)) if k not in owned]
+    if "unit" in roles:
+        language = {k: row_language(rows[k]) for k in heads}
+        if clear := [x for x in language.values() if x != "other"]:
+            heads = [k for k in heads if language[k] in (clear[0], "other")]
+    names = []
     for i in range(width):
-        parts = []
-        for ks, unit in pairs:
-            name = "_".join(p for p in dict.fromkeys(cell(rows[k], i) for k in ks) if p)
-            u = cell(rows[unit], i) if unit is not None else ""
+        parts, spare = [], ""
+        for k in heads:
+            name, unit = cell(k, i), cell(k + 1, i) if k + 1 in owned else ""
             if name:
-                parts.append(f"{name} [{u}]" if u else name)
-        names.append("_".join(dict.fromkeys(parts)) or f"{D.EMPTY_HEADER}{i + 1}")
-    return names, used
+                mark, spare = unit or spare, ""
+                parts.append(f"{name} [{mark}]" if mark else name)
+            else:
+                spare = unit or spare
+        if spare and parts and " [" not in parts[-1]:
+            parts[-1] += f" [{spare}]"
+        names.append("_".join(parts) or f"{D.EMPTY_HEADER}{i + 1}")
+    return names, sorted(heads + [k + 1 for k in heads if k + 1 in owned])
 
 
 def detect_axes(rows: list[Row], roles: list[str], names: list[str]) -> HeaderAxes | None:

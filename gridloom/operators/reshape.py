@@ -161,9 +161,9 @@ def detect_cross_table(names: list[str], title: str | None = None, file: str | N
     return CrossTable(tuple(names[:start]) + tuple(n for n, k in after if not k), tuple(times), axis_name(times, namer)[0], value_name(title, namer)[0], year)
 
 
-def stack_cross_table(df: DataFrame, info: CrossTable, drop_aggregates: bool = True) -> DataFrame:
+def stack_cross_table(df: DataFrame, info: CrossTable, drop_aggregates: bool = True, namer: Namer | None = None) -> DataFrame:
     """(labels[, year], axis, value); aggregate-named times are dropped before they are stacked."""
-    renames, (axis, value), _ = resolve_generated(list(info.labels), [info.axis, info.value])
+    renames, (axis, value), _ = resolve_generated(list(info.labels), [info.axis, info.value], namer)
     df = df.withColumnsRenamed(renames)
     labels = [renames.get(c, c) for c in info.labels]
     times = [t for t in info.times if not (drop_aggregates and L.is_agg_name(t))]
@@ -240,9 +240,9 @@ def detect_wide(names: list[str], namer: Namer | None = None, relaxed: bool = Fa
     return found if found and namer.category_axis(list(found.tokens)) else None
 
 
-def stack_wide(df: DataFrame, info: WideGrid, drop_aggregates: bool = True) -> DataFrame:
+def stack_wide(df: DataFrame, info: WideGrid, drop_aggregates: bool = True, namer: Namer | None = None) -> DataFrame:
     """(labels, axis, an indicator a column), an axis value after the other; missing cells are null. No shuffle."""
-    renames, final, _ = resolve_generated(list(info.labels), [info.axis, *info.indicators])
+    renames, final, _ = resolve_generated(list(info.labels), [info.axis, *info.indicators], namer)
     axis, indicators = final[0], dict(zip(info.indicators, final[1:]))
     df = df.withColumnsRenamed(renames)
     cells = {(t, i): c for t, i, c in info.cells}
@@ -290,19 +290,21 @@ class HeaderAxes:
     unit: str | None = None
 
 
-def stack_header_axes(df: DataFrame, info: HeaderAxes, names: list[str], value: str, indicator: int | None = None) -> DataFrame:
-    """A multi-key unpivot; with an indicator axis its values become columns instead (no shuffle either)."""
-    value = value + (f"[{info.unit}]" if info.unit else "")
-    if indicator is None:
-        items = [({n: a[k] for n, a in zip(names, info.axes)}, {value: c}) for k, c in enumerate(info.columns)]
-        return unpivot(df, list(info.labels), items, names, [value])
+def stack_header_axes(df: DataFrame, info: HeaderAxes, names: list[str], value: str, indicator: int | None = None, namer: Namer | None = None) -> DataFrame:
+    """A multi-key unpivot; with an indicator axis its values become columns instead (no shuffle either).
+
+    A label column that has the name of a new column keeps its values under another name.
+    """
     others = [i for i in range(len(names)) if i != indicator]
+    measures = [value + (f"[{info.unit}]" if info.unit else "")] if indicator is None else list(dict.fromkeys(info.axes[indicator]))
+    renames, final, _ = resolve_generated(list(info.labels), [*[names[i] for i in others], *measures], namer)
+    axes, measure = final[: len(others)], dict(zip(measures, final[len(others) :]))
+    df = df.withColumnsRenamed({c: new for c, new in renames.items() if c in info.labels})
     groups: dict[tuple, dict[str, str]] = {}
     for k, c in enumerate(info.columns):
-        groups.setdefault(tuple(info.axes[i][k] for i in others), {})[info.axes[indicator][k]] = c
-    measures = list(dict.fromkeys(info.axes[indicator]))
-    items = [({names[i]: v for i, v in zip(others, key)}, cells) for key, cells in groups.items()]
-    return unpivot(df, list(info.labels), items, [names[i] for i in others], measures)
+        groups.setdefault(tuple(info.axes[i][k] for i in others), {})[measure[measures[0] if indicator is None else info.axes[indicator][k]]] = c
+    items = [(dict(zip(axes, key)), cells) for key, cells in groups.items()]
+    return unpivot(df, [renames.get(c, c) for c in info.labels], items, axes, list(measure.values()))
 
 
 # --- splits of names and labels --------------------------------------------------------------------

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import data_columns
+from ..frame import ROW, col, data_columns
 from ..operators import aggregates, fill, reshape
 from ..operators.naming import Namer
 from ..operators.relate import Table
@@ -47,7 +47,12 @@ def _finish(df: DataFrame, out: Result) -> DataFrame:
     return fill.drop_invalid_columns(df)
 
 
-def normalize(table: Table, options: Options | None = None) -> Result:
+def _sample(df: DataFrame, rows: int = 20) -> list[dict]:
+    """The table's first rows, for a Namer to look at; they decide nothing else."""
+    return [r.asDict() for r in df.orderBy(ROW).limit(rows).select(*[col(c) for c in data_columns(df)]).collect()]
+
+
+def normalize(table: Table,options: Options | None = None) -> Result:
     """Pivot, axes or transposition, splits, hierarchy, fill, "of which" rows, aggregates, units, columns; then stacking."""
     options = options or Options()
     df, out = table.frame, Result(table.frame)
@@ -60,12 +65,14 @@ def normalize(table: Table, options: Options | None = None) -> Result:
             return out
         df, pivoted = wide, wide is not df
         out.log.append("pivot")
+    declined = False
     if options.axes is not None:
         names = options.namer.dimension_axes([list(a) for a in options.axes.axes])
+        declined = not names
         if names:
-            df = reshape.stack_header_axes(df, options.axes, names["names"], names["value"], names.get("indicator"))
+            df = reshape.stack_header_axes(df, options.axes, names["names"], names["value"], names.get("indicator"), options.namer)
             out.log.append("axes")
-    elif not pivoted and (name := options.namer.transpose([])):
+    elif not pivoted and type(options.namer).transpose is not Namer.transpose and (name := options.namer.transpose(_sample(df))):
         df = reshape.transpose(df, name)
         out.log.append("transpose")
     if splits := reshape.detect_name_splits(df):
@@ -87,11 +94,11 @@ def normalize(table: Table, options: Options | None = None) -> Result:
         out.log.append("of which")
     df = _finish(df, out)
     names = data_columns(df)
-    if grid := reshape.detect_wide(names, None):
-        df = reshape.stack_wide(df, grid)
+    if grid := reshape.detect_wide(names, options.namer, relaxed=declined):
+        df = reshape.stack_wide(df, grid, namer=options.namer)
         out.log.append("wide to long")
-    elif cross := reshape.detect_cross_table(names, table.title, options.file):
-        df = reshape.stack_cross_table(df, cross)
+    elif cross := reshape.detect_cross_table(names, table.title, options.file, options.namer):
+        df = reshape.stack_cross_table(df, cross, namer=options.namer)
         out.log.append("cross table")
     if items := options.namer.external_metadata(options.file or "", table.sheet):
         df = reshape.add_constants(df, items)

@@ -118,6 +118,14 @@ def test_header_axes(frame):
     assert rows(R.stack_header_axes(df, info, ["指標", "支店"], "値", indicator=0)) == [("2024年", "東京", 100, 60), ("2024年", "大阪", 80, 45)]
 
 
+def test_header_axes_keep_labels_of_the_same_name(frame):
+    info = R.HeaderAxes(("支店", "値"), (("売上", "原価"), ("2023", "2023")), ("c1", "c2"), ("candidate", "time"))
+    df = frame([("東京", "x", 1, 2)], "支店 string, `値` string, c1 long, c2 long")
+    out = R.stack_header_axes(df, info, ["指標", "支店"], "値")
+    assert out.columns[1:] == ["支店_1", "値_1", "指標", "支店", "値"]
+    assert rows(out) == [("東京", "x", "売上", "2023", 1), ("東京", "x", "原価", "2023", 2)]
+
+
 def test_splits(frame):
     df = frame([("東京支店", "フレッツ光 / おまかせ", 12.5), ("大阪営業所", "光コラボ / リモート", 9.7), ("名古屋支店", "フレッツ光 / 対策", 15.1)], "支店 string, `プラン1 / プラン2` string, `T/O比` double")
     splits = R.detect_name_splits(df)
@@ -168,6 +176,21 @@ def test_headers_and_names():
     assert naming.disambiguate({"1": ("A", "x"), "2": ("B", "x"), "3": ("B", "y")}) == {"1": "A x", "2": "B x", "3": "y"}
 
 
+def test_merged_headers_of_two_languages_and_spare_units():
+    merge = headers.merge_headers
+    names, used = merge([["従業者数", "給与"], ["人", "千円"], ["Persons", "Salary"], ["persons", "yen"], [2023, 2024]], ["name", "unit", "name", "unit", "name"], 2)
+    assert names == ["従業者数 [人]_2023", "給与 [千円]_2024"] and used == [0, 1, 4]
+    assert merge([["地域", "nan"], ["地域", None]], ["name", "name"], 2)[0] == ["地域_地域", "列2"]
+    assert merge([[None, "甲"], ["人", None], ["数", "乙"]], ["name", "unit", "name"], 2)[0] == ["数 [人]", "甲_乙"]
+    assert merge([["数", "甲"], [None, "乙"], ["人", None]], ["name", "name", "unit"], 2)[0] == ["数 [人]", "甲_乙"]
+
+
+def test_dependent_columns(frame):
+    df = frame([("a", "x", None, 1), ("a", "x", "p", 2), ("b", "y", "p", 1), ("c", "y", "q", 2), ("c", "y", "q", 3)], "k string, g string, o string, v long")
+    assert A.dependent_columns(df, ["k", "g", "o"]) == {"k": {"g", "o"}, "g": {"k"}, "o": {"k"}}
+    assert A.dependent_columns(df.limit(1), ["k", "g"]) == {"k": set(), "g": set()} == A.dependent_columns(df.limit(0), ["k", "g"])
+
+
 def test_relations_and_derivation(frame, spark):
     make = lambda sheet, vs: X.Table(sheet, sheet, sheet, frame(vs, "区分 string, `4月` long, `5月` long"))
     tables = [make("全社計", [("A", 300, 330), ("B", 150, 165)]), make("東京", [("A", 100, 110), ("B", 50, 55)]), make("大阪", [("A", 120, 130), ("B", 60, 66)]), make("名古屋", [("A", 80, 90), ("B", 40, 44)])]
@@ -201,6 +224,33 @@ def test_plans(frame, spark):
     assert any(f.is_integrated and set(f.sources) == {"a", "b", "c"} for f in final.values())
 
 
+def test_plan_asks_the_namer(frame):
+    from gridloom.plans.normalize import Options, normalize
+
+    class Asked(naming.Namer):
+        def __init__(self):
+            self.samples = []
+
+        def transpose(self, sample):
+            self.samples.append(sample)
+
+        def value_name(self, title):
+            return "台数"
+
+        def collision(self, name):
+            return f"元の{name}", name
+
+    df = frame([("基準", 1, 2)], "年 string, `2023年` long, `2024年` long")
+    namer = Asked()
+    r = normalize(X.Table("t", "s", "", df), Options(namer=namer))
+    assert r.frame.columns[1:] == ["元の年", "年", "台数"]
+    assert namer.samples == [[{"年": "基準", "2023年": 1, "2024年": 2}]]
+    four = frame([("x", 1, 2, 3, 4)], "品 string, `A_甲` long, `A_乙` long, `B_甲` long, `B_乙` long")
+    axes = R.HeaderAxes(("品",), (("A", "A", "B", "B"), ("甲", "乙", "甲", "乙")), ("A_甲", "A_乙", "B_甲", "B_乙"), ("candidate", "candidate"))
+    assert normalize(X.Table("t", "s", "", four), Options(axes=axes)).log == ["wide to long"]  # axes declined: the lower bounds
+    assert normalize(X.Table("t", "s", "", four)).log == []
+
+
 def test_redundant_axes_compare_every_matched_value(frame):
     def found(first):
         parts = {"2020": range(3000), "2021": range(first, first + 3000)}
