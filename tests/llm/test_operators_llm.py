@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -380,10 +382,35 @@ def test_html(spark):
 
 
 def test_html_decoding_is_consistent():
-    page = html_text.parse("<div><div><p>a b c<p>d e f</div><p>g</div>")
-    p = np.array([0.5, 0.2, 0.9, 0.3, 0.8, 0.1])
-    kept = html_text.keep_nodes(page, p[: len(page.tag)])
-    for i, up in enumerate(page.parent):
-        if up >= 0 and not page.runs:
-            assert kept[i] <= kept[up]
-    assert kept.dtype == bool and len(kept) == len(page.tag)
+    """The decoding against every assignment of in, out and mixed to small trees."""
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n = int(rng.integers(2, 7))
+        parent = [-1] + [int(rng.integers(0, i)) for i in range(1, n)]
+        page = html_text.Page(["div"] * n, parent, [0] * n, [(i, "w" * int(rng.integers(1, 90)), 0) for i in range(n) if rng.random() < 0.7])
+        p = rng.uniform(0.02, 0.98, n)
+        own = np.zeros(n)
+        for i, text, _ in page.runs:
+            own[i] += len(text)
+        weight = np.where(own > 0, 0.5 + np.log1p(own), 0.5)
+        gain = np.column_stack([weight * np.log(1 - p), weight * np.log(p), np.where(own > 0, weight * np.maximum(np.log(p), np.log(1 - p)), 0.0) - 1.0])
+        best = None
+        for states in itertools.product((0, 1, 2), repeat=n):
+            if any(s == 2 and i not in parent for i, s in enumerate(states)) or any(i and states[parent[i]] != 2 and states[parent[i]] != s for i, s in enumerate(states)):
+                continue
+            total = sum(gain[i, s] for i, s in enumerate(states))
+            best = max(best or (total, states), (total, states))
+        kept = html_text.keep_nodes(page, p)
+        assert kept.tolist() == [s == 1 or (s == 2 and p[i] >= 0.5) for i, s in enumerate(best[1])]
+
+
+@pytest.mark.parametrize("unit, tail", [("<a x", ""), ('<a ">"', "'"), ("<b><div></b>", ""), ("<i></q>", ""), ("<div><li></li>", ""), ("<!x", ""), ("<", ""), ("<a<", "")])
+def test_html_of_malformed_pages_takes_linear_time(unit, tail):
+    begin = time.monotonic()
+    html_text.parse("<p>kept</p>" + unit * (1_000_000 // len(unit)) + tail)
+    assert time.monotonic() - begin < 20  # minutes to hours where time grows with the square
+
+
+def test_html_after_an_open_quote():
+    page = html_text.parse("<p>one <b>two</b><p class='x>three</p><p>four")
+    assert [text for _, text, _ in page.runs] == ["one two", "three", "four"]
