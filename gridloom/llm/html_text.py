@@ -390,8 +390,8 @@ def fit(pages: DataFrame, max_pages: int = 400, trees: int = 20, depth: int = 4,
         table.unpersist()
 
 
-def extract(pages: DataFrame, forest: Forest | None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(page_id, text, n_blocks) of every page."""
+def extract(pages: DataFrame, forest: Forest | None, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> DataFrame:
+    """(page_id, url, text, n_blocks) of every page; a null url stays null, and is null where the table has no such column."""
     shared = pages.sparkSession.sparkContext.broadcast(forest)  # trees of bounded number and depth
 
     def text_of(page: Page, p: np.ndarray) -> tuple[str, int]:
@@ -411,13 +411,14 @@ def extract(pages: DataFrame, forest: Forest | None, id_col: str = "page_id", ht
                     xs = [features(f) for f in found]
                     ps = np.split(model.probability(np.concatenate(xs)), np.cumsum([len(x) for x in xs])[:-1])
                 texts = [text_of(f, p) for f, p in zip(found, ps, strict=True)]
-                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "text": [t for t, _ in texts], "n_blocks": [n for _, n in texts]})
+                yield pd.DataFrame({"page_id": part["page_id"].to_numpy(), "url": part["url"].to_numpy(), "text": [t for t, _ in texts], "n_blocks": [n for _, n in texts]})
 
     small_batches(pages.sparkSession)
-    plain = pages.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("page_id"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
-    return restored(plain.mapInPandas(run, "page_id long, text string, n_blocks int"), "page_id")
+    url = F.col(f"`{url_col}`").cast("string") if url_col.lower() in {c.lower() for c in pages.columns} else F.lit(None).cast("string")
+    plain = pages.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)).alias("page_id"), url.alias("url"), F.coalesce(F.col(f"`{html_col}`").cast("string"), F.lit("")).alias("html"))
+    return restored(plain.mapInPandas(run, "page_id long, url string, text string, n_blocks int"), "page_id")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return extract(pages, fit(pages)).select("page_id", "text", F.length("text").cast("long").alias("n_chars"))
+    return extract(pages, fit(pages)).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

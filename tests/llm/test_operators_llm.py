@@ -370,8 +370,12 @@ PAGE = """<html><head><title>t</title><script>var x="<p>no</p>";</script></head>
 def test_html(spark):
     pages = [(i, PAGE.format(*(("article", "") if i % 2 else ("div", ' class="entry-content"')), prose(40) + ".", prose(30) + ".", prose(50) + ".")) for i in range(60)]
     odd = [(100, None), (101, ""), (102, "<p>"), (103, "<!-- only"), (104, "<script>x"), (105, pages[3][1])]
-    df = spark.createDataFrame([(i, h, "u") for i, h in pages + odd], "page_id long, html string, text string")
-    got = {r["page_id"]: r["text"] for r in html_text.extract(df, html_text.fit(df)).collect()}
+    df = spark.createDataFrame([(i, h, "u", None if i == 5 else f"http://h/{i}") for i, h in pages + odd], "page_id long, html string, text string, url string")
+    out = html_text.extract(df, html_text.fit(df))
+    assert out.columns == ["page_id", "url", "text", "n_blocks"] and html_text.extract(df.drop("url"), None).where("url is not null").count() == 0
+    found = out.collect()
+    got = {r["page_id"]: r["text"] for r in found}
+    assert all(r["url"] == (None if r["page_id"] == 5 else f"http://h/{r['page_id']}") for r in found)
     right = 0
     for i, h in pages:
         body = re.search(r"</h1><p>(.*?)<br>(.*?)<p>(.*?) &eacute;", h, re.S)
@@ -381,6 +385,13 @@ def test_html(spark):
     assert html_text.fit(df.limit(0)) is None and html_text.extract(df.limit(0), None).count() == 0
 
 
+def test_html_query_returns_its_contract(spark):
+    sf = "/root/testdata/sf0.001"
+    pages, out = spark.read.parquet(f"{sf}/pages.parquet"), html_text.op2_html_text(spark, sf)
+    assert out.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    assert sorted((r["page_id"], r["url"]) for r in out.collect()) == sorted((r["page_id"], r["url"]) for r in pages.select("page_id", "url").collect())
+
+
 def test_html_decoding_is_consistent():
     """The decoding against every assignment of in, out and mixed to small trees."""
     rng = np.random.default_rng(5)
