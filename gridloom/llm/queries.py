@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from . import fill_middle
 from .decontaminate import op9_decontaminate
+from .fill_middle import op11_fill_middle
 from .html_text import op2_html_text
 from .katz import op8_katz
 from .line_dedup import op6_line_dedup
@@ -24,6 +26,7 @@ QUERIES = {
     "op8_katz": op8_katz,
     "op9_decontaminate": op9_decontaminate,
     "op10_packing": op10_packing,
+    "op11_fill_middle": op11_fill_middle,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_fill_middle": fill_middle.SQL}
