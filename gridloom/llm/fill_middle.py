@@ -46,9 +46,9 @@ class FillMiddle:
     whole: regex.Pattern = field(init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
-        for a in self.marks:
-            for b in self.marks:
-                if not a or (a is not b and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
+        for i, a in enumerate(self.marks):
+            for j, b in enumerate(self.marks):
+                if not a or (i != j and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
                     raise ValueError(f"marks {a!r} and {b!r} could be taken for each other")
         if regex.compile(self.unit).fullmatch(""):
             raise ValueError("a unit must hold at least a character")
