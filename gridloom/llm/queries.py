@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import fill_middle
+from . import fill_middle, lexical_search
 from .decontaminate import op9_decontaminate
 from .fill_middle import op11_fill_middle
 from .html_text import op2_html_text
 from .katz import op8_katz
+from .lexical_search import op12_lexical_search
 from .line_dedup import op6_line_dedup
 from .ngram_join import op7_ngram_join
 from .packing import op10_packing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_packing": op10_packing,
     "op11_fill_middle": op11_fill_middle,
+    "op12_lexical_search": op12_lexical_search,
 }
 
-ORACLE_SQL: dict[str, str] = {"op11_fill_middle": fill_middle.SQL}
+ORACLE_SQL: dict[str, str] = {"op11_fill_middle": fill_middle.SQL, "op12_lexical_search": lexical_search.SQL}
