@@ -12,6 +12,7 @@ from .line_dedup import op6_line_dedup
 from .ngram_join import op7_ngram_join
 from .packing import op10_packing
 from .repeats import op4_repeats
+from .secret_scan import op13_secret_scan
 from .token_frames import op1_token_frames
 from .toxicity import op3_toxicity
 from .transport_stream import op5_transport_stream
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_fill_middle": op11_fill_middle,
     "op12_lexical_search": op12_lexical_search,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {"op11_fill_middle": fill_middle.SQL, "op12_lexical_search": lexical_search.SQL}
