@@ -7,6 +7,7 @@ results are carried over in a second, small step.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -36,6 +37,19 @@ def with_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
     return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The table, computed once: a checkpoint in the folder that spark.checkpoint.dir names, which executors share.
+
+    Only where none is set and all runs in one process, as in tests, a temporary folder stands in.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return df.checkpoint().toDF(*df.columns)  # with columns of its own, so that it can be joined with what it came from
+
+
 def data_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if not c.startswith("__")]
 

@@ -1,26 +1,28 @@
 """From cells to tables: row profiles and kinds, regions, column groups, quality, extraction.
 
 Cells are rows (file, sheet, r, c, kind, s, d): kind "n" has its number in d, everything else its text in s.
-Profiles and kinds are columns expressions over all sheets at once; only the fold of a sheet's row kinds
-into regions is sequential, and it sees one small row a sheet row, in `applyInPandas` by sheet.
+Profiles and kinds are column expressions over all sheets at once; `bands` reads the rows' kinds, in blocks where
+a sheet is long, and joins of cells with boxes go by slices of rows, so no sheet is one task. Header and data rows
+of a table are ranges (first, last, n): n rows from first to last that aren't empty.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dicts as D
 from ..frame import ROW
 from ..functions import labels as L
+from .bands import BLOCK, KEYS, events
 from .headers import header_roles, merge_headers
 from .naming import unique_columns
 
 CELLS = "file string, sheet string, r int, c int, kind string, s string, d double"
-KEYS = ["file", "sheet"]
-REGIONS = "file string, sheet string, region int, band_start int, band_end int, c0 int, c1 int, title string, header_rows array<int>, data_rows array<int>, notes array<string>"
+#: Rows that cells and boxes are joined by at a time; rows of a table that are read to name its columns.
+SLICE, HEADERS = 4096, 64
 
 
 def is_filled() -> Column:
@@ -57,126 +59,51 @@ def row_kind() -> Column:
     )
 
 
-class _Band:
-    def __init__(self) -> None:
-        self.titles: list[tuple[int, str]] = []
-        self.headers: list[int] = []
-        self.data: list[int] = []
-        self.start: int | None = None
-        self.low, self.high = 1 << 30, 0
-
-    def widen(self, row) -> None:
-        if row.c_min == row.c_min and row.c_min is not None:
-            self.low, self.high = min(self.low, int(row.c_min)), max(self.high, int(row.c_max))
-
-    def open(self, r: int, pending: list, by_row: dict) -> None:
-        if self.start is None:
-            self.titles = list(pending)
-            for t, _ in pending:
-                self.widen(by_row[t])
-            pending.clear()
-            self.start = self.titles[0][0] if self.titles else r
-
-    @property
-    def full(self) -> bool:
-        return bool(self.data) or len(self.headers) >= 2
-
-
-def _like_data(band: _Band, row) -> bool:
-    """A header-like row amid data that is data after all: narrow, sparse, or full with varied values."""
-    width = band.high - band.low + 1
-    inside = [str(v["v"]) for v in row.values_ if band.low <= v["c"] <= band.high]
-    density = len(inside) / width
-    return (row.c_max - row.c_min + 1) / width < 0.5 or density < 0.3 or (density >= 0.9 and (width <= 4 or len(set(inside)) / len(inside) >= 0.5))
-
-
-def fold_regions(rows: pd.DataFrame) -> pd.DataFrame:
-    """A sheet's rows (r, kind, c_min, c_max, texts, values) to its regions."""
-    rows = rows.sort_values("r").rename(columns={"values": "values_"})
-    by_row = {int(x.r): x for x in rows.itertuples(index=False)}
-    out: list[dict] = []
-    band, pending, empties, last = _Band(), [], 0, 0
-
-    def close(end: int) -> None:
-        nonlocal band
-        if band.full and band.start is not None and band.high >= band.low:
-            out.append({"band_start": band.start, "band_end": end, "c0": band.low, "c1": band.high, "title": " ".join(t for _, t in band.titles), "header_rows": band.headers, "data_rows": band.data, "notes": []})
-        band = _Band()
-
-    for r in range(1, max(by_row, default=0) + 1):
-        x = by_row.get(r)
-        if x is None or x.kind == "empty":
-            empties += 1
-            if band.full and empties >= 2:
-                close(last)
-                pending.clear()
-            elif empties > 4:
-                pending.clear()
-            continue
-        empties, last = 0, r
-        texts = list(dict.fromkeys(x.texts))
-        if x.kind == "title":
-            if band.full:
-                close(r - 1)
-                pending.clear()
-            pending.append((r, " ".join(texts)))
-        elif x.kind == "col_hdr":
-            if band.data:
-                if _like_data(band, x):
-                    band.data.append(r)
-                    band.widen(x)
-                    continue
-                close(r - 1)
-            band.open(r, pending, by_row)
-            band.headers.append(r)
-            band.widen(x)
-        elif x.kind == "note":
-            if not texts:
-                continue
-            if band.data:
-                close(r - 1)
-                pending.clear()
-                if out:
-                    out[-1]["notes"].append(texts[0])
-            elif pending:
-                pending.append((r, texts[0]))
-            elif band.start is None and out:
-                out[-1]["notes"].append(texts[0])
-        else:
-            band.open(r, pending, by_row)
-            band.data.append(r)
-            band.widen(x)
-    if band.start is not None:
-        close(last)
-    return pd.DataFrame(out, columns=["band_start", "band_end", "c0", "c1", "title", "header_rows", "data_rows", "notes"])
-
-
-def regions(cells: DataFrame) -> DataFrame:
-    """Candidate tables of every sheet."""
-    rows = row_profiles(cells).withColumn("kind", row_kind()).select(*KEYS, "r", "kind", "c_min", "c_max", "texts", "values")
-
-    def fold(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = fold_regions(pdf)
-        found.insert(0, "region", np.arange(len(found)))
-        found.insert(0, "sheet", key[1])
-        found.insert(0, "file", key[0])
-        return found
-
-    return rows.groupBy(*KEYS).applyInPandas(fold, REGIONS)
+def ranges(what: str) -> Column:
+    """A band's rows of a kind as ranges in order, from its events."""
+    return F.array_sort(F.collect_list(F.when(F.col("what") == what, F.struct(F.col("r0").alias("first"), F.col("r1").alias("last"), "n"))))
+
+
+def regions(cells: DataFrame, block_rows: int = BLOCK) -> DataFrame:
+    """Candidate tables of every sheet; a sheet of more than block_rows rows is read in blocks, by many tasks."""
+    text = F.when(F.col("kind") == "title", F.array_join(F.array_distinct("texts"), " ")).when(F.col("kind") == "note", F.get("texts", F.lit(0)))
+    rows = row_profiles(cells).withColumn("kind", row_kind()).select(*KEYS, "r", "kind", "c_min", "c_max", text.alias("text"), F.when(F.col("kind") == "col_hdr", F.col("values")).alias("values"))
+    found = events(rows, not cells.where(F.col("r") > block_rows).isEmpty(), block_rows)
+    of = lambda what, c: F.when(F.col("what") == what, F.col(c))
+    bands = found.where("what not in ('title', 'note') and band > 0").groupBy(*KEYS, "band").agg(
+        F.max(of("open", "text")).cast("long").alias("titles_of"), F.min(of("open", "r0")).alias("start"), F.coalesce(F.max(of("close", "r0")), F.max(of("end", "r0"))).alias("band_end"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),
+        ranges("header").alias("header_rows"), ranges("data").alias("data_rows"), F.coalesce(F.sum(of("header", "n")), F.lit(0)).alias("n_header"),
+    ).where("c1 >= c0 and (size(data_rows) > 0 or n_header >= 2)")
+    lines = lambda what: F.transform(F.array_sort(F.collect_list(of(what, "told"))), lambda x: x["text"])
+    told = found.where("what in ('title', 'note')").withColumn("told", F.struct("r0", "text"))
+    titles = told.where("what = 'title'").groupBy(*KEYS, F.col("band").alias("titles_of")).agg(F.min("r0").alias("title_row"), lines("title").alias("titles"))
+    notes = told.where("what = 'note'").groupBy(*KEYS, "band").agg(lines("note").alias("notes"))
+    named = bands.join(titles, [*KEYS, "titles_of"], "left").join(notes, [*KEYS, "band"], "left")
+    return named.select(
+        *KEYS, (F.col("band") - 1).cast("int").alias("region"), F.coalesce("title_row", "start").alias("band_start"), "band_end", "c0", "c1", F.coalesce(F.array_join("titles", " "), F.lit("")).alias("title"),
+        "header_rows", "data_rows", F.coalesce("notes", F.array().cast("array<string>")).alias("notes"),
+    )
+
+
+def inside(cells: DataFrame, boxes: DataFrame, first: str, last: str, then: str = "true") -> DataFrame:
+    """Cells joined with the boxes whose rows they are in, by slices of SLICE rows, so that one long sheet is many keys."""
+    part = F.floor(F.col("r") / SLICE)
+    cut = boxes.withColumn("__slice", F.explode(F.sequence(F.floor(F.col(first) / SLICE), F.floor(F.col(last) / SLICE))))
+    return cells.withColumn("__slice", part).join(cut, [*KEYS, "__slice"]).where(f"r between {first} and {last} and {then}").drop("__slice")
 
 
 def column_groups(cells: DataFrame, found: DataFrame, widths: DataFrame | None = None) -> DataFrame:
     """Regions split at empty columns, judged by header and data rows only: gaps and islands over filled columns."""
     from pyspark.sql import Window
 
-    rows = found.select(*KEYS, "region", F.explode(F.concat("header_rows", "data_rows")).alias("r"))
-    used = cells.where(is_filled()).join(rows, [*KEYS, "r"]).select(*KEYS, "region", "c").distinct()
+    rows = found.select(*KEYS, "region", F.explode(F.concat("header_rows", "data_rows")).alias("x")).select(*KEYS, "region", F.col("x.first").alias("r0"), F.col("x.last").alias("r1"))
+    used = inside(cells.where(is_filled()).select(*KEYS, "r", "c"), rows, "r0", "r1").select(*KEYS, "region", "c").distinct()
     w = Window.partitionBy(*KEYS, "region").orderBy("c")
     islands = used.withColumn("g", F.col("c") - F.row_number().over(w)).groupBy(*KEYS, "region", "g").agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
     islands = islands.withColumn("part", F.row_number().over(Window.partitionBy(*KEYS, "region").orderBy("c0")) - 1).drop("g")
     if widths is not None:  # delimited files: trailing empty columns up to the band's own width belong to the last group
         band = found.select(*KEYS, "region", "band_start", "band_end")
-        own = widths.join(band, KEYS).where("r between band_start and band_end").groupBy(*KEYS, "region").agg(F.max("width").alias("width"))
+        own = inside(widths, band, "band_start", "band_end").groupBy(*KEYS, "region").agg(F.max("width").alias("width"))
         last = F.max("part").over(Window.partitionBy(*KEYS, "region"))
         islands = islands.join(own, [*KEYS, "region"], "left").withColumn("c1", F.when(F.col("part") == last, F.greatest("c1", F.coalesce("width", "c1"))).otherwise(F.col("c1"))).drop("width")
     return islands.join(found.drop("c0", "c1"), [*KEYS, "region"])
@@ -185,10 +112,10 @@ def column_groups(cells: DataFrame, found: DataFrame, widths: DataFrame | None =
 def quality(cells: DataFrame, tables: DataFrame) -> DataFrame:
     """Adds `quality` (ok or discard): too sparse, no dense row, or prose."""
     box = tables.select(*KEYS, "region", "part", "band_start", "band_end", "c0", "c1")
-    inside = cells.join(box, KEYS).where("r between band_start and band_end and c between c0 and c1").where(is_filled())
+    own = inside(cells.where(is_filled()), box, "band_start", "band_end", "c between c0 and c1")
     text = ~F.coalesce(is_number(), F.lit(False))
     size = F.length(L.strip(F.col("s")))
-    per_row = inside.groupBy(*KEYS, "region", "part", "r", "c0", "c1").agg(F.count("*").alias("n"), F.count_if(text).alias("t"), F.count_if(text & (size > 40)).alias("long"), F.max(F.when(text, size)).alias("longest"), F.count_if(~text).alias("num"))
+    per_row = own.groupBy(*KEYS, "region", "part", "r", "c0", "c1").agg(F.count("*").alias("n"), F.count_if(text).alias("t"), F.count_if(text & (size > 40)).alias("long"), F.max(F.when(text, size)).alias("longest"), F.count_if(~text).alias("num"))
     total = per_row.groupBy(*KEYS, "region", "part").agg(F.sum("n").alias("n"), F.sum("t").alias("t"), F.sum("long").alias("long"), F.max("longest").alias("longest"), F.sum("num").alias("num"), F.count_if(F.col("n") / (F.col("c1") - F.col("c0") + 1) >= 0.25).alias("dense"))
     area = (F.col("band_end") - F.col("band_start") + 1) * (F.col("c1") - F.col("c0") + 1)
     prose = (F.coalesce("longest", F.lit(0)) > 80) | ((F.col("t") >= 3) & (F.col("long") / F.col("t") > 0.25))
@@ -196,11 +123,11 @@ def quality(cells: DataFrame, tables: DataFrame) -> DataFrame:
     return tables.join(total, [*KEYS, "region", "part"], "left").withColumn("quality", F.when(bad, "discard").otherwise("ok")).drop("n", "t", "long", "longest", "num", "dense")
 
 
-def detect_tables(cells: DataFrame, widths: DataFrame | None = None) -> DataFrame:
-    """One row a table: place, title, header and data rows, notes, quality, id."""
+def detect_tables(cells: DataFrame, widths: DataFrame | None = None, block_rows: int = BLOCK) -> DataFrame:
+    """One row a table: place, title, header and data rows as ranges, notes, quality, id."""
     from pyspark.sql import Window
 
-    found = quality(cells, column_groups(cells, regions(cells), widths)).where("quality = 'ok' and band_end > band_start")
+    found = quality(cells, column_groups(cells, regions(cells, block_rows), widths)).where("quality = 'ok' and band_end > band_start")
     plain = F.translate("sheet", " /\\", "___")
     number = F.row_number().over(Window.partitionBy("file", plain).orderBy("sheet", "region", "part"))
     return found.withColumn("table_id", F.concat(plain, F.lit("_T"), number.cast("string")))
@@ -209,8 +136,13 @@ def detect_tables(cells: DataFrame, widths: DataFrame | None = None) -> DataFram
 def extract(cells: DataFrame, place: dict) -> DataFrame:
     """A table's data as a DataFrame with `__row`; header rows (a few) are read to name the columns."""
     box = cells.where((F.col("file") == place["file"]) & (F.col("sheet") == place["sheet"]) & F.col("c").between(place["c0"], place["c1"]))
-    heads = list(place["header_rows"])
-    lead = heads + list(place["data_rows"])[: max(0, 12 - len(heads))]
+
+    def first_rows(spans: list, n: int) -> list[int]:
+        any_of = reduce(lambda a, b: a | b, [F.col("r").between(x["first"], x["last"]) for x in spans[:n]], F.lit(False))
+        return [x["r"] for x in box.where(any_of & is_filled()).select("r").distinct().orderBy("r").limit(n).collect()] if n > 0 and spans else []
+
+    heads = first_rows(place["header_rows"], HEADERS)
+    lead = heads + first_rows(place["data_rows"], 12 - len(heads))
     seen = {(x["r"], x["c"]): (x["d"] if x["kind"] == "n" else x["s"]) for x in box.where(F.col("r").isin(lead)).collect()}
     span = range(place["c0"], place["c1"] + 1)
     rows = [[seen.get((r, c)) for c in span] for r in sorted(lead)]

@@ -462,7 +462,30 @@ def row_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("detect_tables", "SELECT n_name AS sheet, n_name || '_T1' AS table_id, '顧客一覧' AS title, CAST(1 AS BIGINT) AS c0, CAST(4 AS BIGINT) AS c1, CAST(count(*) AS BIGINT) AS n_rows, '※出典：自社調査' AS note FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
 def detect_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = G.detect_tables(_sheets(spark, sf_dir))
-    return found.select("sheet", "table_id", "title", F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"), F.size("data_rows").cast("long").alias("n_rows"), F.get("notes", F.lit(0)).alias("note"))
+    return found.select("sheet", "table_id", "title", F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"), F.aggregate("data_rows", F.lit(0).cast("long"), lambda n, x: n + x["n"]).alias("n_rows"), F.get("notes", F.lit(0)).alias("note"))
+
+
+def _long_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet of all customers: a title, a header, a row each, every seventh of them text only, and two notes."""
+    customer = table(spark, sf_dir, "customer")
+    text = lambda c, v: F.struct(F.lit(c).alias("c"), F.lit("s").alias("kind"), v.cast("string").alias("s"), F.lit(None).cast("double").alias("d"))
+    num = lambda c, v: F.struct(F.lit(c).alias("c"), F.lit("n").alias("kind"), F.lit(None).cast("string").alias("s"), v.cast("double").alias("d"))
+    withheld = F.col("c_custkey") % 7 == 3
+    cells = [text(1, F.col("c_name")), text(2, F.col("c_mktsegment")), F.when(withheld, text(3, F.concat(F.lit("see "), "c_custkey"))).otherwise(num(3, F.col("c_acctbal"))), F.when(withheld, text(4, F.concat(F.lit("withheld "), "c_custkey"))).otherwise(num(4, F.col("c_custkey")))]
+    last = customer.agg(F.max("c_custkey").alias("c_custkey"))
+    row = lambda df, r, vs: df.select(F.lit("f").alias("file"), F.lit("all").alias("sheet"), r.cast("int").alias("r"), F.explode(F.array(*vs)).alias("v"))
+    names = [text(i, F.lit(n)) for i, n in enumerate(("name", "segment", "balance", "key"), 1)]
+    parts = [row(last, F.lit(1), [text(1, F.lit("顧客一覧"))]), row(last, F.lit(3), names), row(customer, F.col("c_custkey") + 4, cells), row(last, F.col("c_custkey") + 5, [text(1, F.lit("※出典：自社調査"))]), row(last, F.col("c_custkey") + 7, [text(1, F.lit("注）速報"))])]
+    return reduce(DataFrame.unionByName, parts).select("file", "sheet", "r", "v.c", "v.kind", "v.s", "v.d")
+
+
+@query("detect_long_sheet", "SELECT 'all_T1' AS table_id, '顧客一覧' AS title, CAST(3 AS BIGINT) AS header_row, CAST(1 AS BIGINT) AS c0, CAST(4 AS BIGINT) AS c1, CAST(count(*) AS BIGINT) AS n_rows, CAST(min(c_custkey) + 4 AS BIGINT) AS first_row, CAST(max(c_custkey) + 4 AS BIGINT) AS last_row, '※出典：自社調査|注）速報' AS notes FROM customer")
+def detect_long_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sheet, read in blocks of 512 rows at once."""
+    found = G.detect_tables(_long_sheet(spark, sf_dir), block_rows=512)
+    n, spans = F.aggregate("data_rows", F.lit(0).cast("long"), lambda n, x: n + x["n"]), F.col("data_rows")
+    ends = F.array_min(spans["first"]).cast("long").alias("first_row"), F.array_max(spans["last"]).cast("long").alias("last_row")
+    return found.select("table_id", "title", F.col("header_rows")[0]["first"].cast("long").alias("header_row"), F.col("c0").cast("long").alias("c0"), F.col("c1").cast("long").alias("c1"), n.alias("n_rows"), *ends, F.array_join("notes", "|").alias("notes"))
 
 
 @query("extract_table", "SELECT c_name AS name, c_mktsegment AS segment, CAST(c_acctbal AS DOUBLE) AS balance, c_custkey AS key FROM customer WHERE c_nationkey = (SELECT n_nationkey FROM nation ORDER BY n_name LIMIT 1)")
