@@ -30,6 +30,9 @@ ROWS = "file string, sheet string, r int, kind string, c_min int, c_max int, tex
 #: open: a band, with the columns and number of its titles' group; title: a row of a group of titles, whose number is in
 #: band; header, data: n rows of a band from r0 to r1; note: of the band; close: a band's last row; end: of a block.
 EVENTS = "file string, sheet string, what string, band long, r0 int, r1 int, n int, c0 int, c1 int, text string"
+_SPANS = "array<struct<first: int, last: int, n: int>>"
+_REGION = ["file string", "sheet string", "region int", "band_start int", "band_end int", "c0 int", "c1 int", "title string", f"header_rows {_SPANS}", f"data_rows {_SPANS}", "notes array<string>"]
+REGIONS = ", ".join(_REGION)
 FAR = 1 << 30
 
 
@@ -232,18 +235,42 @@ def walk(blocks: dict[int, list[Summary]]) -> Iterator[tuple[int, State, bool]]:
         state = after
 
 
-def events(rows: DataFrame, long: bool, block_rows: int = BLOCK) -> DataFrame:
-    """Events of every sheet, from rows as ROWS says; empty rows needn't be there.
-
-    long: whether any sheet has more rows than a block. If so the rounds run at once, else the result is lazy.
-    """
+def assembled(found: list[list]) -> list[dict]:
+    """The candidate tables that a short sheet's events make."""
+    titles, notes, bands = {}, {}, {}
+    for what, band, r0, r1, n, c0, c1, text in found:
+        if what in ("title", "note"):
+            (titles if what == "title" else notes).setdefault(band, []).append((r0, text))
+        elif band:
+            b = bands.setdefault(band, {"columns": [], "header": [], "data": [], "close": None, "end": None, "start": r0, "titles": None})
+            b["columns"] += [c for c in (c0, c1) if c is not None]
+            if what in ("header", "data"):
+                b[what].append({"first": r0, "last": r1, "n": n})
+            elif what == "open":
+                b["titles"] = text
+            else:
+                b[what] = r0
+    out = []
+    for k, b in bands.items():
+        if b["data"] or sum(x["n"] for x in b["header"]) >= 2:
+            own = titles[int(b["titles"])] if b["titles"] else []
+            out.append({"region": k - 1, "band_start": own[0][0] if own else b["start"], "band_end": b["close"] or b["end"], "c0": min(b["columns"]), "c1": max(b["columns"]), "title": " ".join(t for _, t in own), "header_rows": b["header"], "data_rows": b["data"], "notes": [t for _, t in notes.get(k, [])]})
+    return out
+
+
+def short_regions(rows: DataFrame) -> DataFrame:
+    """Candidate tables of sheets that are read in one piece each."""
+
+    def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        found = assembled(Machine(State()).read_all(pdf).events)
+        return pd.DataFrame([{"file": key[0], "sheet": key[1], **x} for x in found], columns=[c.split()[0] for c in _REGION])
+
+    return rows.where("kind <> 'empty'").groupBy(*KEYS).applyInPandas(whole, REGIONS)
+
+
+def events(rows: DataFrame, block_rows: int = BLOCK) -> DataFrame:
+    """Events of every sheet, from rows as ROWS says; empty rows needn't be there. The rounds run at once."""
     rows = rows.where("kind <> 'empty'")
-    if not long:
-
-        def whole(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            return _named(key[0], key[1], Machine(State()).read_all(pdf).events)
-
-        return rows.groupBy(*KEYS).applyInPandas(whole, EVENTS)
     cut = stored(rows.withColumn("block", F.floor((F.col("r") - 1) / block_rows).cast("int")))
 
     def run(key: tuple, pdf: pd.DataFrame, state: pd.DataFrame) -> Machine | None:

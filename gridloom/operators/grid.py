@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dicts as D
-from ..frame import ROW
+from ..frame import ROW, stored
 from ..functions import labels as L
-from .bands import BLOCK, KEYS, events
+from .bands import BLOCK, KEYS, events, short_regions
 from .headers import header_roles, merge_headers
 from .naming import unique_columns
 
@@ -68,7 +68,9 @@ def regions(cells: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     """Candidate tables of every sheet; a sheet of more than block_rows rows is read in blocks, by many tasks."""
     text = F.when(F.col("kind") == "title", F.array_join(F.array_distinct("texts"), " ")).when(F.col("kind") == "note", F.get("texts", F.lit(0)))
     rows = row_profiles(cells).withColumn("kind", row_kind()).select(*KEYS, "r", "kind", "c_min", "c_max", text.alias("text"), F.when(F.col("kind") == "col_hdr", F.col("values")).alias("values"))
-    found = events(rows, not cells.where(F.col("r") > block_rows).isEmpty(), block_rows)
+    if cells.where(F.col("r") > block_rows).isEmpty():
+        return short_regions(rows)
+    found = stored(events(rows, block_rows))  # few rows, read three times below
     of = lambda what, c: F.when(F.col("what") == what, F.col(c))
     bands = found.where("what not in ('title', 'note') and band > 0").groupBy(*KEYS, "band").agg(
         F.max(of("open", "text")).cast("long").alias("titles_of"), F.min(of("open", "r0")).alias("start"), F.coalesce(F.max(of("close", "r0")), F.max(of("end", "r0"))).alias("band_end"), F.min("c0").alias("c0"), F.max("c1").alias("c1"),

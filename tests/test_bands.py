@@ -154,12 +154,26 @@ def spans(found):
     return [r for x in found for r in range(x["first"], x["last"] + 1)]
 
 
+def test_short_sheets_make_the_bands():
+    rng = random.Random(11)
+    for _ in range(300):
+        rows = sheet(rng, rng.randint(1, 60), KINDS + ["data"] * 3)
+        machine_ = B.Machine(B.State())
+        for x in rows:
+            if x[1] != "empty":
+                machine_.read(*x)
+        machine_._event("end", machine_.s.opened if machine_.s.band else 0, machine_.s.last)
+        n = lambda spans: sum(x["n"] for x in spans)
+        got = [[x["band_start"], x["band_end"], x["c0"], x["c1"], x["title"], n(x["header_rows"]), n(x["data_rows"]), x["notes"]] for x in B.assembled(machine_.events)]
+        assert got == [[*x[:5], len(x[5]), len(x[6]), x[7]] for x in plain(rows)]
+
+
 @pytest.mark.parametrize("block", [7, 1 << 15])
 def test_events_make_the_bands(spark, block):
     rng = random.Random(3)
     sheets = {f"s{i}": sheet(rng, rng.randint(1, 90), KINDS + ["data"] * 3) for i in range(25)}
     got = {}
-    for e in B.events(frame(spark, sheets), block < 100, block).collect():
+    for e in B.events(frame(spark, sheets), block).collect():
         got.setdefault(e["sheet"], []).append(e)
     for name, rows in sheets.items():
         events = got.get(name, [])
