@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
+import uuid
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from .frame import ROW, data_columns, q
 from .operators.naming import unique_name
@@ -23,11 +31,79 @@ def write_csv(df: DataFrame, path: str) -> None:
     ordered.select(*[F.col(q(c)) for c in data_columns(df)]).write.option("header", True).option("emptyValue", '""').mode("overwrite").csv(path)
 
 
+@dataclass
+class _Part(WriterCommitMessage):
+    place: int
+    uri: str
+
+
+class _OneCsvWriter(DataSourceWriter):
+    """Tasks write parts beside the file; commit joins them in order, abort deletes them."""
+
+    def __init__(self, path: str, columns: list[str], overwrite: bool) -> None:
+        self.path, self.columns, self.overwrite = path, columns, overwrite
+        self.folder = f"{path}.parts-{uuid.uuid4().hex[:12]}"
+
+    def write(self, iterator: Iterator) -> _Part:
+        system, folder = _open(self.folder)
+        system.create_dir(folder, recursive=True)
+        place = TaskContext.get().partitionId()
+        uri = f"{self.folder}/{uuid.uuid4().hex}"  # a second attempt writes another
+        with system.open_output_stream(_open(uri)[1]) as raw, io.TextIOWrapper(raw, "utf-8", newline="") as out:
+            writer = csv.writer(out, lineterminator="\n")
+            for row in iterator:
+                writer.writerow(["" if v is None else v for v in row])
+        return _Part(place, uri)
+
+    def commit(self, messages: list[_Part | None]) -> None:
+        system, target = _open(self.path)
+        if not self.overwrite and system.get_file_info(target).type.name != "NotFound":
+            self.abort(messages)
+            raise FileExistsError(self.path)
+        head = io.StringIO()
+        csv.writer(head, lineterminator="\n").writerow(self.columns)
+        joined = f"{_open(self.folder)[1]}.joined"
+        with system.open_output_stream(joined) as out:
+            out.write((BOM + head.getvalue()).encode())
+            for m in sorted((m for m in messages if m), key=lambda m: m.place):
+                with system.open_input_stream(_open(m.uri)[1]) as part:
+                    while piece := part.read(1 << 22):
+                        out.write(piece)
+        system.move(joined, target)
+        self.abort(messages)
+
+    def abort(self, messages: list[_Part | None]) -> None:
+        system, folder = _open(self.folder)
+        if system.get_file_info(folder).type.name != "NotFound":
+            system.delete_dir(folder)
+
+
+class OneCsv(DataSource):
+    """A table as one CSV file with a byte-order mark and a header, in the order of the table's partitions."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "one_csv"
+
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        return _OneCsvWriter(self.options["path"], schema.names, overwrite)
+
+
+def _open(uri: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
+
+
+def write_one_csv(df: DataFrame, path: str) -> None:
+    """One CSV file with a byte-order mark, rows in their order; nothing of it passes through the driver but bytes of parts."""
+    df.sparkSession.dataSource.register(OneCsv)
+    ordered = df.orderBy(ROW) if ROW in df.columns else df
+    ordered.select(*[F.col(q(c)) for c in data_columns(df)]).write.format("one_csv").option("path", path).mode("overwrite").save()
+
+
 def csv_bytes(df: DataFrame) -> bytes:
     """One small table as CSV bytes with a byte-order mark: rows stream to the driver one partition at a time."""
-    import csv
-    import io
-
     out = io.StringIO()
     writer = csv.writer(out, lineterminator="\n")
     writer.writerow(data_columns(df))

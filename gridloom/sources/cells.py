@@ -1,4 +1,4 @@
-"""Delimited text and spreadsheet files as cells, one task a file, through Spark's own binary reader."""
+"""Files as cells: typed cells of delimited text (see `delimited`), and workbooks, one task a workbook."""
 
 from __future__ import annotations
 
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from ..operators.grid import CELLS
 
 ENCODINGS = ("utf-8-sig", "cp932", "shift_jis", "utf-8", "latin-1")
-WIDTHS = "file string, sheet string, r int, width int"
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships"}
 
 
@@ -59,20 +58,14 @@ COLUMNS = ["file", "sheet", "r", "c", "kind", "s", "d"]
 
 
 def read_csv_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(cells, widths): every file below path is a sheet named CSV; widths are the rows' own field counts."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """(cells, widths): every file below path is a sheet named CSV; widths are the rows' own field counts.
 
-    def cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame([_cell(file, "CSV", r, c, v) for r, row in enumerate(csv_rows(content), 1) for c, v in enumerate(row, 1) if v is not None], columns=COLUMNS)
-
-    def widths(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in parts:
-            for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame([(file, "CSV", r, len(row)) for r, row in enumerate(csv_rows(content), 1)], columns=["file", "sheet", "r", "width"])
+    Both come from the same stored rows, so a file is parsed once.
+    """
+    from .delimited import cells_of, read_rows, widths_of
 
-    return files.mapInPandas(cells, CELLS), files.mapInPandas(widths, WIDTHS)
+    rows = read_rows(spark, path)
+    return cells_of(rows), widths_of(rows)
 
 
 def column_number(letters: str) -> int:
