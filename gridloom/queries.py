@@ -18,12 +18,12 @@ from .functions import labels as L
 from .operators import aggregates as A
 from .operators import derive as U
 from .operators import fill as FL
+from .operators import formulas as FM
 from .operators import grid as G
 from .operators import relate as X
 from .operators import reshape as R
 from .operators import select as S
 from .plans import normalize as P
-from .sources import cells as SC
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -502,7 +502,22 @@ def formula_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheet = F.col("l_orderkey").cast("string").alias("sheet")
     cells = lines.select(F.lit("f").alias("file"), sheet, F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")).alias("r"), F.lit(2).alias("c"), F.lit("n").alias("kind"), F.lit(None).cast("string").alias("s"), F.col("l_quantity").alias("d"))
     ranges = lines.groupBy("l_orderkey").agg(F.count("*").cast("int").alias("r1")).select(F.col("l_orderkey").alias("id"), F.lit("f").alias("file"), sheet, F.lit(1).alias("r0"), F.lit(1).alias("c0"), "r1", F.lit(3).alias("c1"))
-    return SC.range_sums(cells, ranges).select("id", cents(F.col("total")).alias("total"))
+    return FM.range_sums(cells, ranges).select("id", cents(F.col("total")).alias("total"))
+
+
+@query("formula_balance", "SELECT o_custkey AS custkey, o_orderkey AS orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 2) AS balance, round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2) AS total FROM orders")
+def formula_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet a customer: prices in A, in B the balance so far by the one above, and the sum of A in C1, as formulas."""
+    orders = table(spark, sf_dir, "orders")
+    sheet, r = F.col("o_custkey").cast("string").alias("sheet"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
+    rows = orders.select(F.lit("f").alias("file"), sheet, r.alias("r"), "o_custkey", "o_orderkey", "o_totalprice")
+    cells = rows.select("file", "sheet", "r", F.lit(1).alias("c"), F.lit("n").alias("kind"), F.lit(None).cast("string").alias("s"), F.col("o_totalprice").cast("double").alias("d"))
+    line = F.when(F.col("r") == 1, "=A1").otherwise(F.concat(F.lit("=B"), F.col("r") - 1, F.lit("+A"), "r"))
+    last = rows.groupBy("file", "sheet").agg(F.max("r").alias("n"))
+    formulas = rows.select("file", "sheet", "r", F.lit(2).alias("c"), line.alias("formula")).unionByName(last.select("file", "sheet", F.lit(1).alias("r"), F.lit(3).alias("c"), F.concat(F.lit("=SUM($A$1:$A$"), "n", F.lit(")")).alias("formula")))
+    values = FM.evaluate(cells, formulas)
+    total = values.where("c = 3").select("sheet", cents(F.col("value")).alias("total"))
+    return rows.join(values.where("c = 2").select("sheet", "r", cents(F.col("value")).alias("balance")), ["sheet", "r"]).join(total, "sheet").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), "balance", "total")
 
 
 @query("normalize_plan", "SELECT c_mktsegment AS segment, CAST(year(o_orderdate) AS VARCHAR) || '年' AS year, round(sum(o_totalprice), 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL")

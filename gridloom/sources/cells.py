@@ -11,8 +11,8 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.formulas import column_number, fill, reference  # noqa: F401  references in workbooks are theirs
 from ..operators.grid import CELLS
 
 ENCODINGS = ("utf-8-sig", "cp932", "shift_jis", "utf-8", "latin-1")
@@ -68,48 +68,16 @@ def read_csv_cells(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return cells_of(rows), widths_of(rows)
 
 
-def column_number(letters: str) -> int:
-    n = 0
-    for ch in letters.upper():
-        n = n * 26 + ord(ch) - 64
-    return n
-
-
-def reference(ref: str) -> tuple[int, int] | None:
-    """(row, column) of a reference such as $B$7."""
-    m = re.fullmatch(r"\$?([A-Za-z]+)\$?(\d+)", ref.strip())
-    return (int(m[2]), column_number(m[1])) if m else None
-
-
 def formula_value(formula: str, grid: dict[tuple[int, int], object]) -> float | None:
     """SUM of ranges and cells, a single reference, or two references with + - *; None if it can't be told."""
-    number = lambda at: float(v) if at and isinstance(v := grid.get(at), (int, float)) and not isinstance(v, bool) else None
-    text = formula.strip().lstrip("=").strip()
-    if m := re.fullmatch(r"SUM\((.*)\)", text, re.I):
-        found = []
-        for part in m[1].split(","):
-            ends = [reference(x) for x in part.split(":")]
-            if None in ends:
-                continue
-            (r0, c0), (r1, c1) = ends[0], ends[-1]
-            found += [v for r in range(min(r0, r1), max(r0, r1) + 1) for c in range(min(c0, c1), max(c0, c1) + 1) if (v := number((r, c))) is not None]
-        return sum(found) if found else None
-    if at := reference(text):
-        return number(at)
-    if m := re.fullmatch(r"(\$?[A-Z]+\$?\d+)\s*([-+*])\s*(\$?[A-Z]+\$?\d+)", text, re.I):
-        a, b = number(reference(m[1])), number(reference(m[3]))
-        if a is not None and b is not None:
-            return {"+": a + b, "-": a - b, "*": a * b}[m[2]]
-    return None
-
-
-def fill_formulas(grid: dict[tuple[int, int], object], formulas: dict[tuple[int, int], str], passes: int = 5) -> None:
-    """Values for cells that have a formula but no value, in at most five passes."""
-    for _ in range(passes):
-        new = {at: v for at, f in formulas.items() if grid.get(at) is None and (v := formula_value(f, grid)) is not None}
-        if not new:
-            return
-        grid.update(new)
+    copy = {at: v for at, v in grid.items() if at != (0, 0)}
+    fill(copy, {(0, 0): formula})
+    return copy.get((0, 0))
+
+
+def fill_formulas(grid: dict[tuple[int, int], object], formulas: dict[tuple[int, int], str]) -> None:
+    """Values for cells that have a formula but no value, each after those that it needs."""
+    fill(grid, formulas)
 
 
 def workbook(content: bytes) -> dict[str, dict[tuple[int, int], object]]:
@@ -168,9 +136,3 @@ def read_workbook_cells(spark: SparkSession, path: str) -> DataFrame:
                     yield pd.DataFrame([_cell(file, sheet, r, c, v) for (r, c), v in sorted(grid.items())], columns=COLUMNS)
 
     return files.mapInPandas(cells, CELLS)
-
-
-def range_sums(cells: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(id, total) of ranges (id, file, sheet, r0, c0, r1, c1) over numeric cells: SUM as a join on sheets and rectangles."""
-    numbers = cells.where("kind = 'n'").select("file", "sheet", "r", "c", "d")
-    return ranges.join(numbers, ["file", "sheet"]).where("r between r0 and r1 and c between c0 and c1").groupBy("id").agg(F.sum("d").alias("total"))
