@@ -1,8 +1,8 @@
 """Formulas: sums of ranges by prefix sums, and evaluation in the order of what depends on what.
 
-A range is cut into strips along its shorter side, one column or row each, and a strip's sum is the difference of two
-prefix sums: cells and the strips' ends stand in one order and a window adds up, in blocks whose totals are carried
-on, so a range costs two rows a strip, however many cells it covers, and a long column is no single task.
+A range is cut into its columns, and a column's sum is the difference of two prefix sums: cells and the ranges' ends
+stand in one order and a window adds up, in blocks whose totals are carried on, so a range costs two rows a column,
+however many cells it covers, and a long column is no single task.
 
 A formula is ready once no formula cell in its ranges is open. Ranges' sums over plain cells are found once; from then
 on only values that became known are added. The formulas of a sheet go to one task where a measured number of
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..frame import stored
 
-#: Positions of a block of a strip; formulas and links between them that one task takes.
+#: Rows of a block of a column; formulas and links between them that one task takes.
 BLOCK, TASK_FORMULAS, TASK_LINKS = 1 << 16, 100_000, 2_000_000
 PLACE = ["file", "sheet"]
 BOX = "struct<r0: int, c0: int, r1: int, c1: int>"
@@ -132,18 +132,18 @@ def fill(grid: dict[tuple[int, int], object], formulas: dict[tuple[int, int], st
 
 def range_totals(numbers: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, total, found) of ranges (keys, file, sheet, r0, c0, r1, c1) that hold a number (file, sheet, r, c, d)."""
-    upright = F.col("c1") - F.col("c0") <= F.col("r1") - F.col("r0")
-    strips = ranges.select(*keys, *PLACE, upright.alias("upright"), F.when(upright, F.struct(F.col("r0").alias("a"), F.col("r1").alias("b"))).otherwise(F.struct(F.col("c0").alias("a"), F.col("c1").alias("b"))).alias("span"), F.explode(F.sequence(F.when(upright, F.col("c0")).otherwise(F.col("r0")), F.when(upright, F.col("c1")).otherwise(F.col("r1")))).alias("strip"))
-    strip = [*PLACE, "upright", "strip"]
-    ends = strips.select(*keys, *strip, F.explode(F.array(F.struct(F.col("span.b").alias("at"), F.lit(1).alias("sign")), F.struct((F.col("span.a") - 1).alias("at"), F.lit(-1).alias("sign")))).alias("e")).select(*keys, *strip, "e.at", "e.sign", F.lit(0.0).alias("d"), F.lit(0).alias("n"))
-    both = F.explode(F.array(F.struct(F.lit(True).alias("upright"), F.col("c").alias("strip"), F.col("r").alias("at")), F.struct(F.lit(False).alias("upright"), F.col("r").alias("strip"), F.col("c").alias("at")))).alias("x")
-    cells = numbers.select(*PLACE, both, F.col("d").cast("double").alias("d")).select(*PLACE, "x.*", "d").join(strips.select(*strip).distinct(), strip, "left_semi")  # only strips that are asked for
-    marks = cells.select(*strip, "at", F.lit(0).alias("sign"), "d", F.lit(1).alias("n")).unionByName(ends, allowMissingColumns=True).withColumn("block", F.floor(F.col("at") / BLOCK))
-    upto = Window.partitionBy(*strip, "block").orderBy("at", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
+    strip = [*PLACE, "c"]
+    last, first = F.struct(F.col("r1").alias("r"), F.lit(1).alias("sign")), F.struct((F.col("r0") - 1).alias("r"), F.lit(-1).alias("sign"))
+    ends = F.explode(F.when(F.col("r0") > 1, F.array(last, first)).otherwise(F.array(last))).alias("e")  # nothing stands above row 1
+    asked = ranges.select(*keys, *PLACE, "r0", "r1", F.explode(F.sequence("c0", "c1")).alias("c")).select(*keys, *strip, ends).select(*keys, *strip, "e.*", F.lit(0.0).alias("d"), F.lit(0).alias("n"))
+    cells = numbers.select(*strip, "r", F.lit(0).alias("sign"), F.col("d").cast("double").alias("d"), F.lit(1).alias("n"))
+    marks = cells.unionByName(asked, allowMissingColumns=True).withColumn("block", F.floor(F.col("r") / BLOCK))
+    upto = Window.partitionBy(*strip, "block").orderBy("r", F.abs("sign")).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*strip).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row a block
-    carried = marks.groupBy(*strip, "block").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).select(*strip, "block", F.coalesce(F.sum("d").over(before), F.lit(0.0)).alias("d0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
-    summed = marks.withColumns({"d": F.sum("d").over(upto), "n": F.sum("n").over(upto)}).where("sign <> 0").join(carried, [*strip, "block"])
-    return summed.groupBy(*keys).agg(F.sum(F.col("sign") * (F.col("d") + F.col("d0"))).alias("total"), F.sum(F.col("sign") * (F.col("n") + F.col("n0"))).alias("found")).where("found > 0")
+    carried = marks.groupBy(*strip, "block").agg(F.sum("d").alias("d"), F.sum("n").alias("n")).select(*strip, "block", F.sum("d").over(before).alias("d0"), F.sum("n").over(before).alias("n0")).where("n0 > 0")
+    summed = marks.withColumns({"d": F.sum("d").over(upto), "n": F.sum("n").over(upto)}).where("sign <> 0").join(carried, [*strip, "block"], "left")
+    plus = lambda a, b: F.sum(F.col("sign") * (F.col(a) + F.coalesce(b, F.lit(0))))
+    return summed.groupBy(*keys).agg(plus("d", "d0").alias("total"), plus("n", "n0").alias("found")).where("found > 0")
 
 
 def range_sums(cells: DataFrame, ranges: DataFrame) -> DataFrame:
