@@ -2,21 +2,23 @@
 
 Tables are named in a catalog {id: (sheet, title, DataFrame)}. Their numbers go into one long table
 `measures` (table_id, row_pos, col_pos, v), so checking many tables is one job, not one a table. The search
-for subsets runs over the tables' totals only, and what it finds is verified together.
+for subsets runs over some cells of each table, and what it finds is verified together.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frame import ROW, data_columns, is_numeric, number
+from .subsets import first_subset, matching_subsets
 
-PEERS, CHILDREN, COMBINATIONS, SHEETS = 14, 9, 50_000, 12
+#: Cells of a table by which sets of children are searched for.
+ANCHORS = 40
 
 
 @dataclass
@@ -77,46 +79,85 @@ def match_ratios(numbers: DataFrame, candidates: list[tuple[str, tuple[str, ...]
     return {r["candidate"]: r["ratio"] for r in out.collect()}
 
 
-def sum_relations(tables: list[Table], least: float = 0.88) -> list[SumRelation]:
-    """Tables that are sums of others of their schema, by minimal sets of children."""
+def anchors(numbers: DataFrame, parents: list[str]) -> dict[str, list[tuple[int, int]]]:
+    """Up to ANCHORS cells (row, column) of each table that are large enough to be compared, spread over it by a hash."""
+    big = numbers.where(F.col("table_id").isin(parents) & (F.abs("v") > 0.5))
+    place = F.row_number().over(Window.partitionBy("table_id").orderBy(F.xxhash64("row_pos", "col_pos"), "row_pos", "col_pos"))
+    out: dict[str, list[tuple[int, int]]] = {}
+    for r in big.select("table_id", "row_pos", "col_pos", place.alias("k")).where(F.col("k") <= ANCHORS).collect():
+        out.setdefault(r["table_id"], []).append((r["row_pos"], r["col_pos"]))
+    return out
+
+
+def _search(key: tuple, pdf: pd.DataFrame, least: float, tolerance: float) -> pd.DataFrame:
+    """Sets of a parent's peers that meet its anchor cells; rows are (peer, cell, v), the parent's own have no peer."""
+    wide = pdf[pdf["peer"].notna()].pivot_table(index="peer", columns="cell", values="v", aggfunc="first")
+    target = pdf[pdf["peer"].isna()].set_index("cell")["v"].sort_index()
+    found: list[tuple[int, ...]] = []
+    if len(wide):
+        values = wide.reindex(columns=target.index).fillna(0.0)
+        m = len(target)
+        wrong = (1 - least) * m
+        misses = int(wrong + 1e-9) if m < ANCHORS else int(wrong + 3 * (wrong * least) ** 0.5)
+        found = matching_subsets(values.to_numpy(), target.to_numpy(), tolerance, misses)
+    names = list(wide.index)
+    return pd.DataFrame([(key[0], sorted(names[i] for i in x)) for x in found], columns=["parent", "children"])
+
+
+def sum_relations(tables: list[Table], least: float = 0.88, tolerance: float = 0.03) -> list[SumRelation]:
+    """Tables that are sums of others of their schema, by minimal sets of children, whatever the number of either.
+
+    Children are of the parent's own sheet, or of all other sheets. Sets are searched for by ANCHORS cells of the
+    parent, in a task a parent, then compared over all cells in one job. A parent of more cells than that may
+    miss a set only if far more of its anchor cells fail than of the others: three standard deviations.
+    """
     out: list[SumRelation] = []
     for group in by_schema(tables):
         if len(group) < 3:
             continue
+        spark = group[0].frame.sparkSession
         numbers = measures(group).persist()
         try:
             total = totals(numbers)
             sheet = {t.id: t.sheet for t in group}
             ordered = sorted((t.id for t in group if t.id in total), key=lambda i: total[i])
-            candidates: list[tuple[str, tuple[str, ...]]] = []
+            asked: list[tuple[str, str, str]] = []
             for place, parent in enumerate(ordered):
                 if place < 2 or total[parent] < 1:
                     continue
-                peers = [p for p in ordered[:place] if total[p] > 0.1]
-                peers = sorted(peers, key=lambda p: (sheet[p] != sheet[parent], -total[p]))[:PEERS]
-                elsewhere = {sheet[p] for p in ordered} - {sheet[parent]}
-                tried = 0
-                for k in range(2, min(CHILDREN, len(peers)) + 1):
-                    for children in combinations(peers, k):
-                        tried += 1
-                        if tried > COMBINATIONS:
-                            break
-                        share = sum(total[c] for c in children) / total[parent]
-                        sheets = {sheet[c] for c in children}
-                        same = sheets == {sheet[parent]}
-                        across = sheet[parent] not in sheets and sheets == elsewhere
-                        if 0.72 <= share <= 1.15 and (same or across):
-                            candidates.append((parent, children))
-            ratios = match_ratios(numbers, candidates)
+                for same in (True, False):
+                    peers = [p for p in ordered[:place] if total[p] > 0.1 and (sheet[p] == sheet[parent]) == same]
+                    if len(peers) >= 2:
+                        asked += [(parent, str(same), p) for p in peers]
+            if not asked:
+                continue
+            cells = [(p, r, c, i) for p, at in anchors(numbers, sorted({p for p, *_ in asked})).items() for i, (r, c) in enumerate(at)]
+            if not cells:
+                continue
+            wanted = spark.createDataFrame(cells, "parent string, row_pos long, col_pos int, cell int")
+            peers = spark.createDataFrame(asked, "parent string, side string, peer string")
+            at = numbers.join(F.broadcast(wanted), ["row_pos", "col_pos"])  # ANCHORS rows a table of the catalog
+            own = at.where("table_id = parent").join(peers.select("parent", "side").distinct(), "parent").select("parent", "side", F.lit(None).cast("string").alias("peer"), "cell", "v")
+            theirs = at.join(peers, (at["parent"] == peers["parent"]) & (at["table_id"] == peers["peer"])).select(peers["parent"], "side", "peer", "cell", "v")
+            search = lambda key, pdf: _search(key, pdf, least, tolerance)
+            sets = own.unionByName(theirs).groupBy("parent", "side").applyInPandas(search, "parent string, children array<string>")
+            candidates = []
+            for r in sets.collect():
+                parent, children = r["parent"], tuple(r["children"])
+                sheets = {sheet[c] for c in children}
+                share = sum(total[c] for c in children) / total[parent]
+                if 0.72 <= share <= 1.15 and (sheets == {sheet[parent]} or sheets == {sheet[p] for p in ordered} - {sheet[parent]}):
+                    candidates.append((parent, children))
+            ratios = match_ratios(numbers, candidates, tolerance)
         finally:
             numbers.unpersist()
-        good = [SumRelation(p, tuple(sorted(cs)), round(ratios[i], 4)) for i, (p, cs) in enumerate(candidates) if ratios.get(i, -1) >= least]
+        good = sorted((SumRelation(p, tuple(sorted(cs)), round(ratios[i], 4)) for i, (p, cs) in enumerate(candidates) if ratios.get(i, -1) >= least), key=lambda r: (ordered.index(r.parent), len(r.children), r.children))
         out += [r for r in good if not any(o.parent == r.parent and set(o.children) < set(r.children) for o in good)]
     return out
 
 
 def aggregate_sheets(tables: list[Table], tolerance: float = 0.03) -> dict[str, tuple[str, ...]]:
-    """Sheets whose total is the sum of two or more other sheets of the same schema."""
+    """Sheets whose total is the sum of two or more other sheets of the same schema: the fewest, the largest first."""
     out: dict[str, tuple[str, ...]] = {}
     for group in by_schema(tables):
         numbers = measures(group)
@@ -127,10 +168,10 @@ def aggregate_sheets(tables: list[Table], tolerance: float = 0.03) -> dict[str,
         if len(total) < 3:
             continue
         top = max(total, key=lambda s: total[s])
-        rest = sorted((s for s in total if s != top), key=lambda s: -total[s])[:SHEETS]
-        found = next((cs for k in range(2, len(rest) + 1) for cs in combinations(rest, k) if abs(sum(total[c] for c in cs) - total[top]) <= tolerance * total[top]), None)
+        rest = sorted((s for s in total if s != top), key=lambda s: -total[s])
+        found = first_subset([total[s] for s in rest], total[top] * (1 - tolerance), total[top] * (1 + tolerance))
         if found:
-            out[top] = tuple(sorted(found))
+            out[top] = tuple(sorted(rest[i] for i in found))
     return out
 
 
