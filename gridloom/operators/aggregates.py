@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dicts as D
-from ..frame import ROW, col, data_columns, grouping_columns, is_numeric, is_text, label_columns, number, previous, profile
+from ..frame import ROW, col, data_columns, grouping_columns, is_numeric, is_text, label_columns, number, previous, profile, stored
 from ..functions import labels as L
 
 AUDIT = "array<struct<key:string,context:map<string,string>,sum_column:string,reported_value:double>>"
@@ -27,30 +27,46 @@ def group_key(name: str) -> str:
     return bare.split("_")[0] if "_" in bare else ""
 
 
-def dependent_columns(df: DataFrame, names: list[str]) -> dict[str, set[str]]:
-    """Columns of which one decides the other, either way; exact counts of all pairs in one job.
+def dependencies(df: DataFrame, names: list[str], size: int = 1) -> dict[tuple[str, ...], set[str]]:
+    """{determinant: columns that it decides}: determinants are sets of at most `size` columns, none larger than need be.
 
-    Rows are put together by their combination of values first, so what is counted distinct, once a
-    pair and side, is the few combinations of labels and not the table's rows.
+    A set of columns cuts the rows into groups, a null being a value of its own; it decides a column that has no
+    group with two values, nulls aside. Rows are put together by their combination of values first. A level is one
+    job: each combination goes once to a group of every column set that is tried, and a group compares the least and
+    the greatest value of each column. Sets whose parts decide all other columns aren't tried.
     """
-    out: dict[str, set[str]] = {c: set() for c in names}
-    pairs = list(combinations(range(len(names)), 2))
-    if not pairs:
-        return out
+    out: dict[tuple[str, ...], set[str]] = {}
     combined = df.groupBy(*[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(names)]).agg(F.count("*").alias("rows"))
-    cell = [F.col(f"c{i}") for i in range(len(names))]
-    key = [F.coalesce(c, F.lit("\x00")) for c in cell]  # a null is a group of its own
-    left = [F.count_distinct(F.when(cell[j].isNotNull(), key[i])).alias(f"l{i}_{j}") for i, j in pairs]
-    right = [F.count_distinct(F.when(cell[i].isNotNull(), key[j])).alias(f"r{i}_{j}") for i, j in pairs]
-    by_left = [F.count_distinct(F.when(cell[j].isNotNull(), F.struct(key[i], key[j]))).alias(f"pl{i}_{j}") for i, j in pairs]
-    by_right = [F.count_distinct(F.when(cell[i].isNotNull(), F.struct(key[i], key[j]))).alias(f"pr{i}_{j}") for i, j in pairs]
-    r = combined.agg(F.sum("rows").alias("n"), *left, *right, *by_left, *by_right).first()
-    if (r["n"] or 0) < 2:
-        return out
-    for i, j in pairs:
-        if r[f"pl{i}_{j}"] == r[f"l{i}_{j}"] or r[f"pr{i}_{j}"] == r[f"r{i}_{j}"]:
-            out[names[i]].add(names[j])
-            out[names[j]].add(names[i])
+    decided: dict[tuple[int, ...], set[int]] = {}
+    below = lambda s: set().union(*(t for d, t in decided.items() if set(d) <= set(s)))
+    for level in range(1, size + 1):
+        sets = [s for s in combinations(range(len(names)), level) if len(below(s) | set(s)) < len(names)]
+        if not sets:
+            break
+        if level == 2:
+            combined = stored(combined)
+        # one array with an entry for each set; keys of a set are its values, so equal ones of other sets don't meet
+        keys = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.array(*[F.col(f"c{i}") for i in s]).alias("key")) for k, s in enumerate(sets)])).alias("x")
+        cells = [f"c{i}" for i in range(len(names))]
+        grouped = combined.select("rows", *cells, keys).groupBy("x.k", "x.key").agg(F.sum("rows").alias("rows"), *[(F.min(c) != F.max(c)).alias(c) for c in cells])
+        for r in grouped.groupBy("k").agg(F.sum("rows").alias("n"), *[F.count_if(F.col(c)).alias(c) for c in cells]).collect():
+            s = sets[r["k"]]
+            if r["n"] >= 2:
+                decided[s] = {j for j in range(len(names)) if j not in s and not r[f"c{j}"] and j not in below(s)}
+    for s, targets in decided.items():
+        if targets:
+            out[tuple(names[i] for i in s)] = {names[j] for j in targets}
+    return out
+
+
+def dependent_columns(df: DataFrame, names: list[str]) -> dict[str, set[str]]:
+    """Columns of which one decides the other, either way."""
+    out: dict[str, set[str]] = {c: set() for c in names}
+    if len(names) > 1:
+        for (a,), targets in dependencies(df, names).items():
+            for b in targets:
+                out[a].add(b)
+                out[b].add(a)
     return out
 
 

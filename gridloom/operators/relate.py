@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frame import ROW, data_columns, is_numeric, number
@@ -19,6 +20,8 @@ from .subsets import first_subset, matching_subsets
 
 #: Cells of a table by which sets of children are searched for.
 ANCHORS = 40
+#: Peers up to which all their sets are compared over all cells at once.
+FEW = 7
 
 
 @dataclass
@@ -104,11 +107,26 @@ def _search(key: tuple, pdf: pd.DataFrame, least: float, tolerance: float) -> pd
     return pd.DataFrame([(key[0], sorted(names[i] for i in x)) for x in found], columns=["parent", "children"])
 
 
+def _sets_by_anchors(spark: SparkSession, numbers: DataFrame, asked: list[tuple[str, str, str]], least: float, tolerance: float) -> list[tuple[str, tuple[str, ...]]]:
+    """(parent, children) that meet the parent's anchor cells, from (parent, side, peer): a task a parent and side."""
+    cells = [(p, r, c, i) for p, at in anchors(numbers, sorted({p for p, *_ in asked})).items() for i, (r, c) in enumerate(at)]
+    if not cells:
+        return []
+    wanted = spark.createDataFrame(cells, "parent string, row_pos long, col_pos int, cell int")
+    peers = spark.createDataFrame(asked, "parent string, side string, peer string")
+    at = numbers.join(F.broadcast(wanted), ["row_pos", "col_pos"])  # ANCHORS rows a table of the catalog
+    own = at.where("table_id = parent").join(peers.select("parent", "side").distinct(), "parent").select("parent", "side", F.lit(None).cast("string").alias("peer"), "cell", "v")
+    theirs = at.join(peers, (at["parent"] == peers["parent"]) & (at["table_id"] == peers["peer"])).select(peers["parent"], "side", "peer", "cell", "v")
+    search = lambda key, pdf: _search(key, pdf, least, tolerance)
+    sets = own.unionByName(theirs).groupBy("parent", "side").applyInPandas(search, "parent string, children array<string>")
+    return [(r["parent"], tuple(r["children"])) for r in sets.collect()]
+
+
 def sum_relations(tables: list[Table], least: float = 0.88, tolerance: float = 0.03) -> list[SumRelation]:
     """Tables that are sums of others of their schema, by minimal sets of children, whatever the number of either.
 
-    Children are of the parent's own sheet, or of all other sheets. Sets are searched for by ANCHORS cells of the
-    parent, in a task a parent, then compared over all cells in one job. A parent of more cells than that may
+    Children are of the parent's own sheet, or of all other sheets. Sets of many peers are searched for by ANCHORS
+    cells of the parent, in a task a parent; all are compared over all cells in one job. A parent of more cells than that may
     miss a set only if far more of its anchor cells fail than of the others: three standard deviations.
     """
     out: list[SumRelation] = []
@@ -122,28 +140,19 @@ def sum_relations(tables: list[Table], least: float = 0.88, tolerance: float = 0
             sheet = {t.id: t.sheet for t in group}
             ordered = sorted((t.id for t in group if t.id in total), key=lambda i: total[i])
             asked: list[tuple[str, str, str]] = []
+            sets: list[tuple[str, tuple[str, ...]]] = []
             for place, parent in enumerate(ordered):
                 if place < 2 or total[parent] < 1:
                     continue
                 for same in (True, False):
                     peers = [p for p in ordered[:place] if total[p] > 0.1 and (sheet[p] == sheet[parent]) == same]
-                    if len(peers) >= 2:
+                    if len(peers) <= FEW:
+                        sets += [(parent, c) for k in range(2, len(peers) + 1) for c in combinations(peers, k)]
+                    else:
                         asked += [(parent, str(same), p) for p in peers]
-            if not asked:
-                continue
-            cells = [(p, r, c, i) for p, at in anchors(numbers, sorted({p for p, *_ in asked})).items() for i, (r, c) in enumerate(at)]
-            if not cells:
-                continue
-            wanted = spark.createDataFrame(cells, "parent string, row_pos long, col_pos int, cell int")
-            peers = spark.createDataFrame(asked, "parent string, side string, peer string")
-            at = numbers.join(F.broadcast(wanted), ["row_pos", "col_pos"])  # ANCHORS rows a table of the catalog
-            own = at.where("table_id = parent").join(peers.select("parent", "side").distinct(), "parent").select("parent", "side", F.lit(None).cast("string").alias("peer"), "cell", "v")
-            theirs = at.join(peers, (at["parent"] == peers["parent"]) & (at["table_id"] == peers["peer"])).select(peers["parent"], "side", "peer", "cell", "v")
-            search = lambda key, pdf: _search(key, pdf, least, tolerance)
-            sets = own.unionByName(theirs).groupBy("parent", "side").applyInPandas(search, "parent string, children array<string>")
+            sets += _sets_by_anchors(spark, numbers, asked, least, tolerance) if asked else []
             candidates = []
-            for r in sets.collect():
-                parent, children = r["parent"], tuple(r["children"])
+            for parent, children in sets:
                 sheets = {sheet[c] for c in children}
                 share = sum(total[c] for c in children) / total[parent]
                 if 0.72 <= share <= 1.15 and (sheets == {sheet[parent]} or sheets == {sheet[p] for p in ordered} - {sheet[parent]}):
