@@ -135,6 +135,8 @@ def row_block(df: DataFrame) -> Column:
         rows = F.col(f"{ROW}.{kind.fields[-1].name}")
         return F.struct(*[F.col(f"{ROW}.{f.name}") for f in kind.fields[:-1]], F.concat(F.slice(rows, 1, F.size(rows) - 1), F.array(F.floor(F.element_at(rows, -1) / BLOCK_ROWS))).alias("block"))
     *before, last = order_parts(F.col(ROW), kind)
+    if not before:
+        return F.floor(last / BLOCK_ROWS)
     return F.struct(*[b.alias(f"b{i}") for i, b in enumerate(before)], F.floor(last / BLOCK_ROWS).alias("block"))
 
 

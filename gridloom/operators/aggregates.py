@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import dicts as D
 from ..frame import ROW, col, data_columns, grouping_columns, is_numeric, is_text, label_columns, number, previous, profile, stored
 from ..functions import labels as L
+from .naming import Namer, resolve_generated
 
 AUDIT = "array<struct<key:string,context:map<string,string>,sum_column:string,reported_value:double>>"
 
@@ -189,11 +190,12 @@ class OfWhich:
     checks: DataFrame
 
 
-def split_of_which(df: DataFrame, keys: list[str] | None = None) -> OfWhich | None:
+def split_of_which(df: DataFrame, keys: list[str] | None = None, namer: Namer | None = None, log: list[dict] | None = None) -> OfWhich | None:
     """Rows such as "of which men" become a table of (parent, child); the parents' rows are marked `__protected`.
 
     A parent is the nearest row above in the same run of equal other labels whose label is an
-    aggregate, or else any label that isn't itself an "of which".
+    aggregate, or else any label that isn't itself an "of which". Another column that has the name of a new one
+    is renamed in the breakdown and keeps its data; log, if given, gets what was renamed.
     """
     names = [c for c in data_columns(df) if is_text(df, c)]
     if not names:
@@ -218,9 +220,12 @@ def split_of_which(df: DataFrame, keys: list[str] | None = None) -> OfWhich | No
     parents = base.where(taken).select(F.col("__parent.r").alias("__pr")).distinct()
     main = base.where(~taken).join(parents, F.col(ROW) == F.col("__pr"), "left").withColumn("__protected", F.col("__pr").isNotNull()).select(*[col(c) for c in df.columns], "__protected")
     numeric = [c for c in data_columns(df) if is_numeric(df, c)]
+    renames, (parent_name, child_name), told = resolve_generated([c for c in data_columns(df) if c != label], [f"親{label}", f"子{label}"], namer)
+    if log is not None:
+        log += told
     columns = []
     for c in df.columns:
-        columns += [F.col("__parent.v").alias(f"親{c}"), F.col("__child").alias(f"子{c}")] if c == label else [col(c)]
+        columns += [F.col("__parent.v").alias(parent_name), F.col("__child").alias(child_name)] if c == label else [col(c).alias(renames.get(c, c))]
     breakdown = base.where(taken).select(*columns)
     sums = base.where(taken).groupBy(F.col("__parent.r").alias("__pr")).agg(*[F.sum(col(c)).alias(f"__s{i}") for i, c in enumerate(numeric)])
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("sum_column"), col(c).cast("double").alias("reported"), F.col(f"__s{i}").cast("double").alias("calculated")) for i, c in enumerate(numeric)])) if numeric else None

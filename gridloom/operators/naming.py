@@ -116,7 +116,10 @@ def resolve_generated(existing: list[str], names: list[str], namer: Namer | None
     for name in names:
         old, new, source = resolve_collision(name, taken, namer)
         if old:
-            renames[name] = old
+            if name in final:  # of two new columns with one name the first gives way
+                final[final.index(name)] = old
+            else:
+                renames[name] = old
             taken = [old if t == name else t for t in taken]
         if source != "none":
             log.append({"original_name": name, "existing_new_name": old, "new_col_final_name": new, "naming_source": source, "naming_reason": "a generated column has the name of an existing one"})

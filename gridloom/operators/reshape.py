@@ -368,16 +368,23 @@ def detect_annotations(df: DataFrame) -> list[str]:
     return [c for i, c in enumerate(names) if r[f"k{i}"] >= 2 and r[f"k{i}"] / r[f"n{i}"] >= 0.6 and r[f"d{i}"] >= 2]
 
 
-def split_annotations(df: DataFrame, names: dict[str, str]) -> DataFrame:
-    """{column: name of its annotation column, put right after it}; cells without a note get ""."""
-    out = []
+def split_annotations(df: DataFrame, names: dict[str, str], namer: Namer | None = None, log: list[dict] | None = None) -> DataFrame:
+    """{column: name of its annotation column, put right after it}; cells without a note get "".
+
+    A column that has a new one's name already is renamed and keeps its data; log, if given, gets what was renamed.
+    """
+    marked = [c for c in df.columns if c in names]
+    renames, final, told = resolve_generated(data_columns(df), [names[c] for c in marked], namer)
+    new, out = dict(zip(marked, final)), []
+    if log is not None:
+        log += told
     for c in df.columns:
         if c not in names:
-            out.append(col(c))
+            out.append(col(c).alias(renames.get(c, c)))
             continue
         label, note = L.unit_parts(col(c).cast("string"))
         real = note.isNotNull() & ~L.is_unit(note)
-        out += [F.when(real, L.strip(label)).otherwise(col(c).cast("string")).alias(c), F.when(real, note).otherwise("").alias(names[c])]
+        out += [F.when(real, L.strip(label)).otherwise(col(c).cast("string")).alias(renames.get(c, c)), F.when(real, note).otherwise("").alias(new[c])]
     return df.select(*out)
 
 
@@ -483,6 +490,14 @@ def expand_hierarchy(df: DataFrame, info: Hierarchy, names: list[str] | None = N
     return base.select(*out)
 
 
+def sample_paths(df: DataFrame, info: Hierarchy, n: int = 30) -> list[list[str]]:
+    """The levels of the first rows that have any, in order: what a Namer sees of a hierarchy."""
+    names = [f"__level{i}" for i in range(info.depth)]
+    levels = expand_hierarchy(df.select(ROW, col(info.column)), info, names)
+    filled = reduce(lambda a, b: a | b, [col(c) != "" for c in names])
+    return [[r[c] for c in names if r[c]] for r in levels.where(filled).orderBy(ROW).limit(n).collect()]
+
+
 def add_constants(df: DataFrame, items: list[dict]) -> DataFrame:
     """Constant columns {name, value, anchor, side} beside their anchors; unknown anchors put them last, never first."""
     order = data_columns(df)

@@ -82,7 +82,8 @@ def normalize(table: Table,options: Options | None = None) -> Result:
         df = reshape.split_annotations(df, names)
         out.log.append("annotations")
     if level := reshape.detect_hierarchy(df):
-        names = options.namer.level_names([]) or reshape.level_names(level.column, level.depth)
+        paths = reshape.sample_paths(df, level) if type(options.namer).level_names is not Namer.level_names else []
+        names = (options.namer.level_names(paths) if paths else None) or reshape.level_names(level.column, level.depth)
         df = reshape.expand_hierarchy(df, level, names)
         df, out.rollups = aggregates.rollup_rows(df, names)
         out.log.append("hierarchy")
