@@ -5,7 +5,9 @@ Unpivots are one narrow `explode` of an array of structs; pivots always have the
 
 from __future__ import annotations
 
+import os
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -207,6 +209,33 @@ def _grid(names: list[str], parsed: dict[str, tuple[str, str]], least: float, co
     return WideGrid(tuple(n for n in names if n not in parsed), tuple(tokens), tuple(indicators), tuple((t, i, c) for (t, i), c in cells.items()), axis_name(tokens, namer)[0], tier)
 
 
+def _recurring(names: list[str], least: int) -> dict[str, tuple[str, str]]:
+    """{name: (its longest beginning that recurs, the rest)}.
+
+    A beginning recurs if two names have it with `least` characters or more behind it. In sorted order the names that
+    share most with one are its neighbours, so each looks at two on either side: no table of all beginnings is made.
+    """
+    stems = sorted(n[: len(n) - least] for n in names if len(n) >= 2 * least)
+    out = {}
+    for n in names:
+        at = bisect_left(stems, n)
+        shared = sorted((len(os.path.commonprefix([n, s])) for s in stems[max(0, at - 2) : at + 2]), reverse=True)
+        if len(shared) > 1 and shared[1] >= least:
+            head, rest = n[: shared[1]], n[shared[1] :].strip("_- 　")
+            if rest:
+                out[n] = (head, rest)
+    return out if len(out) >= 2 else {}
+
+
+def recurring_parts(names: list[str], least: int = 2) -> dict[str, tuple[str, str]] | None:
+    """{name: (axis value, indicator)} by beginnings that recur, or by endings if more names have such."""
+    bare = {n.strip(): n for n in names}
+    heads = _recurring(list(bare), least)
+    tails = {n[::-1]: (a[::-1], b[::-1]) for n, (a, b) in _recurring([n[::-1] for n in bare], least).items()}
+    best = tails if len(tails) > len(heads) else heads
+    return {bare[n]: p for n, p in best.items()} or None
+
+
 def detect_wide(names: list[str], namer: Namer | None = None, relaxed: bool = False, orientation: str = "axis-first") -> WideGrid | None:
     """Columns that are axis value and indicator at once: by times, by a delimiter, or (with a Namer) by recurring parts."""
     parsed = {n: p for n in names if (p := split_time(n))}
@@ -225,17 +254,7 @@ def detect_wide(names: list[str], namer: Namer | None = None, relaxed: bool = Fa
             best = found
     if best or namer is None:
         return best
-    segments: dict[str, list[str]] = {}
-    for n in names:
-        for k in range(2, len(n) - 1):
-            segments.setdefault(n[:k], []).append(n)
-    repeated = {s: ns for s, ns in segments.items() if len(ns) >= 2}
-    parsed = {}
-    for n in names:
-        heads = [s for s in repeated if n.startswith(s)]
-        if heads:
-            head = max(heads, key=len)
-            parsed[n] = (head, n[len(head) :])
+    parsed = recurring_parts([n for n in names if L.time_kind_name(n) is None]) or {}
     found = _grid(names, parsed, 0.8, 0.6, 3, namer) if parsed else None
     return found if found and namer.category_axis(list(found.tokens)) else None
 
