@@ -81,6 +81,83 @@ def master_of(frame: DataFrame, child: str, parent: str) -> DataFrame:
     return pairs.join(alone, col(child) == F.col("__c"), "left_semi")
 
 
+@dataclass(frozen=True)
+class MasterSpec:
+    """An axis whose values belong under a parent's: mapping has (value, parent's label) pairs, sorted."""
+
+    axis: str
+    parent_axis: str
+    mapping: tuple[tuple[str, str], ...]
+    parent: str
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return master(spark, self.axis, dict(self.mapping), self.parent_axis)
+
+
+def axis_kind(values: list[str], members: list[Table]) -> str:
+    """Whether an axis tells sheets or titles, by a vote of the members; sheets win a tie, a value that is both counts for them."""
+    votes = [("sheet" if v == m.sheet else "title") for v, m in zip(values, members, strict=True) if v and v in (m.sheet, m.title or "")]
+    return "title" if votes.count("title") > votes.count("sheet") else "sheet"
+
+
+def master_specs(found: Recommendation, tables: list[Table], parents: list[str | None] | None = None, parent_axes: list[str | None] | None = None) -> list[MasterSpec]:
+    """For each axis that has a parent table, which value belongs to it; without parents the first axis has the recommendation's own.
+
+    A parent on a sheet (or, for titles, with a title) of one of the children is their sibling and no parent. A value
+    that a child lacks is its sheet or title. Pairs that lead back to where they began are left out.
+    """
+    by_id = {t.id: t for t in tables}
+    members = [(by_id[s], v) for s, v in zip(found.sources, found.values, strict=True) if s in by_id]
+    if len(members) < 2:
+        return []
+    out = []
+    for k, axis in enumerate(found.axes):
+        above = by_id.get((parents[k] if parents and k < len(parents) else None) or (found.parent if k == 0 else None) or "")
+        if above is None:
+            continue
+        values = [v[k] if k < len(v) else "" for _, v in members]
+        by_sheet = axis_kind(values, [m for m, _ in members]) == "sheet"
+        label = above.sheet if by_sheet else above.title or above.sheet
+        if label in {m.sheet if by_sheet else m.title or "" for m, _ in members}:
+            continue
+        names = [v or (m.sheet if by_sheet else m.title or m.sheet) for v, (m, _) in zip(values, members, strict=True)]
+        parent_axis = (parent_axes[k] if parent_axes and k < len(parent_axes) else None) or f"上位{axis}"
+        out.append(MasterSpec(axis, parent_axis, tuple(sorted({(n, label) for n in names if n})), above.id))
+    return without_cycles(out)
+
+
+def without_cycles(specs: list[MasterSpec]) -> list[MasterSpec]:
+    """Specs without pairs of which the parent is, over any number of pairs, under its own child."""
+    up: dict[str, set[str]] = {}
+    for s in specs:
+        for child, label in s.mapping:
+            up.setdefault(child, set()).add(label)
+
+    def leads_to(begin: str, end: str) -> bool:
+        seen, rest = set(), [begin]
+        while rest:
+            x = rest.pop()
+            if x == end:
+                return True
+            if x not in seen:
+                seen.add(x)
+                rest += up.get(x, ())
+        return False
+
+    kept = [MasterSpec(s.axis, s.parent_axis, tuple(p for p in s.mapping if not leads_to(p[1], p[0])), s.parent) for s in specs]
+    return [s for s in kept if s.mapping]
+
+
+def group_similar(found: list[Recommendation], tables: list[Table]) -> list[list[Recommendation]]:
+    """Recommendations over the same axes whose first known sources have the same columns; groups and members in order."""
+    columns = {t.id: frozenset(data_columns(t.frame)) for t in tables}
+    groups: dict[frozenset[str], list[Recommendation]] = {}
+    for r in found:
+        own = next((columns[s] for s in r.sources if s in columns), frozenset())
+        groups.setdefault(own | set(r.axes), []).append(r)
+    return list(groups.values())
+
+
 def subtract(parent: Table, children: list[Table]) -> DataFrame | None:
     """parent minus the sum of its children, cell by cell, rows by position; None if shapes or totals don't allow it."""
     numeric = [c for c in data_columns(parent.frame) if is_numeric(parent.frame, c) and all(c in data_columns(t.frame) and is_numeric(t.frame, c) for t in children)]

@@ -44,6 +44,8 @@ def propose(spark: SparkSession, tables: list[relate.Table]) -> dict[str, Final]
         frame = derive.integrate(members, [r.axes[k] for k in keep], [tuple(v[k] for k in keep) for v in r.values])
         out[f"integrated_{i}"] = Final(frame, "_".join(r.axes), r.sources, is_integrated=True, is_minimum=True)
         used |= set(r.sources)
+        for spec in derive.master_specs(r, tables):
+            out[f"master_{i}_{spec.axis}"] = Final(spec.frame(spark), f"{spec.axis}マスタ", r.sources, "master", is_master=True)
         if len(r.axes) == 2:
             parents = {v[1]: v[0] for v in r.values}
             if len(parents) == len(r.values):

@@ -411,6 +411,16 @@ def master_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return U.master_of(joined.select(F.col("n_name").alias("nation"), F.col("r_name").alias("region")), "nation", "region")
 
 
+@query("master_specs", "SELECT r_name AS region, 'company' AS \"group\" FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey)")
+def master_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What belongs under the company's table, from the sums that are found among all tables."""
+    tables = _company(spark, sf_dir)
+    (found,) = X.sum_relations(tables)
+    asked = X.Recommendation(found.children, ("region",), tuple((c,) for c in found.children), found.parent)
+    (spec,) = U.master_specs(asked, tables, parent_axes=["group"])
+    return spec.frame(spark)
+
+
 @query("redundant_axis", "SELECT 'year' AS axis")
 def redundant_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables by year hold their year in the date's text, and don't hold who made them."""
