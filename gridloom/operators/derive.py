@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import dicts as D
 from ..frame import ROW, col, data_columns, is_numeric, order_parts
+from .naming import infer_axis_name, strip_common_suffix
 from .relate import Recommendation, Table, measures, totals
 
 
@@ -221,6 +222,7 @@ class Proposal:
     note: str
     known: tuple[str, ...]
     missing: tuple[str, ...]
+    names: tuple[str, ...] = ()  # of the known ones, as the note has them
 
 
 def latent_tables(tables: list[Table]) -> list[Proposal]:
@@ -236,7 +238,7 @@ def latent_tables(tables: list[Table]) -> list[Proposal]:
             known = tuple(f.id for f in found.values() if f)
             missing = tuple(n for n, f in found.items() if not f)
             if known and missing:
-                out.append(Proposal(t.id, note, known, missing))
+                out.append(Proposal(t.id, note, known, missing, tuple(n for n, f in found.items() if f)))
     return out
 
 
@@ -247,11 +249,79 @@ def group_proposals(proposals: list[Proposal]) -> dict[tuple[str, ...], list[Pro
     return out
 
 
-def clip(recommendations: list[Recommendation], siblings: list[set[str]]) -> list[Recommendation]:
-    """Recommendations cut down to the sibling set that they mostly are."""
+def without_summary(proposals: list[Proposal], total: dict[str, float], tolerance: float = 0.05) -> list[Proposal]:
+    """Proposals without those whose source adds up the sources of all others; all, if fewer than two would be left."""
+    if len(proposals) < 3:
+        return proposals
+    everything = sum(total.get(p.source, 0.0) for p in proposals)
+
+    def sums_up(p: Proposal) -> bool:
+        own = total.get(p.source, 0.0)
+        others = everything - own
+        return own > 1e-9 and others > 1e-9 and abs(own - others) < tolerance * max(own, others)
+
+    kept = [p for p in proposals if not sums_up(p)]
+    return kept if len(kept) >= 2 else proposals
+
+
+def automatic_integrations(derived: dict[Proposal, Table], tables: list[Table], two_axes: bool = True, both: bool = False) -> list[Recommendation]:
+    """Unions of known tables with derived ones, for each group of proposals that lack the same.
+
+    derived has the table made for a proposal. Two proposals or more with four tables or more give one union over two axes, the
+    name of the part and where it comes from: the sheet, or on one sheet what tells the titles apart. A
+    proposal whose source adds up the others' is left out of it. Without such a union, or with two_axes off, each
+    proposal has one over the names alone; with both they come behind it.
+    """
+    by_id = {t.id: t for t in tables}
+    groups = [found for g in group_proposals(list(derived)).values() if (found := [p for p in g if p.source in by_id])]
+    known = {p.source: by_id[p.source] for g in groups if len(g) >= 3 for p in g}
+    numeric = [t for t in known.values() if any(is_numeric(t.frame, c) for c in data_columns(t.frame))]
+    total = totals(measures(numeric)) if numeric else {}
+    out = []
+    for group in groups:
+        parts = {p: [*zip(p.known, p.names, strict=True), (derived[p].id, derived[p].title)] for p in group}
+        single = [_over_names(p.source, parts[p]) for p in group]
+        members = without_summary(group, total)
+        sheets = [by_id[p.source].sheet for p in members]
+        many = len(set(sheets)) > 1
+        origin = sheets if many else strip_common_suffix([by_id[p.source].title or p.source for p in members])
+        rows = [(i, (name, o)) for p, o in zip(members, origin, strict=True) for i, name in parts[p]]
+        if len(members) < 2 or len(rows) < 4:
+            out += single
+            continue
+        names = list(dict.fromkeys(v[0] for _, v in rows))
+        axis, other = infer_axis_name(names), infer_axis_name(list(dict.fromkeys(origin)))
+        other = ("シート" if many else "区分") if other in ("種別", axis) else other
+        pair = Recommendation(tuple(i for i, _ in rows), (axis, other), tuple(v for _, v in rows), members[0].source, "latent")
+        out += [pair] if two_axes else []
+        out += single if both or not two_axes else []
+    return out
+
+
+def _over_names(source: str, parts: list[tuple[str, str]]) -> Recommendation:
+    return Recommendation(tuple(i for i, _ in parts), (infer_axis_name([n for _, n in parts]),), tuple((n,) for _, n in parts), source, "latent")
+
+
+def clip(recommendations: list[Recommendation], siblings: list[frozenset[str]], tables: list[Table]) -> list[Recommendation]:
+    """Recommendations without tables that a total's known parts tell against.
+
+    The first set of siblings that a recommendation contains, with others from the siblings' sheets only, is all that stays
+    of it. Otherwise tables that are in no set go, if two or more are left.
+    """
+    siblings = [s for s in siblings if len(s) >= 2]
+    everyone, sheet = frozenset().union(*siblings), {t.id: t.sheet for t in tables}
+
+    def kept(r: Recommendation) -> frozenset[str]:
+        own = frozenset(r.sources)
+        for s in siblings:
+            homes = {sheet[i] for i in s if i in sheet}
+            if s < own and homes and {sheet[i] for i in own - s if i in sheet} <= homes:
+                return s
+        return own & everyone if len(own & everyone) >= 2 else own
+
     out = []
     for r in recommendations:
-        best = max(siblings, key=lambda s: len(s & set(r.sources)), default=set())
-        keep = [i for i, s in enumerate(r.sources) if s in best] if len(best & set(r.sources)) >= 2 else list(range(len(r.sources)))
-        out.append(Recommendation(tuple(r.sources[i] for i in keep), r.axes, tuple(r.values[i] for i in keep), r.parent, r.origin))
+        keep = kept(r)
+        at = [k for k, i in enumerate(r.sources) if i in keep]
+        out.append(Recommendation(tuple(r.sources[k] for k in at), r.axes, tuple(r.values[k] for k in at), r.parent, r.origin))
     return out

@@ -8,13 +8,16 @@ of a table are ranges (first, last, n): n rows from first to last that aren't em
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dicts as D
-from ..frame import ROW, stored
+from ..frame import ROW, q, stored
 from ..functions import labels as L
 from .bands import BLOCK, KEYS, events, short_regions
 from .headers import header_roles, merge_headers
@@ -23,6 +26,8 @@ from .naming import unique_columns
 CELLS = "file string, sheet string, r int, c int, kind string, s string, d double"
 #: Rows that cells and boxes are joined by at a time; rows of a table that are read to name its columns.
 SLICE, HEADERS = 4096, 64
+#: A band ends after five empty rows at most, so its rows are no farther apart than this.
+LOOSE = 6
 
 
 def is_filled() -> Column:
@@ -135,6 +140,15 @@ def detect_tables(cells: DataFrame, widths: DataFrame | None = None, block_rows:
     return found.withColumn("table_id", F.concat(plain, F.lit("_T"), number.cast("string")))
 
 
+def _named(at: list[int], rows: list[list], width: int) -> tuple[list[str], int, list[list], list[str]]:
+    """(names, row after which data begin, header rows, their roles) from a table's first rows and their numbers."""
+    titles, roles = header_roles(rows)
+    if not roles:
+        return unique_columns([f"{D.EMPTY_HEADER}{i + 1}" for i in range(width)]), min(at, default=0) - 1, [], []
+    heads = rows[titles : titles + len(roles)]
+    return unique_columns(merge_headers(heads, roles, width)[0]), at[titles + len(roles) - 1], heads, roles
+
+
 def extract(cells: DataFrame, place: dict) -> DataFrame:
     """A table's data as a DataFrame with `__row`; header rows (a few) are read to name the columns."""
     box = cells.where((F.col("file") == place["file"]) & (F.col("sheet") == place["sheet"]) & F.col("c").between(place["c0"], place["c1"]))
@@ -147,14 +161,7 @@ def extract(cells: DataFrame, place: dict) -> DataFrame:
     lead = heads + first_rows(place["data_rows"], 12 - len(heads))
     seen = {(x["r"], x["c"]): (x["d"] if x["kind"] == "n" else x["s"]) for x in box.where(F.col("r").isin(lead)).collect()}
     span = range(place["c0"], place["c1"] + 1)
-    rows = [[seen.get((r, c)) for c in span] for r in sorted(lead)]
-    titles, roles = header_roles(rows)
-    if roles:
-        names, _ = merge_headers(rows[titles : titles + len(roles)], roles, len(span))
-        after = sorted(lead)[titles + len(roles) - 1]
-    else:
-        names, after = [f"{D.EMPTY_HEADER}{i + 1}" for i in range(len(span))], min(lead, default=0) - 1
-    names = unique_columns(names)
+    names, after, _, _ = _named(sorted(lead), [[seen.get((r, c)) for c in span] for r in sorted(lead)], len(span))
     body = box.where((F.col("r") > after) & (F.col("r") <= place["band_end"]))
     kinds = {x["c"]: x for x in body.groupBy("c").agg(F.count_if(F.col("kind") == "s").alias("t"), F.count_if((F.col("kind") == "n") & (F.col("d") != F.floor("d"))).alias("f")).collect()}
     wide = body.groupBy("r").pivot("c", list(span)).agg(F.first(F.struct("kind", "s", "d")))
@@ -170,9 +177,93 @@ def extract(cells: DataFrame, place: dict) -> DataFrame:
     return out.na.drop(how="all", subset=names)
 
 
-def propagate_title(titles: list[str]) -> list[str]:
-    """Later titles that are only a year take the first one's name."""
-    import re
+HEADINGS = "file string, sheet string, table_id string, names array<string>, after int, heads array<array<string>>, roles array<string>"
+
+
+def headings(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """For every detected table its columns' names, the row after which its data begin, its header rows and their roles.
+
+    Only a table's first rows are looked at, HEADERS header rows and up to 12 in all with data, so a table's share is
+    small however long it is. Rows of a band are at most LOOSE rows apart.
+    """
+    from pyspark.sql import Window
+
+    def spans(of: str, n: int, rank: int) -> DataFrame:
+        span = F.explode(F.slice(of, 1, n)).alias("x")
+        reach = F.least(F.col("x.last"), F.col("x.first") + n * LOOSE)
+        return tables.select(*KEYS, "table_id", "c0", "c1", span).select(*KEYS, "table_id", "c0", "c1", F.col("x.first").alias("first"), reach.alias("last"), F.lit(rank).alias("rank"))
+
+    own = inside(cells.where(is_filled()), spans("header_rows", HEADERS, 0).unionByName(spans("data_rows", 12, 1)), "first", "last", "c between c0 and c1")
+    number = F.dense_rank().over(Window.partitionBy(*KEYS, "table_id").orderBy("rank", "r"))  # of at most some hundred rows
+    own = own.withColumn("k", number).where(f"rank = 0 and k <= {HEADERS} or k <= 12")
+
+    def name(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        c0, width = int(pdf["c0"].iloc[0]), int(pdf["c1"].iloc[0] - pdf["c0"].iloc[0]) + 1
+        at = sorted(set(pdf["r"].tolist()))
+        rows: dict[int, list] = {r: [None] * width for r in at}
+        for r, c, kind, text, d in zip(pdf["r"].tolist(), pdf["c"].tolist(), pdf["kind"], pdf["s"], pdf["d"].tolist(), strict=True):
+            rows[r][c - c0] = d if kind == "n" else text
+        names, after, heads, roles = _named(at, [rows[r] for r in at], width)
+        text = [[None if v is None else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for v in row] for row in heads]
+        return pd.DataFrame([(*key, names, after, text, roles)], columns=["file", "sheet", "table_id", "names", "after", "heads", "roles"])
+
+    return own.groupBy(*KEYS, "table_id").applyInPandas(name, HEADINGS)
+
+
+@dataclass
+class Form:
+    """Tables whose columns have the same names and types, in one frame: `__table` names each, (file, table_id) as JSON."""
 
-    head = re.match(rf"^(.*\S)\s*[/／]\s*{D.YEAR}", titles[0]) if titles else None
-    return [f"{head[1]}_{t.strip()}" if head and i and re.fullmatch(D.YEAR, t.strip()) else t for i, t in enumerate(titles)]
+    names: list[str]
+    tables: list[dict]
+    frame: DataFrame
+
+
+def table_key() -> Column:
+    return F.to_json(F.array("file", "table_id"))
+
+
+def extract_forms(cells: DataFrame, tables: DataFrame) -> list[Form]:
+    """All detected tables at once: one plan a form and not a table, over cells that are joined with boxes once.
+
+    What comes back to the driver is a row a table (its place, names and columns' types), never cells.
+    """
+    told = stored(tables.join(headings(cells, tables), [*KEYS, "table_id"]).withColumn("__table", table_key()))
+    box = told.select(*KEYS, "__table", "c0", "c1", "band_end", (F.col("after") + 1).alias("begin")).where("begin <= band_end")
+    body = stored(inside(cells, box, "begin", "band_end", "c between c0 and c1").select("__table", F.col("r").cast("long").alias(ROW), (F.col("c") - F.col("c0")).alias("i"), "kind", "s", "d"))
+    fraction = (F.col("kind") == "n") & (F.col("d") != F.floor("d"))
+    cells_of = body.groupBy("__table", "i").agg(F.count_if(F.col("kind") == "s").alias("t"), F.count_if(fraction).alias("f"))
+    types = cells_of.groupBy("__table").agg(F.map_from_entries(F.collect_list(F.struct("i", F.when(F.col("t") > 0, "s").when(F.col("f") > 0, "d").otherwise("n")))).alias("types"))
+    forms: dict[tuple, list[dict]] = {}
+    for x in told.join(types, "__table", "left").orderBy(*KEYS, "region", "part").collect():  # a row a table
+        found = x["types"] or {}
+        forms.setdefault((tuple(x["names"]), tuple(found.get(i, "n") for i in range(len(x["names"])))), []).append(x.asDict(recursive=True))
+    return [Form(list(names), own, _one_form(body, list(names), kinds, [x["__table"] for x in own])) for (names, kinds), own in forms.items()]
+
+
+def _one_form(body: DataFrame, names: list[str], kinds: tuple[str, ...], keys: list[str]) -> DataFrame:
+    own = body.join(F.broadcast(body.sparkSession.createDataFrame([(k,) for k in keys], "__table string")), "__table")
+    wide = own.groupBy("__table", ROW).pivot("i", list(range(len(names)))).agg(F.first(F.struct("kind", "s", "d")))
+
+    def value(i: int) -> Column:
+        x = F.col(f"`{i}`")
+        whole = x["d"].cast("long")
+        if kinds[i] != "s":
+            return x["d"] if kinds[i] == "d" else whole
+        return F.when(x["kind"] == "n", F.when(x["d"] == whole, whole.cast("string")).otherwise(x["d"].cast("string"))).otherwise(x["s"])
+
+    return wide.select("__table", ROW, *[value(i).alias(n) for i, n in enumerate(names)]).na.drop(how="all", subset=[q(n) for n in names])
+
+
+def propagate_title(titles: list[str]) -> list[str]:
+    """A sheet's titles, where the first is a name and a year set apart by ` / `: others that are only a year get the name before it.
+
+    The first then has the same form. Without such a title, or any that it applies to, all stay.
+    """
+    parts = [p.strip() for p in titles[0].split("/")] if titles and " / " in titles[0] else []
+    name = " ".join(p for p in parts if p and not re.search(r"\d{4}", p))
+    years = [p for p in parts if re.search(r"\d{4}", p)]
+    if not name or not any(re.fullmatch(r"\s*\d{4}[年度]?\s*", t) for t in titles[1:]):
+        return list(titles)
+    rest = [f"{name}_{t.strip()}" if re.fullmatch(r"\s*\d{4}[年度]?\s*", t) else t for t in titles[1:]]
+    return [f"{name}_{years[0]}" if years else titles[0], *rest]

@@ -136,7 +136,26 @@ def detect_axes(rows: list[Row], roles: list[str], names: list[str]) -> HeaderAx
     return HeaderAxes(tuple(names[i] for i in labels), tuple(tuple(values[k]) for k in rows_in), tuple(names[i] for i in data), tuple(kinds[k] for k in rows_in), units.pop() if len(units) == 1 else None)
 
 
-def redundant_rows(rows: list[Row], roles: list[str], width: int) -> list[int]:
-    """Header rows that say nothing: constant ones beside others that name columns."""
-    kinds = [row_kind(fill_header(r), list(range(width))) for r in rows]
-    return [k for k, (kind, role) in enumerate(zip(kinds, roles)) if role == "name" and kind in ("constant", "empty") and len([r for r in roles if r == "name"]) > 1]
+def redundant_rows(rows: list[Row], roles: list[str]) -> list[int]:
+    """Header rows that say nothing of their own: constant or empty ones, and those coarser than the lowest row of times.
+
+    Columns count over which a row above the last has something. None are given where a row is irregular, or where an
+    axis stands beside times, as what is left then would not name columns.
+    """
+    if len(rows) < 2:
+        return []
+    filled = [fill_header(r) for r in rows]
+    places = [i for i in range(len(rows[0])) if any(_filled(r[i]) for r in filled[:-1])] or list(range(len(rows[0])))
+    kinds = {k: row_kind(filled[k], places) for k in range(len(rows)) if roles[k] != "unit"}
+    if "irregular" in kinds.values():
+        return []
+    leaf = max((k for k, kind in kinds.items() if kind == "time"), default=None)
+    distinct = {k: len({str(filled[k][i]).strip() for i in places if _filled(filled[k][i])}) for k in kinds}
+    out = [k for k, kind in kinds.items() if kind in ("constant", "empty") or (leaf is not None and k != leaf and (kind == "time" or distinct[k] < distinct[leaf]))]
+    return [] if leaf is not None and any(kind == "candidate" and k not in out for k, kind in kinds.items()) else out
+
+
+def names_without(rows: list[Row], roles: list[str], dropped: list[int]) -> list[str] | None:
+    """Names that the other header rows give, filled to the right; None if none are left."""
+    left = [k for k in range(len(rows)) if k not in dropped]
+    return merge_headers([fill_header(rows[k]) for k in left], [roles[k] for k in left], len(rows[0]))[0] if left else None

@@ -52,7 +52,16 @@ def _sample(df: DataFrame, rows: int = 20) -> list[dict]:
     return [r.asDict() for r in df.orderBy(ROW).limit(rows).select(*[col(c) for c in data_columns(df)]).collect()]
 
 
-def normalize(table: Table,options: Options | None = None) -> Result:
+def _place_axis(df: DataFrame, labels: int, namer: Namer) -> DataFrame:
+    """Axis and values after all labels, or where a Namer wants them: (a label, before or after)."""
+    names = data_columns(df)
+    wanted = namer.axis_position(names[:labels]) if labels > 1 else None
+    if not wanted or wanted[0] not in names[:labels] or wanted[1] not in ("before", "after"):
+        return df
+    return df.select(ROW, *[col(c) for c in reshape.place_axis(names, names[labels:], *wanted)])
+
+
+def normalize(table: Table, options: Options | None = None) -> Result:
     """Pivot, axes or transposition, splits, hierarchy, fill, "of which" rows, aggregates, units, columns; then stacking."""
     options = options or Options()
     df, out = table.frame, Result(table.frame)
@@ -96,11 +105,13 @@ def normalize(table: Table,options: Options | None = None) -> Result:
     df = _finish(df, out)
     names = data_columns(df)
     if grid := reshape.detect_wide(names, options.namer, relaxed=declined):
-        df = reshape.stack_wide(df, grid, namer=options.namer)
+        df, cross = reshape.stack_wide(df, grid, namer=options.namer), None
         out.log.append("wide to long")
     elif cross := reshape.detect_cross_table(names, table.title, options.file, options.namer):
         df = reshape.stack_cross_table(df, cross, namer=options.namer)
         out.log.append("cross table")
+    if found := grid or cross:
+        df = _place_axis(df, len(found.labels), options.namer)
     if items := options.namer.external_metadata(options.file or "", table.sheet):
         df = reshape.add_constants(df, items)
     out.frame = df

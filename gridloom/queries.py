@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import dicts as D
-from .frame import ROW, col
+from .frame import ROW, col, stored
 from .functions import labels as L
 from .operators import aggregates as A
 from .operators import derive as U
@@ -395,6 +395,33 @@ def latent_derive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("priority", *[cents(F.col(c)).alias(c) for c in ("f", "o", "p")])
 
 
+_PARTS = "SELECT o_orderstatus AS status, c_mktsegment AS segment, o_orderpriority AS priority, round(sum(o_totalprice), 2) AS amount FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"
+
+
+@query("latent_union", f"SELECT s.status AS sheet, g.segment AS part, p.priority, coalesce(x.amount, 0) AS amount FROM (SELECT DISTINCT status FROM ({_PARTS})) s CROSS JOIN (SELECT DISTINCT segment FROM ({_PARTS})) g CROSS JOIN (SELECT DISTINCT priority FROM ({_PARTS})) p LEFT JOIN ({_PARTS}) x ON x.status = s.status AND x.segment = g.segment AND x.priority = p.priority")
+def latent_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet a status with all segments' tables but the last, and a total whose note names them all: one union over both axes."""
+    orders, customer = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
+    long = stored(joined.groupBy("o_orderstatus", "c_mktsegment", "o_orderpriority").agg(F.sum("o_totalprice").alias("amount")))  # a row a cell
+    statuses, segments = ([r[0] for r in long.select(c).distinct().orderBy(c).collect()] for c in ("o_orderstatus", "c_mktsegment"))
+    wide = long.withColumn("both", F.concat_ws("|", "o_orderstatus", "c_mktsegment")).groupBy(F.col("o_orderpriority").alias("priority")).pivot("both", [f"{s}|{g}" for s in statuses for g in segments]).agg(F.sum("amount")).na.fill(0.0)
+    cells = stored(grid(wide, "priority"))
+    note = "、".join(segments) + "の合計"
+    tables = []
+    for s in statuses:
+        whole = reduce(lambda a, b: a + b, [col(f"{s}|{g}") for g in segments])
+        tables.append(X.Table(f"{s}_T0", s, "全区分", cells.select(ROW, "priority", whole.alias("amount")), [note]))
+        tables += [X.Table(f"{s}_T{k}", s, g, cells.select(ROW, "priority", col(f"{s}|{g}").alias("amount"))) for k, g in enumerate(segments[:-1], 1)]
+    by_id = {t.id: t for t in tables}
+    derived = {p: X.Table(f"{p.source}_rest", by_id[p.source].sheet, p.missing[0], U.subtract(by_id[p.source], [by_id[k] for k in p.known])) for p in U.latent_tables(tables)}
+    (found,) = U.automatic_integrations(derived, tables)
+    by_id |= {t.id: t for t in derived.values()}
+    out = U.integrate([by_id[i] for i in found.sources], list(found.axes), list(found.values))
+    part, sheet = found.axes
+    return out.select(col(sheet).alias("sheet"), col(part).alias("part"), "priority", cents(F.col("amount")).alias("amount"))
+
+
 @query("latent_derive_keyed", "SELECT o_orderkey AS orderkey, round(sum(l_extendedprice) FILTER (l_returnflag = 'R'), 2) AS amount FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'R') > 0")
 def latent_derive_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What remains of each order when the other flags' sums are taken off, over all line items."""
@@ -505,6 +532,16 @@ def extract_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.extract(cells, place).drop(ROW)
 
 
+@query("extract_tables", "SELECT replace(n_name, ' ', '_') || '_T1' AS table_id, c_name AS name, c_mktsegment AS segment, CAST(c_acctbal AS DOUBLE) AS balance, c_custkey AS key FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables of all sheets, a plan a form."""
+    cells = _sheets(spark, sf_dir)
+    forms = G.extract_forms(cells, G.detect_tables(cells))
+    table_id = F.from_json("__table", "array<string>")[1].alias("table_id")
+    parts = [f.frame.select(table_id, "name", "segment", F.col("balance").cast("double").alias("balance"), "key") for f in forms]
+    return reduce(DataFrame.unionByName, parts)
+
+
 @query("formula_sum", "SELECT l_orderkey AS id, round(sum(l_quantity), 2) AS total FROM lineitem GROUP BY 1")
 def formula_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SUM over the rectangle of each order's lines, as a join of ranges with cells."""

@@ -26,23 +26,30 @@ def stream_csv_cells(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(cells, CELLS)
 
 
+def on_each_batch_of_names(spark: SparkSession, folder: str, work: Callable[[list[str], int], None], checkpoint: str, files_at_once: int = 1000) -> StreamingQuery:
+    """Runs work(paths, batch) on the names of new files as they come, at most files_at_once of them a batch."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    names = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_at_once).load(folder).select("path")
+
+    def batch(found: DataFrame, number: int) -> None:
+        if paths := [r["path"] for r in found.collect()]:
+            work(paths, number)
+
+    return names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def on_each_batch_of_files(spark: SparkSession, folder: str, work: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, files_at_once: int = 1000) -> StreamingQuery:
     """Runs work(cells, widths, batch) on new files as they come, read as `read_csv_cells` reads them.
 
-    Only the files' names stream, at most files_at_once of them a batch, so a file may be of any size.
+    Only the files' names stream, so a file may be of any size.
     """
     from ..sources.delimited import cells_of, read_rows, widths_of
 
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    names = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", files_at_once).load(folder).select("path")
-
-    def batch(found: DataFrame, number: int) -> None:
-        paths = [r["path"] for r in found.collect()]
-        if paths:
-            rows = read_rows(found.sparkSession, paths)
-            work(cells_of(rows), widths_of(rows), number)
+    def batch(paths: list[str], number: int) -> None:
+        rows = read_rows(spark, paths)
+        work(cells_of(rows), widths_of(rows), number)
 
-    return names.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return on_each_batch_of_names(spark, folder, batch, checkpoint, files_at_once)
 
 
 def on_each_batch(cells: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
