@@ -228,6 +228,7 @@ def extract_forms(cells: DataFrame, tables: DataFrame) -> list[Form]:
 
     What comes back to the driver is a row a table (its place, names and columns' types), never cells.
     """
+    tables = stored(tables)  # its plan is deep, and it is read four times
     told = stored(tables.join(headings(cells, tables), [*KEYS, "table_id"]).withColumn("__table", table_key()))
     box = told.select(*KEYS, "__table", "c0", "c1", "band_end", (F.col("after") + 1).alias("begin")).where("begin <= band_end")
     body = stored(inside(cells, box, "begin", "band_end", "c between c0 and c1").select("__table", F.col("r").cast("long").alias(ROW), (F.col("c") - F.col("c0")).alias("i"), "kind", "s", "d"))

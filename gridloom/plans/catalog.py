@@ -61,7 +61,7 @@ def extract_all(spark: SparkSession, paths: list[str], folder: str) -> list[Foun
     """All tables of the files, by file, sheet and place; those of one form are stored together, sorted by table."""
     cells, widths = read_cells(spark, paths)
     places, frames = [], {}
-    for k, form in enumerate(grid.extract_forms(cells, stored(grid.detect_tables(cells, widths)))):
+    for k, form in enumerate(grid.extract_forms(cells, grid.detect_tables(cells, widths))):
         where = f"{folder}/form{k}"
         form.frame.repartitionByRange("__table", ROW).sortWithinPartitions("__table", ROW).write.mode("overwrite").parquet(where)
         rows = spark.read.schema(form.frame.schema).parquet(where)

@@ -534,8 +534,8 @@ def extract_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("extract_tables", "SELECT replace(n_name, ' ', '_') || '_T1' AS table_id, c_name AS name, c_mktsegment AS segment, CAST(c_acctbal AS DOUBLE) AS balance, c_custkey AS key FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def extract_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The tables of all sheets, a plan a form."""
-    cells = _sheets(spark, sf_dir)
+    """The tables of all sheets, a plan a form; cells are stored, as those that are read from files."""
+    cells = stored(_sheets(spark, sf_dir))
     forms = G.extract_forms(cells, G.detect_tables(cells))
     table_id = F.from_json("__table", "array<string>")[1].alias("table_id")
     parts = [f.frame.select(table_id, "name", "segment", F.col("balance").cast("double").alias("balance"), "key") for f in forms]
