@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import lowered, prefix_hash, rest, restored, small_batches, texts_of, window_hash, word_spans
+from .common import lowered, prefix_hash, rest, restored, small_batches, stage, texts_of, window_hash, word_spans
 
 STEMS = (4, 5, 6)
 FOLDS = 5
@@ -116,23 +116,32 @@ def evidence(scores: np.ndarray, model: Model) -> tuple[float, list[tuple[int, i
     return float(sum(-np.log(max(e, 1e-260)) for *_, e in found)), found
 
 
-def _weights(counts: DataFrame, parts: list[tuple[Column, Column]], z: float, prior: float, max_units: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each part, a pair of counts of (clean, toxic) documents: units whose smoothed log-odds differ from nought."""
-    c = counts.select("unit", *[n.alias(f"n{y}p{k}") for k, pair in enumerate(parts) for y, n in enumerate(pair)])
-    sums = c.agg(*[F.sum(x).alias(x) for x in c.columns[1:]]).first()
-    columns = []
-    for k in range(len(parts)):
-        n0, n1, total0, total1 = F.col(f"n0p{k}"), F.col(f"n1p{k}"), float(sums[f"n0p{k}"] or 0), float(sums[f"n1p{k}"] or 0)
-        if not total0 or not total1:
-            columns.append(F.lit(0.0).alias(f"w{k}"))
-            continue
-        a, a0 = (n0 + n1) * prior, (total0 + total1) * prior
-        odds = F.log((n1 + a) / (F.lit(total1 + a0) - n1 - a)) - F.log((n0 + a) / (F.lit(total0 + a0) - n0 - a))
-        sd = F.sqrt(1 / (n1 + a) + 1 / (n0 + a))
-        columns.append(F.when(n0 + n1 > 1, F.signum(odds) * F.greatest(F.lit(0.0), F.abs(odds) - z * sd)).otherwise(0.0).alias(f"w{k}"))
+def _weights(counts: DataFrame, totals: np.ndarray, parts: list[list[int]], z: float, prior: float, max_units: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each part, a list of folds: units whose smoothed log-odds differ from nought in the counts of these folds.
+
+    The formulas run on arrays within tasks: as columns, all parts' together make plans that outweigh the data in the driver.
+    """
     names = [f"w{k}" for k in range(len(parts))]
-    most = F.greatest(*[F.abs(w) for w in names], F.lit(0.0))
-    rows = c.select("unit", *columns).where(most > 0.1).orderBy(most.desc(), "unit").limit(max_units).toPandas().sort_values("unit")
+
+    def weigh(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            cells, out = pdf[CELLS].to_numpy(float), {"unit": pdf["unit"].to_numpy(np.int64)}
+            for name, folds in zip(names, parts, strict=True):
+                (n0, n1), (total0, total1) = (tuple(x[..., [2 * f + y for f in folds]].sum(axis=-1) for y in (0, 1)) for x in (cells, totals))
+                if not total0 or not total1:
+                    out[name] = np.zeros(len(pdf))
+                    continue
+                on = n0 + n1 > 1
+                n0, n1 = np.where(on, n0, 1.0), np.where(on, n1, 1.0)
+                a, a0 = (n0 + n1) * prior, (total0 + total1) * prior
+                odds = np.log((n1 + a) / (total1 + a0 - n1 - a)) - np.log((n0 + a) / (total0 + a0 - n0 - a))
+                sd = np.sqrt(1 / (n1 + a) + 1 / (n0 + a))
+                out[name] = np.where(on, np.sign(odds) * np.maximum(0.0, np.abs(odds) - z * sd), 0.0)
+            out["most"] = np.max([np.abs(out[n]) for n in names], axis=0, initial=0.0)
+            yield pd.DataFrame(out)[out["most"] > 0.1]
+
+    found = counts.mapInPandas(weigh, "unit long, " + ", ".join(f"{n} double" for n in names) + ", most double")
+    rows = found.orderBy(F.desc("most"), "unit").limit(max_units).toPandas().sort_values("unit")
     unit = rows["unit"].to_numpy(np.int64)
     return [(unit[on], w[on]) for w in (rows[n].to_numpy(float) for n in names) for on in (np.abs(w) > 0.1,)]
 
@@ -187,11 +196,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 24_000, max_unit
     spark = docs.sparkSession
     chosen = F.broadcast(spark.createDataFrame(rows.astype("int64"), "doc_id long, y long, fold long"))  # bounded by max_labelled
     train = texts_of(docs).join(chosen, "doc_id").withColumn("h", F.xxhash64("text"))
-    train = train.groupBy("h").agg(F.min_by(F.struct("text", "y", "fold"), "doc_id").alias("r")).select("r.*").persist()
-    try:
-        return _fit(train, model, spark, max_units, z, prior, drift)
-    finally:
-        train.unpersist()
+    train = train.groupBy("h").agg(F.min_by(F.struct("text", "y", "fold"), "doc_id").alias("r")).select("r.*")
+    return _fit(stage(train, "toxic-train"), model, spark, max_units, z, prior, drift)  # stored, as every round reads it: cached plans are repeated in each plan above them
 
 
 def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z: float, prior: float, drift: float) -> Model:
@@ -211,7 +217,8 @@ def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z:
                 keep = u != 0
                 yield pd.DataFrame({"unit": u[keep], **{c: table[keep, i] for i, c in enumerate(CELLS)}})
 
-    counts = train.mapInPandas(count, COUNTS).groupBy("unit").agg(*[F.sum(c).cast("int").alias(c) for c in CELLS]).where(" + ".join(CELLS) + " > 1").persist()
+    counts = stage(train.mapInPandas(count, COUNTS).groupBy("unit").agg(*[F.sum(c).cast("int").alias(c) for c in CELLS]).where(" + ".join(CELLS) + " > 1"), "toxic-units")
+    totals = np.array([x or 0 for x in counts.agg(*[F.sum(c) for c in CELLS]).first()], float)
 
     def laws(models: list[Model]) -> None:
         """Extreme-value laws: a clean document counts for one model that learned from it (of several, that of the fold after its own)."""
@@ -246,31 +253,26 @@ def _fit(train: DataFrame, model: Model, spark: SparkSession, max_units: int, z:
         xy = train.mapInPandas(rate, "x double, y long").toPandas().sort_values(["x", "y"])  # at most max_labelled rows
         return np.minimum(xy["x"].to_numpy(float), 60.0), xy["y"].to_numpy(float)
 
-    def total(y: int, without: int | None = None) -> Column:
-        return sum((F.col(f"n{y}_{fold}") for fold in range(FOLDS) if fold != without), F.lit(0))
-
-    try:
-        best = None
-        for now in (z, *[x for x in LOOSER if x < z]):
-            found = _weights(counts, [(total(0, fold), total(1, fold)) for fold in range(FOLDS)] + [(total(0), total(1))], now, prior, max_units)
-            units, weights = found.pop()
-            folds = [Model(units=u, weights=w, drift=drift) for u, w in found]
-            if not all((w > 0).any() for w in (weights, *(m.weights for m in folds))):
-                continue
-            laws(folds)
-            x, y = rated(folds)
-            slope, offset = _logistic(x, y)
-            p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
-            fit_now = float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
-            if best is not None and fit_now <= best:
-                break
-            best, model.units, model.weights, model.slope, model.offset = fit_now, units, weights, slope, offset
-        laws([model])
-        if model.slope <= 0.01 and len(model.units):  # no fold tells the others' classes apart: the curve of the weights' own documents, less steep
-            slope, offset = _logistic(*rated([model]))
-            model.slope, model.offset = max(slope / 2, 0.1), offset
-    finally:
-        counts.unpersist()
+    best = None
+    everything = list(range(FOLDS))
+    for now in (z, *[x for x in LOOSER if x < z]):
+        found = _weights(counts, totals, [[f for f in everything if f != fold] for fold in everything] + [everything], now, prior, max_units)
+        units, weights = found.pop()
+        folds = [Model(units=u, weights=w, drift=drift) for u, w in found]
+        if not all((w > 0).any() for w in (weights, *(m.weights for m in folds))):
+            continue
+        laws(folds)
+        x, y = rated(folds)
+        slope, offset = _logistic(x, y)
+        p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
+        fit_now = float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum())
+        if best is not None and fit_now <= best:
+            break
+        best, model.units, model.weights, model.slope, model.offset = fit_now, units, weights, slope, offset
+    laws([model])
+    if model.slope <= 0.01 and len(model.units):  # no fold tells the others' classes apart: the curve of the weights' own documents, less steep
+        slope, offset = _logistic(*rated([model]))
+        model.slope, model.offset = max(slope / 2, 0.1), offset
     return model
 
 
