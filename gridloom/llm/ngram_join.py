@@ -356,19 +356,19 @@ def join_components(docs: DataFrame, percent: int = 80, k: int = 5, chunk_bytes:
     shared = stage(sharing(classes), "ngram-shared")
 
     def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = stage(under_other_orders(stage(possible_pairs(pairs, classes, percent), "ngram-possible"), classes), "ngram-pairs")
+        pairs = stage(under_other_orders(possible_pairs(pairs, classes, percent), classes), "ngram-pairs")
         needed = pairs.select(F.col("u").alias("sig")).union(pairs.select(F.col("v").alias("sig"))).distinct()
         sets = stage(texts_by_class(classes.select("sig", "chunk", "file", "d").join(needed, "sig", "left_semi")), "ngram-sets")
         return stage(verified(pairs, sets, k, percent), "ngram-links")
 
-    links = links_of(_pairs(shared, percent))
-    label = components(links)
+    label = components(links_of(_pairs(shared, percent)))
     for last in (False, True):
         shared = stage(open_groups(shared, label), "ngram-open")
+        if not shared.head(1):
+            break
         more = links_of(cross_pairs(shared, classes, percent) if last else second_star_pairs(shared, percent))
         if more.head(1):
-            links = links.union(more)
-            label = components(links)
+            label = components(more.union(label.select(F.col("node").alias("u"), F.col("label").alias("v"))))
     of = table.select("doc_id", "sig", "n").join(label.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
     least = of.where("n > 0").groupBy("label").agg(F.min(F.nullif("doc_id", F.lit(NULL_ID))).alias("least"))
     return restored(of.join(least, "label", "left")).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("least", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
