@@ -258,6 +258,35 @@ def test_line_dedup(spark, nothing):
     assert [r["n_removed"] for r in line_dedup.dedup_lines(twice).collect()] == [0, 0]
 
 
+def test_line_suffix_order_and_intervals(spark):
+    rng = random.Random(3)
+    texts = [(i, "\n".join(rng.choice("ab" if rng.random() < 0.8 else "cdefgh ") for _ in range(rng.randrange(30)))) for i in range(12)]
+    texts += [(i + 100, texts[i][1]) for i in range(3)] + [(200, "a\n" * 40), (201, "a\n" * 30 + "b"), (None, "a\n" * 7)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    lines, _, n = line_dedup.placed(line_dedup.keyed(docs), 1)
+    rounds = line_dedup.suffix_order(lines, n, 64)
+    got = sorted((r["place"], r["at"]) for _, t in rounds for r in t.where("not open").collect())
+    name = {r["at"]: (r["name"], r["rest"]) for r in lines.collect()}
+    suffix = {at: [name[k][0] for k in range(at, at + rest)] for at, (_, rest) in name.items()}
+    whole = sorted(suffix, key=lambda at: (suffix[at], at))  # an end stands below all lines, ends in order of documents
+    assert got == list(enumerate(whole)) and len(rounds) > 5
+    shared = [0] + [next((k for k, (x, y) in enumerate(zip(suffix[a], suffix[b])) if x != y), min(len(suffix[a]), len(suffix[b]))) for a, b in zip(whole, whole[1:])]
+    assert sorted(map(tuple, line_dedup.common_prefixes(rounds).collect())) == [(k, v) for k, v in enumerate(shared) if v]
+    best = {}  # blocks of 16 places, so intervals go on over several
+    for r in line_dedup.longest_earlier(rounds[0][1].sparkSession.createDataFrame([(k, at, 0, 1) for k, at in got], "place long, at long, i int, w int"), line_dedup.common_prefixes(rounds), 16).collect():
+        best[r["at"]] = max(best.get(r["at"], 0), r["best"])
+    lcp = {}
+    for k, at in enumerate(whole):
+        least = 1 << 30
+        for j in range(k - 1, -1, -1):
+            least = min(least, shared[j + 1])
+            lcp[at, whole[j]] = lcp[whole[j], at] = least
+    assert best == {at: max((lcp[at, other] for other in whole if other < at), default=0) for at in whole}
+    for min_chars in (1, 20):
+        kept = line_dedup.dedup_lines(docs, min_chars, places=64).collect()
+        assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in kept) == brute_lines(texts, min_chars)
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
