@@ -287,6 +287,12 @@ def test_line_suffix_order_and_intervals(spark):
         assert Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in kept) == brute_lines(texts, min_chars)
 
 
+def test_line_dedup_takes_short_ends_of_runs(spark):
+    run = "a line that is long enough to count\nend"
+    got = line_dedup.dedup_lines(spark.createDataFrame([(1, run), (2, "own\n" + run), (3, "end")], "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["text"]) for r in got} == {1: (0, run), 2: (2, "own"), 3: (0, "end")}
+
+
 def shingle_set(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
