@@ -29,12 +29,15 @@ def col(name: str) -> Column:
 
 
 def with_rows(df: DataFrame, order_by: list[str] | None = None) -> DataFrame:
-    """Numbers rows by the given columns, range-sorted, or else as they come; numbers may have gaps."""
+    """Numbers rows by the given columns, range-sorted, or else as they come; numbers may have gaps.
+
+    The table is stored with them: another sort or shuffle would give the same rows other numbers.
+    """
     if ROW in df.columns:
         return df
     if order_by:
         df = df.orderBy(*[col(c) for c in order_by])
-    return df.withColumn(ROW, F.monotonically_increasing_id())
+    return stored(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -45,8 +45,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def grid(df: DataFrame, *order: str | Column) -> DataFrame:
-    """Rows in this order, numbered."""
-    return df.orderBy(*order).withColumn(ROW, F.monotonically_increasing_id())
+    """Rows in this order, numbered once: another sort draws other bounds, hence other numbers for the same rows."""
+    return stored(df.orderBy(*order).withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def cents(c: Column) -> Column:
@@ -130,7 +130,7 @@ def rollup_row_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grouping_ffill", "SELECT o_orderpriority AS priority, o_orderkey AS orderkey, CAST(o_totalprice AS DOUBLE) AS price FROM orders")
 def grouping_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A priority stands only in the first row of its run, over all orders."""
-    orders = grid(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
+    orders = grid(table(spark, sf_dir, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice"), "o_orderpriority", "o_orderkey")
     first = orders.groupBy("o_orderpriority").agg(F.min(ROW).alias("__first")).withColumnRenamed("o_orderpriority", "__p")
     messy = orders.join(first, F.col(ROW) == F.col("__first"), "left").select(F.col("__p").alias("priority"), F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").cast("double").alias("price"), ROW)
     return FL.fill_grouping_columns(messy)[0].drop(ROW)
@@ -406,7 +406,7 @@ def latent_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = stored(joined.groupBy("o_orderstatus", "c_mktsegment", "o_orderpriority").agg(F.sum("o_totalprice").alias("amount")))  # a row a cell
     statuses, segments = ([r[0] for r in long.select(c).distinct().orderBy(c).collect()] for c in ("o_orderstatus", "c_mktsegment"))
     wide = long.withColumn("both", F.concat_ws("|", "o_orderstatus", "c_mktsegment")).groupBy(F.col("o_orderpriority").alias("priority")).pivot("both", [f"{s}|{g}" for s in statuses for g in segments]).agg(F.sum("amount")).na.fill(0.0)
-    cells = stored(grid(wide, "priority"))
+    cells = grid(wide, "priority")
     note = "、".join(segments) + "の合計"
     tables = []
     for s in statuses:
