@@ -31,3 +31,14 @@ def test_grouping_ffill(spark, ranges, tmp_path):
     spark.range(20000).selectExpr("concat(id * 7919 % 5, '-P') as o_orderpriority", "id as o_orderkey", "cast(id as double) as o_totalprice").repartition(16).write.parquet(f"{tmp_path}/orders.parquet")
     got = {r["orderkey"]: (r["priority"], r["price"]) for r in QUERIES["grouping_ffill"](spark, str(tmp_path)).collect()}
     assert got == {i: (f"{i * 7919 % 5}-P", float(i)) for i in range(20000)}
+
+
+def test_kv_pivot(spark, ranges, tmp_path):
+    spark.range(60000).selectExpr("id * 7919 % 60000 div 3 as user_id", "element_at(array('click', 'view'), cast(1 + id % 2 as int)) as event_type").repartition(16).write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for i in range(60000):
+        counts = want.setdefault(i * 7919 % 60000 // 3, {"click": None, "view": None})
+        kind = ("click", "view")[i % 2]
+        counts[kind] = (counts[kind] or 0) + 1
+    got = QUERIES["kv_pivot"](spark, str(tmp_path)).collect()
+    assert len(got) == len(want) and {r["user_id"]: {"click": r["click"], "view": r["view"]} for r in got} == want
