@@ -5,9 +5,10 @@ stand in one order and a window adds up, in blocks whose totals are carried on,
 however many cells it covers, and a long column is no single task.
 
 A formula is ready once no formula cell in its ranges is open. Ranges' sums over plain cells are found once; from then
-on only values that became known are added. The formulas of a sheet go to one task where a measured number of
-them and of their links allows; else they are evaluated in rounds, each a job over all that are ready. What is left when
-nothing is ready any more is on a cycle, or needs one, and is reported as such.
+on only values that became known are added. A sheet whose cells, formulas and links are few, by a bound that needs no
+parsing, goes to a task whole, which takes one sheet after the other. For the others links are counted, and their
+formulas go to one task where those allow; else they are evaluated in rounds, each a job over all that are ready. What is
+left when nothing is ready any more is on a cycle, or needs one, and is reported as such.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -23,8 +27,10 @@ from pyspark.sql import functions as F
 
 from ..frame import stored
 
-#: Rows of a block of a column; formulas and links between them that one task takes.
-BLOCK, TASK_FORMULAS, TASK_LINKS = 1 << 16, 100_000, 2_000_000
+#: Rows of a block of a column; formulas, links between them and other cells of a sheet that one task takes.
+BLOCK, TASK_FORMULAS, TASK_LINKS, TASK_CELLS = 1 << 16, 100_000, 2_000_000, 1_000_000
+#: Cells up to which a column's part of a range is added up, not taken from prefix sums; rows that a task hands on at once.
+SHORT, BATCH = 64, 10_000
 PLACE = ["file", "sheet"]
 BOX = "struct<r0: int, c0: int, r1: int, c1: int>"
 PARSED = f"file string, sheet string, r int, c int, op string, args array<{BOX}>"
@@ -91,6 +97,32 @@ class Strips:
                 yield r, c
 
 
+class Sums:
+    """Numbers by column, to add up those in a box."""
+
+    def __init__(self, numbers: Iterable[tuple[int, int, float]]) -> None:
+        by_column: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        for c, r, d in numbers:
+            by_column[c].append((r, d))
+        self.strips = {}
+        for c, cells in by_column.items():
+            cells.sort(key=itemgetter(0))
+            rows, values = zip(*cells, strict=True)
+            self.strips[c] = rows, values, list(accumulate(values, initial=0.0))
+        self.columns = sorted(self.strips)
+
+    def within(self, box: Box) -> tuple[float, int]:
+        """(sum, count)"""
+        r0, c0, r1, c1 = box
+        total, found = 0.0, 0
+        for c in (c0,) * (c0 in self.strips) if c0 == c1 else self.columns[bisect_left(self.columns, c0) : bisect_right(self.columns, c1)]:
+            rows, values, upto = self.strips[c]
+            i, j = bisect_left(rows, r0), bisect_right(rows, r1)
+            total += upto[j] - upto[i] if j - i > SHORT else sum(values[i:j])
+            found += j - i
+        return total, found
+
+
 def solve(places: list[tuple[int, int]], parsed: list[tuple[str, list[Box]]], totals: list[list[float]], found: list[list[int]]) -> list[tuple[float | None, str]]:
     """(value, state) of a sheet's open formulas, each after those in its ranges. totals and found: of plain cells, a range each."""
     number = {at: i for i, at in enumerate(places)}
@@ -164,11 +196,65 @@ def _solve_sheet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame([(*key, *at, *s) for at, s in zip(places, solved, strict=True)], columns=["file", "sheet", "r", "c", "value", "state"])
 
 
-def evaluate(cells: DataFrame, formulas: DataFrame, task_formulas: int = TASK_FORMULAS, task_links: int = TASK_LINKS) -> DataFrame:
+def _solve_whole(rows: Iterable[tuple], parse=parse) -> list[tuple]:
+    """(r, c, value, state) of a sheet's formulas, from rows (file, sheet, r, c, d, number, formula, dealt) of all it holds."""
+    filled, numbers, texts = set(), [], []
+    for _, _, r, c, d, number, formula, _ in rows:
+        if formula is not None:
+            texts.append(((r, c), formula))
+            continue
+        filled.add((r, c))
+        if number:
+            numbers.append((c, r, d))
+    known = [(at, p) for at, text in texts if at not in filled and (p := parse(text))]
+    sums, places, parsed = Sums(numbers), [at for at, _ in known], [p for _, p in known]
+    inside = [[sums.within(box) for box in boxes] for _, boxes in parsed]
+    solved = solve(places, parsed, [[t for t, _ in x] for x in inside], [[n for _, n in x] for x in inside])
+    return [(*at, *s) for at, s in zip(places, solved, strict=True)]
+
+
+def _solve_sheets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """All sheets of a partition, whose rows come sheet by sheet."""
+    names, out = ["file", "sheet", "r", "c", "value", "state"], []
+    again = lru_cache(1 << 13)(parse)  # sheets of one form have the same formulas
+    rows = (row for pdf in parts for row in zip(*[pdf[c].tolist() for c in pdf.columns], strict=True))
+    for key, own in groupby(rows, itemgetter(0, 1)):
+        out += [(*key, *x) for x in _solve_whole(own, again)]
+        if len(out) >= BATCH:
+            yield pd.DataFrame(out, columns=names)
+            out = []
+    yield pd.DataFrame(out, columns=names)
+
+
+def evaluate(cells: DataFrame, formulas: DataFrame, task_formulas: int = TASK_FORMULAS, task_links: int = TASK_LINKS, task_cells: int = TASK_CELLS) -> DataFrame:
     """(file, sheet, r, c, value, state) of formulas (file, sheet, r, c, formula) whose cells hold nothing yet.
 
     state: value; empty, where no number was found; cycle. Formulas of another kind than `parse` knows have no row.
     """
+    place, number = [*PLACE, "r", "c"], (F.col("kind") == "n") & F.col("d").isNotNull()
+    plain = cells.where("kind is not null and (s is not null or d is not null)").select(*place, F.col("d").cast("double").alias("d"), number.alias("number"), F.lit(None).cast("string").alias("formula"))
+    rows = plain.unionByName(formulas.where("formula is not null").select(*place, F.lit(None).cast("double").alias("d"), F.lit(False).alias("number"), "formula"))
+    is_formula, parts, ranged = F.col("formula").isNotNull(), F.length("formula") - F.length(F.replace("formula", F.lit(","))) + 2, F.contains("formula", F.lit(":"))
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sizes = rows.groupBy(*PLACE).agg(
+        F.count_if(is_formula).alias("formulas"), F.count_if(~is_formula).alias("cells"), zero(F.when(is_formula & ~ranged, parts)).alias("single"), zero(F.when(is_formula & ranged, parts)).alias("ranges"),
+        (F.max("c") - F.min("c") + 1).alias("width"),
+    )
+    links = F.col("single") + F.col("ranges") * F.greatest("formulas", "width")  # at most
+    too_large = (F.col("formulas") > task_formulas) | (F.col("cells") > task_cells) | (links > task_links)
+    others = stored(sizes.where((F.col("formulas") == 0) | too_large).select(*PLACE, "formulas"))
+    small = rows if others.isEmpty() else rows.join(others, PLACE, "left_anti")
+    # By a column of its own: where rows happen to be dealt by sheet already, repartition is left out, and adaptive joins may then undo that.
+    dealt = small.withColumn("dealt", F.xxhash64(*PLACE)).repartition("dealt").sortWithinPartitions("dealt", *PLACE)
+    out = dealt.mapInPandas(_solve_sheets, VALUES)
+    large = others.where("formulas > 0").select(*PLACE)
+    if large.isEmpty():
+        return out
+    return out.unionByName(_evaluate_large(cells.join(large, PLACE, "left_semi"), formulas.join(large, PLACE, "left_semi"), task_formulas, task_links))
+
+
+def _evaluate_large(cells: DataFrame, formulas: DataFrame, task_formulas: int, task_links: int) -> DataFrame:
+    """The same with ranges' sums and links found by jobs over all sheets."""
     place = [*PLACE, "r", "c"]
     filled = cells.where("kind is not null and (s is not null or d is not null)").select(*place)
     parsed = stored(formulas.select(*place, "formula").mapInPandas(_parse_all, PARSED).join(filled, place, "left_anti").withColumn("id", F.monotonically_increasing_id()))

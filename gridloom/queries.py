@@ -557,12 +557,12 @@ def formula_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet a customer: prices in A, in B the balance so far by the one above, and the sum of A in C1, as formulas."""
     orders = table(spark, sf_dir, "orders")
     sheet, r = F.col("o_custkey").cast("string").alias("sheet"), F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = orders.select(F.lit("f").alias("file"), sheet, r.alias("r"), "o_custkey", "o_orderkey", "o_totalprice")
+    rows = stored(orders.select(F.lit("f").alias("file"), sheet, r.alias("r"), "o_custkey", "o_orderkey", "o_totalprice"))
     cells = rows.select("file", "sheet", "r", F.lit(1).alias("c"), F.lit("n").alias("kind"), F.lit(None).cast("string").alias("s"), F.col("o_totalprice").cast("double").alias("d"))
     line = F.when(F.col("r") == 1, "=A1").otherwise(F.concat(F.lit("=B"), F.col("r") - 1, F.lit("+A"), "r"))
     last = rows.groupBy("file", "sheet").agg(F.max("r").alias("n"))
     formulas = rows.select("file", "sheet", "r", F.lit(2).alias("c"), line.alias("formula")).unionByName(last.select("file", "sheet", F.lit(1).alias("r"), F.lit(3).alias("c"), F.concat(F.lit("=SUM($A$1:$A$"), "n", F.lit(")")).alias("formula")))
-    values = FM.evaluate(cells, formulas)
+    values = stored(FM.evaluate(cells, formulas))
     total = values.where("c = 3").select("sheet", cents(F.col("value")).alias("total"))
     return rows.join(values.where("c = 2").select("sheet", "r", cents(F.col("value")).alias("balance")), ["sheet", "r"]).join(total, "sheet").select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), "balance", "total")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import pytest
 
@@ -137,3 +138,26 @@ def test_range_sums(spark, monkeypatch):
     got = {r["id"]: r["total"] for r in M.range_sums(df, ranges).collect()}
     want = {i: v for i, r0, c0, r1, c1 in boxes if (v := [x for (r, c), x in cells.items() if r0 <= r <= r1 and c0 <= c <= c1])}
     assert got == {i: float(sum(v)) for i, v in want.items()}
+
+
+def test_many_small_sheets(spark):
+    """Sheets cost what their cells cost: 60,000 of them took minutes when each was a group of its own."""
+    n = 60_000
+    rows = spark.range(n).selectExpr("'f' as file", "concat('s', id) as sheet", "cast(id as double) as d")
+    cells = rows.selectExpr("file", "sheet", "explode(array(1, 2, 3)) as r", "1 as c", "'n' as kind", "cast(null as string) as s", "d")
+    formulas = rows.selectExpr("file", "sheet", "explode(array(1, 2, 3)) as r", "2 as c").selectExpr("*", "if(r = 1, '=A1', concat('=B', r - 1, '+A', r)) as formula")
+    began = time.monotonic()
+    out = M.evaluate(cells, formulas).selectExpr("sum(value)", "count_if(state = 'value')", "count(*)").first()
+    assert tuple(out) == (6.0 * sum(range(n)), 3 * n, 3 * n)
+    assert time.monotonic() - began < 75
+
+
+@pytest.mark.parametrize("bounds", [{}, {"task_cells": 100}, {"task_links": 150}, {"task_formulas": 60}])
+def test_bounds(spark, bounds):
+    """Long sheets, columns of text and sheets without formulas, whichever way they go."""
+    cells = [("f", "long", r, c, "n", None, float(r * c)) for r in range(1, 201) for c in (1, 2)] + [("f", "long", 300, 1, "s", "x", None), ("f", "none", 1, 1, "n", None, 1.0), ("f", "few", 1, 1, "n", None, 5.0)]
+    formulas = [("f", "long", r, 3, f"SUM(A{r}:B$200)") for r in range(1, 101)] + [("f", "long", 300, 1, "A1"), ("f", "long", 1, 4, "SUM(C1:C100, A5)"), ("f", "few", 2, 1, "A1*A1"), ("f", "few", 3, 1, "A2-A1"), ("f", "few", 4, 1, "Z9")]
+    out = {(x["sheet"], x["r"], x["c"]): (x["value"], x["state"]) for x in M.evaluate(spark.createDataFrame(cells, CELLS), spark.createDataFrame(formulas, "file string, sheet string, r int, c int, formula string"), **bounds).collect()}
+    tail = {r: 3.0 * sum(range(r, 201)) for r in range(1, 101)}
+    want = {("long", r, 3): (v, "value") for r, v in tail.items()} | {("long", 1, 4): (sum(tail.values()) + 5, "value"), ("few", 2, 1): (25.0, "value"), ("few", 3, 1): (20.0, "value"), ("few", 4, 1): (None, "empty")}
+    assert out == want
