@@ -98,24 +98,28 @@ class Strips:
 
 
 class Sums:
-    """Numbers by column, to add up those in a box."""
-
-    def __init__(self, numbers: Iterable[tuple[int, int, float]]) -> None:
-        by_column: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for c, r, d in numbers:
-            by_column[c].append((r, d))
-        self.strips = {}
-        for c, cells in by_column.items():
-            cells.sort(key=itemgetter(0))
-            rows, values = zip(*cells, strict=True)
-            self.strips[c] = rows, values, list(accumulate(values, initial=0.0))
-        self.columns = sorted(self.strips)
+    """Numbers by place and by column, to add up those in a box."""
+
+    def __init__(self, numbers: dict[tuple[int, int], float]) -> None:
+        self.numbers, self.strips = numbers, None
+
+    def columns(self) -> list[int]:
+        if self.strips is None:
+            by_column: dict[int, list[tuple[int, float]]] = defaultdict(list)
+            for (r, c), d in sorted(self.numbers.items(), key=itemgetter(0)):
+                by_column[c].append((r, d))
+            self.strips = {c: ([r for r, _ in x], v := [d for _, d in x], list(accumulate(v, initial=0.0))) for c, x in sorted(by_column.items())}
+            self.order = list(self.strips)
+        return self.order
 
     def within(self, box: Box) -> tuple[float, int]:
         """(sum, count)"""
         r0, c0, r1, c1 = box
-        total, found = 0.0, 0
-        for c in (c0,) * (c0 in self.strips) if c0 == c1 else self.columns[bisect_left(self.columns, c0) : bisect_right(self.columns, c1)]:
+        if r0 == r1 and c0 == c1:
+            d = self.numbers.get((r0, c0))
+            return (0.0, 0) if d is None else (d, 1)
+        total, found, order = 0.0, 0, self.columns()
+        for c in order[bisect_left(order, c0) : bisect_right(order, c1)]:
             rows, values, upto = self.strips[c]
             i, j = bisect_left(rows, r0), bisect_right(rows, r1)
             total += upto[j] - upto[i] if j - i > SHORT else sum(values[i:j])
@@ -129,7 +133,8 @@ def solve(places: list[tuple[int, int]], parsed: list[tuple[str, list[Box]]], to
     strips, feeds, waits = Strips(places), defaultdict(list), [0] * len(places)
     for i, (_, boxes) in enumerate(parsed):
         for k, box in enumerate(boxes):
-            for at in strips.within(box):
+            one = box[:2]
+            for at in ((one,) if one in number else ()) if one == box[2:] else strips.within(box):
                 feeds[number[at]].append((i, k))
                 waits[i] += 1
     out: list[tuple[float | None, str]] = [(None, "cycle")] * len(places)
@@ -198,19 +203,23 @@ def _solve_sheet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 
 def _solve_whole(rows: Iterable[tuple], parse=parse) -> list[tuple]:
     """(r, c, value, state) of a sheet's formulas, from rows (file, sheet, r, c, d, number, formula, dealt) of all it holds."""
-    filled, numbers, texts = set(), [], []
+    filled, numbers, texts = set(), {}, []
     for _, _, r, c, d, number, formula, _ in rows:
         if formula is not None:
             texts.append(((r, c), formula))
-            continue
-        filled.add((r, c))
-        if number:
-            numbers.append((c, r, d))
-    known = [(at, p) for at, text in texts if at not in filled and (p := parse(text))]
-    sums, places, parsed = Sums(numbers), [at for at, _ in known], [p for _, p in known]
-    inside = [[sums.within(box) for box in boxes] for _, boxes in parsed]
-    solved = solve(places, parsed, [[t for t, _ in x] for x in inside], [[n for _, n in x] for x in inside])
-    return [(*at, *s) for at, s in zip(places, solved, strict=True)]
+        elif number:
+            numbers[r, c] = numbers.get((r, c), 0.0) + d
+        else:
+            filled.add((r, c))
+    places, parsed, totals, found, within = [], [], [], [], Sums(numbers).within
+    for at, text in texts:
+        if at not in numbers and at not in filled and (p := parse(text)):
+            sums = [within(box) for box in p[1]]
+            places.append(at)
+            parsed.append(p)
+            totals.append([t for t, _ in sums])
+            found.append([n for _, n in sums])
+    return [(*at, *s) for at, s in zip(places, solve(places, parsed, totals, found), strict=True)]
 
 
 def _solve_sheets(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
